@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _constants, _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,6 +52,27 @@ def clean_title(col: Column) -> Column:
     return result.otherwise(col)
 
 
+def _group(compiled: re.Pattern, i: int, value: Column) -> Column:
+    """NULL for a group that took no part in the match.
+
+    Spark reports such a group as ''.  Where the group cannot match the empty
+    string the two are told apart by the pattern itself.
+    """
+    return F.nullif(value, F.lit("")) if i and _least_length(_parser.parse(compiled.pattern, compiled.flags), i) else value
+
+
+def _least_length(tree, i: int) -> int:
+    """Least length of group ``i`` in a parsed pattern."""
+    for op, value in tree:
+        if op is _constants.SUBPATTERN and value[0] == i:
+            return value[-1].getwidth()[0]
+        inner = value if isinstance(value, (list, tuple)) else [value]
+        for part in (p for v in inner for p in (v if isinstance(v, list) else [v])):
+            if isinstance(part, _parser.SubPattern) and (found := _least_length(part, i)):
+                return found
+    return 0
+
+
 def regex_single(col: Column, pattern: str | re.Pattern, default: str | None = None) -> Column:
     """First match: struct of named groups, the only group, array of groups, or the whole match.
 
@@ -60,7 +82,7 @@ def regex_single(col: Column, pattern: str | re.Pattern, default: str | None = N
     java = java_pattern(compiled)
 
     def group(i: int) -> Column:
-        return F.regexp_extract(col, java, i)
+        return _group(compiled, i, F.regexp_extract(col, java, i))
 
     if compiled.groupindex:
         value = F.struct(*(group(i).alias(n) for n, i in compiled.groupindex.items()))
@@ -78,7 +100,7 @@ def regex_many(col: Column, pattern: str | re.Pattern) -> Column:
     java = java_pattern(compiled)
 
     def group(i: int) -> Column:
-        return F.regexp_extract_all(col, F.lit(java), F.lit(i))
+        return F.transform(F.regexp_extract_all(col, F.lit(java), F.lit(i)), lambda v: _group(compiled, i, v))
 
     if compiled.groups <= 1:
         return group(compiled.groups)

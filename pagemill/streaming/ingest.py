@@ -31,12 +31,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def read_new(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """Stream of the files below a folder that no run has taken yet; a single file is watched by name."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    place, files = _files(spark, path)
+    if files.isFile(place):
+        reader, path = reader.option("pathGlobFilter", place.getName()), place.getParent().toString()
     return reader.parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def run_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append what is new to a parquet table and stop; schedule it as often as needed (K1)."""
     return (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
@@ -60,8 +69,8 @@ def absent_writer(out: str, key: str, order: str, schema: T.StructType) -> Calla
 def stored_rows(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
     """What the sink holds so far, with the batch it came in."""
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(out)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    place, files = _files(spark, out)
+    if not files.exists(place):
         return spark.createDataFrame([], full)
     return spark.read.schema(full).parquet(out)
 
