@@ -1,34 +1,28 @@
-"""JSON path lookups and record expansion."""
+"""Path lookups in JSON documents held as VARIANT."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _path(select: str) -> str:
-    return "$" + "".join(f"['{key}']" for key in select.split(">"))
+def at_path(doc: Column, select: str) -> Column:
+    """The part of the document below successive keys, ``a>b>c``; NULL where a key is missing."""
+    path = "$" + "".join(f"['{key}']" for key in select.split(">"))
+    return F.variant_get(doc, path, "variant")
 
 
-def json_path(doc: Column, select: str | None, default: Column | None = None) -> Column:
-    """Successive key lookups, ``a>b>c``; an empty selector gives the default.
+def as_text(part: Column) -> Column:
+    """Scalars as text, objects and lists as JSON, JSON null as NULL."""
+    return F.when(~F.is_variant_null(part), part.cast("string"))
 
-    NULL marks a missing key; see ``json_error`` for the strict form.
-    """
-    if not select:
-        return default if default is not None else F.lit(None).cast("string")
-    return F.get_json_object(doc, _path(select))
 
+def json_path(doc: Column, select: str | None, default: str | None = None) -> Column:
+    """Value at the path as text; an empty selector gives the default."""
+    return as_text(at_path(doc, select)) if select else F.lit(default).cast("string")
 
-def json_error(doc: Column, select: str) -> Column:
-    """Message for a document without the path, NULL otherwise."""
-    return F.when(F.get_json_object(doc, _path(select)).isNull(), F.lit(f"no key {select}"))
 
-
-def json_records(doc: Column, record: T.StructType, target: str | None = None) -> Column:
-    """Array of records: the elements of a list, or the one object itself (A4, E5)."""
-    source = json_path(doc, target) if target else doc
-    many = F.from_json(source, T.ArrayType(record))
-    one = F.array(F.from_json(source, record))
-    return F.when(F.ltrim(source).startswith("["), many).when(source.isNotNull(), one)
+def json_error(doc: Column, select: str | None) -> Column:
+    """Message where a key is missing (a null value is not), NULL elsewhere."""
+    missing = at_path(doc, select).isNull() if select else F.lit(False)
+    return F.when(missing, F.lit(f"no key {select}"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.common import let
@@ -148,10 +148,28 @@ def suffix_class(url: Column) -> Column:
     return F.when(ends(FILE_SUFFIXES), "file").when(ends(CHECKED_SUFFIXES), "page").otherwise("none")
 
 
+def numbers_to(n: Column) -> Column:
+    """1..n as an array, empty when n is 0."""
+    return F.when(n > 0, F.sequence(F.lit(1).cast("long"), n.cast("long"))).otherwise(F.array().cast("array<long>"))
+
+
 def numbered_urls(template: str, key: Column, n: Column) -> Column:
-    """One URL per number 1..n, none when n is 0."""
-    numbers = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda i: F.format_string(template, key, i))
+    """One URL per number 1..n, none when n is 0, for counts taken within one page."""
+    return F.transform(numbers_to(n), lambda i: F.format_string(template, key, i))
+
+
+def numbered_rows(counts: DataFrame, template: str, key: str, n: str, name: str = "url",
+                  chunk: int = 10_000) -> DataFrame:
+    """One row per number 1..n and key, for counts over whole groups.
+
+    Numbers are made in chunks that are spread over the cluster first, so a
+    key with a huge count is no single array and no single task.
+    """
+    chunks = counts.select(*counts.columns, F.explode(numbers_to(F.ceil(F.col(n) / chunk))).alias("_chunk"))
+    begin = (F.col("_chunk") - 1) * chunk
+    size = F.least(F.col(n) - begin, F.lit(chunk))
+    numbers = F.transform(numbers_to(size), lambda i: F.format_string(template, F.col(key), i + begin))
+    return chunks.repartition(key, "_chunk").select(*counts.columns, F.explode(numbers).alias(name))
 
 
 def dated_url(template: Column, run_date: dt.date) -> Column:

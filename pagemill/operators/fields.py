@@ -142,8 +142,11 @@ class Field:
         def build(found: Column) -> Column:
             values = F.transform(found, lambda x: KINDS[self.kind](self, nodes, x))
             fallback = F.lit(None)
-            if has_default and not pair:
-                fallback = F.array(F.lit(self.default)) if self.is_many else F.lit(self.default)
+            if has_default:
+                one = F.lit(self.default)
+                if pair:
+                    one = F.struct(one.alias("text"), F.lit(None).cast("string").alias("attr"))
+                fallback = F.array(one) if self.is_many else one
             value = values if self.is_many else F.get(values, F.lit(0))
             nothing = F.size(found) == 0
             error = F.when(nothing, F.lit(f"nothing matched for {self.kind}")) if not has_default else F.lit(None)

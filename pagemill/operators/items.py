@@ -24,6 +24,7 @@ class ItemSpec:
 
     fields: dict[str, Field]
     scope: Selector | None = None
+    first_scope_only: bool = False
     clean: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     ignore: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
 
@@ -34,6 +35,12 @@ def _record(spec: ItemSpec, nodes: Column, scope: Column | None) -> Column:
     return F.struct(at.alias("scope_pre"), *parts)
 
 
+def _records(spec: ItemSpec, nodes: Column) -> Column:
+    scopes = select(nodes, spec.scope)
+    scopes = F.slice(scopes, 1, 1) if spec.first_scope_only else scopes
+    return F.transform(scopes, lambda s: _record(spec, nodes, s))
+
+
 def _first_error(spec: ItemSpec, record: Column) -> Column:
     return F.coalesce(*(F.when(record[n]["error"].isNotNull(), F.concat(F.lit(n + ": "), record[n]["error"]))
                         for n in spec.fields))
@@ -68,8 +75,7 @@ def scope_items(parsed: DataFrame, spec: ItemSpec, strict: bool = False) -> Data
     row-by-row writer stops there; otherwise failing records carry ``error``.
     """
     keep = [c for c in parsed.columns if c != "nodes"]
-    nodes = F.col("nodes")
-    records = F.transform(select(nodes, spec.scope), lambda s: _record(spec, nodes, s))
+    records = _records(spec, F.col("nodes"))
     if strict:
         def before_first_error(all_records: Column) -> Column:
             failing = F.filter(all_records, lambda r: _first_error(spec, r).isNotNull())
@@ -83,8 +89,7 @@ def scope_items(parsed: DataFrame, spec: ItemSpec, strict: bool = False) -> Data
 def scope_errors(parsed: DataFrame, spec: ItemSpec) -> DataFrame:
     """Failing records and pages without any scope element."""
     keep = [c for c in parsed.columns if c != "nodes"]
-    nodes = F.col("nodes")
-    records = F.transform(select(nodes, spec.scope), lambda s: _record(spec, nodes, s))
+    records = _records(spec, F.col("nodes"))
     rows = parsed.select(*keep, F.explode_outer(records).alias("record"))
     error = F.coalesce(F.when(F.col("record").isNull(), "no scope element"), _first_error(spec, F.col("record")))
     return rows.select(*keep, F.col("record.scope_pre").alias("scope_pre"), error.alias("error")).where(

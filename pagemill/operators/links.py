@@ -36,9 +36,13 @@ def absolute_attrs(url: Column, attrs: Column) -> Column:
         k.isin(URL_ATTRIBUTES), url_resolve(url, strip(v))).otherwise(v))
 
 
-def with_canonical(pages: DataFrame) -> DataFrame:
-    """Pages keyed by canonical URL; pages that are not to be followed drop out."""
-    return pages.withColumn("canonical", clean_url(F.col("url"))).where(F.col("canonical").isNotNull())
+def with_canonical(rows: DataFrame, url: str, name: str) -> DataFrame:
+    """Add the canonical form of a URL column; rows not to be followed drop out.
+
+    Exploding an array of at most one keeps the URL work to one evaluation per
+    row; a filter on the column would repeat it.
+    """
+    return rows.withColumn(name, F.explode(F.array_compact(F.array(clean_url(F.col(url))))))
 
 
 def follow_links(links: DataFrame, pages: DataFrame, link: str = "link") -> DataFrame:
@@ -49,9 +53,8 @@ def follow_links(links: DataFrame, pages: DataFrame, link: str = "link") -> Data
     is split at run time by AQE's skew join, which needs this join to stay an
     inner join without a repartitioning hint.
     """
-    targets = with_canonical(pages).withColumnRenamed("url", "page_url")
-    keyed = links.withColumn("_to", clean_url(F.col(link))).where(F.col("_to").isNotNull())
-    return keyed.join(targets, F.col("_to") == F.col("canonical")).drop("_to", "canonical")
+    targets = with_canonical(pages, "url", "canonical").withColumnRenamed("url", "page_url")
+    return with_canonical(links, link, "_to").join(targets, F.col("_to") == F.col("canonical")).drop("_to", "canonical")
 
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -68,8 +71,8 @@ def staged_crawl(seeds: DataFrame, pages: DataFrame, stages: list[Stage], carry:
     frontier = seeds
     for stage in stages:
         if visited is not None:
-            frontier = frontier.join(visited.select(F.col("canonical").alias("_seen")),
-                                     clean_url(F.col("link")) == F.col("_seen"), "left_anti")
+            seen = visited.select(F.col("canonical").alias("_to"))
+            frontier = with_canonical(frontier, "link", "_to").join(seen, "_to", "left_anti").drop("_to")
         reached = follow_links(frontier, pages).select(*carry, "page_id", F.col("page_url").alias("url"), "html")
         frontier = stage(reached)
     return frontier

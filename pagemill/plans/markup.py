@@ -15,9 +15,11 @@ from pagemill.operators.fields import (KINDS, Field, attr_field, attr_text_field
 from pagemill.operators.items import ItemSpec, page_items, scope_errors, scope_items
 from pagemill.operators.links import absolute_attrs
 from pagemill.operators.select import Step, descend, find_all, select
-from pagemill.plans.catalog import SQL_NAV, SQL_ROOT, query, sql_decode, sql_squeeze, sql_strip
+from pagemill.plans.catalog import SQL_NAV, SQL_ROOT, query, sql_decode, sql_part, sql_squeeze, sql_strip
+from pagemill.plans.scans import SQL_RULES
 from pagemill.sources.nodes import is_element, node_table, parse_nodes
 from pagemill.sources.pages import table
+from pagemill.sources.rules import Rule, extract_by_rule, host_rules, rule_page_join
 
 NODES = F.col("nodes")
 
@@ -426,3 +428,20 @@ def stage_outputs(spark, sf_dir):
     links = F.transform(select(NODES, find_all("a", {"href": True})), lambda x: F.struct(
         F.lit("link").alias("kind"), absolute_attrs(F.col("url"), x["attrs"])["href"].alias("value")))
     return parsed(spark, sf_dir, "url").select("page_id", F.inline(F.concat(record, links)))
+
+
+@query("rule_extract", f"""
+  with ruled as (select page_id, category from (select page_id, {sql_part('url', 2)} as host from pages) join ({SQL_RULES}) on host = site)
+  select page_id, category, {sql_squeeze('txt')} as text, href as attr from ({SQL_NAV}) join ruled using (page_id) where category = 'news'
+  union all select page_id, category, null, href from ({SQL_NAV}) join ruled using (page_id) where category = 'words' and pos = 1
+  union all select page_id, category, {sql_squeeze(sql_decode("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))}, null
+    from pages join ruled using (page_id) where category = 'notice'""")
+def rule_extract(spark, sf_dir):
+    """Each category of sites has its own selectors."""
+    rules = {name: Rule("any", name, "", "", (selector,)) for name, selector in (
+        ("news", attr_text_field("href", descend(Step("nav"), Step("li"), Step("a")))),
+        ("words", attr_field("href", find_all("a"), many=False)),
+        ("notice", text_field(find_all(["h1", "h2"]))))}
+    pages = table(spark, sf_dir, "pages")
+    ruled = rule_page_join(pages, host_rules(pages).select("site", "category", "url"))
+    return extract_by_rule(parse_nodes(ruled.select("page_id", "category", "html")), "category", rules, stage=0)

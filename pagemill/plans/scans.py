@@ -6,10 +6,10 @@ import datetime as dt
 import re
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagemill.functions import jsonpath, text, urls
 from pagemill.functions.common import squeeze_ws
+from pagemill.operators import json_items
 from pagemill.operators.attempts import is_ok
 from pagemill.operators.links import extract_links, page_links
 from pagemill.plans.catalog import (SQL_PAGE_LINKS, query, sql_binary, sql_clean_url, sql_part, sql_squeeze)
@@ -58,18 +58,19 @@ _K = "regexp_extract(props, '[0-9]+', 0)::bigint"
 def json_records(spark, sf_dir):
     pair = F.concat(F.lit("["), "props", F.lit(', {"k": '), "event_id", F.lit("}]"))
     doc = F.when(F.col("event_type") == "click", pair).otherwise(F.col("props"))
-    record = T.StructType([T.StructField("k", T.LongType())])
-    rows = table(spark, sf_dir, "events").select("event_id", F.explode(jsonpath.json_records(doc, record)).alias("r"))
-    return rows.select("event_id", "r.k")
+    rows = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    records = json_items.records(rows, "doc", {"k": json_items.JsonField("k")})
+    return records.select("event_id", F.col("k").cast("bigint").alias("k"))
 
 
 @query("json_path", f"""
-  select event_id, {_K} as k, case when event_type = 'view' then null else user_id end as user_id,
+  select event_id, {_K} as k, case when event_type in ('view', 'click') then null else user_id end as user_id,
          case when event_type = 'view' then 'no key a>user' end as error from events""")
 def json_path(spark, sf_dir):
-    user = F.when(F.col("event_type") == "view", "").otherwise(F.concat(F.lit(', "user": '), "user_id"))
+    user = (F.when(F.col("event_type") == "view", "").when(F.col("event_type") == "click", ', "user": null')
+            .otherwise(F.concat(F.lit(', "user": '), "user_id")))
     doc = F.concat(F.lit('{"a": {"b": '), "props", user, F.lit("}}"))
-    rows = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.try_parse_json(doc).alias("doc"))
     return rows.select(
         "event_id", jsonpath.json_path(F.col("doc"), "a>b>k").cast("bigint").alias("k"),
         jsonpath.json_path(F.col("doc"), "a>user").cast("bigint").alias("user_id"),
@@ -77,14 +78,25 @@ def json_path(spark, sf_dir):
 
 
 @query("json_items", f"""
-  select event_id, u.pos::int as pos, case u.pos when 0 then {_K} else user_id end as k
+  select event_id, u.pos::int as pos, case u.pos when 0 then {_K} else user_id end as k, u.pos = 1 and user_id < 10 as ignored
   from events, (select unnest([0, 1]) as pos) u""")
-def json_items(spark, sf_dir):
-    doc = F.concat(F.lit('{"data": {"items": ['), "props", F.lit(', {"k": '), "user_id", F.lit("}]}}"))
-    record = T.StructType([T.StructField("k", T.LongType())])
-    rows = table(spark, sf_dir, "events").select(
-        "event_id", F.posexplode(jsonpath.json_records(doc, record, target="data>items")).alias("pos", "item"))
-    return rows.select("event_id", "pos", "item.k")
+def json_expand(spark, sf_dir):
+    doc = F.concat(F.lit('{"data": {"items": ['), "props", F.lit(', {"k": "u'), "user_id", F.lit('"}]}}'))
+    rows = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
+    records = json_items.records(
+        rows, "doc", {"k": json_items.JsonField("k")}, target="data>items",
+        clean={"k": lambda v: F.ltrim(v, F.lit("u"))}, ignore={"k": lambda v: v.rlike("^u[0-9]$")})
+    return records.select("event_id", "pos", F.ltrim("k", F.lit("u")).cast("bigint").alias("k"), "ignored")
+
+
+@query("json_errors", """
+  select event_id, case event_type when 'view' then 'no records in items' else 'k: no key k' end as error
+  from events where event_type in ('view', 'click')""")
+def json_errors(spark, sf_dir):
+    kind = F.col("event_type")
+    items = F.when(kind == "view", "[]").when(kind == "click", '[{"other": 1}]').otherwise('[{"k": 1}]')
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"items": '), items, F.lit("}")).alias("doc"))
+    return json_items.record_errors(rows, "doc", {"k": json_items.JsonField("k")}, target="items").select("event_id", "error")
 
 
 @query("cookie_map", """
@@ -242,8 +254,7 @@ def last_param(spark, sf_dir):
 def templated_urls(spark, sf_dir):
     chapters = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     template = "http://words.example.org/?action=words&class=%s&course=%s"
-    return chapters.select("conv_id", F.explode(
-        urls.numbered_urls(template, F.col("conv_id"), F.col("n"))).alias("url"))
+    return urls.numbered_rows(chapters, template, "conv_id", "n").select("conv_id", "url")
 
 
 @query("percent_encode", "select doc_id, replace(url_encode(text), '%2F', '/') as encoded from documents")

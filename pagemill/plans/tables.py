@@ -84,11 +84,13 @@ def rule_join(spark, sf_dir):
     return rule_page_join(pages, host_rules(pages)).select("page_id", "rule_id", "site", "category", "subcategory")
 
 
-# every page links to the page with half its number, once tracked and once with a fragment, and to page 0
-SQL_EDGES = """
+# every page links to the page with half its number, once tracked and once with a fragment, and to its host's first page
+SQL_EDGES = f"""
+  with site as (select page_id, url, {sql_part('url', 2)} as host from pages)
   select p.page_id as src_page, unnest([t.url || case when contains(t.url, '?') then '&' else '?' end || 'utm_x=1',
       split_part(t.url, '#', 1) || '#end', h.url]) as link
-  from pages p join pages t on t.page_id = p.page_id // 2 join pages h on h.page_id = 0"""
+  from site p join site t on t.page_id = p.page_id // 2
+  join (select host, arg_min(url, page_id) as url from site group by host) h on h.host = p.host"""
 
 
 def edges(spark, sf_dir):
@@ -98,10 +100,9 @@ def edges(spark, sf_dir):
     half = pages.select(F.col("page_id").alias("src_page"), F.expr("page_id div 2").alias("to_page")).join(to, "to_page")
     halves = half.select("src_page", F.explode(F.array(
         tracked, F.concat(F.substring_index("to_url", "#", 1), F.lit("#end")))).alias("link"))
-    home = pages.where("page_id = 0").select(F.lit(0).cast("bigint").alias("to_page"), F.col("url").alias("link"))
-    return halves.unionByName(
-        pages.select(F.col("page_id").alias("src_page"), F.lit(0).cast("bigint").alias("to_page"))
-        .join(home, "to_page").select("src_page", "link"))
+    on_host = pages.withColumn("host", url_host(F.col("url")))
+    first = on_host.groupBy("host").agg(F.min_by("url", "page_id").alias("link"))
+    return halves.unionByName(on_host.join(first, "host").select(F.col("page_id").alias("src_page"), "link"))
 
 
 @query("follow_links", f"""

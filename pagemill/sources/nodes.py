@@ -282,15 +282,18 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for the parse when the input has too few splits.
+    """Give every core a share of the parse when the input is too small to split that far.
 
-    A large table already has far more splits than cores and is left alone: no
-    shuffle.  Only a handful of files is redistributed.
+    Judged by the planned size alone, nothing runs.  A large table has more
+    splits than cores anyway and is left as it is: no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() * 2 > cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if df.isStreaming or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > cores * split:
         return df
-    return df.repartition(cores)
+    keys = [c for c in df.columns if c != "html"]
+    return df.repartition(cores, *(keys or ["html"]))
 
 
 def parse_nodes(pages: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
-from dataclasses import asdict, dataclass, field
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ class Rule:
     selectors: tuple[Field, ...] = field(default=(), compare=False)
 
     def dump(self) -> dict:
-        return {k: v for k, v in sorted(asdict(self).items()) if k != "selectors"} | {"selectors": self.selectors}
+        return {name: getattr(self, name) for name in ("category", "selectors", "site", "subcategory", "url")}
 
 
 def rule_table(spark: SparkSession, rules: Iterable[Rule], run_date: dt.date | None = None) -> DataFrame:
@@ -78,3 +78,32 @@ def rule_page_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
     keyed = pages.withColumn("_host", url_host(F.col("url")))
     of_rule = rules.withColumnRenamed("url", "rule_url")
     return keyed.join(of_rule, F.col("_host") == F.col("site")).drop("_host")
+
+
+def _uniform(field_: Field, nodes: Column) -> Column:
+    """Any field's values as array<struct(text, attr)>."""
+    value = field_.extract(nodes)["value"]
+    many = value if field_.is_many else F.when(value.isNotNull(), F.array(value))
+    nothing = F.lit(None).cast("string")
+
+    def pair(v: Column) -> Column:
+        if field_.kind == "attr_text":
+            return F.struct(v["text"].alias("text"), v["attr"].alias("attr"))
+        parts = (nothing, v) if field_.kind == "attr" else (v, nothing)
+        return F.struct(parts[0].alias("text"), parts[1].alias("attr"))
+
+    return F.transform(many, pair)
+
+
+def extract_by_rule(parsed: DataFrame, key: str, rules: Mapping[str, Rule], stage: int) -> DataFrame:
+    """The stage's field of each page's own rule, one row per value.
+
+    One pass for all rules: a page evaluates the selector of its rule only.
+    Pages whose rule has no such stage give no rows.
+    """
+    values = F.lit(None).cast("array<struct<text:string,attr:string>>")
+    for name, rule in rules.items():
+        if stage < len(rule.selectors):
+            values = F.when(F.col(key) == name, _uniform(rule.selectors[stage], F.col("nodes"))).otherwise(values)
+    keep = [c for c in parsed.columns if c != "nodes"]
+    return parsed.select(*keep, F.inline(values))
