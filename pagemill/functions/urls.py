@@ -143,7 +143,7 @@ def last_param(url: Column) -> Column:
 def suffix_class(url: Column) -> Column:
     """'file', 'page' or 'none' by the suffix a URL ends in."""
     def ends(suffixes: list[str]) -> Column:
-        return F.lower(F.concat(F.lit("."), F.element_at(F.split(url, r"\."), -1))).isin(suffixes)
+        return F.lower(url).rlike("(?:" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
 
     return F.when(ends(FILE_SUFFIXES), "file").when(ends(CHECKED_SUFFIXES), "page").otherwise("none")
 

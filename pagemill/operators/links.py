@@ -52,11 +52,22 @@ def follow_links(links: DataFrame, pages: DataFrame, link: str = "link") -> Data
     target named by a large share of the rows makes one big join partition; it
     is split at run time by AQE's skew join, which needs this join to stay an
     inner join without a repartitioning hint.
+
+    Pages that already have a ``canonical`` column (see ``save_site``) are
+    joined as they are: bucketed by it, they are not shuffled again.
     """
-    targets = with_canonical(pages, "url", "canonical").withColumnRenamed("url", "page_url")
+    keyed = pages if "canonical" in pages.columns else with_canonical(pages, "url", "canonical")
+    targets = keyed.withColumnRenamed("url", "page_url")
     return with_canonical(links, link, "_to").join(targets, F.col("_to") == F.col("canonical")).drop("_to", "canonical")
 
 
+def save_site(pages: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Store pages bucketed by canonical URL, so that every later hop shuffles links only, never pages."""
+    (with_canonical(pages, "url", "canonical").write.mode("overwrite").option("path", path)
+     .bucketBy(buckets, "canonical").sortBy("canonical").saveAsTable(table))
+    return pages.sparkSession.table(table)
+
+
 Stage = Callable[[DataFrame], DataFrame]
 
 

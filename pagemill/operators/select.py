@@ -112,7 +112,7 @@ def _test(nodes: Column, node: Column, step: Step) -> Column:
     for name, op, value in step.attrs:
         attr = _attr(node, name)
         if op == "class":  # any single token, or the whole value
-            tests.append(_matches(attr, value) | F.exists(class_tokens(node), lambda t, v=value: _matches(t, v)))
+            tests.append(_matches(attr, value) | F.exists(class_tokens(node), lambda t: _matches(t, value)))
         elif op == "match":
             tests.append(_matches(attr, value))
         elif op == "prefix":

@@ -1,0 +1,244 @@
+"""Selection, fields and records on hand-written pages."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagemill.functions.text import (char_counts, clean_title, date_text, date_value, is_headline, regex_many,
+                                     regex_single)
+from pagemill.operators import json_items
+from pagemill.operators.fields import (Field, attr_field, attr_text_field, html_field, text_field)
+from pagemill.operators.items import ItemSpec, page_items, scope_errors, scope_items
+from pagemill.operators.select import Selector, Step, descend, find_all, select
+from pagemill.sources.nodes import parse_nodes
+from pagemill.sources.pages import cookie_map
+from pagemill.sources.rules import Rule, extract_by_rule, rule_table, seed_frontier
+
+WORDS = """<ul class="word_main_list">
+<li><div class="word_main_list_w"><span title="apple">x</span></div><div class="word_main_list_s"><span title=" 苹 果 "></span></div>
+<div class="word_main_list_y"><strong> [ˈæpl] </strong><a id="v1"></a></div></li>
+<li><div class="word_main_list_w"><span title="pear"></span></div><div class="word_main_list_s"><span title="梨"></span></div>
+<div class="word_main_list_y"><strong>[peə]</strong><a id="v2"></a></div></li>
+<li><div class="word_main_list_w"><span title="plum"></span></div><div class="word_main_list_s"><span title="李"></span></div>
+<div class="word_main_list_y"><a id="v3"></a></div></li>
+<li><div class="word_main_list_w"><span title="fig"></span></div><div class="word_main_list_s"><span title="无花果"></span></div>
+<div class="word_main_list_y"><strong>[fig]</strong><a id="v4"></a></div></li></ul>"""
+
+
+def pages(spark, *htmls):
+    return parse_nodes(spark.createDataFrame([(i, h) for i, h in enumerate(htmls)], "page_id long, html string"))
+
+
+def one(spark, html, field: Field):
+    return pages(spark, html).select(field.extract(F.col("nodes")).alias("x")).first().x
+
+
+def hits(spark, html, selector: Selector, attr="id"):
+    found = F.transform(select(F.col("nodes"), selector), lambda x: F.coalesce(x["attrs"][attr], x["text"], x["tag"]))
+    return pages(spark, html).select(found.alias("f")).first().f
+
+
+RULES = """<div id="main" class="news box"><ul class="list a b"><li id="l1"><a id="a1" href="/x/doc-1.html">t</a></li>
+<li id="l2" class="data-collecting-sign textgs"><a id="a2" href="/y" title>公告 2</a></li></ul>
+<ul class="list" id="u2"><li id="l3"><a id="a3" href="/z/doc-3.htm">更多</a></li></ul></div>
+<div id="subShowContent1_news3"><div class="news-item"><h2><a id="a4" href="/doc-4"><b>四</b></a></h2></div></div>
+<p id="p1" class="TRS_Editor c1">text <!-- no --> more</p><p id="p2" class="x content con_area">x</p>"""
+
+
+@pytest.mark.parametrize("selector,want", [
+    (descend(Step(id="main"), Step("a")), ["a1", "a2", "a3"]),
+    (descend(Step(classes=("news",)), Step("ul", classes=("list",)), Step("li"), Step("a")), ["a1", "a2", "a3"]),
+    (descend(Step(classes=("list", "b")), Step("a")), ["a1", "a2"]),
+    (descend(Step("div", attrs=(("id", "prefix", "subShowContent1_news"),)), Step(classes=("news-item",)), Step("h2"),
+             Step("a", attrs=(("href", "contains", "/doc-"),))), ["a4"]),
+    (descend(Step(classes=("box",)), Step("ul", nth=2), Step("li"), Step("a")), ["a3"]),
+    (descend(Step("div"), Step("a", child=True)), []),
+    (descend(Step("li"), Step("a", child=True)), ["a1", "a2", "a3"]),
+    (find_all("a", {"href": re.compile(r"\.htm|\.html")}), ["a1", "a3"]),
+    (find_all("a", {"href": True, "title": True}), ["a2"]),
+    (find_all(attrs={"class": "data-collecting-sign textgs"}), ["l2"]),
+    (find_all(attrs={"class": "textgs"}), ["l2"]),
+    (find_all(attrs={"class": re.compile("TRS_Editor|content con_area")}), ["p1", "p2"]),
+    (find_all(attrs={"class": re.compile("TRS_Editor|content con_area|")}), ["main", "ul", "l2", "u2", "div", "p1", "p2"]),
+    (find_all("a", string=re.compile("公告")), ["a2"]),
+    (find_all("a", string=re.compile("四")), ["a4"]),
+    (find_all("p", string=re.compile("text")), []),
+    (find_all(["h2", "b"]), ["h2", "b"]),
+    (find_all(re.compile("^h[0-9]")), ["h2"]),
+    (find_all(string=re.compile("更多|more")), ["更多", " more"]),
+])
+def test_selectors(spark, selector, want):
+    assert hits(spark, RULES, selector) == want
+
+
+def test_child_axis_of_a_scope(spark):
+    found = F.transform(select(F.col("nodes"), descend(Step("ul"))), lambda s: F.size(
+        select(F.col("nodes"), find_all("li", recursive=False), scope=s)))
+    html = "<ul><li>a<ul><li>b<li>c</ul></li><li>d</ul>"
+    assert pages(spark, html).select(found.alias("n")).first().n == [2, 2]
+
+
+def test_scope_reach(spark):
+    html = "<div><ul><li id=o><ul><li id=i><a id=x></a></li></ul></li></ul></div>"
+    nodes = F.col("nodes")
+
+    def ids(selector):
+        return pages(spark, html).select(F.transform(select(nodes, descend(Step("li"))), lambda s: F.transform(
+            select(nodes, selector, scope=s), lambda x: F.coalesce(x["attrs"]["id"], x["tag"]))).alias("i")).first().i
+
+    # earlier steps may lie outside the scope / must lie inside it / the scope does not matter
+    assert ids(descend(Step("div"), Step("a"))) == [["x"], ["x"]]
+    assert ids(descend(Step("div"), Step("a"), reach="self")) == [[], []]
+    assert ids(descend(Step("li"), reach="self")) == [["o", "i"], ["i"]]
+    assert ids(descend(Step("li"))) == [["i"], []]
+    assert ids(descend(Step("li"), reach="page")) == [["o", "i"], ["o", "i"]]
+
+
+A, NO = descend(Step("a")), descend(Step("blink"))
+LINKS = "<div><a href=1> one\n two </a><a>  </a><a href=3>three<b> 3</b></a> tail &amp; </div>"
+
+
+@pytest.mark.parametrize("field,value,error", [
+    (attr_field("href", A), ["1", None, "3"], False),
+    (attr_field("href", A, many=False), "1", False),
+    (attr_field("href", A, many=False, default="d"), "1", False),
+    (attr_field("nope", A, many=False, default="d"), "d", False),
+    (attr_field("href", NO), None, True),
+    (attr_field("href", NO, default=""), None, True),
+    (attr_field("href", NO, default="d"), ["d"], False),
+    (attr_field("href", NO, default="d", many=False), "d", False),
+    (attr_field("href", NO, family="tree"), "", False),
+    (attr_field("href", A, family="tree", many=True), ["1", "", "3"], False),
+    (attr_field("href", NO, family="tree", default=None), None, True),
+    (text_field(A), ["onetwo", None, "three3"], False),
+    (text_field(A, separator=" | "), ["onetwo", None, "three|3"], False),
+    (text_field(A, default="-"), ["onetwo", "-", "three3"], False),
+    (text_field(A, family="tree", many=True), ["one\n two", None, "three3"], False),
+    (text_field(NO, family="tree"), None, True),
+    (text_field(NO, family="tree", default="d", many=True), ["d"], False),
+    (attr_text_field("href", A, many=False), ("onetwo", "1"), False),
+    (html_field(descend(Step("a", nth=3)), many=False), '<a href="3">three<b> 3</b></a>', False),
+    (html_field(descend(Step("a", nth=3)), family="tree"), '<a href="3">three<b> 3</b></a> tail &amp; ', False),
+    (html_field(descend(Step("a", nth=2)), family="tree"), "<a>  </a>", False),
+])
+def test_field_modes(spark, field, value, error):
+    got = one(spark, LINKS, field)
+    assert got.value == value and (got.error is not None) == error
+
+
+def test_markup_escapes(spark):
+    html = "<p class='a\"b'>1 &lt; 2<br><!-- c --><i></i>x</p>"
+    got = one(spark, html, html_field(descend(Step("p")), family="tree"))
+    assert got.value == '<p class="a&quot;b">1 &lt; 2<br/><!-- c --><i/>x</p>'
+
+
+def words_spec(**more):
+    def span(part):
+        return attr_field("title", descend(Step("div", classes=(part,)), Step("span")), many=False)
+
+    return ItemSpec(scope=descend(Step(classes=("word_main_list",)), Step("li")), fields={
+        "english": span("word_main_list_w"), "chinese": span("word_main_list_s"),
+        "phonetic": text_field(descend(Step("div", classes=("word_main_list_y",)), Step("strong")), many=False),
+        "voice": attr_field("id", descend(Step("div", classes=("word_main_list_y",)), Step("a")), many=False)},
+        clean={"chinese": lambda v: F.regexp_replace(v, r"(?U)\s+", "")}, **more)
+
+
+def test_rows_before_the_first_error(spark):
+    rows = scope_items(pages(spark, WORDS, "<p>none</p>"), words_spec(), strict=True)
+    got = [(r.english, r.chinese, r.phonetic, r.voice) for r in rows.orderBy("scope_pre").collect()]
+    assert got == [("apple", "苹果", "[ˈæpl]", "v1"), ("pear", "梨", "[peə]", "v2")]
+
+
+def test_errors_are_listed(spark):
+    lenient = scope_items(pages(spark, WORDS), words_spec())
+    assert [r.error is None for r in lenient.orderBy("scope_pre").collect()] == [True, True, False, True]
+    errors = scope_errors(pages(spark, WORDS, "<p>none</p>"), words_spec()).orderBy("page_id").collect()
+    assert [(r.page_id, r.error) for r in errors] == [(0, "phonetic: nothing matched for text"), (1, "no scope element")]
+
+
+def test_ignored_records(spark):
+    spec = words_spec(ignore={"english": lambda v: v == "pear"})
+    rows = scope_items(pages(spark, WORDS), spec).orderBy("scope_pre").collect()
+    assert [r.english for r in rows] == ["apple", "plum", "fig"]
+    whole = ItemSpec(fields={"t": text_field(descend(Step("p")), many=False)}, clean={"t": F.upper},
+                     ignore={"t": lambda v: v == "no"})
+    kept = page_items(pages(spark, "<p>no</p>", "<p>yes</p>"), whole).orderBy("page_id").collect()
+    assert [(r.t, r.ignored) for r in kept] == [("no", True), ("YES", False)]
+
+
+def test_first_scope_only(spark):
+    rows = scope_items(pages(spark, WORDS), words_spec(first_scope_only=True)).collect()
+    assert [r.english for r in rows] == ["apple"]
+
+
+def test_rules(spark):
+    rules = [Rule("s1", "news", "first", "http://a/%s/", (attr_text_field("href", A), html_field(descend(Step("p")), many=False))),
+             Rule("s1", "news", "first", "http://a/%s/"), Rule("s2", "notice", "x", "http://b/", (text_field(descend(Step("h1"))),))]
+    import datetime as dt
+    assert [r.url for r in rule_table(spark, rules, dt.date(2030, 1, 1)).orderBy("rule_id").collect()] == [
+        "http://a/2030/", "http://a/2030/", "http://b/"]
+    assert seed_frontier(rule_table(spark, rules), "http://d/").count() == 3
+    assert [(r.url, r.site) for r in seed_frontier(rule_table(spark, []), "http://d/").collect()] == [("http://d/", None)]
+    assert list(rules[0].dump()) == ["category", "selectors", "site", "subcategory", "url"]
+    parsed = pages(spark, "<a href=1>x</a><p>y</p>", "<h1>z</h1><a href=2>n</a>").withColumn(
+        "site", F.when(F.col("page_id") == 0, "s1").otherwise("s2"))
+    by_site = {"s1": rules[0], "s2": rules[2]}
+    first = extract_by_rule(parsed, "site", by_site, 0).orderBy("page_id").collect()
+    assert [(r.text, r.attr) for r in first] == [("x", "1"), ("z", None)]
+    assert [(r.page_id, r.text) for r in extract_by_rule(parsed, "site", by_site, 1).collect()] == [(0, "<p>y</p>")]
+
+
+def texts(spark, values, expr):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r.out for r in rows.select("i", expr(F.col("v")).alias("out")).orderBy("i").collect()]
+
+
+def test_text_functions(spark):
+    assert texts(spark, ["plain", "x更多", "【详情】", "a【详细】b", "two\nlines", "end\n", ""], is_headline) == [
+        True, False, False, False, False, True, True]
+    dated = ["on 2019-1-5 x", "2019年12月31日!", "2020/02/30", "1999-01-01", "2019-13-1", None]
+    assert texts(spark, dated, date_text) == ["2019-1-5", "2019年12月31日", "2020/02/30", None, "2019-13-1", None]
+    assert [str(d) for d in texts(spark, dated, date_value)] == [
+        "2019-01-05", "2019-12-31", "None", "None", "None", "None"]
+    assert texts(spark, ["中文12ab٣"], lambda c: F.array(*char_counts(c).values())) == [[2, 3, 2]]
+    titles = ["a - b|c", "a–b-c", "a—b", "a-b - c", "x|y::z", "x::y", "plain", "|x"]
+    assert texts(spark, titles, clean_title) == ["a", "a", "a", "a-b", "x", "x", "plain", ""]
+
+
+def test_regex_forms(spark):
+    text = ["k=1; q=22", "none", "k=; "]
+    assert texts(spark, text, lambda c: regex_single(c, r"[a-z]=\d")) == ["k=1", None, None]
+    assert texts(spark, text, lambda c: regex_single(c, r"[a-z]=(\d+)", default="d")) == ["1", "d", "d"]
+    assert texts(spark, text, lambda c: regex_single(c, r"([a-z])=(\d+)?")) == [["k", "1"], None, ["k", None]]
+    assert texts(spark, text, lambda c: regex_single(c, r"([a-z])=(\d*)")) == [["k", "1"], None, ["k", ""]]
+    named = texts(spark, text, lambda c: regex_single(c, r"(?P<name>[a-z])=(?P<value>\d+)"))
+    assert [n and n.asDict() for n in named] == [{"name": "k", "value": "1"}, None, None]
+    assert texts(spark, text, lambda c: regex_many(c, r"[a-z]=")) == [["k=", "q="], [], ["k="]]
+    assert texts(spark, text, lambda c: regex_many(c, r"([a-z])=(\d+)?")) == [
+        [["k", "1"], ["q", "22"]], [], [["k", None]]]
+    many = texts(spark, text, lambda c: regex_many(c, re.compile(r"(?P<n>[A-Z])=(?P<v>\d+)", re.I)))
+    assert [[m.asDict() for m in ms] for ms in many] == [[{"n": "k", "v": "1"}, {"n": "q", "v": "22"}], [], []]
+
+
+def test_cookies(spark):
+    got = texts(spark, ["a=1; b=2;a=3; flag; c=x=y ; ", ""], cookie_map)
+    assert got == [{"a": "3", "b": "2", "c": "x=y"}, {}]
+
+
+def test_json_records(spark):
+    docs = ['{"a":{"b":{"c":1}},"n":null}', '[{"a":{"b":{"c":"x"}}},{"a":1}]', '{"t":[{"n":1},{"m":2}]}', "bad", '{"t":[]}']
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string")
+    fields = {"c": json_items.JsonField("a>b>c"), "d": json_items.JsonField(default="dd")}
+    got = json_items.records(rows, "doc", fields).orderBy("i", "pos").collect()
+    assert [(r.i, r.pos, r.c, r.d, r.error) for r in got] == [
+        (0, 0, "1", "dd", None), (1, 0, "x", "dd", None), (1, 1, None, "dd", "c: no key a>b>c"),
+        (2, 0, None, "dd", "c: no key a>b>c"), (4, 0, None, "dd", "c: no key a>b>c")]
+    null = json_items.records(rows, "doc", {"n": json_items.JsonField("n")}).where("i = 0").first()
+    assert null.n is None and null.error is None
+    targeted = json_items.records(rows, "doc", {"n": json_items.JsonField("n")}, target="t").orderBy("pos").collect()
+    assert [(r.i, r.pos, r.n, r.error) for r in targeted] == [(2, 0, "1", None), (2, 1, None, "n: no key n")]
+    errors = json_items.record_errors(rows, "doc", {"n": json_items.JsonField("n")}, target="t").orderBy("i").collect()
+    assert [r.i for r in errors] == [0, 1, 2, 3, 4]
