@@ -21,7 +21,9 @@ from pagemill.sources.nodes import is_element, node_table, parse_nodes
 from pagemill.sources.pages import table
 from pagemill.sources.rules import Rule, extract_by_rule, host_rules, rule_page_join
 
-NODES = F.col("nodes")
+
+def nodes():
+    return F.col("nodes")
 
 
 def parsed(spark, sf_dir, *extra):
@@ -43,9 +45,9 @@ def nodes_tag_counts(spark, sf_dir):
 
 @query("find_all", f"select page_id, href, txt from ({SQL_NAV}) where regexp_matches(href, '[aeiou]n$')")
 def find_links(spark, sf_dir):
-    found = select(NODES, find_all("a", {"href": re.compile("[aeiou]n$")}))
+    found = select(nodes(), find_all("a", {"href": re.compile("[aeiou]n$")}))
     rows = parsed(spark, sf_dir).select("page_id", F.explode(F.transform(found, lambda x: F.struct(
-        x["attrs"]["href"].alias("href"), text_content(NODES, x).alias("txt")))).alias("a"))
+        x["attrs"]["href"].alias("href"), text_content(nodes(), x).alias("txt")))).alias("a"))
     return rows.select("page_id", "a.*")
 
 
@@ -53,10 +55,10 @@ def find_links(spark, sf_dir):
   select page_id, 'p' as tag, len(regexp_extract_all(html, '<p>'))::bigint as n from pages
   union all select page_id, 'h1', len(regexp_extract_all(html, '<h1>'))::bigint from pages""")
 def child_axis(spark, sf_dir):
-    article = F.get(select(NODES, descend(Step("article"))), F.lit(0))
+    article = F.get(select(nodes(), descend(Step("article"))), F.lit(0))
 
     def children(tag):
-        found = let(article, lambda a: F.size(select(NODES, find_all(tag, recursive=False), scope=a)))
+        found = let(article, lambda a: F.size(select(nodes(), find_all(tag, recursive=False), scope=a)))
         return F.struct(F.lit(tag).alias("tag"), found.cast("bigint").alias("n"))
 
     return parsed(spark, sf_dir).select("page_id", F.inline(F.array(children("p"), children("h1"))))
@@ -64,21 +66,21 @@ def child_axis(spark, sf_dir):
 
 @query("string_match", f"select page_id, href, txt from ({SQL_NAV}) where regexp_matches(txt, '^[A-Z].*[.,]$')")
 def string_match(spark, sf_dir):
-    found = select(NODES, find_all("li", string=re.compile(r"^[A-Z].*[.,]$")))
+    found = select(nodes(), find_all("li", string=re.compile(r"^[A-Z].*[.,]$")))
     rows = parsed(spark, sf_dir).select("page_id", F.explode(F.transform(found, lambda x: F.struct(
-        F.get(NODES, x["pre"] + 1)["attrs"]["href"].alias("href"), text_content(NODES, x).alias("txt")))).alias("a"))
+        F.get(nodes(), x["pre"] + 1)["attrs"]["href"].alias("href"), text_content(nodes(), x).alias("txt")))).alias("a"))
     return rows.select("page_id", "a.*")
 
 
 @query("string_nodes", f"select page_id, txt from ({SQL_NAV}) where regexp_matches(txt, '^[a-z]{{2,3}}$')")
 def string_nodes(spark, sf_dir):
     names = Field("string", find_all(string=re.compile(r"^[a-z]{2,3}$")))
-    return parsed(spark, sf_dir).select("page_id", F.explode(names.extract(NODES)["value"]).alias("txt"))
+    return parsed(spark, sf_dir).select("page_id", F.explode(names.extract(nodes())["value"]).alias("txt"))
 
 
 @query("css_select", f"select page_id, href from ({SQL_NAV}) where pos = 2")
 def css_select(spark, sf_dir):
-    found = select(NODES, descend(Step("nav"), Step("li", nth=2), Step("a", attrs=(("href", "prefix", "/"),))))
+    found = select(nodes(), descend(Step("nav"), Step("li", nth=2), Step("a", attrs=(("href", "prefix", "/"),))))
     return parsed(spark, sf_dir).select("page_id", F.explode(
         F.transform(found, lambda x: x["attrs"]["href"])).alias("href"))
 
@@ -87,11 +89,11 @@ def css_select(spark, sf_dir):
   select page_id, 'ad' as part, {sql_decode("regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")} as txt from pages
   union all select page_id, 'link', txt from ({SQL_NAV})""")
 def xpath_select(spark, sf_dir):
-    ad = select(NODES, descend(Step(attrs=(("class", "contains", "ad"),)), reach="page"))
-    links = select(NODES, descend(Step("li"), Step("a", child=True), reach="page"))
+    ad = select(nodes(), descend(Step(attrs=(("class", "contains", "ad"),)), reach="page"))
+    links = select(nodes(), descend(Step("li"), Step("a", child=True), reach="page"))
 
     def part(name, found):
-        return F.transform(found, lambda x: F.struct(F.lit(name).alias("part"), text_content(NODES, x).alias("txt")))
+        return F.transform(found, lambda x: F.struct(F.lit(name).alias("part"), text_content(nodes(), x).alias("txt")))
 
     return parsed(spark, sf_dir).select("page_id", F.inline(F.concat(part("ad", ad), part("link", links))))
 
@@ -103,7 +105,7 @@ def attr_fields(spark, sf_dir):
     fields = {"lang": attr_field("lang", descend(Step("html")), **one),
               "charset": attr_field("charset", descend(Step("head"), Step("meta")), **one),
               "missing": attr_field("id", descend(Step("body")), default="none", **one)}
-    return parsed(spark, sf_dir).select("page_id", *(f.extract(NODES)["value"].alias(n) for n, f in fields.items()))
+    return parsed(spark, sf_dir).select("page_id", *(f.extract(nodes())["value"].alias(n) for n, f in fields.items()))
 
 
 _ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
@@ -113,7 +115,7 @@ _ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
   select page_id, {sql_squeeze(sql_decode(f"regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g')"))} as txt from pages""")
 def text_compact(spark, sf_dir):
     body = text_field(find_all("article"), many=False)
-    return parsed(spark, sf_dir).select("page_id", body.extract(NODES)["value"].alias("txt"))
+    return parsed(spark, sf_dir).select("page_id", body.extract(nodes())["value"].alias("txt"))
 
 
 @query("text_strip", f"""
@@ -121,13 +123,13 @@ def text_compact(spark, sf_dir):
       lambda t: {sql_strip(sql_decode('t'))}), '') as txt from pages""")
 def text_strip(spark, sf_dir):
     body = text_field(descend(Step("article")), family="tree")
-    return parsed(spark, sf_dir).select("page_id", body.extract(NODES)["value"].alias("txt"))
+    return parsed(spark, sf_dir).select("page_id", body.extract(nodes())["value"].alias("txt"))
 
 
 @query("anchor_pairs", f"select page_id, (pos - 1)::int as pos, {sql_squeeze('txt')} as txt, href as attr from ({SQL_NAV})")
 def anchor_pairs(spark, sf_dir):
     pairs = attr_text_field("href", descend(Step("li"), Step("a")))
-    rows = parsed(spark, sf_dir).select("page_id", F.posexplode(pairs.extract(NODES)["value"]).alias("pos", "pair"))
+    rows = parsed(spark, sf_dir).select("page_id", F.posexplode(pairs.extract(nodes())["value"]).alias("pos", "pair"))
     return rows.select("page_id", "pos", F.col("pair.text").alias("txt"), "pair.attr")
 
 
@@ -137,15 +139,15 @@ def anchor_pairs(spark, sf_dir):
 def html_fragment(spark, sf_dir):
     nav = html_field(descend(Step("nav")), family="tree")
     item = html_field(find_all("li"), many=False)
-    return parsed(spark, sf_dir).select("page_id", nav.extract(NODES)["value"].alias("nav"),
-                                        item.extract(NODES)["value"].alias("first_item"))
+    return parsed(spark, sf_dir).select("page_id", nav.extract(nodes())["value"].alias("nav"),
+                                        item.extract(nodes())["value"].alias("first_item"))
 
 
 @query("regex_subtree", """
   select page_id, regexp_extract(html, '<li><a href="([^"]*)">', 1) as first_href from pages""")
 def regex_subtree(spark, sf_dir):
-    nav = F.get(select(NODES, descend(Step("nav"))), F.lit(0))
-    source = let(nav, lambda n: markup(NODES, n, tail=False))
+    nav = F.get(select(nodes(), descend(Step("nav"))), F.lit(0))
+    source = let(nav, lambda n: markup(nodes(), n, tail=False))
     return parsed(spark, sf_dir).select("page_id", source.alias("nav")).select(
         "page_id", regex_single(F.col("nav"), r'<a href="([^"]*)">').alias("first_href"))
 
@@ -157,14 +159,14 @@ def regex_subtree(spark, sf_dir):
   from ({SQL_NAV}) group by page_id""")
 def field_modes(spark, sf_dir):
     a, no = descend(Step("li"), Step("a")), descend(Step("blink"))
-    first = attr_field("href", a, many=False).extract(NODES)["value"]
+    first = attr_field("href", a, many=False).extract(nodes())["value"]
     return parsed(spark, sf_dir).select(
-        "page_id", first.alias("first"), F.size(attr_field("href", a).extract(NODES)["value"]).cast("bigint").alias("n"),
-        text_field(no, many=False, default="none").extract(NODES)["value"].alias("soup_default"),
-        attr_field("href", no, family="tree").extract(NODES)["value"].alias("tree_default"),
-        text_field(no, many=False, default="").extract(NODES)["error"].alias("soup_error"),
-        text_field(no, family="tree").extract(NODES)["error"].alias("tree_error"),
-        F.size(text_field(no, default="x").extract(NODES)["value"]).cast("bigint").alias("many_default"))
+        "page_id", first.alias("first"), F.size(attr_field("href", a).extract(nodes())["value"]).cast("bigint").alias("n"),
+        text_field(no, many=False, default="none").extract(nodes())["value"].alias("soup_default"),
+        attr_field("href", no, family="tree").extract(nodes())["value"].alias("tree_default"),
+        text_field(no, many=False, default="").extract(nodes())["error"].alias("soup_error"),
+        text_field(no, family="tree").extract(nodes())["error"].alias("tree_error"),
+        F.size(text_field(no, default="x").extract(nodes())["value"]).cast("bigint").alias("many_default"))
 
 
 def nav_spec(**hooks):
@@ -242,7 +244,7 @@ def _text_length(field, nodes, x):
 def custom_field(spark, sf_dir):
     KINDS["text_length"] = _text_length
     heading = Field("text_length", find_all("h1"), many=False)
-    return parsed(spark, sf_dir).select("page_id", heading.extract(NODES)["value"].alias("n"))
+    return parsed(spark, sf_dir).select("page_id", heading.extract(nodes())["value"].alias("n"))
 
 
 @query("containment_join", f"""
@@ -252,9 +254,9 @@ def custom_field(spark, sf_dir):
   union all select page_id, 'p', 'b', len(regexp_extract_all(html, '<b>')) from pages where contains(html, '<b>')""")
 def containment(spark, sf_dir):
     """Ancestor pairs by the equi-key (page, ancestor), looked up in the page's own row."""
-    inner = F.filter(NODES, lambda x: x["tag"].isin("li", "a", "p", "b"))
+    inner = F.filter(nodes(), lambda x: x["tag"].isin("li", "a", "p", "b"))
     pairs = F.flatten(F.transform(inner, lambda x: F.transform(x["anc"], lambda a: F.struct(
-        F.get(NODES, a)["tag"].alias("outer_tag"), x["tag"].alias("inner_tag")))))
+        F.get(nodes(), a)["tag"].alias("outer_tag"), x["tag"].alias("inner_tag")))))
     rows = parsed(spark, sf_dir).select("page_id", F.inline(pairs))
     wanted = F.concat_ws(" ", "outer_tag", "inner_tag").isin("ul li", "nav a", "article p", "p b")
     return rows.where(wanted).groupBy("page_id", "outer_tag", "inner_tag").agg(F.count("*").alias("n"))
@@ -278,13 +280,13 @@ def nth_of_type(spark, sf_dir):
 
 @query("page_title", f"select page_id, {_TITLE} as title from pages")
 def page_title(spark, sf_dir):
-    return parsed(spark, sf_dir).select("page_id", c.page_title(NODES).alias("title"))
+    return parsed(spark, sf_dir).select("page_id", c.page_title(nodes()).alias("title"))
 
 
 @query("node_weight", f"""
   select tag, case when tag in ('div', 'p', 'table') then 3 else 1 end as weight, count(*) as n from {SQL_TAGS} group by tag""")
 def node_weight(spark, sf_dir):
-    weights = F.transform(F.filter(NODES, is_element), lambda x: F.struct(x["tag"].alias("tag"), c.node_weight(x).alias("weight")))
+    weights = F.transform(F.filter(nodes(), is_element), lambda x: F.struct(x["tag"].alias("tag"), c.node_weight(x).alias("weight")))
     return parsed(spark, sf_dir).select(F.inline(weights)).groupBy("tag", "weight").agg(F.count("*").alias("n"))
 
 
@@ -350,8 +352,8 @@ SQL_MAIN = f"""
 @query("block_scores", f"""
   select page_id, tag, text_len::bigint as text_len, (text_len * weight)::bigint as score from ({SQL_SCORES}) where text_len >= 10""")
 def block_scores(spark, sf_dir):
-    scores = let(c.block_scores(NODES, F.col("whole")), lambda s: F.transform(s, lambda b: F.struct(
-        F.get(NODES, b["pre"])["tag"].alias("tag"), b["text_len"].cast("bigint").alias("text_len"),
+    scores = let(c.block_scores(nodes(), F.col("whole")), lambda s: F.transform(s, lambda b: F.struct(
+        F.get(nodes(), b["pre"])["tag"].alias("tag"), b["text_len"].cast("bigint").alias("text_len"),
         b["score"].cast("bigint").alias("score"))))
     return whole(spark, sf_dir).select("page_id", F.inline(scores))
 
@@ -362,15 +364,15 @@ def best_block(spark, sf_dir):
         return let(c.best_block(scores), lambda pre: F.filter(scores, lambda s: s["pre"] == pre))
 
     rows = whole(spark, sf_dir).select("page_id", "nodes", F.explode(
-        let(c.block_scores(NODES, F.col("whole")), best)).alias("b"))
-    return rows.select("page_id", F.get(NODES, F.col("b.pre"))["tag"].alias("tag"),
+        let(c.block_scores(nodes(), F.col("whole")), best)).alias("b"))
+    return rows.select("page_id", F.get(nodes(), F.col("b.pre"))["tag"].alias("tag"),
                        F.col("b.text_len").cast("bigint").alias("text_len"), F.col("b.score").cast("bigint").alias("score"))
 
 
 @query("block_climb", f"select page_id, case tag when 'p' then 'html' else tag end as tag from ({SQL_BEST})")
 def block_climb(spark, sf_dir):
-    pre = c.block_of(NODES, F.col("whole"))
-    return whole(spark, sf_dir).select("page_id", let(pre, lambda p: F.get(NODES, p)["tag"]).alias("tag")).where(
+    pre = c.block_of(nodes(), F.col("whole"))
+    return whole(spark, sf_dir).select("page_id", let(pre, lambda p: F.get(nodes(), p)["tag"]).alias("tag")).where(
         F.col("tag").isNotNull())
 
 
@@ -379,8 +381,8 @@ def block_climb(spark, sf_dir):
          sum(case when length({sql_squeeze('txt')}) > 5 then length({sql_squeeze('txt')}) else 0 end)::bigint as link_len
   from ({SQL_NAV}) group by page_id""")
 def link_density(spark, sf_dir):
-    nav = F.get(select(NODES, descend(Step("nav"))), F.lit(0))
-    share = let(nav, lambda n: F.get(c.link_shares(NODES, n), n["pre"]))
+    nav = F.get(select(nodes(), descend(Step("nav"))), F.lit(0))
+    share = let(nav, lambda n: F.get(c.link_shares(nodes(), n), n["pre"]))
     rows = parsed(spark, sf_dir).select("page_id", share.alias("s")).where(F.col("s.links").isNotNull())
     return rows.select("page_id", F.col("s.text").cast("bigint").alias("text_len"),
                        F.col("s.links").cast("bigint").alias("link_len"))
@@ -389,11 +391,11 @@ def link_density(spark, sf_dir):
 @query("pruned_nodes")
 def pruned_nodes(spark, sf_dir):
     def dropped(pre):
-        return let(c.pruned(NODES, F.get(NODES, pre)), lambda d: F.filter(
-            NODES, lambda x: F.get(d, x["pre"]) & (x["tag"] != "#text")))
+        return let(c.pruned(nodes(), F.get(nodes(), pre)), lambda d: F.filter(
+            nodes(), lambda x: F.get(d, x["pre"]) & (x["tag"] != "#text")))
 
     rows = whole(spark, sf_dir).select("page_id", F.explode(F.transform(
-        let(c.block_of(NODES, F.col("whole")), dropped), lambda x: x["tag"])).alias("tag"))
+        let(c.block_of(nodes(), F.col("whole")), dropped), lambda x: x["tag"])).alias("tag"))
     return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -401,9 +403,9 @@ def pruned_nodes(spark, sf_dir):
   select page_id, array_to_string(list_filter(list_transform(string_split({sql_decode("h1 || chr(10) || array_to_string(list_transform(range(1, len(p_texts) + 1), lambda i: chr(10) || case when p_texts[i] <> '' then p_texts[i] else b_texts[i] end), '')")}, chr(10)),
       lambda l: {sql_strip('l')}), lambda l: l <> ''), chr(10)) as txt from ({SQL_PARTS})""")
 def render_text(spark, sf_dir):
-    article = F.get(select(NODES, descend(Step("article"))), F.lit(0))
-    nothing = F.transform(NODES, lambda x: F.lit(False))
-    text = let(article, lambda a: let(nothing, lambda d: c.render(NODES, a, d)))
+    article = F.get(select(nodes(), descend(Step("article"))), F.lit(0))
+    nothing = F.transform(nodes(), lambda x: F.lit(False))
+    text = let(article, lambda a: let(nothing, lambda d: c.render(nodes(), a, d)))
     return parsed(spark, sf_dir).select("page_id", text.alias("txt"))
 
 
@@ -414,7 +416,7 @@ def main_content(spark, sf_dir):
 
 @query("absolute_links", f"select page_id, {SQL_ROOT} || href as href from ({SQL_NAV})")
 def absolute_links(spark, sf_dir):
-    found = F.transform(select(NODES, find_all("a", {"href": True})),
+    found = F.transform(select(nodes(), find_all("a", {"href": True})),
                         lambda x: absolute_attrs(F.col("url"), x["attrs"])["href"])
     return parsed(spark, sf_dir, "url").select("page_id", F.explode(found).alias("href"))
 
@@ -424,8 +426,8 @@ def absolute_links(spark, sf_dir):
   union all select page_id, 'link', {SQL_ROOT} || href from ({SQL_NAV})""")
 def stage_outputs(spark, sf_dir):
     """One parse yields records and links, told apart by kind (M2u)."""
-    record = F.array(F.struct(F.lit("record").alias("kind"), c.page_title(NODES).alias("value")))
-    links = F.transform(select(NODES, find_all("a", {"href": True})), lambda x: F.struct(
+    record = F.array(F.struct(F.lit("record").alias("kind"), c.page_title(nodes()).alias("value")))
+    links = F.transform(select(nodes(), find_all("a", {"href": True})), lambda x: F.struct(
         F.lit("link").alias("kind"), absolute_attrs(F.col("url"), x["attrs"])["href"].alias("value")))
     return parsed(spark, sf_dir, "url").select("page_id", F.inline(F.concat(record, links)))
 
