@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,17 @@ def java_pattern(pattern: str | re.Pattern) -> str:
     body = pattern.pattern.replace("(?P<", "(?<")
     # d: only \n ends a line; U: \w, \s and \d are Unicode-aware
     return f"(?{flags}d{'' if pattern.flags & re.ASCII else 'U'}){body}"
+
+
+# A table is broadcast when its rows, written out as JSON, stay within this.
+MAX_BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Mark a table for broadcast after measuring it; a larger one is joined by a shuffle.
+
+    The measuring pass reads this table only, which is worth it where the
+    other side would otherwise be shuffled with its page texts.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df

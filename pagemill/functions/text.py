@@ -94,6 +94,12 @@ def regex_single(col: Column, pattern: str | re.Pattern, default: str | None = N
     return F.when(col.rlike(java), value)
 
 
+def regex_error(col: Column, pattern: str | re.Pattern, default: str | None = None) -> Column:
+    """Message where a single match is required and there is none; a non-empty default covers it."""
+    missing = F.lit(False) if default else ~col.rlike(java_pattern(pattern))
+    return F.when(missing, F.lit("nothing matched for regex"))
+
+
 def regex_many(col: Column, pattern: str | re.Pattern) -> Column:
     """All non-overlapping matches, an empty array when there is none."""
     compiled = re.compile(pattern) if isinstance(pattern, str) else pattern

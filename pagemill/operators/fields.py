@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.common import let, squeeze_ws, strip
 from pagemill.operators.select import Selector, select
-from pagemill.sources.nodes import COMMENT, TEXT, is_element
+from pagemill.sources.nodes import COMMENT, TEXT, VOID, is_element
 
 
 def subtree(nodes: Column, node: Column) -> Column:
@@ -80,6 +80,32 @@ def markup(nodes: Column, node: Column, tail: bool = True) -> Column:
     return F.concat(body, F.coalesce(after, F.lit("")))
 
 
+def pretty_markup(nodes: Column, node: Column) -> Column:
+    """The subtree with every tag and text on a line of its own, indented by depth."""
+    def line(depth: Column, text: Column) -> Column:
+        return F.concat(F.repeat(F.lit(" "), depth - node["depth"]), text, F.lit("\n"))
+
+    def opening(x: Column) -> Column:
+        attrs = F.array_join(F.transform(F.map_entries(x["attrs"]), lambda e: F.concat(
+            F.lit(" "), e["key"], F.lit('="'), _escape(e["value"], quote=True), F.lit('"'))), "")
+        text = strip(x["text"])
+        end = F.when(x["tag"].isin(*VOID), "/>").otherwise(">")
+        return (F.when((x["tag"] == TEXT) & (text == ""), "")
+                .when(x["tag"] == TEXT, line(x["depth"], _escape(text)))
+                .when(x["tag"] == COMMENT, line(x["depth"], F.concat(F.lit("<!--"), x["text"], F.lit("-->"))))
+                .otherwise(line(x["depth"], F.concat(F.lit("<"), x["tag"], attrs, end))))
+
+    def endings(x: Column) -> Column:
+        own = F.when(is_element(x) & ~x["tag"].isin(*VOID), F.array(x["pre"])).otherwise(F.array().cast("array<int>"))
+        ended = F.filter(F.concat(own, F.reverse(x["anc"])), lambda a: (a >= node["pre"]) & (
+            F.get(nodes, a)["last"] == x["pre"]))
+        return F.array_join(F.transform(ended, lambda a: line(
+            F.get(nodes, a)["depth"], F.concat(F.lit("</"), F.get(nodes, a)["tag"], F.lit(">")))), "")
+
+    return F.array_join(F.transform(subtree(nodes, node), lambda x: F.concat(
+        opening(x), F.when(x["last"] == x["pre"], endings(x)).otherwise(""))), "")
+
+
 Extractor = Callable[["Field", Column, Column], Column]
 
 
@@ -172,7 +198,3 @@ def attr_text_field(target: str, selector: Selector, **options) -> Field:
 
 def html_field(selector: Selector, **options) -> Field:
     return Field("html", selector, **options)
-
-
-__all__ = ["Field", "KINDS", "attr_field", "attr_text_field", "html_field", "is_element", "markup", "subtree",
-           "text_compact", "text_content", "text_field", "text_strip", "texts"]

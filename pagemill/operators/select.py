@@ -1,7 +1,7 @@
 """Element selection on the node array.
 
-A selector is data: a tuple of steps, tested right to left, so an element that
-fails the last step costs one comparison.  Ancestors are found through the
+A selector is data: a tuple of steps.  The last step is tested first, so an
+element that fails it costs one comparison.  Ancestors are found through the
 element's own ``anc`` array; no self-join and no shuffle is involved.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -131,35 +131,62 @@ def _test(nodes: Column, node: Column, step: Step) -> Column:
     return F.coalesce(result, F.lit(False))
 
 
-def _chain(nodes: Column, node: Column, steps: Sequence[Step], low: Column | None) -> Column:
-    """Whether ``node`` matches the last step and its ancestors the earlier ones."""
+def _run(nodes: Column, node: Column, steps: Sequence[Step]) -> Column:
+    """Whether ``node`` and its parents match steps joined by the child axis, the last one at ``node``."""
     result = _test(nodes, node, steps[-1])
-    if len(steps) == 1:
-        return result
+    if len(steps) > 1:
+        result = result & (node["parent"] >= 0) & _run(nodes, F.get(nodes, node["parent"]), steps[:-1])
+    return F.coalesce(result, F.lit(False))
+
+
+def _runs(steps: Sequence[Step]) -> list[list[Step]]:
+    """Cut the steps before every descendant axis."""
+    runs: list[list[Step]] = []
+    for step in steps:
+        if step.child and runs:
+            runs[-1].append(step)
+        else:
+            runs.append([step])
+    return runs
+
 
-    def earlier(pre: Column) -> Column:
-        found = _chain(nodes, F.get(nodes, pre), steps[:-1], low)
-        return found if low is None else (pre >= low) & found
+def _chain(nodes: Column, node: Column, runs: Sequence[Sequence[Step]], top: Column, anchored: bool) -> Column:
+    """Whether ``node`` ends the last run and its ancestors hold the earlier runs in order.
 
-    if steps[-1].child:
-        return result & (node["parent"] >= 0) & earlier(node["parent"])
-    return result & F.exists(node["anc"], earlier)
+    Runs are placed as near the root as they fit, one look at each ancestor.
+    ``top`` is the least depth a run may start at; an anchored selector starts
+    exactly there.
+    """
+    start = node["depth"] - (len(runs[-1]) - 1)
+    here = _run(nodes, node, runs[-1])
+    if len(runs) == 1:
+        return here & ((start == top) if anchored else (start >= top))
+
+    def place(state: Column, pre: Column) -> Column:
+        def at(x: Column) -> Column:
+            fits = F.lit(False)
+            for i, steps in reversed(list(enumerate(runs[:-1]))):
+                begin = x["depth"] - (len(steps) - 1)
+                room = (begin == top) if anchored and i == 0 else (begin > state["depth"])
+                fits = F.when(state["placed"] == i, room & _run(nodes, x, steps)).otherwise(fits)
+            return F.when(fits, F.struct((state["placed"] + 1).alias("placed"), x["depth"].alias("depth"))).otherwise(state)
+        return at(F.get(nodes, pre))
+
+    begin = F.struct(F.lit(0).alias("placed"), (top - 1).alias("depth"))
+    above = F.slice(node["anc"], 1, F.greatest(start, F.lit(0)))
+    return here & (F.aggregate(above, begin, place)["placed"] == len(runs) - 1)
 
 
 def select(nodes: Column, selector: Selector, scope: Column | None = None) -> Column:
     """Array of the matching nodes in document order."""
-    steps, low, pool = selector.steps, None, nodes
-    first_child = steps[0].child
+    runs, pool = _runs(selector.steps), nodes
+    anchored, top = selector.steps[0].child, F.lit(0)
     if scope is not None and selector.reach != "page":
         if selector.reach == "self":
-            low = scope["pre"]
             pool = F.slice(nodes, scope["pre"] + 1, scope["last"] - scope["pre"] + 1)
+            top = scope["depth"]
         else:
             pool = F.slice(nodes, scope["pre"] + 2, scope["last"] - scope["pre"])
-    if first_child:
-        # a child of the scope itself, or of the page's root element's parent
-        at = scope["pre"] if scope is not None and selector.reach != "page" else F.lit(-1)
-        if len(steps) > 1:
-            raise ValueError("a child axis at the start takes a single step")
-        return F.filter(pool, lambda x: (x["parent"] == at) & _test(nodes, x, replace(steps[0], child=False)))
-    return F.filter(pool, lambda x: _chain(nodes, x, steps, low))
+        if anchored:
+            top = scope["depth"] + 1
+    return F.filter(pool, lambda x: _chain(nodes, x, runs, top, anchored))

@@ -17,7 +17,7 @@ from pagemill.operators.links import absolute_attrs
 from pagemill.operators.select import Step, descend, find_all, select
 from pagemill.plans.catalog import SQL_NAV, SQL_ROOT, query, sql_decode, sql_part, sql_squeeze, sql_strip
 from pagemill.plans.scans import SQL_RULES
-from pagemill.sources.nodes import is_element, node_table, parse_nodes
+from pagemill.sources.nodes import is_element, node_table, parse_nodes, register_sql
 from pagemill.sources.pages import table
 from pagemill.sources.rules import Rule, extract_by_rule, host_rules, rule_page_join
 
@@ -43,6 +43,14 @@ def nodes_tag_counts(spark, sf_dir):
     return rows.where(~F.col("tag").isin("#text", "#comment")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+@query("nodes_in_sql", f"select tag, count(*) as n from {SQL_TAGS} group by tag")
+def nodes_in_sql(spark, sf_dir):
+    register_sql(spark)
+    return spark.sql("""
+        SELECT n.tag, count(*) AS n FROM {pages} p, LATERAL page_nodes(p.html) n
+        WHERE n.tag NOT IN ('#text', '#comment') GROUP BY n.tag""", pages=table(spark, sf_dir, "pages").select("html"))
+
+
 @query("find_all", f"select page_id, href, txt from ({SQL_NAV}) where regexp_matches(href, '[aeiou]n$')")
 def find_links(spark, sf_dir):
     found = select(nodes(), find_all("a", {"href": re.compile("[aeiou]n$")}))

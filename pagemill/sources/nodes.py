@@ -16,7 +16,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,11 @@ ROW_GROUPS = frozenset(["thead", "tbody", "tfoot"])
 # An end tag does not reach past an open element of a higher level.
 END_LEVEL = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5,
              "head": 6, "body": 6, "html": 7}
-MAX_DEPTH = 255  # deeper elements become siblings, so no text is lost
+# Deeper elements become siblings, so no text is lost.  A page that spends its
+# budget of ancestor entries (tens of thousands of unclosed tags) goes on with
+# the lower depth, which keeps any page's row small enough to handle.
+MAX_DEPTH, LOW_DEPTH = 255, 32
+ANCESTOR_BUDGET = 1 << 24
 
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
@@ -92,18 +96,24 @@ class _PageTree:
         self.pre, self.last, self.parent, self.prev, self.depth, self.nth = [], [], [], [], [], []
         self.tag, self.text, self.attrs, self.anc = [], [], [], []
         self.open: list[int] = []
+        self.path: tuple[int, ...] = ()   # the open nodes, shared by all children of one node
+        self.entries = 0                  # ancestor entries so far
         self.child: list[int] = []        # last child of each open node
         self.counts: list[dict] = []      # children per tag of each open node
         self.has_body = False
 
     def add(self, tag: str, text: str | None = None, attrs: dict | None = None) -> int:
+        if self.entries > ANCESTOR_BUDGET:
+            while len(self.open) > LOW_DEPTH:
+                self.pop()
+        self.entries += len(self.path)
         pre = len(self.pre)
         self.pre.append(pre)
         self.last.append(pre)
         self.tag.append(tag)
         self.text.append(text)
         self.attrs.append(list(attrs.items()) if attrs else [])
-        self.anc.append(list(self.open))
+        self.anc.append(self.path)
         self.depth.append(len(self.open))
         if self.open:
             self.parent.append(self.open[-1])
@@ -120,13 +130,15 @@ class _PageTree:
 
     def push(self, tag: str, attrs: dict | None = None) -> None:
         pre = self.add(tag, attrs=attrs)
-        if len(self.open) < MAX_DEPTH:
+        if len(self.open) < (MAX_DEPTH if self.entries <= ANCESTOR_BUDGET else LOW_DEPTH):
             self.open.append(pre)
+            self.path += (pre,)
             self.child.append(-1)
             self.counts.append({})
 
     def pop(self) -> None:
         self.last[self.open.pop()] = len(self.pre) - 1
+        self.path = self.path[:-1]
         self.child.pop()
         self.counts.pop()
 
@@ -249,7 +261,7 @@ def parse_page(html: str) -> _PageTree:
 _ARROW_MAP = pa.map_(pa.string(), pa.string())
 _ARROW_INTS = pa.list_(pa.int32())
 _ROWS_PER_BATCH = 64       # pages per Arrow batch handed back,
-_CHARS_PER_BATCH = 1 << 23  # or fewer when the pages are long
+_CHARS_PER_BATCH = 1 << 23  # or fewer when the pages are long or deep
 
 
 def _node_arrays(trees: list[_PageTree]) -> pa.ListArray:
@@ -274,7 +286,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for i in range(batch.num_rows):
             source = html[i].as_py() or ""
             trees.append(parse_page(source))
-            chars += len(source)
+            chars += len(source) + trees[-1].entries
             if len(trees) == _ROWS_PER_BATCH or chars > _CHARS_PER_BATCH or i + 1 == batch.num_rows:
                 passed = [batch.column(n).slice(start, len(trees)) for n in rest]
                 yield pa.RecordBatch.from_arrays(passed + [_node_arrays(trees)], rest + ["nodes"])
@@ -310,5 +322,22 @@ def node_table(pages: DataFrame) -> DataFrame:
     return parsed.select(*keep, F.inline("nodes"))
 
 
+class _PageNodes:
+    """Row source for SQL: one page's nodes."""
+
+    def eval(self, html: str):
+        t = parse_page(html or "")
+        columns = [t.pre, t.last, t.parent, t.prev, t.depth, t.nth, t.tag, t.text, map(dict, t.attrs), map(list, t.anc)]
+        yield from zip(*columns)
+
+
+def register_sql(spark: SparkSession, name: str = "page_nodes") -> None:
+    """Table function for SQL: ``SELECT ... FROM pages, LATERAL page_nodes(html)`` (M6u).
+
+    Rows cross to the JVM one by one; jobs over whole corpora use ``parse_nodes``.
+    """
+    spark.udtf.register(name, F.udtf(_PageNodes, returnType=NODE_TYPE))
+
+
 def is_element(node: Column) -> Column:
     return ~node["tag"].isin(TEXT, COMMENT)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.functions.common import broadcast_if_small
 from pagemill.functions.urls import dated_url, url_host
 from pagemill.operators.fields import Field
 
@@ -20,8 +21,6 @@ RULE_TYPE = T.StructType([
     T.StructField("subcategory", T.StringType()),
     T.StructField("url", T.StringType()),
 ])
-# A Python-side registry beyond this is joined without a broadcast hint.
-MAX_BROADCAST_RULES = 10_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +46,7 @@ def rule_table(spark: SparkSession, rules: Iterable[Rule], run_date: dt.date | N
     table = spark.createDataFrame(rows, RULE_TYPE)
     if run_date is not None:
         table = table.withColumn("url", dated_url(F.col("url"), run_date))
-    return F.broadcast(table) if len(rows) <= MAX_BROADCAST_RULES else table
+    return table
 
 
 def host_rules(pages: DataFrame) -> DataFrame:
@@ -74,9 +73,13 @@ def seed_frontier(rules: DataFrame, default_url: str) -> DataFrame:
 
 
 def rule_page_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages with the rule of their host; rules without a page and pages without a rule drop out."""
+    """Pages with the rule of their host; rules without a page and pages without a rule drop out.
+
+    Measured rules are sent to the pages, so page texts stay where they are;
+    only a registry too large for that makes both sides shuffle.
+    """
     keyed = pages.withColumn("_host", url_host(F.col("url")))
-    of_rule = rules.withColumnRenamed("url", "rule_url")
+    of_rule = broadcast_if_small(rules.withColumnRenamed("url", "rule_url"))
     return keyed.join(of_rule, F.col("_host") == F.col("site")).drop("_host")
 
 

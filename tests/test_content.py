@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 import re
-from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,51 +71,59 @@ def hidden(el):
     return (el.tag in ["#comment", "a", "textarea", *c.NON_CONTENT_TAGS]) or ("display" in look and "none" in look)
 
 
+def breadth_first(body):
+    level = list(body.kids)
+    while level:
+        yield from level
+        level = [k for el in level for k in el.kids if not hidden(k)]
+
+
+def own_score(el):
+    """Length of the texts counted for an element, and its score; None when there is too little."""
+    chars = sum((3 if k.tag == "p" else 1) * (len(k.text.strip()) + len(k.tail.strip()))
+                for k in el.kids if not hidden(k))
+    return chars * weight(el) if chars >= c.MIN_TEXT else None
+
+
+def container(el):
+    line = [el]
+    while line[-1].up is not None:
+        line.append(line[-1].up)
+    if el.tag not in c.INNER_TAGS or len(line) == 1:
+        return el
+    above = line[1:6]
+    return next((e for e in above if e.tag == "div"), above[-1])
+
+
+def unwanted(el):
+    def size(e):
+        return len("".join(e.all_text().split()))
+
+    links = [size(e) for e in el.walk() if e.tag == "a"]
+    return (el.tag in ["#comment", *c.NON_CONTENT_TAGS] or bool(re.search(c.DROPPED_PARTS, joined(el, "class", "id")))
+            or (bool(links) and sum(n for n in links if n > c.MIN_LINK_TEXT) > c.LINK_SHARE * size(el)))
+
+
 def naive(html):
+    """(pre of the block, its text), by taking the tree apart."""
     root = tree(html)
-    body = next((e for e in [root, *root.walk()] if e.tag == "body"), None) if root else None
-    if body is None:
+    bodies = [e for e in [root, *root.walk()] if e.tag == "body"] if root else []
+    scored = [(own_score(el), el) for el in (breadth_first(bodies[0]) if bodies else [])]
+    scored = [(score, -i, el) for i, (score, el) in enumerate(scored) if score is not None]
+    if not scored:
         return None, ""
-    best, queue = None, deque(body.kids)
-    while queue:
-        el = queue.popleft()
-        shown = [k for k in el.kids if not hidden(k)]
-        queue.extend(shown)
-        chars = sum((len(k.text.strip()) + len(k.tail.strip())) * (3 if k.tag == "p" else 1) for k in shown)
-        if chars >= 10 and (best is None or chars * weight(el) > best[0]):
-            best = (chars * weight(el), el)
-    if best is None:
-        return None, ""
-    block = best[1]
-    if block.tag in c.INNER_TAGS:
-        for _ in range(5):
-            if block.up is None:
-                break
-            block = block.up
-            if block.tag == "div":
-                break
-    doomed, ended = [], False
-    for el in list(block.walk()):
-        if ended:
-            doomed.append(el)
-        elif el.tag == "#comment":
-            doomed.append(el)
-            ended = re.search(c.STOP_COMMENT, el.text) is not None
-        elif el.tag in c.NON_CONTENT_TAGS or re.search(c.DROPPED_PARTS, joined(el, "class", "id")):
-            doomed.append(el)
-        else:
-            sizes = [len(re.sub(r"\s", "", a.all_text())) for a in el.walk() if a.tag == "a"]
-            if sizes and sum(n for n in sizes if n > 5) > len(re.sub(r"\s", "", el.all_text())) * 0.4:
-                doomed.append(el)
+    block = container(max(scored, key=lambda s: s[:2])[2])
+    order = list(block.walk())
+    ends = [i for i, el in enumerate(order) if el.tag == "#comment" and re.search(c.STOP_COMMENT, el.text)]
+    doomed = [el for i, el in enumerate(order) if (ends and i > ends[0]) or unwanted(el)]
     for el in doomed:
         el.remove()
     for el in block.walk():
         if el.tag in c.LINE_TAGS:
-            el.tail = "\n" + el.tail.strip() + "\n" if el.tail else "\n"
-        if el.tag in c.CELL_TAGS:
+            el.tail = f"\n{el.tail.strip()}\n"
+        elif el.tag in c.CELL_TAGS:
             el.text += "  "
-    lines = [line.strip() for line in block.all_text().split("\n")]
-    return block.pre, "\n".join(line for line in lines if line)
+    return block.pre, "\n".join(filter(None, (line.strip() for line in block.all_text().split("\n"))))
 
 
 def run(spark, htmls):

@@ -7,10 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import (char_counts, clean_title, date_text, date_value, is_headline, regex_many,
+from pagemill.functions.common import let
+from pagemill.functions.text import (char_counts, clean_title, date_text, date_value, is_headline, regex_error, regex_many,
                                      regex_single)
 from pagemill.operators import json_items
-from pagemill.operators.fields import (Field, attr_field, attr_text_field, html_field, text_field)
+from pagemill.operators.fields import (Field, attr_field, attr_text_field, html_field, pretty_markup, text_field)
 from pagemill.operators.items import ItemSpec, page_items, scope_errors, scope_items
 from pagemill.operators.select import Selector, Step, descend, find_all, select
 from pagemill.sources.nodes import parse_nodes
@@ -81,6 +82,21 @@ def test_child_axis_of_a_scope(spark):
     assert pages(spark, html).select(found.alias("n")).first().n == [2, 2]
 
 
+DEEP = "<div class=x><p id=1><i></i></p><div class=y><div class=x><div class=y><p id=2></p><ul><li id=3><p id=4></p></li></ul></div></div></div></div>"
+
+
+@pytest.mark.parametrize("steps,want", [
+    (("x", "y", "p"), ["2", "4"]), (("x", ">y", "p"), ["2", "4"]), (("x", ">y", ">p"), ["2"]), (("y", "y", "p"), ["2", "4"]),
+    (("x", ">y", "y", ">p"), ["2"]), (("y", ">x", ">y", "li", ">p"), ["4"]), (("x", "x", "x", "p"), []),
+    (("x", ">y", ">x", ">y", ">ul", "p"), ["4"]), (("x", ">x", "p"), []), (("y", ">y", "p"), []), (("x", ">p"), ["1"]),
+])
+def test_chains(spark, steps, want):
+    """x and y are classes, > is the child axis."""
+    made = [Step(**({"classes": (n,)} if n in "xy" else {"tag": n}), child=s.startswith(">"))
+            for s in steps for n in [s.lstrip(">")]]
+    assert hits(spark, DEEP, descend(*made)) == want
+
+
 def test_scope_reach(spark):
     html = "<div><ul><li id=o><ul><li id=i><a id=x></a></li></ul></li></ul></div>"
     nodes = F.col("nodes")
@@ -135,6 +151,14 @@ def test_markup_escapes(spark):
     assert got.value == '<p class="a&quot;b">1 &lt; 2<br/><!-- c --><i/>x</p>'
 
 
+def test_pretty_markup(spark):
+    html = "<p class=x>a &amp; b<b>c</b><br> <i></i><!-- n --></p>"
+    p = F.get(select(F.col("nodes"), descend(Step("p"))), F.lit(0))
+    got = pages(spark, html).select(let(p, lambda n: pretty_markup(F.col("nodes"), n)).alias("m")).first().m
+    assert got.splitlines() == ['<p class="x">', " a &amp; b", " <b>", "  c", " </b>", " <br/>", " <i>", " </i>",
+                                " <!-- n -->", "</p>"]
+
+
 def words_spec(**more):
     def span(part):
         return attr_field("title", descend(Step("div", classes=(part,)), Step("span")), many=False)
@@ -214,6 +238,8 @@ def test_regex_forms(spark):
     assert texts(spark, text, lambda c: regex_single(c, r"[a-z]=(\d+)", default="d")) == ["1", "d", "d"]
     assert texts(spark, text, lambda c: regex_single(c, r"([a-z])=(\d+)?")) == [["k", "1"], None, ["k", None]]
     assert texts(spark, text, lambda c: regex_single(c, r"([a-z])=(\d*)")) == [["k", "1"], None, ["k", ""]]
+    assert texts(spark, text, lambda c: regex_error(c, r"\d")) == [None] + ["nothing matched for regex"] * 2
+    assert texts(spark, text, lambda c: regex_error(c, r"\d", default="d")) == [None] * 3
     named = texts(spark, text, lambda c: regex_single(c, r"(?P<name>[a-z])=(?P<value>\d+)"))
     assert [n and n.asDict() for n in named] == [{"name": "k", "value": "1"}, None, None]
     assert texts(spark, text, lambda c: regex_many(c, r"[a-z]=")) == [["k=", "q="], [], ["k="]]

@@ -60,7 +60,7 @@ def test_positions():
     assert [t.nth[i] for i in children if t.tag[i] == "p"] == [1, 2]
     assert t.last[div] == len(t.pre) - 1
     for i in range(1, len(t.pre)):
-        assert t.anc[i] == t.anc[t.parent[i]] + [t.parent[i]] and t.depth[i] == len(t.anc[i])
+        assert t.anc[i] == t.anc[t.parent[i]] + (t.parent[i],) and t.depth[i] == len(t.anc[i])
 
 
 def test_deep_nesting_keeps_all_text():
@@ -69,6 +69,14 @@ def test_deep_nesting_keeps_all_text():
     assert [x for x in t.text if x] == [str(n) for n in range(50)]
 
 
+def test_unclosed_tags_stay_within_the_budget(monkeypatch):
+    monkeypatch.setattr("pagemill.sources.nodes.ANCESTOR_BUDGET", 10_000)
+    t = parse_page("".join(f"<div>{n}" for n in range(2000)))
+    assert sum(len(a) for a in t.anc) < 10_000 + 255 + 33 * 4000
+    assert [x for x in t.text if x] == [str(n) for n in range(2000)]
+    assert all(t.anc[i] == t.anc[t.parent[i]] + (t.parent[i],) for i in range(1, len(t.pre)))
+
+
 def test_odd_input_terminates():
     for html in ("<", "<<<a", "<a href='", "<!--", "<script>", "</", "<a b=\"c>d", "<?x", "\x00<p>\x01z"):
         parse_page(html)
