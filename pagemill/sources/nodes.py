@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from html import unescape
+from html.entities import name2codepoint
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -89,6 +89,23 @@ def _closed_by(open_tag: str, new_tag: str) -> bool:
     return open_tag == new_tag and open_tag in ("li", "option")
 
 
+# Named references need their semicolon ("?a=1&copy=2" is no copyright sign), numeric ones do not.
+_REFERENCE = re.compile(r"&(?:#[xX](?P<hex>[0-9a-fA-F]+);?|#(?P<dec>[0-9]+);?|(?P<name>[a-zA-Z][a-zA-Z0-9]*);)")
+_NAMED = {**name2codepoint, "apos": 39}
+
+
+def _character(reference: re.Match) -> str:
+    if name := reference["name"]:
+        return chr(_NAMED[name]) if name in _NAMED else reference[0]
+    code = int(reference["hex"], 16) if reference["hex"] else int(reference["dec"])
+    text = code in (9, 10, 13) or 32 <= code < 0xD800 or 0xE000 <= code < 0xFFFE or 0x10000 <= code < 0x110000
+    return chr(code) if text else ""
+
+
+def unescape(text: str) -> str:
+    return _REFERENCE.sub(_character, text) if "&" in text else text
+
+
 class _PageTree:
     """Nodes of one page in columns, built left to right with a stack."""
 

@@ -35,6 +35,7 @@ def outline(html: str) -> str:
     ("<script>if (a<b) '</p>'</script>x", "html(head(script(\"if (a<b) '</p>'\")) body(p('x')))"),
     ("plain & text", "html(body(p('plain & text')))"),
     ("a &lt; &copy; &nbsp;b", "html(body(p('a < © \\xa0b')))"),
+    ("&amp &copy=1 &#65 &#x42;&#1;&#150;&nope; &apos;&hellip;", "html(body(p(\"&amp &copy=1 A B\\x96&nope; '…\")))"),
     ("<body><!-- c --><p>1<!--x-->2</p>", "html(body(! c  p('1' !x '2')))"),
     ("<div/>t<img src=x>u", "html(body(div 't' img 'u'))"),
     ("<!DOCTYPE html>\n<html>\n<body>x</body></html>\n", "html(body('x\\n'))"),
@@ -48,8 +49,8 @@ def test_tree(html, want):
 
 
 def test_attributes():
-    t = parse_page("<a HREF='x&amp;y' class=\"a > b\" disabled id=q data-x = '1' href=second>t</a>")
-    assert dict(t.attrs[t.tag.index("a")]) == {"href": "x&y", "class": "a > b", "disabled": "", "id": "q", "data-x": "1"}
+    t = parse_page("<a HREF='x&amp;y&sect=1' class=\"a > b\" disabled id=q data-x = '1' href=second>t</a>")
+    assert dict(t.attrs[t.tag.index("a")]) == {"href": "x&y&sect=1", "class": "a > b", "disabled": "", "id": "q", "data-x": "1"}
 
 
 def test_positions():
