@@ -18,9 +18,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+# The characters that count as whitespace.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+              "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column) -> Column:
-    """Unicode-aware trim of both ends (``trim`` removes spaces only)."""
-    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Unicode-aware trim of both ends (``trim`` removes spaces only); looks at the ends, not the whole text."""
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def squeeze_ws(col: Column) -> Column:
@@ -28,6 +33,11 @@ def squeeze_ws(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)[\s\x1c-\x1f]+", "")
 
 
+def not_empty(col: Column) -> Column:
+    """NULL for the empty string; the argument is evaluated once, also inside lambdas."""
+    return let(col, lambda t: F.when(t != "", t))
+
+
 def java_pattern(pattern: str | re.Pattern) -> str:
     """A Python pattern with its flags, in the JVM's notation."""
     if isinstance(pattern, str):

@@ -8,7 +8,7 @@ from re import _constants, _parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import java_pattern
+from pagemill.functions.common import java_pattern, not_empty
 
 # Headline markers, title separators (tried in this order), character classes.
 HEADLINE_MARKERS = ["【详情】", "【详细】", "更多"]
@@ -29,7 +29,7 @@ def is_headline(col: Column) -> Column:
 
 def date_text(col: Column) -> Column:
     """First date written in the text, NULL when there is none (C4)."""
-    return F.nullif(F.regexp_extract(col, DATE_PATTERN, 0), F.lit(""))
+    return not_empty(F.regexp_extract(col, DATE_PATTERN, 0))
 
 
 def date_value(col: Column) -> Column:
@@ -58,7 +58,7 @@ def _group(compiled: re.Pattern, i: int, value: Column) -> Column:
     Spark reports such a group as ''.  Where the group cannot match the empty
     string the two are told apart by the pattern itself.
     """
-    return F.nullif(value, F.lit("")) if i and _least_length(_parser.parse(compiled.pattern, compiled.flags), i) else value
+    return not_empty(value) if i and _least_length(_parser.parse(compiled.pattern, compiled.flags), i) else value
 
 
 def _least_length(tree, i: int) -> int:

@@ -33,15 +33,13 @@ _LAST_SEGMENT = r"^((?:.*/)?[^/;]*)(?:;([^/]*))?$"
 
 def _parts(url: Column) -> Column:
     """scheme, host, path, params, query, fragment; a missing part is ''."""
-    part = [F.regexp_extract(url, _URL, i) for i in range(1, 6)]
-    return F.struct(
-        F.lower(part[0]).alias("scheme"),
-        part[1].alias("host"),
-        F.regexp_extract(part[2], _LAST_SEGMENT, 1).alias("path"),
-        F.regexp_extract(part[2], _LAST_SEGMENT, 2).alias("params"),
-        part[3].alias("query"),
-        part[4].alias("fragment"),
-    )
+    names = ("scheme", "host", "path", "query", "fragment")
+    cut = F.struct(*(F.regexp_extract(url, _URL, i).alias(n) for i, n in enumerate(names, 1)))
+    return let(cut, lambda u: F.struct(
+        F.lower(u["scheme"]).alias("scheme"), u["host"],
+        F.regexp_extract(u["path"], _LAST_SEGMENT, 1).alias("path"),
+        F.regexp_extract(u["path"], _LAST_SEGMENT, 2).alias("params"),
+        u["query"], u["fragment"]))
 
 
 def _assemble(scheme: Column, host: Column, path: Column, params: Column, query: Column, fragment: Column) -> Column:

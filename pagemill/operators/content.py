@@ -105,8 +105,8 @@ def node_weight(x: Column) -> Column:
 def is_blocked(x: Column) -> Column:
     """Children that are not visited, with all below them and the text after them."""
     look = F.concat(_attr(x, "class"), _attr(x, "id"), _attr(x, "style"))
-    return (x["tag"].isin(COMMENT, "a", "textarea", *NON_CONTENT_TAGS)
-            | (look.contains("display") & look.contains("none")))
+    return (x["tag"] != TEXT) & (x["tag"].isin(COMMENT, "a", "textarea", *NON_CONTENT_TAGS)
+                                 | ((F.size(x["attrs"]) > 0) & look.contains("display") & look.contains("none")))
 
 
 def block_scores(nodes: Column, whole: Column) -> Column:
@@ -171,32 +171,42 @@ def climb(nodes: Column, pre: Column) -> Column:
 def link_shares(nodes: Column, inside: Column) -> Column:
     """Per node of a subtree, aligned with ``nodes``: text and link text without whitespace.
 
-    struct(text, links); ``links`` is NULL where the node has no link below it.
-    Every link longer than the minimum counts, nested ones again.
+    struct(text, links), NULL where the node has no link below it; no array at
+    all when the subtree has no link.  Every link longer than the minimum
+    counts, nested ones again.
     """
-    lengths = F.transform(nodes, lambda x: F.when(
-        (x["tag"] == TEXT) & (x["pre"] > inside["pre"]) & (x["pre"] <= inside["last"]),
-        F.length(squeeze_ws(x["text"]))).otherwise(0))
+    def within(x: Column) -> Column:
+        return (x["pre"] > inside["pre"]) & (x["pre"] <= inside["last"])
 
     def total(of: Column, x: Column) -> Column:
         return F.aggregate(F.slice(of, x["pre"] + 1, x["last"] - x["pre"] + 1), F.lit(0), lambda n, v: n + v)
 
+    def holders() -> Column:
+        """Elements with a link below them."""
+        return F.transform(nodes, lambda x: is_element(x) & (within(x) | (x["pre"] == inside["pre"])) & F.exists(
+            F.slice(nodes, x["pre"] + 2, x["last"] - x["pre"]), lambda y: y["tag"] == "a"))
+
+    def lengths(holder: Column) -> Column:
+        """Lengths of the texts that matter: in links or in parts that hold links."""
+        return F.transform(nodes, lambda x: F.when(
+            (x["tag"] == TEXT) & within(x) & F.exists(x["anc"], lambda a: (a >= inside["pre"]) & (
+                F.get(holder, a) | (F.get(nodes, a)["tag"] == "a"))),
+            F.length(squeeze_ws(x["text"]))).otherwise(0))
+
     def links(length: Column) -> Column:
-        def link(x: Column) -> Column:
-            return F.when((x["tag"] == "a") & (x["pre"] > inside["pre"]) & (x["pre"] <= inside["last"]),
-                          let(total(length, x), lambda n: F.when(n > MIN_LINK_TEXT, n).otherwise(0)))
-        return F.transform(nodes, link)
+        return F.transform(nodes, lambda x: F.when((x["tag"] == "a") & within(x), let(
+            total(length, x), lambda n: F.when(n > MIN_LINK_TEXT, n).otherwise(0))).otherwise(0))
 
-    def shares(length: Column, link: Column) -> Column:
+    def shares(holder: Column, length: Column, link: Column) -> Column:
         def share(x: Column) -> Column:
-            under = F.slice(link, x["pre"] + 2, x["last"] - x["pre"])
-            some = F.exists(under, lambda n: n.isNotNull())
-            return F.when(is_element(x) & (x["pre"] >= inside["pre"]) & (x["pre"] <= inside["last"]), F.struct(
-                F.when(some, total(length, x)).alias("text"),
-                F.when(some, F.aggregate(under, F.lit(0), lambda n, v: n + F.coalesce(v, F.lit(0)))).alias("links")))
+            below = F.aggregate(F.slice(link, x["pre"] + 2, x["last"] - x["pre"]), F.lit(0), lambda n, v: n + v)
+            return F.when(F.get(holder, x["pre"]), F.struct(total(length, x).alias("text"), below.alias("links")))
         return F.transform(nodes, share)
 
-    return let(lengths, lambda n: let(links(n), lambda k: shares(n, k)))
+    some = F.exists(subtree(nodes, inside), lambda x: x["tag"] == "a")
+    none = F.lit(None).cast("array<struct<text:int,links:int>>")
+    return F.when(some, let(holders(), lambda h: let(lengths(h), lambda n: let(
+        links(n), lambda k: shares(h, n, k))))).otherwise(none)
 
 
 def pruned(nodes: Column, block: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import let, squeeze_ws, strip
+from pagemill.functions.common import let, not_empty, squeeze_ws, strip
 from pagemill.operators.select import Selector, select
 from pagemill.sources.nodes import COMMENT, TEXT, VOID, is_element
 
@@ -38,12 +38,12 @@ def _stripped(nodes: Column, node: Column) -> Column:
 
 def text_compact(nodes: Column, node: Column, separator: str | None = None) -> Column:
     """Stripped pieces joined, then all whitespace removed; NULL when empty."""
-    return F.nullif(squeeze_ws(F.array_join(_stripped(nodes, node), separator or "")), F.lit(""))
+    return not_empty(squeeze_ws(F.array_join(_stripped(nodes, node), separator or "")))
 
 
 def text_strip(nodes: Column, node: Column) -> Column:
     """Stripped pieces joined, inner whitespace kept; NULL when empty."""
-    return F.nullif(F.array_join(_stripped(nodes, node), ""), F.lit(""))
+    return not_empty(F.array_join(_stripped(nodes, node), ""))
 
 
 def _escape(col: Column, quote: bool = False) -> Column:

@@ -391,7 +391,7 @@ def block_climb(spark, sf_dir):
 def link_density(spark, sf_dir):
     nav = F.get(select(nodes(), descend(Step("nav"))), F.lit(0))
     share = let(nav, lambda n: F.get(c.link_shares(nodes(), n), n["pre"]))
-    rows = parsed(spark, sf_dir).select("page_id", share.alias("s")).where(F.col("s.links").isNotNull())
+    rows = parsed(spark, sf_dir).select("page_id", share.alias("s")).where(F.col("s").isNotNull())
     return rows.select("page_id", F.col("s.text").cast("bigint").alias("text_len"),
                        F.col("s.links").cast("bigint").alias("link_len"))
 
