@@ -20,6 +20,7 @@ from pagemill.plans.scans import SQL_RULES
 from pagemill.sources.nodes import is_element, node_table, parse_nodes, register_sql
 from pagemill.sources.pages import table
 from pagemill.sources.rules import Rule, extract_by_rule, host_rules, rule_page_join
+from pagemill.streaming import ingest
 
 
 def nodes():
@@ -330,15 +331,18 @@ def _long_sum(lens):
     return f"coalesce(list_sum(list_filter({lens}, lambda n: n > 5)), 0)"
 
 
-SQL_MAIN = f"""
-  with parts as ({SQL_PARTS}), best as ({SQL_BEST}),
+# what pruning looks at: links, texts and whether the body or the list is mostly links
+SQL_FACTS = f"""
   nav as (select page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as links,
        {sql_strip(sql_decode("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} as full_title,
        regexp_extract(html, '(?s)<div class=.ad.>([^<]*)</div>', 1) as ad,
        regexp_extract(html, '(?s)<footer>([^<]*)', 1) as foot,
        length({sql_squeeze(sql_decode("regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '<[^>]*>', '', 'g')"))}) as body_len from pages),
   lens as (select *, {_link_len('links')} as ls from nav),
-  facts as (select *, {_long_sum('ls')} as long_links, coalesce(list_sum(ls), 0) as all_links from lens),
+  facts as (select *, {_long_sum('ls')} as long_links, coalesce(list_sum(ls), 0) as all_links from lens)"""
+
+SQL_MAIN = f"""
+  with parts as ({SQL_PARTS}), best as ({SQL_BEST}), {SQL_FACTS},
   txt as (select p.page_id, full_title,
        case when best.tag is null or (best.tag = 'p' and long_links > body_len * 0.4) then ''
          else case when best.tag = 'p' then
@@ -369,19 +373,18 @@ def block_scores(spark, sf_dir):
 @query("best_block", SQL_BEST)
 def best_block(spark, sf_dir):
     def best(scores):
-        return let(c.best_block(scores), lambda pre: F.filter(scores, lambda s: s["pre"] == pre))
+        chosen = let(c.best_block(scores), lambda pre: F.filter(scores, lambda s: s["pre"] == pre))
+        return F.transform(chosen, lambda s: F.struct(
+            F.get(nodes(), s["pre"])["tag"].alias("tag"), s["text_len"].cast("bigint").alias("text_len"),
+            s["score"].cast("bigint").alias("score")))
 
-    rows = whole(spark, sf_dir).select("page_id", "nodes", F.explode(
-        let(c.block_scores(nodes(), F.col("whole")), best)).alias("b"))
-    return rows.select("page_id", F.get(nodes(), F.col("b.pre"))["tag"].alias("tag"),
-                       F.col("b.text_len").cast("bigint").alias("text_len"), F.col("b.score").cast("bigint").alias("score"))
+    return whole(spark, sf_dir).select("page_id", F.inline(let(c.block_scores(nodes(), F.col("whole")), best)))
 
 
 @query("block_climb", f"select page_id, case tag when 'p' then 'html' else tag end as tag from ({SQL_BEST})")
 def block_climb(spark, sf_dir):
-    pre = c.block_of(nodes(), F.col("whole"))
-    return whole(spark, sf_dir).select("page_id", let(pre, lambda p: F.get(nodes(), p)["tag"]).alias("tag")).where(
-        F.col("tag").isNotNull())
+    tag = let(c.block_of(nodes(), F.col("whole")), lambda pre: F.get(nodes(), pre)["tag"])
+    return whole(spark, sf_dir).select("page_id", F.explode(F.array_compact(F.array(tag))).alias("tag"))
 
 
 @query("link_density", f"""
@@ -391,12 +394,26 @@ def block_climb(spark, sf_dir):
 def link_density(spark, sf_dir):
     nav = F.get(select(nodes(), descend(Step("nav"))), F.lit(0))
     share = let(nav, lambda n: F.get(c.link_shares(nodes(), n), n["pre"]))
-    rows = parsed(spark, sf_dir).select("page_id", share.alias("s")).where(F.col("s").isNotNull())
+    rows = parsed(spark, sf_dir).select("page_id", F.explode(F.array_compact(F.array(share))).alias("s"))
     return rows.select("page_id", F.col("s.text").cast("bigint").alias("text_len"),
                        F.col("s.links").cast("bigint").alias("link_len"))
 
 
-@query("pruned_nodes")
+# only blocks that climbed to the root have parts to drop
+SQL_PRUNED = f"""
+  with best as ({SQL_BEST}), {SQL_FACTS},
+  page as (select page_id, len(links) as k, len(list_filter(ls, lambda n: n > 5)) as long_k, long_links > body_len * 0.4 as no_body,
+                  long_links > body_len * 0.4 or long_links > all_links * 0.4 as no_nav
+           from facts join best using (page_id) where tag = 'p'),
+  counts as (select page_id, unnest(regexp_extract_all(html, '<(body|div|article|h1|p|b|br|footer)[ >]', 1)) as tag
+             from pages where page_id in (select page_id from page where no_body))
+  select page_id, unnest(['head', 'meta', 'title', 'style', 'script', '#comment']) as tag, 1 as n from page
+  union all select page_id, unnest(['nav', 'ul']), 1 from page where no_nav
+  union all select page_id, unnest(['li', 'a']), case when no_nav then k else long_k end from page where no_nav or long_k > 0
+  union all select page_id, tag, count(*) from counts group by page_id, tag"""
+
+
+@query("pruned_nodes", SQL_PRUNED)
 def pruned_nodes(spark, sf_dir):
     def dropped(pre):
         return let(c.pruned(nodes(), F.get(nodes(), pre)), lambda d: F.filter(
@@ -455,3 +472,12 @@ def rule_extract(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     ruled = rule_page_join(pages, host_rules(pages).select("site", "category", "url"))
     return extract_by_rule(parse_nodes(ruled.select("page_id", "category", "html")), "category", rules, stage=0)
+
+
+@query("stream_main_content", SQL_MAIN)
+def stream_main_content(spark, sf_dir):
+    """The same extraction over files that no run has taken yet."""
+    base = ingest.shared_dir(spark, "content")
+    stream = c.main_content(ingest.read_new(spark, f"{sf_dir}/pages.parquet", ingest.PAGE_TYPE))
+    ingest.run_once(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")

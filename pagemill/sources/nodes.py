@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.entities import name2codepoint
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -275,24 +277,29 @@ def parse_page(html: str) -> _PageTree:
     return tree
 
 
-_ARROW_MAP = pa.map_(pa.string(), pa.string())
-_ARROW_INTS = pa.list_(pa.int32())
 _ROWS_PER_BATCH = 64       # pages per Arrow batch handed back,
 _CHARS_PER_BATCH = 1 << 23  # or fewer when the pages are long or deep
 
 
+def _offsets(lengths: Iterable[int]) -> pa.Array:
+    return pa.array(np.cumsum([0, *lengths], dtype=np.int64).astype(np.int32))
+
+
 def _node_arrays(trees: list[_PageTree]) -> pa.ListArray:
-    def column(name: str, kind: pa.DataType) -> pa.Array:
-        return pa.array([v for t in trees for v in getattr(t, name)], kind)
-
-    kinds = {"pre": pa.int32(), "last": pa.int32(), "parent": pa.int32(), "prev": pa.int32(),
-             "depth": pa.int32(), "nth": pa.int32(), "tag": pa.string(), "text": pa.string(),
-             "attrs": _ARROW_MAP, "anc": _ARROW_INTS}
-    nodes = pa.StructArray.from_arrays([column(n, k) for n, k in kinds.items()], list(kinds))
-    offsets = [0]
-    for t in trees:
-        offsets.append(offsets[-1] + len(t.pre))
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), nodes)
+    """The trees' columns as one Arrow list of structs, built flat."""
+    def flat(name: str) -> list:
+        return list(chain.from_iterable(getattr(t, name) for t in trees))
+
+    columns = {n: pa.array(np.array(flat(n), np.int32)) for n in ("pre", "last", "parent", "prev", "depth", "nth")}
+    columns |= {n: pa.array(flat(n), pa.string()) for n in ("tag", "text")}
+    attrs, paths = flat("attrs"), flat("anc")
+    pairs = list(chain.from_iterable(attrs))
+    columns["attrs"] = pa.MapArray.from_arrays(
+        _offsets(map(len, attrs)), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
+    columns["anc"] = pa.ListArray.from_arrays(
+        _offsets(map(len, paths)), pa.array(np.fromiter(chain.from_iterable(paths), np.int32)))
+    nodes = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(_offsets(len(t.pre) for t in trees), nodes)
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
