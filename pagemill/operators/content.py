@@ -209,29 +209,38 @@ def link_shares(nodes: Column, inside: Column) -> Column:
         links(n), lambda k: shares(h, n, k))))).otherwise(none)
 
 
+def _parents_inside(x: Column, block: Column) -> Column:
+    """Ancestors of a node that lie strictly inside the block, outermost first."""
+    return F.slice(x["anc"], block["depth"] + 2, F.greatest(x["depth"] - block["depth"] - 1, F.lit(0)))
+
+
 def pruned(nodes: Column, block: Column) -> Column:
-    """Boolean array aligned with ``nodes``: dropped from the block, itself or by an ancestor.
+    """Boolean array over the block's subtree, block first: dropped, itself or by an ancestor.
 
     Text behind a dropped node is a sibling, so it stays.
     """
 
-    def flags(stop: Column, share: Column) -> Column:
+    def at(flags: Column, pre: Column) -> Column:
+        return F.get(flags, pre - block["pre"])
+
+    def flagged(stop: Column, share: Column) -> Column:
         def flag(x: Column) -> Column:
             part = F.concat_ws(" ", _attr(x, "class"), _attr(x, "id"))
             density = F.get(share, x["pre"])
             linked = F.coalesce(density["links"] > density["text"] * F.lit(LINK_SHARE), F.lit(False))
-            return ((x["tag"] != TEXT) & (x["pre"] > block["pre"]) & (x["pre"] <= block["last"])
+            return ((x["tag"] != TEXT) & (x["pre"] > block["pre"])
                     & (x["tag"].isin(COMMENT, *NON_CONTENT_TAGS) | (x["pre"] > F.coalesce(stop, x["pre"]))
-                       | part.rlike(DROPPED_PARTS) | linked))
-        return F.transform(nodes, flag)
+                       | ((F.size(x["attrs"]) > 0) & part.rlike(DROPPED_PARTS)) | linked))
+        return F.transform(subtree(nodes, block), flag)
 
-    def spread(flagged: Column) -> Column:
-        return F.transform(nodes, lambda x: F.get(flagged, x["pre"]) | F.exists(
-            x["anc"], lambda a: F.get(flagged, a)))
+    def spread(flags: Column) -> Column:
+        return F.when(F.exists(flags, lambda f: f), F.transform(
+            subtree(nodes, block), lambda x: at(flags, x["pre"]) | F.exists(
+                _parents_inside(x, block), lambda a: at(flags, a)))).otherwise(flags)
 
     stop = _first(F.filter(subtree(nodes, block), lambda x: (x["tag"] == COMMENT)
                            & x["text"].rlike(f"(?d){STOP_COMMENT}")))["pre"]
-    return let(link_shares(nodes, block), lambda s: let(flags(stop, s), spread))
+    return let(link_shares(nodes, block), lambda s: let(let(stop, lambda p: flagged(p, s)), spread))
 
 
 def render(nodes: Column, block: Column, dropped: Column) -> Column:
@@ -242,7 +251,7 @@ def render(nodes: Column, block: Column, dropped: Column) -> Column:
     the marked runs get their line breaks or cell gap.
     """
     def kept(pre: Column) -> Column:
-        return ~F.get(dropped, pre)
+        return ~F.get(dropped, pre - block["pre"])
 
     def opening(x: Column) -> Column:
         return (F.when(~kept(x["pre"]), "")
@@ -255,8 +264,8 @@ def render(nodes: Column, block: Column, dropped: Column) -> Column:
 
     def endings(x: Column) -> Column:
         own = F.when(x["tag"] == TEXT, F.array().cast("array<int>")).otherwise(F.array(x["pre"]))
-        ended = F.filter(F.concat(own, F.reverse(x["anc"])), lambda a: (a > block["pre"]) & kept(a) & (
-            F.get(nodes, a)["last"] == x["pre"]))
+        ended = F.filter(F.concat(own, F.reverse(_parents_inside(x, block))),
+                         lambda a: (F.get(nodes, a)["last"] == x["pre"]) & kept(a))
         return F.array_join(F.transform(ended, ending), "")
 
     below = F.slice(nodes, block["pre"] + 2, block["last"] - block["pre"])

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pagemill.functions.common import let
 from pagemill.functions.text import regex_single
 from pagemill.operators import content as c
-from pagemill.operators.fields import (KINDS, Field, attr_field, attr_text_field, html_field, markup, text_content,
-                                       text_field)
+from pagemill.operators.fields import (KINDS, Field, attr_field, attr_text_field, html_field, markup, subtree,
+                                       text_content, text_field)
 from pagemill.operators.items import ItemSpec, page_items, scope_errors, scope_items
 from pagemill.operators.links import absolute_attrs
 from pagemill.operators.select import Step, descend, find_all, select
@@ -416,11 +416,14 @@ SQL_PRUNED = f"""
 @query("pruned_nodes", SQL_PRUNED)
 def pruned_nodes(spark, sf_dir):
     def dropped(pre):
-        return let(c.pruned(nodes(), F.get(nodes(), pre)), lambda d: F.filter(
-            nodes(), lambda x: F.get(d, x["pre"]) & (x["tag"] != "#text")))
-
-    rows = whole(spark, sf_dir).select("page_id", F.explode(F.transform(
-        let(c.block_of(nodes(), F.col("whole")), dropped), lambda x: x["tag"])).alias("tag"))
+        def tags(block):
+            below = let(c.pruned(nodes(), block), lambda d: F.filter(
+                subtree(nodes(), block), lambda x, i: F.get(d, i) & (x["tag"] != "#text")))
+            return F.transform(below, lambda x: x["tag"])
+        return let(F.get(nodes(), pre), tags)
+
+    rows = whole(spark, sf_dir).select("page_id", F.explode(
+        let(c.block_of(nodes(), F.col("whole")), dropped)).alias("tag"))
     return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
@@ -429,8 +432,8 @@ def pruned_nodes(spark, sf_dir):
       lambda l: {sql_strip('l')}), lambda l: l <> ''), chr(10)) as txt from ({SQL_PARTS})""")
 def render_text(spark, sf_dir):
     article = F.get(select(nodes(), descend(Step("article"))), F.lit(0))
-    nothing = F.transform(nodes(), lambda x: F.lit(False))
-    text = let(article, lambda a: let(nothing, lambda d: c.render(nodes(), a, d)))
+    text = let(article, lambda a: let(F.transform(subtree(nodes(), a), lambda x: F.lit(False)),
+                                      lambda nothing: c.render(nodes(), a, nothing)))
     return parsed(spark, sf_dir).select("page_id", text.alias("txt"))
 
 
