@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
-from urllib.parse import quote, urljoin
+import random
+from urllib.parse import quote, urljoin, urlparse
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions import urls
-from pagemill.operators.links import extract_links
+from pagemill.operators.links import extract_links, page_links
 
 BASES = ["http://h.com/a/b", "http://h.com", "https://u@h.com:80/a/b/?x=1#f", "http://h.com/a/;k", "http://h.com/a//b/c?q"]
 REFS = ["http://x/y", "//h/p", "/p", "?q", "#f", "", "../../c", "./c", "javascript:void(0)", "c/d", "..", ".", "/a/../b",
@@ -75,3 +76,56 @@ def test_links_of_raw_markup(spark):
     rows = spark.createDataFrame([("http://h/d/e", html)], "url string, html string")
     got = rows.select(extract_links(F.col("url"), F.col("html")).alias("l")).first().l
     assert got == ["http://h/x", "http://h/y", "http://h/in-comment", "http://h/open"]
+
+
+# -- random URLs against the standard library -----------------------------------------------------------
+
+def random_url(rng, absolute):
+    def word():
+        return rng.choice(["a", "b.html", "c.PDF", "x.tar.gz", "..", ".", "", "d;p=1", "é", "e f", "g%20h", "index.shtml", "7z", "v.7Z"])
+
+    path = "/".join(word() for _ in range(rng.randint(0, 4)))
+    query = "&".join(rng.choice(["k=1", "utm_source=x", "spm=a.b", "flag", "=v", "q=x.html?y", "spmx=1", "a=b=c", ""])
+                     for _ in range(rng.randint(0, 4)))
+    url = path + rng.choice(["", "?" + query]) + rng.choice(["", "", "#top", "#a?b"])
+    if absolute or rng.random() < 0.3:
+        return rng.choice(["http://h.com", "https://H.com:8", "http://u@h", "https://h.org"]) + rng.choice(["", "/"]) + url
+    return rng.choice(["", "/", "./", "../", "//x.y/", "ftp://f/", "data:", "HTTP://Up/"]) + url
+
+
+def cleaned(url):
+    """The rules for canonical URLs, on the standard library's parts."""
+    if not url.startswith("http"):
+        return None
+    if any(mark in url for mark in urls.STATIC_PAGE_QUERIES):
+        return url.partition("?")[0]
+    parts = urlparse(url)
+    path = parts.path or "/"
+    if path.rpartition(".")[2].lower() in urls.BINARY_SUFFIXES:
+        return None
+    kept = [q for q in parts.query.split("&") if "=" in q and not q.startswith(("spm", "utm_"))]
+    return parts._replace(path=path, query="&".join(kept), fragment="").geturl()
+
+
+def test_random_urls(spark):
+    rng = random.Random(11)
+    many = [random_url(rng, True) for _ in range(3000)] + [random_url(rng, False) for _ in range(1000)]
+    got = column(spark, many, urls.clean_url)
+    wrong = [(u, cleaned(u), g) for u, g in zip(many, got) if cleaned(u) != g]
+    assert not wrong, (len(wrong), wrong[:5])
+    for link in filter(None, got):
+        assert link.startswith("http") and "#" not in link
+
+
+def test_random_references(spark):
+    rng = random.Random(12)
+    cases = [(random_url(rng, True), random_url(rng, False)) for _ in range(3000)]
+    rows = spark.createDataFrame([(b, r, urljoin(b, r)) for b, r in cases], "b string, r string, want string")
+    got = rows.select("b", "r", "want", urls.url_resolve(F.col("b"), F.col("r")).alias("got"))
+    wrong = got.where("got is distinct from want").collect()
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_links_are_distinct_per_page(spark):
+    links = page_links(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    assert links.count() == links.distinct().count() > 0
