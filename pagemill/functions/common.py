@@ -43,7 +43,9 @@ def java_pattern(pattern: str | re.Pattern) -> str:
     if isinstance(pattern, str):
         pattern = re.compile(pattern)
     flags = "".join(f for f, bit in (("i", re.I), ("s", re.S), ("m", re.M), ("x", re.X)) if pattern.flags & bit)
-    body = pattern.pattern.replace("(?P<", "(?<")
+    body = re.sub(r"\(\?P<\w+>", "(", pattern.pattern)  # groups are read by number, JVM names are narrower
+    body = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"(?:\{pattern.groupindex[m[1]]})", body)
+    body = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", body)
     # d: only \n ends a line; U: \w, \s and \d are Unicode-aware
     return f"(?{flags}d{'' if pattern.flags & re.ASCII else 'U'}){body}"
 

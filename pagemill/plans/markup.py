@@ -482,5 +482,5 @@ def stream_main_content(spark, sf_dir):
     """The same extraction over files that no run has taken yet."""
     base = ingest.shared_dir(spark, "content")
     stream = c.main_content(ingest.read_new(spark, f"{sf_dir}/pages.parquet", ingest.PAGE_TYPE))
-    ingest.run_once(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    ingest.run(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

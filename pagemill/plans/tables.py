@@ -267,7 +267,7 @@ def drop_after_marker(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     base = ingest.shared_dir(spark, "links")
     stream = page_links(ingest.read_new(spark, f"{sf_dir}/pages.parquet", ingest.PAGE_TYPE))
-    ingest.run_once(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    ingest.run(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -288,5 +288,5 @@ def stream_dedupe(spark, sf_dir):
     base = ingest.shared_dir(spark, "users")
     path = f"{sf_dir}/events.parquet"
     stream = ingest.first_seen(ingest.read_new(spark, path, spark.read.parquet(path).schema).select("user_id"), "user_id")
-    ingest.run_once(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    ingest.run(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

@@ -346,6 +346,16 @@ def node_table(pages: DataFrame) -> DataFrame:
     return parsed.select(*keep, F.inline("nodes"))
 
 
+def contained(nodes: DataFrame, outer: DataFrame) -> DataFrame:
+    """Nodes with each node of ``outer`` (page_id, pre, ...) that encloses them (H5).
+
+    An equi-join on page and ancestor, for stored node tables; within one job
+    an expression over the page's own array needs no join.
+    """
+    keyed = outer.select("page_id", *(F.col(c).alias(f"outer_{c}") for c in outer.columns if c != "page_id"))
+    return nodes.withColumn("outer_pre", F.explode("anc")).join(keyed, ["page_id", "outer_pre"])
+
+
 class _PageNodes:
     """Row source for SQL: one page's nodes."""
 

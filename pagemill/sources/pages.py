@@ -21,7 +21,8 @@ def page_records(pages: DataFrame) -> DataFrame:
 
     return pages.select(
         "page_id", "url", column("method", "string", "GET"), column("encoding", "string", ""),
-        column("html", "string", ""), column("status", "int", -1), column("cookies", "map<string,string>", None),
+        column("html", "string", ""), column("status", "int", -1), column("metadata", "map<string,string>", None),
+        column("cookies", "map<string,string>", None),
         column("headers", "map<string,string>", None), column("history", "array<string>", None))
 
 

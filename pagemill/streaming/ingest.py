@@ -9,10 +9,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pagemill.operators.sinks import insert_if_absent
 
+# Fixed value: the usual interval between runs.
+RUN_EVERY = "720 minutes"
+
 PAGE_TYPE = T.StructType([
     T.StructField("page_id", T.LongType()),
     T.StructField("url", T.StringType()),
@@ -46,10 +49,14 @@ def _files(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def run_once(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Append what is new to a parquet table and stop; schedule it as often as needed (K1)."""
-    return (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+def _paced(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+
+
+def run(stream: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append what is new to a parquet table (K1): once, or again after each interval (see ``RUN_EVERY``)."""
+    return _paced(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+                  .outputMode("append"), every).start()
 
 
 def absent_writer(out: str, key: str, order: str, schema: T.StructType) -> Callable[[DataFrame, int], None]:
@@ -75,9 +82,10 @@ def stored_rows(spark: SparkSession, out: str, schema: T.StructType) -> DataFram
     return spark.read.schema(full).parquet(out)
 
 
-def insert_stream(stream: DataFrame, out: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    return (stream.writeStream.foreachBatch(absent_writer(out, key, order, stream.schema))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def insert_stream(stream: DataFrame, out: str, checkpoint: str, key: str, order: str,
+                  every: str | None = None) -> StreamingQuery:
+    return _paced(stream.writeStream.foreachBatch(absent_writer(out, key, order, stream.schema))
+                  .option("checkpointLocation", checkpoint), every).start()
 
 
 def first_seen(stream: DataFrame, key: str, time: str | None = None, horizon: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,16 @@ def test_ignored_records(spark):
     assert [(r.t, r.ignored) for r in kept] == [("no", True), ("YES", False)]
 
 
+def test_python_clean_hook(spark):
+    """A hook may be an Arrow function where no Column expression will do."""
+    @F.pandas_udf("string")
+    def backwards(v: pd.Series) -> pd.Series:
+        return v.str[::-1]
+
+    spec = ItemSpec(fields={"t": text_field(descend(Step("p")), many=False)}, clean={"t": backwards})
+    assert [r.t for r in page_items(pages(spark, "<p>abc</p>"), spec).collect()] == ["cba"]
+
+
 def test_first_scope_only(spark):
     rows = scope_items(pages(spark, WORDS), words_spec(first_scope_only=True)).collect()
     assert [r.english for r in rows] == ["apple"]
@@ -245,6 +256,8 @@ def test_regex_forms(spark):
     assert texts(spark, text, lambda c: regex_many(c, r"[a-z]=")) == [["k=", "q="], [], ["k="]]
     assert texts(spark, text, lambda c: regex_many(c, r"([a-z])=(\d+)?")) == [
         [["k", "1"], ["q", "22"]], [], [["k", None]]]
+    assert texts(spark, ["abab", "ab\n"], lambda c: regex_single(c, r"(?P<a_b>ab)(?P=a_b)\Z")["a_b"]) == ["ab", None]
+    assert texts(spark, ["Éa"], lambda c: regex_single(c, re.compile(r"\w+(?=A)", re.I))) == ["É"]
     many = texts(spark, text, lambda c: regex_many(c, re.compile(r"(?P<n>[A-Z])=(?P<v>\d+)", re.I)))
     assert [[m.asDict() for m in ms] for ms in many] == [[{"n": "k", "v": "1"}, {"n": "q", "v": "22"}], [], []]
 

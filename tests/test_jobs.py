@@ -18,7 +18,7 @@ from pagemill.operators.content import main_content
 from pagemill.operators.links import (absolute_attrs, follow_links, indexed_batch, page_links, request_batch, save_site,
                                       staged_crawl, with_canonical)
 from pagemill.plans import all_queries
-from pagemill.sources.nodes import node_table, parse_nodes
+from pagemill.sources.nodes import contained, node_table, parse_nodes
 from pagemill.sources.rules import host_rules, rule_page_join
 from pagemill.streaming import ingest
 
@@ -148,10 +148,11 @@ def test_absolute_attributes(spark):
 
 def test_containment_two_ways(spark):
     nodes = node_table(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html")).cache()
-    outer = nodes.where("tag in ('nav', 'article', 'li')").select("page_id", F.col("pre").alias("o"), F.col("last").alias("z"))
-    by_key = nodes.select("page_id", "pre", F.explode("anc").alias("o")).join(outer, ["page_id", "o"])
-    by_span = nodes.select("page_id", "pre").join(outer, "page_id").where("pre > o and pre <= z")
-    assert rows(by_key.select("page_id", "o", "pre")) == rows(by_span.select("page_id", "o", "pre"))
+    outer = nodes.where("tag in ('nav', 'article', 'li')").select("page_id", "pre", "last")
+    by_key = contained(nodes, outer).select("page_id", "outer_pre", "pre")
+    spans = outer.select("page_id", F.col("pre").alias("outer_pre"), F.col("last").alias("z"))
+    by_span = nodes.select("page_id", "pre").join(spans, "page_id").where("pre > outer_pre and pre <= z")
+    assert rows(by_key) == rows(by_span.select("page_id", "outer_pre", "pre"))
     nodes.unpersist()
 
 
@@ -203,13 +204,22 @@ def test_replayed_batch_changes_nothing(spark):
     assert rows(ingest.stored_rows(spark, out, SCHEMA)) == before == [("a", 1, 0), ("b", 2, 0), ("c", 3, 1)]
 
 
+def test_repeated_runs(spark):
+    base = ingest.shared_dir(spark, "paced")
+    write(spark, f"{base}/in", [("a", 1)])
+    query = ingest.run(ingest.read_new(spark, f"{base}/in", SCHEMA), f"{base}/out", f"{base}/check", every="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert rows(spark.read.parquet(f"{base}/out")) == [("a", 1)]
+
+
 def test_bounded_state(spark):
     schema = T.StructType([*SCHEMA.fields, T.StructField("t", T.TimestampType())])
     base = ingest.shared_dir(spark, "bounded")
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], SCHEMA).withColumn("t", F.timestamp_seconds(F.col("o")))
     df.coalesce(1).write.parquet(f"{base}/in")
     stream = ingest.first_seen(ingest.read_new(spark, f"{base}/in", schema), "k", "t", "1 hour")
-    ingest.run_once(stream, f"{base}/out", f"{base}/check").awaitTermination()
+    ingest.run(stream, f"{base}/out", f"{base}/check").awaitTermination()
     assert rows(spark.read.parquet(f"{base}/out").select("k")) == [("a",), ("b",)]
 
 
