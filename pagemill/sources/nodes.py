@@ -368,9 +368,9 @@ class _PageNodes:
 def register_sql(spark: SparkSession, name: str = "page_nodes") -> None:
     """Table function for SQL: ``SELECT ... FROM pages, LATERAL page_nodes(html)`` (M6u).
 
-    Rows cross to the JVM one by one; jobs over whole corpora use ``parse_nodes``.
+    Jobs over whole corpora use ``parse_nodes``, which hands over whole columns.
     """
-    spark.udtf.register(name, F.udtf(_PageNodes, returnType=NODE_TYPE))
+    spark.udtf.register(name, F.udtf(_PageNodes, returnType=NODE_TYPE, useArrow=True))
 
 
 def is_element(node: Column) -> Column:

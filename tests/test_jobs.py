@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions import urls
-from pagemill.functions.common import squeeze_ws
+from pagemill.functions.common import broadcast_if_small, squeeze_ws
 from pagemill.operators import attempts, sinks
 from pagemill.operators.content import main_content
 from pagemill.operators.links import (absolute_attrs, follow_links, indexed_batch, page_links, request_batch, save_site,
@@ -292,6 +292,18 @@ def test_small_rule_sets_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan(joined) and joined.count() == pages.count()
 
 
+def test_tables_beyond_the_limit_are_not_broadcast(spark):
+    rules = spark.range(100).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 100).alias("v"))
+    left = spark.range(1000).select((F.col("id") % 100).alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, large = (left.join(broadcast_if_small(rules, limit), "k") for limit in (1 << 20, 1000))
+        assert "BroadcastHashJoin" in plan(small) and "BroadcastHashJoin" not in plan(large)
+        assert small.count() == large.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_small_input_is_spread_large_input_is_not(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html")
     assert parse_nodes(pages).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
