@@ -55,11 +55,13 @@ def has_body(nodes: Column, whole: Column) -> Column:
     A bare fragment (no doctype or <html>, no head) only counts as a body when
     it is a single element; several parts become an anonymous container.
     """
-    body = _first(F.filter(nodes, lambda x: x["tag"] == "body"))
-    parts = F.filter(nodes, lambda x: (x["parent"] == body["pre"])
-                     & ((x["tag"] != TEXT) | (strip(x["text"]) != "")))
-    single = (F.size(parts) == 1) & (_first(parts)["tag"] != TEXT)
-    return body.isNotNull() & (whole | F.exists(nodes, lambda x: x["tag"] == "head") | F.coalesce(single, F.lit(False)))
+    def single(body: Column) -> Column:
+        parts = F.filter(nodes, lambda x: (x["parent"] == body["pre"])
+                         & ((x["tag"] != TEXT) | (strip(x["text"]) != "")))
+        return let(parts, lambda p: F.coalesce((F.size(p) == 1) & (_first(p)["tag"] != TEXT), F.lit(False)))
+
+    return let(_first(F.filter(nodes, lambda x: x["tag"] == "body")), lambda body: body.isNotNull() & (
+        whole | F.exists(nodes, lambda x: x["tag"] == "head") | single(body)))
 
 
 def page_title(nodes: Column) -> Column:
@@ -300,4 +302,4 @@ def main_content(pages: DataFrame) -> DataFrame:
     """(page_id, title, content) of every page; content is '' where no block is found."""
     nodes = F.col("nodes")
     return parse_whole(pages.select("page_id", "html")).select(
-        "page_id", clean_title(page_title(nodes)).alias("title"), content(nodes, F.col("whole")).alias("content"))
+        "page_id", let(page_title(nodes), clean_title).alias("title"), content(nodes, F.col("whole")).alias("content"))

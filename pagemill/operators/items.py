@@ -79,8 +79,8 @@ def scope_items(parsed: DataFrame, spec: ItemSpec, strict: bool = False) -> Data
     if strict:
         def before_first_error(all_records: Column) -> Column:
             failing = F.filter(all_records, lambda r: _first_error(spec, r).isNotNull())
-            stop = F.get(failing, F.lit(0))["scope_pre"]
-            return F.filter(all_records, lambda r: stop.isNull() | (r["scope_pre"] < stop))
+            return let(F.get(failing, F.lit(0))["scope_pre"], lambda stop: F.filter(
+                all_records, lambda r: stop.isNull() | (r["scope_pre"] < stop)))
         records = let(records, before_first_error)
     rows = parsed.select(*keep, F.explode(records).alias("record"))
     return _finish(rows, spec, keep).where(~F.col("ignored")).drop("ignored")

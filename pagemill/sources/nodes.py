@@ -74,7 +74,7 @@ _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f]")
 
 def _closed_by(open_tag: str, new_tag: str) -> bool:
     """Whether a start tag implies the end of the innermost open element."""
-    if open_tag == "p":
+    if open_tag in ("p", "title"):
         return new_tag in CLOSES_P
     if open_tag in FONT:
         return new_tag in ("p", "center", "td", "th")

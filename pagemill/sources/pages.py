@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import strip
+from pagemill.functions.common import let, strip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,9 @@ def cookie_map(header: Column) -> Column:
         strip(F.substring_index(p, "=", 1)).alias("key"),
         strip(F.substring(p, F.instr(p, "=") + 1, F.length(p))).alias("value"),
         p.contains("=").alias("pair"))), lambda e: e["pair"])
-    names = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-    last = F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda e: e["key"] == n), -1)["value"])
-    return F.map_from_arrays(names, last)
+    def last_values(known: Column) -> Column:
+        names = F.array_distinct(F.transform(known, lambda e: e["key"]))
+        return let(names, lambda ns: F.map_from_arrays(ns, F.transform(
+            ns, lambda n: F.element_at(F.filter(known, lambda e: e["key"] == n), -1)["value"])))
+
+    return let(pairs, last_values)

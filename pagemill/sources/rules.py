@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.common import broadcast_if_small
+from pagemill.functions.common import broadcast_if_small, let
 from pagemill.functions.urls import dated_url, url_host
 from pagemill.operators.fields import Field
 
@@ -86,7 +86,7 @@ def rule_page_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
 def _uniform(field_: Field, nodes: Column) -> Column:
     """Any field's values as array<struct(text, attr)>."""
     value = field_.extract(nodes)["value"]
-    many = value if field_.is_many else F.when(value.isNotNull(), F.array(value))
+    many = value if field_.is_many else let(value, lambda v: F.when(v.isNotNull(), F.array(v)))
     nothing = F.lit(None).cast("string")
 
     def pair(v: Column) -> Column:

@@ -37,6 +37,7 @@ def outline(html: str) -> str:
     ("a &lt; &copy; &nbsp;b", "html(body(p('a < © \\xa0b')))"),
     ("&amp &copy=1 &#65 &#x42;&#1;&#150;&nope; &apos;&hellip;", "html(body(p(\"&amp &copy=1 A B\\x96&nope; '…\")))"),
     ("<body><!-- c --><p>1<!--x-->2</p>", "html(body(! c  p('1' !x '2')))"),
+    ("<title>t<p>x", "html(head(title('t')) body(p('x')))"),
     ("<div/>t<img src=x>u", "html(body(div 't' img 'u'))"),
     ("<!DOCTYPE html>\n<html>\n<body>x</body></html>\n", "html(body('x\\n'))"),
     ("a < b <c", "html(body(p('a < b <c')))"),
