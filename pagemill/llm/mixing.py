@@ -123,8 +123,10 @@ def cuts(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     end = inside.groupBy("source").agg(F.max(F.struct(
         F.col("key"), F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"))).alias("end"))
     end, last = end.withColumnRenamed("source", "e"), last.select(F.col("s"), F.col("r").alias("last_range"))
-    return (plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
-            .join(end, F.col("source").eqNullSafe(F.col("e")), "left").drop("s", "e"))
+    whole = (plan.join(last, F.col("source").eqNullSafe(F.col("s")), "left")
+             .join(end, F.col("source").eqNullSafe(F.col("e")), "left").drop("s", "e"))
+    # stored, so that Spark knows its size: sent to the rows if it is small, else the rows are shuffled and hot sources split
+    return written(whole, shared_dir(rows.sparkSession, "mix-cuts"))
 
 
 def copies(plan: DataFrame, rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, mixing, quality, simhash, tokens
+from pagemill.llm import decontam, mixing, quality, quotes, secrets, simhash, suffixes, tokens, toxicity, warc
 from pagemill.llm.store import shared_dir
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,139 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.component_ids(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# -- 2 --------------------------------------------------------------------------------------------
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_NAMES = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _sql_spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    """Places of matches: lengths of what lies between matches and of the matches, summed up."""
+    return f"""
+select doc_id, {rank} as rank, '{kind}' as kind, cast(to_ - n as bigint) as start, cast(to_ as bigint) as to_ from (
+  select doc_id, n, inner_, sum(gap + n) over (partition by doc_id order by i) as to_ from (
+    select doc_id, i, length(gaps[i]) as gap, length(hits[i]) as n, length(inners[i]) as inner_ from (
+      select doc_id, gaps, hits, inners, unnest(range(1, len(hits) + 1)) as i from (
+        select doc_id, regexp_split_to_array(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}') as hits,
+               regexp_extract_all(text, '{pattern}', {group}) as inners
+        from d where regexp_matches(text, '{pattern}')))))
+where inner_ >= {least}"""
+
+
+@query("op2_secret_scans", f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+s as ({_sql_spans('assign', 1, _ASSIGN, 2, 8)} union all {_sql_spans('access', 2, 'AKIA[A-Z0-9]+', 0, 16)}
+      union all {_sql_spans('hex', 3, '[0-9a-f]+', 0, 32)}),
+g as (select doc_id, sum(cast(rank = 1 as int)) as a, sum(cast(rank = 2 as int)) as b, sum(cast(rank = 3 as int)) as c,
+             string_agg(kind || ':' || start || ':' || to_, ',' order by start, rank) as list from s group by doc_id)
+select doc_id, cast(coalesce(a, 0) as bigint) as n_assign, cast(coalesce(b, 0) as bigint) as n_access,
+       cast(coalesce(c, 0) as bigint) as n_hex, sha256(coalesce(list, '')) as base_sha256, coalesce(list, '') as spans
+from documents left join g using (doc_id)""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, from a ledger that starts empty."""
+    found = secrets.scan(table(spark, sf_dir, "documents"), shared_dir(spark, "ledger"))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    return found.select(F.col("id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"),
+                        count("hex").alias("n_hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+# -- 4 --------------------------------------------------------------------------------------------
+
+_NORM = r"lower(trim(regexp_replace(text, '[ \t\r\n\x0b\x0c]+', ' ', 'g')))"
+
+
+def quoted_replies(conversations: DataFrame) -> DataFrame:
+    """The conversations as mail: every turn quotes the turn before it, with that one's quote of the turn before, above its own text."""
+    place = F.struct(F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"))
+    texts = conversations.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    said = lambda n: texts.select(F.col("conv_id").alias(f"c{n}"), (F.col("turn") + n).alias(f"t{n}"), F.col("said").alias(f"said{n}"))
+    rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("own"), place.alias("place"))
+    for n in (1, 2):
+        rows = rows.join(said(n), (F.col("conv_id") == F.col(f"c{n}")) & (F.col("turn") == F.col(f"t{n}")), "left")
+    quote = lambda text, marks: F.concat(F.lit(marks), F.replace(text, F.lit("\n"), F.lit("\n" + marks)), F.lit("\n"))
+    body = F.concat(F.coalesce(F.concat(F.lit("On turn "), (F.col("turn") - 1).cast("string"), F.lit(" they wrote:\n")), F.lit("")),
+                    F.coalesce(quote(F.col("said2"), "> > "), F.lit("")), quote(F.col("said1"), "> "))
+    return rows.select("conv_id", "turn", "role", F.concat(F.coalesce(body, F.lit("")), F.col("own")).alias("text"))
+
+
+@query("op4_quotation_linking", f"""
+with recursive m as (select conv_id, turn, role, coalesce(text, '') as text, {_NORM.replace('text', "coalesce(text, '')", 1)} as norm
+                     from conversations),
+firsts as (select conv_id, norm, min(turn) as first from m where norm <> '' group by conv_id, norm),
+links as (select a.conv_id, a.turn, f.first as up from m a join m b on b.conv_id = a.conv_id and b.turn = a.turn - 1
+          join firsts f on f.conv_id = b.conv_id and f.norm = b.norm),
+tree as (select m.conv_id, m.turn, m.turn as root, 0 as depth from m left join links using (conv_id, turn) where links.up is null
+         union all select l.conv_id, l.turn, t.root, t.depth + 1 from links l join tree t on t.conv_id = l.conv_id and t.turn = l.up)
+select m.conv_id, m.turn, m.role, m.text, cast(l.up as bigint) as reply_to, cast(t.root as bigint) as root,
+       cast(t.depth as bigint) as depth
+from m left join links l using (conv_id, turn) left join tree t using (conv_id, turn)""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in reply order, without the quotes, from turns that quote the turns before."""
+    mail = quoted_replies(table(spark, sf_dir, "conversations"))
+    found = quotes.reply_order(mail, keep=("role",))
+    return found.select(F.col("conv").alias("conv_id"), F.col("pos").alias("turn"), "role", F.col("own").alias("text"),
+                        F.col("parent.pos").alias("reply_to"), F.col("root.pos").alias("root"), "depth")
+
+
+# -- 6 --------------------------------------------------------------------------------------------
+
+@query("op6_warc", """
+with p as (select page_id, coalesce(html, '') as html from pages),
+s as (select page_id, cast(strlen(html) as bigint) as payload_bytes, sha256(html) as payload_digest from p),
+f as (select payload_digest, min(page_id) as first from s where payload_bytes >= 100 group by payload_digest)
+select page_id, payload_bytes, payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
+       case when first <> page_id then first end as refers_to
+from s left join f using (payload_digest)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    folder = shared_dir(spark, "warc")
+    files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(files, folder).select(
+        warc.page_of(F.col("name")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"),
+        warc.page_of(F.col("refers")).alias("refers_to"))
+
+
+# -- 8 --------------------------------------------------------------------------------------------
+
+HELD_OUT = 1
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of documents that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == HELD_OUT
+    model = toxicity.train(docs, labels.where(~held))
+    found = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+# -- 9 --------------------------------------------------------------------------------------------
+
+@query("op9_suffix_dedup", """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, p, md5(substr(h, cast(2 * p + 1 as bigint), 200)) as g
+      from (select doc_id, h, unnest(range(cast(length(h) // 2 - 99 as bigint))) as p from d where length(h) >= 200)),
+again as (select doc_id, p from (select doc_id, p, row_number() over (partition by g order by doc_id, p) as n from w) where n > 1),
+marked as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end as fresh from again),
+runs as (select doc_id, p, sum(fresh) over (partition by doc_id order by p) as run from marked),
+spans as (select doc_id, run, min(p) as a, max(p) + 100 as b from runs group by doc_id, run),
+cuts as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as after from spans),
+kept as (select doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as tail,
+                string_agg(substr(h, cast(2 * after + 1 as bigint), cast(2 * (a - after) as bigint)), '' order by a) as parts
+         from cuts join d using (doc_id) group by doc_id)
+select d.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(parts, '') || substr(h, cast(2 * coalesce(tail, 0) + 1 as bigint)))) as kept_sha256
+from d left join kept using (doc_id)""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without long repeated strings."""
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -48,7 +48,7 @@ def put_file(folder: str, name: str, parts) -> None:
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
     place = f"{base}/_part-{uuid.uuid4().hex}"
-    with fs.open_output_stream(place) as out:
+    with fs.open_output_stream(place, compression=None) as out:
         for part in parts:
             out.write(part)
     fs.move(place, f"{base}/{name}")

@@ -21,7 +21,6 @@ has the end id only. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -97,18 +96,13 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarr
     return pieces, counts
 
 
-@functools.cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
-
-
 class Encoder:
     """Ids of whole texts, each followed by the end id; each different piece is encoded once while it is remembered."""
 
     def __init__(self, path: str, dtype: str, end_id: int = END_ID) -> None:
-        self.tokenizer, self.dtype, self.end_id = _tokenizer(path), dtype, end_id
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
+        from tokenizers import Tokenizer
+        self.tokenizer, self.dtype, self.end_id = Tokenizer.from_file(path), dtype, end_id
         self.forget()
 
     def forget(self) -> None:
