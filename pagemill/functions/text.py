@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from re import _constants, _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import java_pattern, not_empty
+from pagemill.functions.common import group_source, java_pattern, not_empty
 
 # Headline markers, title separators (tried in this order), character classes.
 HEADLINE_MARKERS = ["【详情】", "【详细】", "更多"]
@@ -58,19 +57,16 @@ def _group(compiled: re.Pattern, i: int, value: Column) -> Column:
     Spark reports such a group as ''.  Where the group cannot match the empty
     string the two are told apart by the pattern itself.
     """
-    return not_empty(value) if i and _least_length(_parser.parse(compiled.pattern, compiled.flags), i) else value
-
-
-def _least_length(tree, i: int) -> int:
-    """Least length of group ``i`` in a parsed pattern."""
-    for op, value in tree:
-        if op is _constants.SUBPATTERN and value[0] == i:
-            return value[-1].getwidth()[0]
-        inner = value if isinstance(value, (list, tuple)) else [value]
-        for part in (p for v in inner for p in (v if isinstance(v, list) else [v])):
-            if isinstance(part, _parser.SubPattern) and (found := _least_length(part, i)):
-                return found
-    return 0
+    return not_empty(value) if i and not _may_be_empty(compiled, i) else value
+
+
+_CONTEXT = re.compile(r"\(\?<?[=!]|\(\?P=|\\[1-9bB]")
+
+
+def _may_be_empty(compiled: re.Pattern, i: int) -> bool:
+    """Whether a group can match the empty string; one that looks around itself may."""
+    source = group_source(compiled, i)
+    return bool(_CONTEXT.search(source)) or re.compile(source, compiled.flags).fullmatch("") is not None
 
 
 def regex_single(col: Column, pattern: str | re.Pattern, default: str | None = None) -> Column:

@@ -160,14 +160,20 @@ def numbered_rows(counts: DataFrame, template: str, key: str, n: str, name: str
                   chunk: int = 10_000) -> DataFrame:
     """One row per number 1..n and key, for counts over whole groups.
 
-    Numbers are made in chunks that are spread over the cluster first, so a
-    key with a huge count is no single array and no single task.
+    Numbers are made in chunks of chunks, spread over the cluster at each
+    step, so a key with a huge count is no single array and no single task.
     """
-    chunks = counts.select(*counts.columns, F.explode(numbers_to(F.ceil(F.col(n) / chunk))).alias("_chunk"))
-    begin = (F.col("_chunk") - 1) * chunk
+    def cut(rows: DataFrame, total: Column, size: int, part: str) -> DataFrame:
+        return rows.select("*", F.explode(numbers_to(F.ceil(total / size))).alias(part)).repartition(key, part)
+
+    large = chunk * chunk
+    outer = cut(counts, F.col(n), large, "_outer")
+    left = F.least(F.col(n) - (F.col("_outer") - 1) * large, F.lit(large))
+    inner = cut(outer, left, chunk, "_inner")
+    begin = (F.col("_outer") - 1) * large + (F.col("_inner") - 1) * chunk
     size = F.least(F.col(n) - begin, F.lit(chunk))
     numbers = F.transform(numbers_to(size), lambda i: F.format_string(template, F.col(key), i + begin))
-    return chunks.repartition(key, "_chunk").select(*counts.columns, F.explode(numbers).alias(name))
+    return inner.select(*counts.columns, F.explode(numbers).alias(name))
 
 
 def dated_url(template: Column, run_date: dt.date) -> Column:

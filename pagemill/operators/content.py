@@ -1,9 +1,10 @@
 """Title and main content of a page.
 
 Everything is computed inside the page's own row from its node array: scoring
-and pruning look at parents, ancestors and subtrees by array index, so the job
-has no shuffle and a failed task only redoes its own pages.  Work per page is
-at most (nodes x depth), with the depth bounded by the parser.
+and pruning look at parents, children and subtrees by array index, so the job
+has no shuffle and a failed task only redoes its own pages.  Sums over
+subtrees are differences of running sums and "inside a node of this kind" is a
+running maximum, so the work grows with the nodes of a page, not their depth.
 """
 
 from __future__ import annotations
@@ -11,10 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import let, squeeze_ws, strip
+from pagemill.functions.common import let, running, squeeze_ws, strip
 from pagemill.functions.text import clean_title
-from pagemill.operators.fields import subtree, text_content
-from pagemill.sources.nodes import COMMENT, TEXT, is_element, parse_nodes
+from pagemill.operators.fields import in_order, piece, subtree, text_content
+from pagemill.sources.nodes import COMMENT, INSTRUCTION, TEXT, is_element, parse_nodes
 
 # Keywords in class, id and style that speak for or against a block, in matching order.
 POSITIVE_WORDS = ("article|arti|body|content|entry|hentry|main|page|artical|zoom|arti|context|message|editor|"
@@ -37,8 +38,8 @@ MIN_TEXT = 10
 MIN_LINK_TEXT, LINK_SHARE = 5, 0.4
 CLIMB = 5
 
-# Marks used while rendering; the parser removes control characters from pages.
-_EDGE, _CELL, _LINE = "\x01", "\x02", "\x03"
+# Marks used while rendering; the same characters in texts are written as _PLAIN and a digit meanwhile.
+_EDGE, _CELL, _LINE, _PLAIN = "\x01", "\x02", "\x03", "\x04"
 
 
 def _attr(x: Column, name: str) -> Column:
@@ -49,6 +50,23 @@ def _first(nodes: Column) -> Column:
     return F.get(nodes, F.lit(0))
 
 
+def inside(nodes: Column, flags: Column) -> Column:
+    """Per node, whether it lies below a node that is flagged; both arrays are one run of nodes in document order."""
+    ends = F.transform(nodes, lambda x, i: F.when(F.get(flags, i), x["last"]).otherwise(-1))
+    return let(running(ends, F.lit(-1), lambda a, b: F.greatest(a, b)), lambda m: F.transform(
+        nodes, lambda x, i: F.coalesce(F.get(m, i - 1) >= x["pre"], F.lit(False))))
+
+
+def sums(values: Column) -> Column:
+    """Running sums of integers, each with its own value in it."""
+    return running(values, F.lit(0), lambda a, b: a + b)
+
+
+def below(cumulated: Column, x: Column) -> Column:
+    """Sum over what lies below a node, from running sums over all nodes of the page."""
+    return F.get(cumulated, x["last"]) - F.get(cumulated, x["pre"])
+
+
 def has_body(nodes: Column, whole: Column) -> Column:
     """Whether the page has a body to look at.
 
@@ -107,7 +125,7 @@ def node_weight(x: Column) -> Column:
 def is_blocked(x: Column) -> Column:
     """Children that are not visited, with all below them and the text after them."""
     look = F.concat(_attr(x, "class"), _attr(x, "id"), _attr(x, "style"))
-    return (x["tag"] != TEXT) & (x["tag"].isin(COMMENT, "a", "textarea", *NON_CONTENT_TAGS)
+    return (x["tag"] != TEXT) & (x["tag"].isin(COMMENT, INSTRUCTION, "a", "textarea", *NON_CONTENT_TAGS)
                                  | ((F.size(x["attrs"]) > 0) & look.contains("display") & look.contains("none")))
 
 
@@ -118,39 +136,48 @@ def block_scores(nodes: Column, whole: Column) -> Column:
     parent, behind a child it belongs to that child's parent as well.
     """
 
-    def shares(blocked: Column) -> Column:
-        def share(x: Column) -> Column:
-            child = F.when(x["prev"] >= 0, x["prev"]).otherwise(x["parent"])
-            times = F.when(F.get(nodes, child)["tag"] == "p", 3).otherwise(1)
-            counted = (x["tag"] == TEXT) & ~F.coalesce(F.get(blocked, child), F.lit(True))
-            return F.struct(
-                F.get(nodes, child)["parent"].alias("to"),
-                F.when(counted, F.length(strip(x["text"])) * times).otherwise(0).alias("chars"))
-        return F.transform(nodes, share)
-
-    def scores(body: Column, blocked: Column, share: Column) -> Column:
-        below = body["depth"] + 2  # from here on a blocked node hides its subtree
-
-        def visited(x: Column) -> Column:
-            hidden = F.exists(F.slice(x["anc"], below + 1, F.greatest(x["depth"] - below, F.lit(0))),
-                              lambda a: F.get(blocked, a))
-            return ((x["pre"] > body["pre"]) & (x["pre"] <= body["last"]) & (x["last"] > x["pre"])
-                    & ((x["depth"] < below) | ~F.get(blocked, x["pre"])) & ~hidden)
+    def lengths(blocked: Column) -> Column:
+        """Per element or comment: the text it starts with and the text behind it, 0 where it is blocked."""
+        def length(text: Column, mine: Column) -> Column:
+            return F.when((text["tag"] == TEXT) & mine, F.length(strip(text["text"]))).otherwise(0)
+
+        def own(x: Column) -> Column:
+            first, behind = F.get(nodes, x["pre"] + 1), F.get(nodes, x["last"] + 1)
+            both = (length(first, (first["parent"] == x["pre"]) & (first["prev"] < 0))
+                    + length(behind, behind["prev"] == x["pre"]))
+            times = F.when(x["tag"] == "p", 3).otherwise(1)
+            return F.when((x["tag"] == TEXT) | F.get(blocked, x["pre"]), 0).otherwise(both * times)
+
+        return F.transform(nodes, own)
+
+    def of_children(x: Column, length: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            return F.struct(F.get(nodes, state["at"])["prev"].alias("at"),
+                            (state["chars"] + F.get(length, state["at"])).alias("chars"))
+        start = F.struct(x["child"].alias("at"), F.lit(0).alias("chars"))
+        return F.aggregate(F.sequence(F.lit(1), x["kids"]), start, step, lambda s: s["chars"])
+
+    def scores(body: Column, blocked: Column, length: Column) -> Column:
+        under = body["depth"] + 2  # from here on a blocked node hides its subtree
+
+        def visited(hidden: Column) -> Column:
+            return F.filter(nodes, lambda x: (
+                (x["pre"] > body["pre"]) & (x["pre"] <= body["last"]) & (x["last"] > x["pre"])
+                & ((x["depth"] < under) | ~F.get(blocked, x["pre"])) & ~F.get(hidden, x["pre"])))
 
         def score(x: Column) -> Column:
-            chars = F.aggregate(
-                F.slice(share, x["pre"] + 2, x["last"] - x["pre"]), F.lit(0),
-                lambda n, s: n + F.when(s["to"] == x["pre"], s["chars"]).otherwise(0))
-            return F.struct(x["pre"].alias("pre"), x["depth"].alias("depth"), chars.alias("text_len"),
+            return F.struct(x["pre"].alias("pre"), x["depth"].alias("depth"), of_children(x, length).alias("text_len"),
                             node_weight(x).alias("weight"))
 
-        scored = F.filter(F.transform(F.filter(nodes, visited), score), lambda s: s["text_len"] >= MIN_TEXT)
+        hiding = F.transform(nodes, lambda x, i: F.get(blocked, i) & (x["depth"] >= under))
+        scored = let(let(hiding, lambda h: inside(nodes, h)), lambda hidden: F.filter(
+            F.transform(visited(hidden), score), lambda s: s["text_len"] >= MIN_TEXT))
         return F.transform(scored, lambda s: F.struct(
             s["pre"], s["depth"], s["text_len"], (s["text_len"] * s["weight"]).alias("score")))
 
     body = _first(F.filter(nodes, lambda x: x["tag"] == "body"))
     found = let(body, lambda b: let(F.transform(nodes, is_blocked), lambda k: let(
-        shares(k), lambda s: scores(b, k, s))))
+        lengths(k), lambda n: scores(b, k, n))))
     return F.when(has_body(nodes, whole), found)
 
 
@@ -164,56 +191,47 @@ def best_block(scores: Column) -> Column:
 def climb(nodes: Column, pre: Column) -> Column:
     """From a paragraph-like block up to the nearest div, at most five parents."""
     node = F.get(nodes, pre)
-    parents = F.slice(F.reverse(node["anc"]), 1, CLIMB)
-    div = _first(F.filter(parents, lambda a: F.get(nodes, a)["tag"] == "div"))
-    up = F.coalesce(div, F.element_at(parents, -1))
-    return F.when(node["tag"].isin(INNER_TAGS) & (F.size(parents) > 0), up).otherwise(pre)
+    chain, at = [], node
+    for _ in range(CLIMB):
+        chain.append(at["parent"])
+        at = F.get(nodes, at["parent"])
+
+    def up(parents: Column) -> Column:
+        div = _first(F.filter(parents, lambda a: F.get(nodes, a)["tag"] == "div"))
+        return F.when(node["tag"].isin(INNER_TAGS) & (F.size(parents) > 0),
+                      F.coalesce(div, F.element_at(parents, -1))).otherwise(pre)
+
+    return let(F.filter(F.array(*chain), lambda a: a >= 0), up)
 
 
-def link_shares(nodes: Column, inside: Column) -> Column:
-    """Per node of a subtree, aligned with ``nodes``: text and link text without whitespace.
+def link_shares(nodes: Column, top: Column) -> Column:
+    """Per node of the subtree of ``top``, aligned with ``nodes``: text and link text without whitespace.
 
     struct(text, links), NULL where the node has no link below it; no array at
     all when the subtree has no link.  Every link longer than the minimum
     counts, nested ones again.
     """
     def within(x: Column) -> Column:
-        return (x["pre"] > inside["pre"]) & (x["pre"] <= inside["last"])
+        return (x["pre"] > top["pre"]) & (x["pre"] <= top["last"])
 
-    def total(of: Column, x: Column) -> Column:
-        return F.aggregate(F.slice(of, x["pre"] + 1, x["last"] - x["pre"] + 1), F.lit(0), lambda n, v: n + v)
-
-    def holders() -> Column:
-        """Elements with a link below them."""
-        return F.transform(nodes, lambda x: is_element(x) & (within(x) | (x["pre"] == inside["pre"])) & F.exists(
-            F.slice(nodes, x["pre"] + 2, x["last"] - x["pre"]), lambda y: y["tag"] == "a"))
-
-    def lengths(holder: Column) -> Column:
-        """Lengths of the texts that matter: in links or in parts that hold links."""
+    def lengths() -> Column:
         return F.transform(nodes, lambda x: F.when(
-            (x["tag"] == TEXT) & within(x) & F.exists(x["anc"], lambda a: (a >= inside["pre"]) & (
-                F.get(holder, a) | (F.get(nodes, a)["tag"] == "a"))),
-            F.length(squeeze_ws(x["text"]))).otherwise(0))
+            (x["tag"] == TEXT) & within(x), F.length(squeeze_ws(x["text"]))).otherwise(0))
 
     def links(length: Column) -> Column:
         return F.transform(nodes, lambda x: F.when((x["tag"] == "a") & within(x), let(
-            total(length, x), lambda n: F.when(n > MIN_LINK_TEXT, n).otherwise(0))).otherwise(0))
+            below(length, x), lambda n: F.when(n > MIN_LINK_TEXT, n).otherwise(0))).otherwise(0))
 
-    def shares(holder: Column, length: Column, link: Column) -> Column:
-        def share(x: Column) -> Column:
-            below = F.aggregate(F.slice(link, x["pre"] + 2, x["last"] - x["pre"]), F.lit(0), lambda n, v: n + v)
-            return F.when(F.get(holder, x["pre"]), F.struct(total(length, x).alias("text"), below.alias("links")))
-        return F.transform(nodes, share)
+    def shares(anchors: Column, length: Column, link: Column) -> Column:
+        return F.transform(nodes, lambda x: F.when(
+            is_element(x) & (within(x) | (x["pre"] == top["pre"])) & (below(anchors, x) > 0),
+            F.struct(below(length, x).alias("text"), below(link, x).alias("links"))))
 
-    some = F.exists(subtree(nodes, inside), lambda x: x["tag"] == "a")
+    some = F.exists(subtree(nodes, top), lambda x: x["tag"] == "a")
     none = F.lit(None).cast("array<struct<text:int,links:int>>")
-    return F.when(some, let(holders(), lambda h: let(lengths(h), lambda n: let(
-        links(n), lambda k: shares(h, n, k))))).otherwise(none)
-
-
-def _parents_inside(x: Column, block: Column) -> Column:
-    """Ancestors of a node that lie strictly inside the block, outermost first."""
-    return F.slice(x["anc"], block["depth"] + 2, F.greatest(x["depth"] - block["depth"] - 1, F.lit(0)))
+    anchors = sums(F.transform(nodes, lambda x: (x["tag"] == "a").cast("int")))
+    return F.when(some, let(anchors, lambda a: let(sums(lengths()), lambda n: let(
+        sums(links(n)), lambda k: shares(a, n, k))))).otherwise(none)
 
 
 def pruned(nodes: Column, block: Column) -> Column:
@@ -222,23 +240,19 @@ def pruned(nodes: Column, block: Column) -> Column:
     Text behind a dropped node is a sibling, so it stays.
     """
 
-    def at(flags: Column, pre: Column) -> Column:
-        return F.get(flags, pre - block["pre"])
-
     def flagged(stop: Column, share: Column) -> Column:
         def flag(x: Column) -> Column:
             part = F.concat_ws(" ", _attr(x, "class"), _attr(x, "id"))
             density = F.get(share, x["pre"])
             linked = F.coalesce(density["links"] > density["text"] * F.lit(LINK_SHARE), F.lit(False))
             return ((x["tag"] != TEXT) & (x["pre"] > block["pre"])
-                    & (x["tag"].isin(COMMENT, *NON_CONTENT_TAGS) | (x["pre"] > F.coalesce(stop, x["pre"]))
+                    & (x["tag"].isin(COMMENT, INSTRUCTION, *NON_CONTENT_TAGS) | (x["pre"] > F.coalesce(stop, x["pre"]))
                        | ((F.size(x["attrs"]) > 0) & part.rlike(DROPPED_PARTS)) | linked))
         return F.transform(subtree(nodes, block), flag)
 
     def spread(flags: Column) -> Column:
-        return F.when(F.exists(flags, lambda f: f), F.transform(
-            subtree(nodes, block), lambda x: at(flags, x["pre"]) | F.exists(
-                _parents_inside(x, block), lambda a: at(flags, a)))).otherwise(flags)
+        return F.when(F.exists(flags, lambda f: f), let(inside(subtree(nodes, block), flags), lambda under: F.zip_with(
+            flags, under, lambda f, u: f | u))).otherwise(flags)
 
     stop = _first(F.filter(subtree(nodes, block), lambda x: (x["tag"] == COMMENT)
                            & x["text"].rlike(f"(?d){STOP_COMMENT}")))["pre"]
@@ -252,32 +266,28 @@ def render(nodes: Column, block: Column, dropped: Column) -> Column:
     across dropped nodes.  Edges of remaining elements are marked first, then
     the marked runs get their line breaks or cell gap.
     """
-    def kept(pre: Column) -> Column:
-        return ~F.get(dropped, pre - block["pre"])
-
     def opening(x: Column) -> Column:
-        return (F.when(~kept(x["pre"]), "")
-                .when(x["tag"] == TEXT, x["text"])
-                .when(x["tag"].isin(CELL_TAGS), _EDGE + _CELL)
-                .otherwise(_EDGE))
-
-    def ending(pre: Column) -> Column:
-        return F.when(F.get(nodes, pre)["tag"].isin(LINE_TAGS), _EDGE + "\n" + _LINE).otherwise(_EDGE)
-
-    def endings(x: Column) -> Column:
-        own = F.when(x["tag"] == TEXT, F.array().cast("array<int>")).otherwise(F.array(x["pre"]))
-        ended = F.filter(F.concat(own, F.reverse(_parents_inside(x, block))),
-                         lambda a: (F.get(nodes, a)["last"] == x["pre"]) & kept(a))
-        return F.array_join(F.transform(ended, ending), "")
-
-    below = F.slice(nodes, block["pre"] + 2, block["last"] - block["pre"])
-    marked = F.array_join(F.transform(below, lambda x: F.concat(
-        opening(x), F.when(x["last"] == x["pre"], endings(x)).otherwise(""))), "")
-    gaps = F.regexp_replace(marked, f"{_CELL}([^{_EDGE}]*)", "$1  ")
-    lines = F.regexp_replace(gaps, f"{_LINE}([^{_EDGE}]*)", "$1\n")
-    plain = F.replace(lines, F.lit(_EDGE), F.lit(""))
-    trimmed = F.transform(F.split(plain, "\n"), strip)
-    return F.array_join(F.filter(trimmed, lambda t: t != ""), "\n")
+        plain = x["text"]
+        for i, mark in enumerate((_PLAIN, _EDGE, _CELL, _LINE)):
+            plain = F.replace(plain, F.lit(mark), F.lit(f"{_PLAIN}{i}"))
+        return F.when(x["tag"] == TEXT, plain).when(x["tag"].isin(CELL_TAGS), _EDGE + _CELL).otherwise(_EDGE)
+
+    def ending(x: Column) -> Column:
+        return F.when(x["tag"].isin(LINE_TAGS), _EDGE + "\n" + _LINE).otherwise(_EDGE)
+
+    def trimmed(marked: Column) -> Column:
+        gaps = F.regexp_replace(marked, f"{_CELL}([^{_EDGE}]*)", "$1  ")
+        lines = F.regexp_replace(gaps, f"{_LINE}([^{_EDGE}]*)", "$1\n")
+        plain = F.replace(lines, F.lit(_EDGE), F.lit(""))
+        for i, mark in reversed(list(enumerate((_PLAIN, _EDGE, _CELL, _LINE)))):
+            plain = F.replace(plain, F.lit(f"{_PLAIN}{i}"), F.lit(mark))
+        return F.array_join(F.filter(F.transform(F.split(plain, "\n"), strip), lambda t: t != ""), "\n")
+
+    rest = F.filter(F.slice(nodes, block["pre"] + 2, block["last"] - block["pre"]),
+                    lambda x: ~F.get(dropped, x["pre"] - block["pre"]))
+    return let(rest, lambda r: trimmed(in_order(
+        F.transform(r, lambda x: piece(x["pre"], x, opening(x))),
+        F.transform(F.filter(r, lambda x: x["tag"] != TEXT), lambda x: piece(x["last"], x, ending(x), end=True)))))
 
 
 def parse_whole(pages: DataFrame) -> DataFrame:
@@ -290,16 +300,22 @@ def block_of(nodes: Column, whole: Column) -> Column:
     return let(best_block(block_scores(nodes, whole)), lambda pre: climb(nodes, pre))
 
 
-def content(nodes: Column, whole: Column) -> Column:
-    def of(pre: Column) -> Column:
-        block = F.get(nodes, pre)
-        return F.when(pre.isNotNull(), let(pruned(nodes, block), lambda d: render(nodes, block, d))).otherwise("")
+def _step(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that later steps use in many places; a projection could be written into each of them."""
+    return rows.withColumn(name, F.explode(F.array(value)))
 
-    return let(block_of(nodes, whole), of)
+
+def with_content(parsed: DataFrame) -> DataFrame:
+    """``parsed`` (nodes, whole, …) with ``content``: the text of its best block, '' without one."""
+    nodes = F.col("nodes")
+    block = F.get(nodes, F.col("block"))
+    rows = _step(parsed, "block", block_of(nodes, F.col("whole")))
+    rows = _step(rows, "dropped", F.when(F.col("block").isNotNull(), let(block, lambda b: pruned(nodes, b))))
+    text = F.when(F.col("block").isNotNull(), let(block, lambda b: render(nodes, b, F.col("dropped")))).otherwise("")
+    return rows.select(*parsed.columns, text.alias("content"))
 
 
 def main_content(pages: DataFrame) -> DataFrame:
     """(page_id, title, content) of every page; content is '' where no block is found."""
-    nodes = F.col("nodes")
-    return parse_whole(pages.select("page_id", "html")).select(
-        "page_id", let(page_title(nodes), clean_title).alias("title"), content(nodes, F.col("whole")).alias("content"))
+    rows = with_content(parse_whole(pages.select("page_id", "html")))
+    return rows.select("page_id", let(page_title(F.col("nodes")), clean_title).alias("title"), "content")

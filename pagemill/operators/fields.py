@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.common import let, not_empty, squeeze_ws, strip
 from pagemill.operators.select import Selector, select
-from pagemill.sources.nodes import COMMENT, TEXT, VOID, is_element
+from pagemill.sources.nodes import COMMENT, INSTRUCTION, TEXT, VOID, is_element
 
 
 def subtree(nodes: Column, node: Column) -> Column:
@@ -52,58 +52,76 @@ def _escape(col: Column, quote: bool = False) -> Column:
     return col
 
 
-def markup(nodes: Column, node: Column, tail: bool = True) -> Column:
-    """The subtree as markup, followed by the text after it.
+def piece(at: Column, x: Column, text: Column, end: bool = False) -> Column:
+    """A piece of output at a place of the page; end tags follow what stands there, innermost first."""
+    inner = -x["pre"] if end else F.lit(0)
+    return F.struct(at.alias("at"), F.lit(int(end)).alias("end"), inner.alias("inner"), text.alias("text"))
+
+
+def in_order(*pieces: Column) -> Column:
+    """The pieces' texts in order of their places, joined."""
+    return F.array_join(F.transform(F.sort_array(F.concat(*pieces)), lambda p: p["text"]), "")
+
+
+def _start_tag(x: Column, end: str | Column) -> Column:
+    attrs = F.array_join(F.transform(F.map_entries(x["attrs"]), lambda e: F.concat(
+        F.lit(" "), e["key"], F.lit('="'), _escape(e["value"], quote=True), F.lit('"'))), "")
+    return F.concat(F.lit("<"), x["tag"], attrs, end if isinstance(end, Column) else F.lit(end))
+
+
+def _aside(x: Column) -> Column:
+    return F.when(x["tag"] == COMMENT, F.concat(F.lit("<!--"), x["text"], F.lit("-->"))).when(
+        x["tag"] == INSTRUCTION, F.concat(F.lit("<?"), x["text"], F.lit(">")))
 
-    An element's end tag is written at its last descendant, innermost first.
-    """
+
+def ascii_markup(col: Column) -> Column:
+    """Characters beyond ASCII as numeric references."""
+    def reference(c: Column) -> Column:
+        return F.when(F.ascii(c) > 127, F.concat(F.lit("&#"), F.ascii(c), F.lit(";"))).otherwise(c)
+
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.array_join(
+        F.transform(F.regexp_extract_all(col, F.lit(r"(?s)[\x00-\x7F]+|."), F.lit(0)), reference), "")).otherwise(col)
+
+
+def markup(nodes: Column, node: Column, tail: bool = True) -> Column:
+    """The subtree as markup, followed by the text after it."""
     def opening(x: Column) -> Column:
-        attrs = F.array_join(F.transform(F.map_entries(x["attrs"]), lambda e: F.concat(
-            F.lit(" "), e["key"], F.lit('="'), _escape(e["value"], quote=True), F.lit('"'))), "")
-        return (F.when(x["tag"] == TEXT, _escape(x["text"]))
-                .when(x["tag"] == COMMENT, F.concat(F.lit("<!--"), x["text"], F.lit("-->")))
-                .otherwise(F.concat(F.lit("<"), x["tag"], attrs,
-                                    F.when(x["last"] == x["pre"], "/>").otherwise(">"))))
-
-    def endings(x: Column) -> Column:
-        ended = F.filter(F.reverse(x["anc"]),
-                         lambda a: (a >= node["pre"]) & (F.get(nodes, a)["last"] == x["pre"]))
-        return F.array_join(F.transform(
-            ended, lambda a: F.concat(F.lit("</"), F.get(nodes, a)["tag"], F.lit(">"))), "")
-
-    body = F.array_join(F.transform(subtree(nodes, node), lambda x: F.concat(
-        opening(x), F.when(x["last"] == x["pre"], endings(x)).otherwise(""))), "")
+        return F.when(x["tag"] == TEXT, _escape(x["text"])).otherwise(F.coalesce(
+            _aside(x), _start_tag(x, F.when(x["last"] == x["pre"], "/>").otherwise(">"))))
+
+    def body(below: Column) -> Column:
+        return in_order(
+            F.transform(below, lambda x: piece(x["pre"], x, opening(x))),
+            F.transform(F.filter(below, lambda x: x["last"] > x["pre"]), lambda x: piece(
+                x["last"], x, F.concat(F.lit("</"), x["tag"], F.lit(">")), end=True)))
+
+    whole = let(subtree(nodes, node), body)
     if not tail:
-        return body
+        return whole
     after = let(F.get(nodes, node["last"] + 1), lambda n: F.when(
         (n["tag"] == TEXT) & (n["prev"] == node["pre"]), _escape(n["text"])).otherwise(""))
-    return F.concat(body, F.coalesce(after, F.lit("")))
+    return F.concat(whole, F.coalesce(after, F.lit("")))
 
 
 def pretty_markup(nodes: Column, node: Column) -> Column:
     """The subtree with every tag and text on a line of its own, indented by depth."""
-    def line(depth: Column, text: Column) -> Column:
-        return F.concat(F.repeat(F.lit(" "), depth - node["depth"]), text, F.lit("\n"))
+    def line(x: Column, text: Column) -> Column:
+        return F.concat(F.repeat(F.lit(" "), x["depth"] - node["depth"]), text, F.lit("\n"))
 
     def opening(x: Column) -> Column:
-        attrs = F.array_join(F.transform(F.map_entries(x["attrs"]), lambda e: F.concat(
-            F.lit(" "), e["key"], F.lit('="'), _escape(e["value"], quote=True), F.lit('"'))), "")
         text = strip(x["text"])
-        end = F.when(x["tag"].isin(*VOID), "/>").otherwise(">")
         return (F.when((x["tag"] == TEXT) & (text == ""), "")
-                .when(x["tag"] == TEXT, line(x["depth"], _escape(text)))
-                .when(x["tag"] == COMMENT, line(x["depth"], F.concat(F.lit("<!--"), x["text"], F.lit("-->"))))
-                .otherwise(line(x["depth"], F.concat(F.lit("<"), x["tag"], attrs, end))))
+                .when(x["tag"] == TEXT, line(x, _escape(text)))
+                .otherwise(line(x, F.coalesce(_aside(x), _start_tag(x, F.when(x["tag"].isin(*VOID), "/>").otherwise(">"))))))
 
-    def endings(x: Column) -> Column:
-        own = F.when(is_element(x) & ~x["tag"].isin(*VOID), F.array(x["pre"])).otherwise(F.array().cast("array<int>"))
-        ended = F.filter(F.concat(own, F.reverse(x["anc"])), lambda a: (a >= node["pre"]) & (
-            F.get(nodes, a)["last"] == x["pre"]))
-        return F.array_join(F.transform(ended, lambda a: line(
-            F.get(nodes, a)["depth"], F.concat(F.lit("</"), F.get(nodes, a)["tag"], F.lit(">")))), "")
+    def body(below: Column) -> Column:
+        closed = F.filter(below, lambda x: is_element(x) & ~x["tag"].isin(*VOID))
+        return in_order(
+            F.transform(below, lambda x: piece(x["pre"], x, opening(x))),
+            F.transform(closed, lambda x: piece(
+                x["last"], x, line(x, F.concat(F.lit("</"), x["tag"], F.lit(">"))), end=True)))
 
-    return F.array_join(F.transform(subtree(nodes, node), lambda x: F.concat(
-        opening(x), F.when(x["last"] == x["pre"], endings(x)).otherwise(""))), "")
+    return let(subtree(nodes, node), body)
 
 
 Extractor = Callable[["Field", Column, Column], Column]
@@ -130,7 +148,7 @@ def _value_string(field: Field, nodes: Column, x: Column) -> Column:
     return x["text"]
 
 
-# kind -> how a selected node becomes a value; users may add their own kinds (M6u)
+# kind -> how a selected node becomes a value
 KINDS: dict[str, Extractor] = {
     "attr": _value_attr,
     "text": _value_text,
@@ -142,9 +160,9 @@ KINDS: dict[str, Extractor] = {
 
 @dataclass(frozen=True)
 class Field:
-    """What to select and what to take from it."""
+    """What to select and what to take from it: a kind by name, or a function of the user's own (M6u)."""
 
-    kind: str
+    kind: str | Extractor
     selector: Selector
     family: str = "soup"
     many: bool | None = None
@@ -164,9 +182,11 @@ class Field:
         """struct(value, error): ``error`` is set where a required field found nothing."""
         has_default = bool(self.default) if self.family == "soup" else self.default is not None
         pair = self.kind == "attr_text"
+        take = KINDS[self.kind] if isinstance(self.kind, str) else self.kind
+        name = self.kind if isinstance(self.kind, str) else self.kind.__name__.strip("_")
 
         def build(found: Column) -> Column:
-            values = F.transform(found, lambda x: KINDS[self.kind](self, nodes, x))
+            values = F.transform(found, lambda x: take(self, nodes, x))
             fallback = F.lit(None)
             if has_default:
                 one = F.lit(self.default)
@@ -175,7 +195,7 @@ class Field:
                 fallback = F.array(one) if self.is_many else one
             value = values if self.is_many else F.get(values, F.lit(0))
             nothing = F.size(found) == 0
-            error = F.when(nothing, F.lit(f"nothing matched for {self.kind}")) if not has_default else F.lit(None)
+            error = F.when(nothing, F.lit(f"nothing matched for {name}")) if not has_default else F.lit(None)
             return F.struct(F.when(nothing, fallback).otherwise(value).alias("value"),
                             error.cast("string").alias("error"))
 

@@ -86,11 +86,15 @@ def scope_items(parsed: DataFrame, spec: ItemSpec, strict: bool = False) -> Data
     return _finish(rows, spec, keep).where(~F.col("ignored")).drop("ignored")
 
 
+def scope_outcomes(parsed: DataFrame, spec: ItemSpec) -> DataFrame:
+    """Records and errors in one pass: ``error`` is set for failing records and for pages without a scope element."""
+    keep = [c for c in parsed.columns if c != "nodes"]
+    rows = parsed.select(*keep, F.explode_outer(_records(spec, F.col("nodes"))).alias("record"))
+    error = F.when(F.col("scope_pre").isNull(), "no scope element").otherwise(F.col("error"))
+    return _finish(rows, spec, keep).withColumn("error", error)
+
+
 def scope_errors(parsed: DataFrame, spec: ItemSpec) -> DataFrame:
     """Failing records and pages without any scope element."""
     keep = [c for c in parsed.columns if c != "nodes"]
-    records = _records(spec, F.col("nodes"))
-    rows = parsed.select(*keep, F.explode_outer(records).alias("record"))
-    error = F.coalesce(F.when(F.col("record").isNull(), "no scope element"), _first_error(spec, F.col("record")))
-    return rows.select(*keep, F.col("record.scope_pre").alias("scope_pre"), error.alias("error")).where(
-        F.col("error").isNotNull())
+    return scope_outcomes(parsed, spec).select(*keep, "scope_pre", "error").where(F.col("error").isNotNull())

@@ -1,8 +1,8 @@
 """Element selection on the node array.
 
 A selector is data: a tuple of steps.  The last step is tested first, so an
-element that fails it costs one comparison.  Ancestors are found through the
-element's own ``anc`` array; no self-join and no shuffle is involved.
+element that fails it costs one comparison.  Ancestors are found by following
+parents; no self-join and no shuffle is involved.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.common import java_pattern
-from pagemill.sources.nodes import COMMENT, TEXT, is_element
+from pagemill.sources.nodes import COMMENT, INSTRUCTION, TEXT, is_element
 
 Match = str | re.Pattern | bool | list
 
@@ -91,7 +91,7 @@ def own_string(nodes: Column, node: Column) -> Column:
     subtree has nodes.
     """
     leaf = F.get(nodes, node["last"])
-    chain = (leaf["depth"] - node["depth"] == node["last"] - node["pre"]) & leaf["tag"].isin(TEXT, COMMENT)
+    chain = (leaf["depth"] - node["depth"] == node["last"] - node["pre"]) & leaf["tag"].isin(TEXT, COMMENT, INSTRUCTION)
     return F.when(chain, leaf["text"])
 
 
@@ -153,28 +153,30 @@ def _runs(steps: Sequence[Step]) -> list[list[Step]]:
 def _chain(nodes: Column, node: Column, runs: Sequence[Sequence[Step]], top: Column, anchored: bool) -> Column:
     """Whether ``node`` ends the last run and its ancestors hold the earlier runs in order.
 
-    Runs are placed as near the root as they fit, one look at each ancestor.
-    ``top`` is the least depth a run may start at; an anchored selector starts
-    exactly there.
+    Runs are placed as near the node as they fit, one look at each ancestor on
+    the way up.  ``top`` is the least depth a run may start at; an anchored
+    selector starts exactly there.
     """
     start = node["depth"] - (len(runs[-1]) - 1)
     here = _run(nodes, node, runs[-1])
     if len(runs) == 1:
         return here & ((start == top) if anchored else (start >= top))
 
-    def place(state: Column, pre: Column) -> Column:
-        def at(x: Column) -> Column:
-            fits = F.lit(False)
-            for i, steps in reversed(list(enumerate(runs[:-1]))):
-                begin = x["depth"] - (len(steps) - 1)
-                room = (begin == top) if anchored and i == 0 else (begin > state["depth"])
-                fits = F.when(state["placed"] == i, room & _run(nodes, x, steps)).otherwise(fits)
-            return F.when(fits, F.struct((state["placed"] + 1).alias("placed"), x["depth"].alias("depth"))).otherwise(state)
-        return at(F.get(nodes, pre))
-
-    begin = F.struct(F.lit(0).alias("placed"), (top - 1).alias("depth"))
-    above = F.slice(node["anc"], 1, F.greatest(start, F.lit(0)))
-    return here & (F.aggregate(above, begin, place)["placed"] == len(runs) - 1)
+    def place(state: Column, _: Column) -> Column:
+        x = F.get(nodes, state["at"])
+        fits = F.lit(False)
+        for i, steps in enumerate(runs[:-1]):
+            begin = x["depth"] - (len(steps) - 1)
+            room = (begin == top) if anchored and i == 0 else (begin >= top)
+            fits = F.when(state["left"] == i + 1, (x["depth"] < state["under"]) & room & _run(nodes, x, steps)).otherwise(fits)
+        span = F.element_at(F.array(*(F.lit(len(steps)) for steps in runs[:-1])), F.greatest(state["left"], F.lit(1)))
+        return F.struct(
+            x["parent"].alias("at"), (state["left"] - fits.cast("int")).alias("left"),
+            F.when(fits, x["depth"] - span + 1).otherwise(state["under"]).alias("under"))
+
+    begin = F.struct(node["parent"].alias("at"), F.lit(len(runs) - 1).alias("left"), start.alias("under"))
+    climb = F.aggregate(F.sequence(F.lit(1), node["depth"]), begin, place, lambda s: s["left"] == 0)
+    return here & (node["depth"] > 0) & climb
 
 
 def select(nodes: Column, selector: Selector, scope: Column | None = None) -> Column:

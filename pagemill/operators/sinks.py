@@ -1,11 +1,18 @@
-"""Keyed, idempotent writes."""
+"""Keyed, idempotent writes.
+
+A NULL key is a key like others.  Of rows with one key the one with the least
+or greatest order counts, rows without an order after all others that have
+one; equal orders are decided by the rows' values.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fields of a vocabulary record and its initial status.
 VOCABULARY = ["name_chinese", "name_english", "phonetic", "status", "voice"]
@@ -14,38 +21,43 @@ NEW_STATUS = "undo"
 
 def _one_per_key(rows: DataFrame, key: str, order: str, last: bool) -> DataFrame:
     """First or last row per key as an aggregate, combined before the shuffle; a hot key costs one row per task."""
-    pick = F.max_by if last else F.min_by
     values = F.struct(*(c for c in rows.columns if c != key))
-    return rows.groupBy(key).agg(pick(values, F.col(order)).alias("_row")).select(key, "_row.*")
+    rank = F.struct(F.col(order).isNotNull() if last else F.col(order).isNull(), F.col(order), values)
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(key).agg(pick(values, rank).alias("_row")).select(key, "_row.*")
+
+
+def _keys(stored: DataFrame, key: str) -> DataFrame:
+    return stored.select(F.col(key).alias("_key"))
 
 
 def existing_keys(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Incoming rows whose key is stored (H4)."""
-    return incoming.join(stored.select(key), key, "left_semi")
+    return incoming.join(_keys(stored, key), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
 def missing_keys(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    return incoming.join(stored.select(key), key, "left_anti")
+    return incoming.join(_keys(stored, key), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
 
 
 def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """The rows to add: the first of each key not yet stored (B1).
 
-    Running it again with those rows stored adds nothing.  The order column
-    must decide between rows of one key.
+    Running it again with those rows stored adds nothing.
     """
     return missing_keys(_one_per_key(incoming, key, order, last=False), stored, key)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
-    """The table after writing the last row of each key over the stored fields (B2).
+    """The table after writing the last row of each key over the stored fields (B2): what ``KeyedStore.upsert`` stores.
 
     Fields absent from ``incoming`` keep their value; a given NULL overwrites.
     ``inserted`` marks the keys that were not there before.
     """
-    last = _one_per_key(incoming, key, order, last=True).withColumn("_given", F.lit(True))
+    last = _one_per_key(incoming, key, order, last=True).withColumn("_given", F.lit(True)).withColumnRenamed(key, "_key")
     fields = [c for c in incoming.columns if c not in (key, order)]
-    both = stored.withColumn("_stored", F.lit(True)).alias("s").join(last.alias("u"), key, "full_outer")
+    both = stored.withColumn("_stored", F.lit(True)).alias("s").join(
+        last.alias("u"), F.col(f"s.{key}").eqNullSafe(F.col("u._key")), "full_outer")
 
     def merged(name: str) -> Column:
         if name not in fields:
@@ -55,7 +67,73 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> Data
         return F.when(F.col("_given"), F.col(f"u.{name}")).otherwise(F.col(f"s.{name}")).alias(name)
 
     names = [c for c in stored.columns if c != key] + [c for c in fields if c not in stored.columns]
-    return both.select(key, *(merged(n) for n in names), F.col("_stored").isNull().alias("inserted"))
+    keys = F.when(F.col("_stored"), F.col(f"s.{key}")).otherwise(F.col("u._key")).alias(key)
+    return both.select(keys, *(merged(n) for n in names), F.col("_stored").isNull().alias("inserted"))
+
+
+class KeyedStore:
+    """A stored table with one row per key, in versions of its buckets.
+
+    Keys are dealt to a fixed number of buckets by hash.  A write reads the
+    buckets of the incoming keys only and writes each of them as a new
+    version, ``data/bucket=B/version=V``; then it adds a row per rewritten
+    bucket to ``switches/version=V``, which is one file moved into place as a
+    whole.  Readers take, of each bucket, the last version that was switched
+    to, so a write that breaks off leaves the table as it was, and its folders
+    are not read by anyone.  One writer at a time; the same write again
+    changes nothing but the version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        self.full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
+
+    def _current(self) -> DataFrame:
+        """bucket, version: what is to be read."""
+        kind = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+        try:
+            switches = self.spark.read.schema(kind).parquet(f"{self.path}/switches")
+        except AnalysisException:  # nothing is stored yet
+            return self.spark.createDataFrame([], kind)
+        return switches.groupBy("bucket").agg(F.max("version").alias("version"))
+
+    def rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """The stored rows, of all buckets or of some; only the folders of their versions are read."""
+        # one row per bucket, whose number is fixed
+        parts = [(r.bucket, r.version) for r in self._current().collect() if buckets is None or r.bucket in buckets]
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        chosen = F.lit(False)
+        for bucket, version in parts:
+            chosen = chosen | ((F.col("bucket") == bucket) & (F.col("version") == version))
+        return self.spark.read.schema(self.full).parquet(f"{self.path}/data").where(chosen).select(*self.schema.names)
+
+    def _write(self, changed: Callable[[DataFrame, DataFrame], DataFrame], incoming: DataFrame) -> list[int]:
+        touched = sorted(r.bucket for r in incoming.select(self._bucket().alias("bucket")).distinct().collect())
+        if not touched:
+            return []
+        version = 1 + max((r.version for r in self._current().collect()), default=-1)
+        new = changed(self.rows(touched), incoming).select(*self.schema.names)
+        (new.withColumn("bucket", self._bucket()).withColumn("version", F.lit(version).cast("long"))
+         .repartition("bucket", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(8))).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic")  # of this version, should an earlier attempt have left some
+         .partitionBy("bucket", "version").parquet(f"{self.path}/data"))
+        (self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite")
+         .parquet(f"{self.path}/switches/version={version}"))
+        return touched
+
+    def insert(self, incoming: DataFrame, order: str) -> list[int]:
+        """Add the first row of each key that isn't stored (B1); the buckets that were rewritten."""
+        def changed(stored: DataFrame, rows: DataFrame) -> DataFrame:
+            return stored.unionByName(insert_if_absent(stored, rows, self.key, order), allowMissingColumns=True)
+        return self._write(changed, incoming)
+
+    def upsert(self, incoming: DataFrame, order: str) -> list[int]:
+        """Write the last row of each key over the stored fields (B2); the buckets that were rewritten."""
+        return self._write(lambda stored, rows: upsert(stored, rows, self.key, order), incoming)
 
 
 def vocabulary_documents(words: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.functions.urls import BINARY_SUFFIXES, STATIC_PAGE_QUERIES
+from pagemill.operators.links import ANCHOR
+
 Job = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Job] = {}
@@ -39,6 +42,12 @@ def sql_squeeze(x: str) -> str:
     return rf"regexp_replace({x}, '[\s\p{{Z}}]+', '', 'g')"
 
 
+def sql_ascii(x: str) -> str:
+    """Characters beyond ASCII as numeric references."""
+    return (f"list_aggregate(list_transform(string_split({x}, ''), lambda c: case when unicode(c) > 127 "
+            "then '&#' || unicode(c) || ';' else c end), 'string_agg', '')")
+
+
 _URL = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
@@ -47,16 +56,19 @@ def sql_part(url: str, i: int) -> str:
     return f"regexp_extract({url}, '{_URL}', {i})"
 
 
+def sql_list(values: list[str]) -> str:
+    return ",".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
 def sql_binary(url: str) -> str:
     path = f"split_part({sql_part(url, 3)}, ';', 1)"
-    return (f"(list_last(string_split(lower({path}), '.')) in ('exe','doc','docx','xls','xlsx','ppt','pptx','pdf','jpg',"
-            "'png','bmp','jpeg','gif','zip','rar','tar','bz2','7z','gz','flv','mp4','avi','wmv','mkv','apk'))")
+    return f"(list_last(string_split(lower({path}), '.')) in ({sql_list(BINARY_SUFFIXES)}))"
 
 
 def sql_clean_url(url: str) -> str:
     kept = (f"array_to_string(list_filter(string_split({sql_part(url, 4)}, '&'), lambda q: contains(q, '=') "
             "and not starts_with(q, 'spm') and not starts_with(q, 'utm_')), '&')")
-    marks = " or ".join(f"contains({url}, '{m}')" for m in (".html?", ".htm?", ".shtml?", ".shtm?"))
+    marks = " or ".join(f"contains({url}, '{m}')" for m in STATIC_PAGE_QUERIES)
     return f"""case when not starts_with({url}, 'http') then null
         when {marks} then split_part({url}, '?', 1)
         when {sql_binary(url)} then null
@@ -67,7 +79,7 @@ def sql_clean_url(url: str) -> str:
 
 # Root of a stored page's URL; all references in the stored pages start with /.
 SQL_ROOT = r"regexp_extract(url, '^[a-z]+://[^/?#]*', 0)"
-SQL_ANCHOR = r"""'(?is)<a[^>]*?href=[''"]?([^> ''"]+)[^>]*?>(.*?)</a>'"""
+SQL_ANCHOR = "'" + ANCHOR.replace("'", "''") + "'"
 SQL_PAGE_LINKS = f"""
   select distinct page_id, link from (
     select page_id, {sql_clean_url('ref')} as link from (

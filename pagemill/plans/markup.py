@@ -4,22 +4,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.common import let
 from pagemill.functions.text import regex_single
 from pagemill.operators import content as c
-from pagemill.operators.fields import (KINDS, Field, attr_field, attr_text_field, html_field, markup, subtree,
-                                       text_content, text_field)
+from pagemill.operators.fields import (Field, ascii_markup, attr_field, attr_text_field, html_field, markup,
+                                       pretty_markup, subtree, text_content, text_field)
 from pagemill.operators.items import ItemSpec, page_items, scope_errors, scope_items
-from pagemill.operators.links import absolute_attrs
+from pagemill.operators.links import absolute_attrs, base_url
 from pagemill.operators.select import Step, descend, find_all, select
-from pagemill.plans.catalog import SQL_NAV, SQL_ROOT, query, sql_decode, sql_part, sql_squeeze, sql_strip
-from pagemill.plans.scans import SQL_RULES
-from pagemill.sources.nodes import is_element, node_table, parse_nodes, register_sql
+from pagemill.plans.catalog import SQL_NAV, SQL_ROOT, query, sql_ascii, sql_decode, sql_part, sql_squeeze, sql_strip
+from pagemill.plans.scans import SQL_RULES, site_rules
+from pagemill.sources.nodes import contained, is_element, node_table, parse_nodes, register_sql
 from pagemill.sources.pages import table
-from pagemill.sources.rules import Rule, extract_by_rule, host_rules, rule_page_join
+from pagemill.sources.rules import extract_by_rule, rule_page_join
 from pagemill.streaming import ingest
 
 
@@ -40,7 +39,7 @@ SQL_TAGS = "(select page_id, unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0
 
 @query("nodes_tag_counts", f"select tag, count(*) as n from {SQL_TAGS} group by tag")
 def nodes_tag_counts(spark, sf_dir):
-    rows = node_table(table(spark, sf_dir, "pages").select("page_id", "html"))
+    rows = node_table(table(spark, sf_dir, "pages").select("html"), ["tag"])
     return rows.where(~F.col("tag").isin("#text", "#comment")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
@@ -48,8 +47,8 @@ def nodes_tag_counts(spark, sf_dir):
 def nodes_in_sql(spark, sf_dir):
     register_sql(spark)
     return spark.sql("""
-        SELECT n.tag, count(*) AS n FROM {pages} p, LATERAL page_nodes(p.html) n
-        WHERE n.tag NOT IN ('#text', '#comment') GROUP BY n.tag""", pages=table(spark, sf_dir, "pages").select("html"))
+        SELECT tag, count(*) AS n FROM (SELECT inline(n.nodes) FROM {pages} p, LATERAL page_nodes(p.html) n)
+        WHERE tag NOT IN ('#text', '#comment') GROUP BY tag""", pages=table(spark, sf_dir, "pages").select("html"))
 
 
 @query("find_all", f"select page_id, href, txt from ({SQL_NAV}) where regexp_matches(href, '[aeiou]n$')")
@@ -161,6 +160,34 @@ def regex_subtree(spark, sf_dir):
         "page_id", regex_single(F.col("nav"), r'<a href="([^"]*)">').alias("first_href"))
 
 
+@query("regex_subtree_forms", f"""
+  select page_id, regexp_extract(form, '</h1>(.*)$', 1) as tail, regexp_extract(form, '^<h1>([^<]*)</h1>', 1) as heading,
+         pretty from (select page_id, {sql_ascii("regexp_extract(html, '(?s)<h1>[^<]*</h1>', 0)")} as form,
+    '<li>' || chr(10) || ' <a href="' || regexp_extract(html, '<li><a href="([^"]*)">', 1) || '">' || chr(10) || '  '
+      || {sql_strip("regexp_extract(html, '<li><a href=[^>]*>([^<]*)<', 1)")} || chr(10) || ' </a>' || chr(10) || '</li>' || chr(10) as pretty from pages)""")
+def regex_subtree_forms(spark, sf_dir):
+    """An element with its tail, characters beyond ASCII as references; and an element on indented lines."""
+    def first(tag, take):
+        return let(F.get(select(nodes(), find_all(tag)), F.lit(0)), take)
+
+    form = ascii_markup(first("h1", lambda x: markup(nodes(), x)))
+    rows = parsed(spark, sf_dir).select("page_id", form.alias("form"), first("li", lambda x: pretty_markup(nodes(), x)).alias("pretty"))
+    return rows.select("page_id", regex_single(F.col("form"), "</h1>(.*)$").alias("tail"),
+                       regex_single(F.col("form"), "^<h1>([^<]*)</h1>").alias("heading"), "pretty")
+
+
+# pages whose attributes hold stray quotes
+@query("stray_quotes", f"""
+  select page_id, href, 'it''s' as title, {sql_squeeze('txt')} as txt from ({SQL_NAV})""")
+def stray_quotes(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    odd = F.regexp_replace("html", '<a href="([^"]*)">', "<a href=\"$1\"\" title=it's>")
+    spec = ItemSpec(scope=descend(Step("nav"), Step("li")), fields={
+        "href": attr_field("href", descend(Step("a")), many=False), "title": attr_field("title", descend(Step("a")), many=False),
+        "txt": text_field(find_all("a"), many=False)})
+    return scope_items(parse_nodes(pages.select("page_id", odd.alias("html"))), spec).select("page_id", "href", "title", "txt")
+
+
 @query("field_modes", f"""
   select page_id, max(href) filter (pos = 1) as first, count(*) as n, 'none' as soup_default,
          '' as tree_default, 'nothing matched for text' as soup_error, 'nothing matched for text' as tree_error,
@@ -251,8 +278,7 @@ def _text_length(field, nodes, x):
 @query("custom_field", f"""
   select page_id, {sql_decode("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}.length()::varchar as n from pages""")
 def custom_field(spark, sf_dir):
-    KINDS["text_length"] = _text_length
-    heading = Field("text_length", find_all("h1"), many=False)
+    heading = Field(_text_length, find_all("h1"), many=False)
     return parsed(spark, sf_dir).select("page_id", heading.extract(nodes())["value"].alias("n"))
 
 
@@ -262,29 +288,26 @@ def custom_field(spark, sf_dir):
   union all select page_id, 'article', 'p', len(regexp_extract_all(html, '<p>')) from pages
   union all select page_id, 'p', 'b', len(regexp_extract_all(html, '<b>')) from pages where contains(html, '<b>')""")
 def containment(spark, sf_dir):
-    """Ancestor pairs by the equi-key (page, ancestor), looked up in the page's own row."""
-    inner = F.filter(nodes(), lambda x: x["tag"].isin("li", "a", "p", "b"))
-    pairs = F.flatten(F.transform(inner, lambda x: F.transform(x["anc"], lambda a: F.struct(
-        F.get(nodes(), a)["tag"].alias("outer_tag"), x["tag"].alias("inner_tag")))))
-    rows = parsed(spark, sf_dir).select("page_id", F.inline(pairs))
+    rows = node_table(table(spark, sf_dir, "pages").select("page_id", "html"), ["pre", "last", "tag"])
+    outer = rows.where(F.col("tag").isin("ul", "nav", "article", "p")).select("page_id", "pre", "last", "tag")
+    pairs = contained(rows.where(F.col("tag").isin("li", "a", "p", "b")).select("page_id", "pre", F.col("tag").alias("inner_tag")), outer)
     wanted = F.concat_ws(" ", "outer_tag", "inner_tag").isin("ul li", "nav a", "article p", "p b")
-    return rows.where(wanted).groupBy("page_id", "outer_tag", "inner_tag").agg(F.count("*").alias("n"))
+    return pairs.where(wanted).groupBy("page_id", "outer_tag", "inner_tag").agg(F.count("*").alias("n"))
 
 
 @query("first_match", f"select page_id, href from ({SQL_NAV}) where pos = 1")
 def first_match(spark, sf_dir):
-    rows = node_table(table(spark, sf_dir, "pages").select("page_id", "html"))
-    return rows.where(F.col("tag") == "a").groupBy("page_id").agg(
-        F.min_by(F.col("attrs")["href"], F.col("pre")).alias("href"))
+    found = F.transform(F.slice(F.filter(nodes(), lambda x: x["tag"] == "a"), 1, 1), lambda x: x["attrs"]["href"])
+    return parsed(spark, sf_dir).select("page_id", F.explode(found).alias("href"))
 
 
 @query("nth_of_type", f"""
   select page_id, 'li' as tag, pos::int as nth from ({SQL_NAV})
   union all select page_id, 'p', i::int from pages, lateral (select unnest(range(1, len(regexp_extract_all(html, '<p>')) + 1)) as i)""")
 def nth_of_type(spark, sf_dir):
-    rows = node_table(table(spark, sf_dir, "pages").select("page_id", "html")).where(F.col("tag").isin("li", "p"))
-    rank = F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("pre"))
-    return rows.select("page_id", "tag", rank.alias("nth"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    wanted = F.filter(nodes(), lambda x: x["tag"].isin("li", "p"))
+    return parse_nodes(pages, ["tag", "nth"]).select("page_id", F.inline(wanted))
 
 
 @query("page_title", f"select page_id, {_TITLE} as title from pages")
@@ -449,6 +472,28 @@ def absolute_links(spark, sf_dir):
     return parsed(spark, sf_dir, "url").select("page_id", F.explode(found).alias("href"))
 
 
+@query("absolute_all_links", f"""
+  select page_id, 'a' as tag, 'href' as name, {SQL_ROOT} || '/sub/' || href[2:] as value from ({SQL_NAV})
+  union all select page_id, 'div', 'style', 'background:url(' || {SQL_ROOT} || '/sub/i.png) red' from pages
+  union all select page_id, 'div', 'archive', {SQL_ROOT} || '/sub/a ' || {SQL_ROOT} || '/b' from pages
+  union all select page_id, 'meta', 'content', '5; url=' || {SQL_ROOT} || '/sub/next' from pages""")
+def absolute_all_links(spark, sf_dir):
+    """All kinds of references, relative to the page's base."""
+    extra = F.concat(F.lit("<head><base href='/sub/'><meta http-equiv='Refresh' content='5; url=next'></head>"),
+                     F.lit("<body><div style='background:url(i.png) red' archive='a /b'></div>"))
+    links = F.array_join(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)">'), F.lit(1)), '">x</a><a href="')
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(extra, F.lit('<a href="'), links, F.lit('">x</a>')).alias("html"))
+
+    def found(base):
+        elements = F.filter(nodes(), lambda x: x["tag"].isin("a", "div", "meta") & (F.size(x["attrs"]) > 0))
+        entries = F.flatten(F.transform(elements, lambda x: F.transform(
+            F.map_entries(absolute_attrs(base, x["attrs"], x["tag"])), lambda e: F.struct(
+                x["tag"].alias("tag"), e["key"].alias("name"), e["value"].alias("value")))))
+        return F.filter(entries, lambda e: e["name"].isin("href", "style", "archive", "content"))
+
+    return parse_nodes(pages).select("page_id", F.inline(let(base_url(F.col("url"), nodes()), found)))
+
+
 @query("stage_outputs", f"""
   select page_id, 'record' as kind, {_TITLE} as value from pages
   union all select page_id, 'link', {SQL_ROOT} || href from ({SQL_NAV})""")
@@ -467,14 +512,9 @@ def stage_outputs(spark, sf_dir):
   union all select page_id, category, {sql_squeeze(sql_decode("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))}, null
     from pages join ruled using (page_id) where category = 'notice'""")
 def rule_extract(spark, sf_dir):
-    """Each category of sites has its own selectors."""
-    rules = {name: Rule("any", name, "", "", (selector,)) for name, selector in (
-        ("news", attr_text_field("href", descend(Step("nav"), Step("li"), Step("a")))),
-        ("words", attr_field("href", find_all("a"), many=False)),
-        ("notice", text_field(find_all(["h1", "h2"]))))}
-    pages = table(spark, sf_dir, "pages")
-    ruled = rule_page_join(pages, host_rules(pages).select("site", "category", "url"))
-    return extract_by_rule(parse_nodes(ruled.select("page_id", "category", "html")), "category", rules, stage=0)
+    """Each category of sites has its own selectors, which are data of the registry."""
+    ruled = rule_page_join(table(spark, sf_dir, "pages"), site_rules(spark, sf_dir))
+    return extract_by_rule(parse_nodes(ruled.select("page_id", "category", "fields", "html")), stage=0)
 
 
 @query("stream_main_content", SQL_MAIN)

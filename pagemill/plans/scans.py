@@ -11,10 +11,13 @@ from pagemill.functions import jsonpath, text, urls
 from pagemill.functions.common import squeeze_ws
 from pagemill.operators import json_items
 from pagemill.operators.attempts import is_ok
+from pagemill.operators.fields import attr_field, attr_text_field, text_field
 from pagemill.operators.links import extract_links, page_links
+from pagemill.operators.select import Step, descend, find_all
 from pagemill.plans.catalog import (SQL_PAGE_LINKS, query, sql_binary, sql_clean_url, sql_part, sql_squeeze)
 from pagemill.sources.pages import cookie_map, page_records, table
-from pagemill.sources.rules import host_rules, seed_frontier
+from pagemill.sources.rules import Rule, host_rules, rule_table, seed_frontier
+from pagemill.sources.shared import shared_dir, written
 
 SQL_RULES = f"""
   select min(page_id) as rule_id, site,
@@ -32,9 +35,26 @@ def page_scan(spark, sf_dir):
         "page_id", "url", "method", "status", F.length("html").cast("bigint").alias("n_chars"))
 
 
-@query("rule_registry", SQL_RULES)
+# the field of each category of sites
+SITE_FIELDS = {
+    "news": attr_text_field("href", descend(Step("nav"), Step("li"), Step("a"))),
+    "words": attr_field("href", find_all("a"), many=False),
+    "notice": text_field(find_all(["h1", "h2"])),
+}
+
+
+def site_rules(spark, sf_dir):
+    """One rule per host with its category's field, stored as a registry is."""
+    kinds = rule_table(spark, [Rule("any", name, "", "", (field,)) for name, field in SITE_FIELDS.items()])
+    rules = host_rules(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return written(rules.join(F.broadcast(kinds.select("category", "fields")), "category"), shared_dir(spark, "rules"))
+
+
+@query("rule_registry", f"""
+  select rule_id, site, category, subcategory, url,
+         case category when 'news' then 'attr_text' when 'words' then 'attr' else 'text' end as kind from ({SQL_RULES})""")
 def rule_registry(spark, sf_dir):
-    return host_rules(table(spark, sf_dir, "pages"))
+    return site_rules(spark, sf_dir).select("rule_id", "site", "category", "subcategory", "url", F.get("fields", F.lit(0))["kind"].alias("kind"))
 
 
 @query("seed_frontier", f"select url, 'GET' as method, 'parse' as stage, rule_id, site, category, subcategory "
@@ -131,7 +151,7 @@ _HEADLINE = """case o_orderpriority when '1-URGENT' then 'order 更多 ' when '2
 
 @query("headline_filter", f"""
   select o_orderkey, headline from (select o_orderkey, {_HEADLINE} as headline from orders)
-  where not regexp_matches(headline, '【详情】|【详细】|更多') and not contains(headline, chr(10))""")
+  where not regexp_matches(headline, '{"|".join(text.HEADLINE_MARKERS)}') and not contains(headline, chr(10))""")
 def headline_filter(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_HEADLINE} as headline")
     return orders.where(text.is_headline(F.col("headline")))
@@ -150,7 +170,7 @@ _DATED = """'posted ' || case event_type when 'view' then strftime(ts, '%Y-%m-%d
 
 @query("date_extract", f"""
   select event_id, written, case when event_type in ('view', 'click', 'purchase') then day end as day from (
-    select event_id, event_type, nullif(regexp_extract({_DATED}, '20[0-9]{{2}}[-年/][01]?[0-9][-月/][0123]?[0-9]日?', 0), '')
+    select event_id, event_type, nullif(regexp_extract({_DATED}, '{text.DATE_PATTERN}', 0), '')
              as written, strftime(ts, '%Y-%m-%d') as day from events)""")
 def date_extract(spark, sf_dir):
     kind = F.col("event_type")
@@ -186,7 +206,7 @@ def binary_link_filter(spark, sf_dir):
 
 
 @query("suffix_class", f"""
-  select doc_id, case when regexp_matches(lower(url), '\\.(doc|docx|xls|xlsx|ppt|pptx|pdf|zip|rar|tar|bz2|7z|gz)$') then 'file'
+  select doc_id, case when regexp_matches(lower(url), '({"|".join(x.replace(".", "[.]") for x in urls.FILE_SUFFIXES)})$') then 'file'
          when regexp_matches(lower(url), '\\.(html|htm|shtml|shtm)$') then 'page' else 'none' end as kind
   from (select doc_id, {_FILE_URL} as url from documents)""")
 def suffix_class(spark, sf_dir):

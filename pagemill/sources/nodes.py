@@ -2,16 +2,17 @@
 
 Spark ships no HTML parser, so one small executor-side helper turns a page into
 an array of nodes; everything after that is Spark expressions.  The array is
-indexed by ``pre`` (document order), which makes parent, ancestor and subtree
-lookups plain array indexing, so selection and scoring stay inside the page's
-own row and need no shuffle.
+indexed by ``pre`` (document order): parents, children and subtrees are found
+by index, and a node lies inside another exactly when its ``pre`` is in
+(pre, last], so selection and scoring stay inside the page's own row and need
+no shuffle.  A node takes a fixed number of entries however deep it lies.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from html.entities import name2codepoint
 from itertools import chain
 
@@ -27,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TEXT = "#text"
 COMMENT = "#comment"
+INSTRUCTION = "#instruction"
 
 NODE_TYPE = T.StructType([
     T.StructField("pre", T.IntegerType()),      # document order, also the array index
@@ -35,10 +37,11 @@ NODE_TYPE = T.StructType([
     T.StructField("prev", T.IntegerType()),     # previous sibling, -1 for the first child
     T.StructField("depth", T.IntegerType()),
     T.StructField("nth", T.IntegerType()),      # position among siblings of the same tag
-    T.StructField("tag", T.StringType()),       # element name, #text or #comment
-    T.StructField("text", T.StringType()),      # content of #text and #comment nodes
+    T.StructField("child", T.IntegerType()),    # last child, -1 without children
+    T.StructField("kids", T.IntegerType()),     # number of children
+    T.StructField("tag", T.StringType()),       # element name, #text, #comment or #instruction
+    T.StructField("text", T.StringType()),      # content of the nodes that are no elements
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("anc", T.ArrayType(T.IntegerType())),  # root .. parent
 ])
 
 # HTML element classes.
@@ -55,21 +58,21 @@ ROW_GROUPS = frozenset(["thead", "tbody", "tfoot"])
 # An end tag does not reach past an open element of a higher level.
 END_LEVEL = {"div": 1, "td": 2, "th": 2, "tr": 3, "thead": 4, "tbody": 4, "tfoot": 4, "table": 5,
              "head": 6, "body": 6, "html": 7}
-# Deeper elements become siblings, so no text is lost.  A page that spends its
-# budget of ancestor entries (tens of thousands of unclosed tags) goes on with
-# the lower depth, which keeps any page's row small enough to handle.
-MAX_DEPTH, LOW_DEPTH = 255, 32
-ANCESTOR_BUDGET = 1 << 24
 
+# A quote opens a value right after "=" only, and only if it is closed again; elsewhere it is a character like others.
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)"
+_NAME = r"[^\s/>][^\s/>=]*+"
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>",
+    r"|<\?(?P<instruction>[^>]*)>"
+    r"|<![^>]*>"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)>",
     re.S)
-_ATTR = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
+_ODD_NAME = re.compile("[\"'<]")
 _EMPTY_TAG = re.compile(r"(?:^|[\s\"'])/$")
+_OPEN_COMMENT = re.compile(r"<!--(?P<comment>.*)", re.S)
 _RAW_END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW_TEXT}
-_CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f]")
 
 
 def _closed_by(open_tag: str, new_tag: str) -> bool:
@@ -113,31 +116,30 @@ class _PageTree:
 
     def __init__(self) -> None:
         self.pre, self.last, self.parent, self.prev, self.depth, self.nth = [], [], [], [], [], []
-        self.tag, self.text, self.attrs, self.anc = [], [], [], []
+        self.child, self.kids = [], []
+        self.tag, self.text, self.attrs = [], [], []
         self.open: list[int] = []
-        self.path: tuple[int, ...] = ()   # the open nodes, shared by all children of one node
-        self.entries = 0                  # ancestor entries so far
-        self.child: list[int] = []        # last child of each open node
         self.counts: list[dict] = []      # children per tag of each open node
-        self.has_body = False
+        self.places: dict[str, list[int]] = {}                # where on the stack each tag is open
+        self.barriers: list[list[int]] = [[] for _ in range(max(END_LEVEL.values()) + 1)]  # the same by level
+        self.has_head = self.has_body = False
 
     def add(self, tag: str, text: str | None = None, attrs: dict | None = None) -> int:
-        if self.entries > ANCESTOR_BUDGET:
-            while len(self.open) > LOW_DEPTH:
-                self.pop()
-        self.entries += len(self.path)
         pre = len(self.pre)
         self.pre.append(pre)
         self.last.append(pre)
+        self.child.append(-1)
+        self.kids.append(0)
         self.tag.append(tag)
         self.text.append(text)
         self.attrs.append(list(attrs.items()) if attrs else [])
-        self.anc.append(self.path)
         self.depth.append(len(self.open))
         if self.open:
-            self.parent.append(self.open[-1])
-            self.prev.append(self.child[-1])
-            self.child[-1] = pre
+            parent = self.open[-1]
+            self.parent.append(parent)
+            self.prev.append(self.child[parent])
+            self.child[parent] = pre
+            self.kids[parent] += 1
             nth = self.counts[-1].get(tag, 0) + 1
             self.counts[-1][tag] = nth
         else:
@@ -148,18 +150,21 @@ class _PageTree:
         return pre
 
     def push(self, tag: str, attrs: dict | None = None) -> None:
-        pre = self.add(tag, attrs=attrs)
-        if len(self.open) < (MAX_DEPTH if self.entries <= ANCESTOR_BUDGET else LOW_DEPTH):
-            self.open.append(pre)
-            self.path += (pre,)
-            self.child.append(-1)
-            self.counts.append({})
+        self.has_head = self.has_head or (tag == "head" and len(self.open) == 1)
+        place = len(self.open)
+        self.places.setdefault(tag, []).append(place)
+        if tag in END_LEVEL:
+            self.barriers[END_LEVEL[tag]].append(place)
+        self.open.append(self.add(tag, attrs=attrs))
+        self.counts.append({})
 
     def pop(self) -> None:
-        self.last[self.open.pop()] = len(self.pre) - 1
-        self.path = self.path[:-1]
-        self.child.pop()
+        pre = self.open.pop()
+        self.last[pre] = len(self.pre) - 1
         self.counts.pop()
+        self.places[self.tag[pre]].pop()
+        if self.tag[pre] in END_LEVEL:
+            self.barriers[END_LEVEL[self.tag[pre]]].pop()
 
     def top(self) -> str | None:
         return self.tag[self.open[-1]] if self.open else None
@@ -171,7 +176,7 @@ class _PageTree:
         if tag in ("html", "head", "body", "frameset") or self.has_body:
             return
         if tag in HEAD_ONLY:
-            if self.top() == "html" and not any(self.tag[c] == "head" for c in self._children(0)):
+            if self.top() == "html" and not self.has_head:
                 self.push("head")
             return
         if any(self.tag[i] not in ("html", "head") for i in self.open):
@@ -181,12 +186,6 @@ class _PageTree:
         self.push("body")
         self.has_body = True
 
-    def _children(self, pre: int) -> Iterator[int]:
-        child = self.child[self.open.index(pre)]
-        while child >= 0:
-            yield child
-            child = self.prev[child]
-
     def start(self, tag: str, attrs: dict, empty: bool) -> None:
         if tag in ("html", "body") and (self.has_body if tag == "body" else bool(self.open)):
             target = self.tag.index(tag)
@@ -208,15 +207,10 @@ class _PageTree:
     def end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return  # what follows still belongs to the body
-        level = END_LEVEL.get(tag, 0)
-        for at in range(len(self.open) - 1, -1, -1):
-            name = self.tag[self.open[at]]
-            if name == tag:
-                while len(self.open) > at:
-                    self.pop()
-                return
-            if END_LEVEL.get(name, 0) > level:
-                return
+        at = (self.places.get(tag) or [-1])[-1]
+        if at > max((b[-1] for b in self.barriers[END_LEVEL.get(tag, 0) + 1:] if b), default=-1):
+            while len(self.open) > at:
+                self.pop()
 
     def characters(self, text: str) -> None:
         if not text:
@@ -227,33 +221,38 @@ class _PageTree:
             self.imply("p")
             if self.top() != "p":
                 self.push("p")
-        if self.child and self.child[-1] >= 0 and self.tag[self.child[-1]] == TEXT:
-            self.text[self.child[-1]] += text
+        before = self.child[self.open[-1]] if self.open else -1
+        if before >= 0 and self.tag[before] == TEXT:
+            self.text[before] += text
         else:
             self.add(TEXT, text)
 
-    def comment(self, text: str) -> None:
-        if self.open:  # comments before the root are not part of the tree
-            self.add(COMMENT, text)
+    def aside(self, kind: str, text: str) -> None:
+        if self.open:  # what stands before the root is not part of the tree
+            self.add(kind, text)
 
 
 def parse_page(html: str) -> _PageTree:
     """Tolerant tree building: implied ends, stray end tags and raw text handled."""
-    tree, at, size = _PageTree(), 0, len(html)
-    html = _CONTROL.sub("", html) if _CONTROL.search(html) else html
-    size = len(html)
+    tree, at = _PageTree(), 0
+    html = html.replace("\0", "")  # parsers of HTML drop this character and no other
+    size, last_end = len(html), html.rfind(">")
     while at < size:
-        token = _TOKEN.search(html, at)
+        token = _TOKEN.search(html, at) if at <= last_end else _OPEN_COMMENT.search(html, at)
         if token is None:
             tree.characters(unescape(html[at:]))
             break
         if token.start() > at:
             tree.characters(unescape(html[at:token.start()]))
+        if at > last_end:
+            tree.aside(COMMENT, token["comment"])
+            break
         at = token.end()
         tag = token["tag"]
         if tag is None:
-            if token["comment"] is not None:
-                tree.comment(token["comment"])
+            for kind, name in ((COMMENT, "comment"), (INSTRUCTION, "instruction")):
+                if token[name] is not None:
+                    tree.aside(kind, token[name])
             continue
         tag = tag.lower()
         if token["end"]:
@@ -261,9 +260,10 @@ def parse_page(html: str) -> _PageTree:
             continue
         attrs: dict[str, str] = {}
         for name, value in _ATTR.findall(token["attrs"]):
-            if value[:1] in ("'", '"'):
+            if value[:1] in ("'", '"') and len(value) > 1 and value[-1] == value[0]:
                 value = value[1:-1]
-            attrs.setdefault(name.lower(), unescape(value))
+            if not _ODD_NAME.search(name):
+                attrs.setdefault(name.lower(), unescape(value))
         empty = _EMPTY_TAG.search(token["attrs"]) is not None
         tree.start(tag, attrs, empty)
         if tag in RAW_TEXT and not empty:
@@ -278,43 +278,44 @@ def parse_page(html: str) -> _PageTree:
 
 
 _ROWS_PER_BATCH = 64       # pages per Arrow batch handed back,
-_CHARS_PER_BATCH = 1 << 23  # or fewer when the pages are long or deep
+_CHARS_PER_BATCH = 1 << 23  # or fewer when the pages are long
 
 
 def _offsets(lengths: Iterable[int]) -> pa.Array:
     return pa.array(np.cumsum([0, *lengths], dtype=np.int64).astype(np.int32))
 
 
-def _node_arrays(trees: list[_PageTree]) -> pa.ListArray:
+def _node_arrays(trees: list[_PageTree], names: Sequence[str]) -> pa.ListArray:
     """The trees' columns as one Arrow list of structs, built flat."""
-    def flat(name: str) -> list:
-        return list(chain.from_iterable(getattr(t, name) for t in trees))
-
-    columns = {n: pa.array(np.array(flat(n), np.int32)) for n in ("pre", "last", "parent", "prev", "depth", "nth")}
-    columns |= {n: pa.array(flat(n), pa.string()) for n in ("tag", "text")}
-    attrs, paths = flat("attrs"), flat("anc")
-    pairs = list(chain.from_iterable(attrs))
-    columns["attrs"] = pa.MapArray.from_arrays(
-        _offsets(map(len, attrs)), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
-    columns["anc"] = pa.ListArray.from_arrays(
-        _offsets(map(len, paths)), pa.array(np.fromiter(chain.from_iterable(paths), np.int32)))
-    nodes = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    def column(name: str) -> pa.Array:
+        values = list(chain.from_iterable(getattr(t, name) for t in trees))
+        if name in ("tag", "text"):
+            return pa.array(values, pa.string())
+        if name != "attrs":
+            return pa.array(np.array(values, np.int32))
+        pairs = list(chain.from_iterable(values))
+        return pa.MapArray.from_arrays(_offsets(map(len, values)), pa.array([k for k, _ in pairs], pa.string()),
+                                       pa.array([v for _, v in pairs], pa.string()))
+
+    nodes = pa.StructArray.from_arrays([column(n) for n in names], list(names))
     return pa.ListArray.from_arrays(_offsets(len(t.pre) for t in trees), nodes)
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rest = [n for n in batch.schema.names if n != "html"]
-        html = batch.column("html")
-        start, trees, chars = 0, [], 0
-        for i in range(batch.num_rows):
-            source = html[i].as_py() or ""
-            trees.append(parse_page(source))
-            chars += len(source) + trees[-1].entries
-            if len(trees) == _ROWS_PER_BATCH or chars > _CHARS_PER_BATCH or i + 1 == batch.num_rows:
-                passed = [batch.column(n).slice(start, len(trees)) for n in rest]
-                yield pa.RecordBatch.from_arrays(passed + [_node_arrays(trees)], rest + ["nodes"])
-                start, trees, chars = i + 1, [], 0
+def _parser(names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = [n for n in batch.schema.names if n != "html"]
+            html = batch.column("html")
+            start, trees, chars = 0, [], 0
+            for i in range(batch.num_rows):
+                source = html[i].as_py() or ""
+                trees.append(parse_page(source))
+                chars += len(source)
+                if len(trees) == _ROWS_PER_BATCH or chars > _CHARS_PER_BATCH or i + 1 == batch.num_rows:
+                    passed = [batch.column(n).slice(start, len(trees)) for n in rest]
+                    yield pa.RecordBatch.from_arrays(passed + [_node_arrays(trees, names)], rest + ["nodes"])
+                    start, trees, chars = i + 1, [], 0
+    return parse
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -323,6 +324,8 @@ def spread(df: DataFrame) -> DataFrame:
     Judged by the planned size alone, nothing runs.  A large table has more
     splits than cores anyway and is left as it is: no shuffle.
     """
+    if not hasattr(df, "_jdf"):  # planned sizes aren't told to Connect clients
+        return df
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
@@ -332,46 +335,57 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores, *(keys or ["html"]))
 
 
-def parse_nodes(pages: DataFrame) -> DataFrame:
-    """Replace ``html`` by ``nodes``; project and filter pages before calling this."""
-    fields = [f for f in pages.schema.fields if f.name != "html"]
-    schema = T.StructType(fields + [T.StructField("nodes", T.ArrayType(NODE_TYPE))])
-    return spread(pages).mapInArrow(_parse_batches, schema)
+def _node_type(fields: Sequence[str] | None) -> T.StructType:
+    return NODE_TYPE if fields is None else T.StructType([NODE_TYPE[f] for f in fields])
+
+
+def parse_nodes(pages: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """Replace ``html`` by ``nodes``; project and filter pages before calling this.
+
+    ``fields`` names the node columns to hand over, where not all are wanted.
+    """
+    kept = [f for f in pages.schema.fields if f.name != "html"]
+    kind = _node_type(fields)
+    schema = T.StructType(kept + [T.StructField("nodes", T.ArrayType(kind))])
+    return spread(pages).mapInArrow(_parser(kind.names), schema)
 
 
-def node_table(pages: DataFrame) -> DataFrame:
+def node_table(pages: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     """One row per node, with the page's other columns."""
-    parsed = parse_nodes(pages)
+    parsed = parse_nodes(pages, fields)
     keep = [c for c in parsed.columns if c != "nodes"]
     return parsed.select(*keep, F.inline("nodes"))
 
 
 def contained(nodes: DataFrame, outer: DataFrame) -> DataFrame:
-    """Nodes with each node of ``outer`` (page_id, pre, ...) that encloses them (H5).
+    """Nodes with each node of ``outer`` (page_id, pre, last, ...) that encloses them (H5).
 
-    An equi-join on page and ancestor, for stored node tables; within one job
-    an expression over the page's own array needs no join.
+    An outer node names the places inside it, so this is an equi-join on page
+    and place that makes no row beyond the result.
     """
     keyed = outer.select("page_id", *(F.col(c).alias(f"outer_{c}") for c in outer.columns if c != "page_id"))
-    return nodes.withColumn("outer_pre", F.explode("anc")).join(keyed, ["page_id", "outer_pre"])
+    inside = keyed.where("outer_last > outer_pre").withColumn(
+        "pre", F.explode(F.sequence(F.col("outer_pre") + 1, F.col("outer_last"))))
+    return nodes.join(inside, ["page_id", "pre"])
 
 
 class _PageNodes:
-    """Row source for SQL: one page's nodes."""
+    """Row source for SQL: all nodes of one page, handed over as one array."""
 
     def eval(self, html: str):
         t = parse_page(html or "")
-        columns = [t.pre, t.last, t.parent, t.prev, t.depth, t.nth, t.tag, t.text, map(dict, t.attrs), map(list, t.anc)]
-        yield from zip(*columns)
+        columns = [getattr(t, n) for n in NODE_TYPE.names if n != "attrs"]
+        yield ([(*row, dict(a)) for *row, a in zip(*columns, t.attrs)],)
 
 
 def register_sql(spark: SparkSession, name: str = "page_nodes") -> None:
-    """Table function for SQL: ``SELECT ... FROM pages, LATERAL page_nodes(html)`` (M6u).
+    """Table function for SQL: ``SELECT inline(n.nodes) FROM pages, LATERAL page_nodes(html) n`` (M6u).
 
     Jobs over whole corpora use ``parse_nodes``, which hands over whole columns.
     """
-    spark.udtf.register(name, F.udtf(_PageNodes, returnType=NODE_TYPE, useArrow=True))
+    kind = T.StructType([T.StructField("nodes", T.ArrayType(NODE_TYPE))])
+    spark.udtf.register(name, F.udtf(_PageNodes, returnType=kind, useArrow=True))
 
 
 def is_element(node: Column) -> Column:
-    return ~node["tag"].isin(TEXT, COMMENT)
+    return ~node["tag"].isin(TEXT, COMMENT, INSTRUCTION)

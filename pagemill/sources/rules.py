@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.common import broadcast_if_small, let
+from pagemill.functions.common import let
 from pagemill.functions.urls import dated_url, url_host
 from pagemill.operators.fields import Field
+from pagemill.operators.links import request_url
+from pagemill.operators.rule_fields import FIELD_TYPE, field_row, field_values
 
 RULE_TYPE = T.StructType([
     T.StructField("rule_id", T.LongType()),
@@ -20,6 +22,7 @@ RULE_TYPE = T.StructType([
     T.StructField("category", T.StringType()),
     T.StructField("subcategory", T.StringType()),
     T.StructField("url", T.StringType()),
+    T.StructField("fields", T.ArrayType(FIELD_TYPE)),  # one per stage
 ])
 
 
@@ -38,11 +41,11 @@ class Rule:
 
 
 def rule_table(spark: SparkSession, rules: Iterable[Rule], run_date: dt.date | None = None) -> DataFrame:
-    """Rules as a table, numbered in the order given; equal rules stay separate.
+    """Rules as a table, their fields and selectors in it, numbered in the order given; equal rules stay separate.
 
     With a run date, ``%s`` in a URL becomes its year (F7).
     """
-    rows = [(i, r.site, r.category, r.subcategory, r.url) for i, r in enumerate(rules)]
+    rows = [(i, r.site, r.category, r.subcategory, r.url, [field_row(f) for f in r.selectors]) for i, r in enumerate(rules)]
     table = spark.createDataFrame(rows, RULE_TYPE)
     if run_date is not None:
         table = table.withColumn("url", dated_url(F.col("url"), run_date))
@@ -72,41 +75,35 @@ def seed_frontier(rules: DataFrame, default_url: str) -> DataFrame:
     return seeds.unionByName(empty)
 
 
-def rule_page_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages with the rule of their host; rules without a page and pages without a rule drop out.
+def rule_page_join(pages: DataFrame, rules: DataFrame, by: str = "host") -> DataFrame:
+    """Pages with each of their rules; rules without a page and pages without a rule drop out.
 
-    Measured rules are sent to the pages, so page texts stay where they are;
-    only a registry too large for that makes both sides shuffle.
-    """
-    keyed = pages.withColumn("_host", url_host(F.col("url")))
-    of_rule = broadcast_if_small(rules.withColumnRenamed("url", "rule_url"))
-    return keyed.join(of_rule, F.col("_host") == F.col("site")).drop("_host")
-
-
-def _uniform(field_: Field, nodes: Column) -> Column:
-    """Any field's values as array<struct(text, attr)>."""
-    value = field_.extract(nodes)["value"]
-    many = value if field_.is_many else let(value, lambda v: F.when(v.isNotNull(), F.array(v)))
-    nothing = F.lit(None).cast("string")
-
-    def pair(v: Column) -> Column:
-        if field_.kind == "attr_text":
-            return F.struct(v["text"].alias("text"), v["attr"].alias("attr"))
-        parts = (nothing, v) if field_.kind == "attr" else (v, nothing)
-        return F.struct(parts[0].alias("text"), parts[1].alias("attr"))
+    by="url": a rule is for the page it names, whatever the fragment.
+    by="host": a rule is for the pages of its site, or those of them whose URL
+    its ``pattern`` is found in, where the table has such a column.
 
-    return F.transform(many, pair)
-
-
-def extract_by_rule(parsed: DataFrame, key: str, rules: Mapping[str, Rule], stage: int) -> DataFrame:
-    """The stage's field of each page's own rule, one row per value.
-
-    One pass for all rules: a page evaluates the selector of its rule only.
-    Pages whose rule has no such stage give no rows.
+    A registry is a stored table of known size, so Spark sends it to the pages
+    when it is small; nothing runs while the query is built.
+    """
+    of_rule = rules.withColumnRenamed("url", "rule_url")
+    if by == "url":
+        keyed, key = pages.withColumn("_key", request_url(F.col("url"))), request_url(F.col("rule_url"))
+    else:
+        keyed, key = pages.withColumn("_key", url_host(F.col("url"))), F.col("site")
+    on = F.col("_key") == key
+    if by == "host" and "pattern" in rules.columns:
+        on = on & (F.col("pattern").isNull() | F.rlike(F.col("url"), F.col("pattern")))
+    return keyed.join(of_rule, on).drop("_key")
+
+
+def extract_by_rule(ruled: DataFrame, stage: int) -> DataFrame:
+    """The stage's field of each row's own rule, one row per value (text, attr).
+
+    ``ruled`` has nodes and the rule's ``fields``.  The selectors are data of
+    the row, so one expression serves any number of rules.  Rows whose rule
+    has no such stage give no rows.
     """
-    values = F.lit(None).cast("array<struct<text:string,attr:string>>")
-    for name, rule in rules.items():
-        if stage < len(rule.selectors):
-            values = F.when(F.col(key) == name, _uniform(rule.selectors[stage], F.col("nodes"))).otherwise(values)
-    keep = [c for c in parsed.columns if c != "nodes"]
-    return parsed.select(*keep, F.inline(values))
+    field = F.get("fields", F.lit(stage))
+    values = let(field, lambda f: F.when(f.isNotNull(), field_values(F.col("nodes"), f)))
+    keep = [c for c in ruled.columns if c not in ("nodes", "fields")]
+    return ruled.select(*keep, F.inline(values))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pagemill.operators.sinks import insert_if_absent
+from pagemill.sources.shared import shared_dir
 
 # Fixed value: the usual interval between runs.
 RUN_EVERY = "720 minutes"
@@ -23,32 +24,18 @@ PAGE_TYPE = T.StructType([
 ])
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster shares; a temporary one on a single machine only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="pagemill-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_new(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """Stream of the files below a folder that no run has taken yet; a single file is watched by name."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    place, files = _files(spark, path)
-    if files.isFile(place):
-        reader, path = reader.option("pathGlobFilter", place.getName()), place.getParent().toString()
+    folder, _, name = path.rstrip("/").rpartition("/")
+    found = [r.path for r in spark.read.format("binaryFile").load(path).select("path").limit(2).collect()]  # no content is read
+    if len(found) == 1 and found[0].endswith(f"/{name}"):
+        reader, path = reader.option("pathGlobFilter", name), folder
     return reader.parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def _paced(writer: DataStreamWriter, every: str | None) -> DataStreamWriter:
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
@@ -59,32 +46,48 @@ def run(stream: DataFrame, out: str, checkpoint: str, every: str | None = None)
                   .outputMode("append"), every).start()
 
 
-def absent_writer(out: str, key: str, order: str, schema: T.StructType) -> Callable[[DataFrame, int], None]:
+def absent_writer(out: str, key: str, order: str, schema: T.StructType,
+                  stream_id: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that inserts unseen keys (K2).
 
-    Every batch owns a folder and overwrites it, and compares itself with the
-    other batches' folders only: replaying a batch gives the same table.
+    Every batch of every stream owns a folder and overwrites it, and compares
+    itself with all other folders: replaying a batch gives the same table, and
+    a second stream, or one with a new checkpoint, adds to what is stored.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = stored_rows(spark, out, schema).where(F.col("batch") != batch_id)
-        insert_if_absent(stored, batch, key, order).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        mine = (F.col("stream") == stream_id) & (F.col("batch") == batch_id)
+        stored = stored_rows(spark, out, schema).where(~mine)
+        (insert_if_absent(stored, batch, key, order).write.mode("overwrite")
+         .parquet(f"{out}/stream={stream_id}/batch={batch_id}"))
 
     return write
 
 
 def stored_rows(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
-    """What the sink holds so far, with the batch it came in."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    place, files = _files(spark, out)
-    if not files.exists(place):
+    """What the sink holds so far, with the stream and batch it came in."""
+    full = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
+    try:
+        return spark.read.schema(full).parquet(out)
+    except AnalysisException:  # nothing is stored yet
         return spark.createDataFrame([], full)
-    return spark.read.schema(full).parquet(out)
+
+
+def stream_id_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id kept beside a checkpoint; a new checkpoint gets a new one."""
+    where = f"{checkpoint.rstrip('/')}-id"
+    try:
+        known = spark.read.schema("id string").parquet(where)
+    except AnalysisException:  # the checkpoint is new
+        spark.createDataFrame([(uuid.uuid4().hex,)], "id string").coalesce(1).write.parquet(where)
+        known = spark.read.schema("id string").parquet(where)
+    return known.first().id
 
 
 def insert_stream(stream: DataFrame, out: str, checkpoint: str, key: str, order: str,
-                  every: str | None = None) -> StreamingQuery:
-    return _paced(stream.writeStream.foreachBatch(absent_writer(out, key, order, stream.schema))
+                  every: str | None = None, stream_id: str | None = None) -> StreamingQuery:
+    stream_id = stream_id or stream_id_of(stream.sparkSession, checkpoint)
+    return _paced(stream.writeStream.foreachBatch(absent_writer(out, key, order, stream.schema, stream_id))
                   .option("checkpointLocation", checkpoint), every).start()
 
 

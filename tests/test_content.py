@@ -129,8 +129,7 @@ def naive(html):
 def run(spark, htmls):
     rows = spark.createDataFrame(list(enumerate(htmls)), "page_id long, html string").repartition(8)
     parsed = c.parse_whole(rows)
-    got = parsed.select("page_id", c.block_of(F.col("nodes"), F.col("whole")).alias("block"),
-                        c.content(F.col("nodes"), F.col("whole")).alias("content")).collect()
+    got = c.with_content(parsed).select("page_id", c.block_of(F.col("nodes"), F.col("whole")).alias("block"), "content").collect()
     return {r.page_id: (r.block, r.content) for r in got}
 
 

@@ -8,12 +8,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import let
+from pagemill.functions.common import java_pattern, let
 from pagemill.functions.text import (char_counts, clean_title, date_text, date_value, is_headline, regex_error, regex_many,
                                      regex_single)
 from pagemill.operators import json_items
-from pagemill.operators.fields import (Field, attr_field, attr_text_field, html_field, pretty_markup, text_field)
-from pagemill.operators.items import ItemSpec, page_items, scope_errors, scope_items
+from pagemill.operators.fields import (Field, ascii_markup, attr_field, attr_text_field, html_field, markup, pretty_markup,
+                                       text_field)
+from pagemill.operators.items import ItemSpec, page_items, scope_errors, scope_items, scope_outcomes
+from pagemill.operators.rule_fields import chosen
 from pagemill.operators.select import Selector, Step, descend, find_all, select
 from pagemill.sources.nodes import parse_nodes
 from pagemill.sources.pages import cookie_map
@@ -218,12 +220,74 @@ def test_rules(spark):
     assert seed_frontier(rule_table(spark, rules), "http://d/").count() == 3
     assert [(r.url, r.site) for r in seed_frontier(rule_table(spark, []), "http://d/").collect()] == [("http://d/", None)]
     assert list(rules[0].dump()) == ["category", "selectors", "site", "subcategory", "url"]
-    parsed = pages(spark, "<a href=1>x</a><p>y</p>", "<h1>z</h1><a href=2>n</a>").withColumn(
-        "site", F.when(F.col("page_id") == 0, "s1").otherwise("s2"))
-    by_site = {"s1": rules[0], "s2": rules[2]}
-    first = extract_by_rule(parsed, "site", by_site, 0).orderBy("page_id").collect()
+    parsed = pages(spark, "<a href=1>x</a><p>y</p>", "<h1>z</h1><a href=2>n</a>")
+    table = rule_table(spark, rules).where("rule_id <> 1").select(F.when(F.col("site") == "s1", 0).otherwise(1).alias("page_id"), "fields")
+    ruled = parsed.join(table, "page_id")
+    first = extract_by_rule(ruled, 0).orderBy("page_id").collect()
     assert [(r.text, r.attr) for r in first] == [("x", "1"), ("z", None)]
-    assert [(r.page_id, r.text) for r in extract_by_rule(parsed, "site", by_site, 1).collect()] == [(0, "<p>y</p>")]
+    assert [(r.page_id, r.text) for r in extract_by_rule(ruled, 1).collect()] == [(0, "<p>y</p>")]
+
+
+SELECTORS = [
+    descend(Step("a")), descend(Step("li"), Step("a", child=True)), descend(Step("ul"), Step("a")), descend(Step("ul"), Step("li", child=True), Step("a")),
+    descend(Step("div"), Step("ul", child=True), Step("li"), Step("b", child=True)), descend(Step("li", nth=2)), descend(Step(id="top")),
+    descend(Step(classes=("k", "m"))), descend(Step(attrs=(("href", "prefix", "/"),))), descend(Step("a", attrs=(("href", "contains", "2"),))),
+    find_all("a", {"href": True}), find_all("a", {"href": re.compile(r"\d$")}), find_all(["b", "i"]), find_all("p", {"class": "m"}),
+    find_all("p", {"class": re.compile("^k")}), find_all("b", string="bold"), find_all("b", string=re.compile("old$")),
+    find_all(string=re.compile("^t")), find_all("html", recursive=False), find_all("ul", recursive=False), find_all(True), find_all(re.compile("^[uo]l$")),
+    find_all(["b", re.compile("^i$")]), descend(Step("html", child=True), Step("body", child=True), Step("div"))]
+
+
+def test_selectors_as_data_choose_the_same_nodes(spark):
+    parsed = pages(spark, """<div id=top><ul class="k"><li><a href=/1>t1</a><li><a href=/2>x</a><div><ul><li><b>bold</b></ul></div></ul></div>
+        <p class="k m">t</p><p class="km"><b><i>deep</i></b></p><a>no</a>""", "<ul><li><b>q</b></ul>", "")
+    wanted = [select(F.col("nodes"), s) for s in SELECTORS]
+    rules = rule_table(spark, [Rule("s", "c", str(i), "u", (html_field(s, many=True),)) for i, s in enumerate(SELECTORS)])
+    by_data = (parsed.crossJoin(rules).select("page_id", "rule_id", chosen(F.col("nodes"), F.get("fields", F.lit(0))["steps"]).alias("c"))
+               .select("page_id", "rule_id", F.transform("c", lambda x: x["pre"]).alias("pre")))
+    got = {(r.page_id, r.rule_id): r.pre for r in by_data.collect()}
+    for r in parsed.select("page_id", *(F.transform(w, lambda x: x["pre"]).alias(f"w{i}") for i, w in enumerate(wanted))).collect():
+        for i in range(len(SELECTORS)):
+            assert got[(r.page_id, i)] == r[f"w{i}"], (r.page_id, SELECTORS[i])
+
+
+def test_fields_as_data_take_the_same_values(spark):
+    parsed = pages(spark, "<ul><li><a href=1> x  y </a>tail<li><a>z</a></ul><p>é</p>")
+    a, no = descend(Step("a")), descend(Step("blink"))
+    fields = [attr_field("href", a), attr_field("href", a, many=False), text_field(a), text_field(a, family="tree"), html_field(a), html_field(a, family="tree"),
+              text_field(no, default="none"), attr_field("href", no, family="tree"), text_field(no), attr_text_field("href", a), text_field(a, separator="-")]
+    rules = rule_table(spark, [Rule("s", "c", str(i), "u", (f,)) for i, f in enumerate(fields)])
+    got = {}
+    for r in extract_by_rule(parsed.crossJoin(rules.select("rule_id", "fields")), 0).collect():
+        got.setdefault(r.rule_id, []).append((r.text, r.attr))
+    for i, f in enumerate(fields):
+        value = parsed.select(f.extract(F.col("nodes"))["value"].alias("v")).first().v
+        many = value if f.is_many else [value] if value is not None else None
+        pair = (lambda v: (v["text"], v["attr"])) if f.kind == "attr_text" else (lambda v: (None, v)) if f.kind == "attr" else (lambda v: (v, None))
+        assert got.get(i) == (None if many is None else [pair(v) for v in many]), f
+
+
+def test_one_plan_for_any_number_of_rules(spark):
+    parsed = pages(spark, "<a href=1>x</a>")
+    sizes = []
+    for n in (1, 40):
+        rules = rule_table(spark, [Rule("s", "c", str(i), "u", (attr_field("href", descend(Step("a", id=str(i)))),)) for i in range(n)])
+        out = extract_by_rule(parsed.crossJoin(rules.select("rule_id", "fields")), 0)
+        sizes.append(len(re.sub(r"LocalTableScan.*|\[.*?\]", "", out._jdf.queryExecution().optimizedPlan().toString())))
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
+def test_records_and_errors_in_one_pass(spark):
+    out = scope_outcomes(pages(spark, WORDS, "<p>nothing</p>"), words_spec()).orderBy("page_id", "scope_pre").collect()
+    assert [r.error for r in out][-1] == "no scope element" and any(r.error is None for r in out)
+
+
+def test_element_forms(spark):
+    parsed = pages(spark, "<div><h1>Tést &amp; 日🙂</h1> tail é</div><?pi x?>")
+    form = parsed.select(let(F.get(select(F.col("nodes"), find_all("h1")), F.lit(0)), lambda x: ascii_markup(markup(F.col("nodes"), x))).alias("m"))
+    assert form.first().m == "<h1>T&#233;st &amp; &#26085;&#128578;</h1> tail &#233;"
+    whole = parsed.select(let(F.get("nodes", F.lit(0)), lambda x: markup(F.col("nodes"), x)).alias("m")).first().m
+    assert whole.endswith("</div><?pi x?></body></html>")
 
 
 def texts(spark, values, expr):
@@ -262,6 +326,19 @@ def test_regex_forms(spark):
     assert [[m.asDict() for m in ms] for ms in many] == [[{"n": "k", "v": "1"}, {"n": "q", "v": "22"}], [], []]
 
 
+def test_python_patterns_in_the_jvm(spark):
+    samples = ["", "a", "aaa", "aaaa b", "[x", "x[", "&&", "a&&b", "ab", "aXb", "{", "a{,b}", "b\n", "tab\x0bx", "a b", "]", "a]b", "#", "7", "x7y", "A"]
+    for pattern in ("a{,3}", "a{2,}", "[[]x", "x[[]", "(?#c)a", "[a&&b]+", "[]ab]+", "[^]a]+", "a{,b}", "{", "(?P<q>a)(?P=q)", r"\v", r"[\b]?a",
+                    r"b\Z", r"\07?a", "(?i)a", "(?:(?i:a)b)", r"[\[\]]", "a(?!X)b", "(?x) a # comment\n b", "(?x)[ #]", r"\U00000041", "[a-c&]+", "[&&]"):
+        compiled = re.compile(pattern)
+        want = [m[0] if (m := compiled.search(s)) else None for s in samples]
+        got = texts(spark, samples, lambda c: F.when(c.rlike(java_pattern(compiled)), F.regexp_extract(c, java_pattern(compiled), 0)))
+        assert got == want, (pattern, java_pattern(compiled))
+    for pattern in ("(a)?(?(1)b|c)", r"\N{BULLET}"):
+        with pytest.raises(ValueError):
+            java_pattern(pattern)
+
+
 def test_cookies(spark):
     got = texts(spark, ["a=1; b=2;a=3; flag; c=x=y ; ", ""], cookie_map)
     assert got == [{"a": "3", "b": "2", "c": "x=y"}, {}]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import io
 import os
+import random
+import re
+import time
 import uuid
 from contextlib import redirect_stdout
 
@@ -15,11 +18,12 @@ from pagemill.functions import urls
 from pagemill.functions.common import broadcast_if_small, squeeze_ws
 from pagemill.operators import attempts, sinks
 from pagemill.operators.content import main_content
-from pagemill.operators.links import (absolute_attrs, follow_links, indexed_batch, page_links, request_batch, save_site,
-                                      staged_crawl, with_canonical)
+from pagemill.operators.links import (ANCHOR, absolute_attrs, absolute_style, base_url, follow_links, indexed_batch, page_links,
+                                      request_batch, save_site, staged_crawl, with_canonical)
 from pagemill.plans import all_queries
 from pagemill.sources.nodes import contained, node_table, parse_nodes
 from pagemill.sources.rules import host_rules, rule_page_join
+from pagemill.sources.shared import shared_dir
 from pagemill.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -75,6 +79,44 @@ def test_outputs_by_kind(spark):
         sinks.write_outputs({"c": spark.range(1)}, {})
 
 
+def test_null_keys_and_null_orders(spark):
+    stored = spark.createDataFrame([], "k string, v string, o long")
+    incoming = spark.createDataFrame([(None, "n2", 7), (None, "n1", 3), ("a", "y", None), ("b", "late", None), ("b", "x", 5)], stored.schema)
+    new = sinks.insert_if_absent(stored, incoming, "k", "o")
+    assert sorted(map(tuple, new.collect()), key=repr) == sorted([(None, "n1", 3), ("a", "y", None), ("b", "x", 5)], key=repr)
+    assert sinks.insert_if_absent(new, incoming, "k", "o").count() == 0
+    assert sinks.existing_keys(incoming, new, "k").count() == 5 and sinks.missing_keys(incoming, new, "k").count() == 0
+    once = sinks.upsert(new.drop("o"), incoming, "k", "o")
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted([(None, "n2", False), ("a", "y", False), ("b", "x", False)], key=repr)
+
+
+def test_store_rewrites_touched_buckets_only(spark):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType()), T.StructField("w", T.LongType())])
+    store = sinks.KeyedStore(spark, shared_dir(spark, "store"), schema, "k", buckets=8)
+    assert store.rows().count() == 0
+    first = spark.createDataFrame([("a", 1, 1, 5), ("a", 2, 2, 4), ("b", 3, 3, 1), (None, 4, 4, None)], "k string, v long, w long, o long")
+    touched = store.insert(first, "o")
+    assert rows(store.rows(), F.col("k").asc_nulls_first()) == [(None, 4, 4), ("a", 2, 2), ("b", 3, 3)]
+    assert store.insert(first, "o") == touched and store.rows().count() == 3
+    again = store.upsert(spark.createDataFrame([("b", None, 1), ("b", 9, 0)], "k string, v long, o long"), "o")
+    assert len(again) == 1 and rows(store.rows(), F.col("k").asc_nulls_first()) == [(None, 4, 4), ("a", 2, 2), ("b", None, 3)]
+    versions = {(r.bucket, r.version) for r in spark.read.parquet(f"{store.path}/data").select("bucket", "version").distinct().collect()}
+    assert sum(v == max(x for _, x in versions) for _, v in versions) == 1  # the last write made one bucket anew
+    assert store.insert(first.limit(0), "o") == []
+
+
+def test_a_write_that_breaks_off_is_not_read(spark):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    store = sinks.KeyedStore(spark, shared_dir(spark, "store"), schema, "k", buckets=2)
+    incoming = spark.createDataFrame([("a", 1, 1), ("b", 2, 1)], "k string, v long, o long")
+    store.insert(incoming, "o")
+    left = spark.createDataFrame([("a", 77, b, 1) for b in range(2)], "k string, v long, bucket int, version long")
+    left.write.mode("append").partitionBy("bucket", "version").parquet(f"{store.path}/data")  # never switched to
+    assert rows(store.rows()) == [("a", 1), ("b", 2)]
+    store.upsert(incoming.withColumn("v", F.col("v") + 10), "o")
+    assert rows(store.rows()) == [("a", 11), ("b", 12)]
+
+
 # -- attempts -------------------------------------------------------------------------------------------
 
 def test_attempts(spark):
@@ -118,26 +160,68 @@ def site(spark):
 
 def test_hops_keep_repeats_unless_visited(spark):
     pages = site(spark)
-
-    def links(reached):
-        return reached.select("seed", "page_id").join(page_links(pages), "page_id").select("seed", "link")
-
     seeds = spark.createDataFrame([("s", "http://h/a#x")], "seed string, link string")
-    two = staged_crawl(seeds, pages, [links, links], ["seed"])
+    two = staged_crawl(seeds, pages, [page_links, page_links], ["seed"], canonical=True)
     assert sorted(r.link for r in two.collect()) == ["http://h/a", "http://h/a", "http://h/c"]
     seen = spark.createDataFrame([("http://h/b",)], "canonical string")
-    assert sorted(r.link for r in staged_crawl(seeds, pages, [links, links], ["seed"], seen).collect()) == ["http://h/a"]
+    rest = staged_crawl(seeds, pages, [page_links, page_links], ["seed"], seen, canonical=True)
+    assert sorted(r.link for r in rest.collect()) == ["http://h/a"]
+    # by request URL the cleaned link to /b finds no page
+    assert sorted(r.link for r in staged_crawl(seeds, pages, [page_links, page_links], ["seed"]).collect()) == ["http://h/a"]
+
+
+def test_each_page_told_by_its_query_is_reached_once(spark):
+    pages = spark.range(100).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/view.html?id="), "id").alias("url"))
+    links = pages.select(F.col("page_id").alias("src"), F.concat("url", F.lit("#f")).alias("link"))
+    hop = follow_links(links, pages)
+    assert hop.count() == 100 and hop.where("src <> page_id").count() == 0
+    assert follow_links(links, pages, canonical=True).where("page_id = 0").count() == 100
+    files = spark.createDataFrame([(7, "http://h/a.pdf"), (8, "http://h/a.pdf#2")], "page_id long, url string")
+    assert rows(follow_links(spark.createDataFrame([("http://h/a.pdf",)], "link string"), files)) == [("http://h/a.pdf", 7, "http://h/a.pdf")]
+
+
+def test_pages_are_parsed_once_and_not_shuffled_per_link(spark):
+    pages = site(spark)
+    counted = spark.sparkContext.accumulator(0)
+
+    def stage(reached):
+        def look(batches):
+            for b in batches:
+                counted.add(b.num_rows)
+                yield b
+        return page_links(reached.mapInArrow(look, reached.schema))
+
+    seeds = spark.createDataFrame([(str(i), "http://h/c") for i in range(50)], "seed string, link string")
+    out = staged_crawl(seeds, pages, [stage], ["seed"])
+    assert out.count() == 50 and counted.value == 1
 
 
 def test_request_batches(spark):
     pages = site(spark).select("page_id", "url")
-    asked = spark.createDataFrame([(9, ["http://h/c", "http://x/y", "http://h/a", "http://h/c#1"], ["f1", "f2"])],
+    asked = spark.createDataFrame([(9, ["http://h/c", "http://x/y", "http://h/a", "http://h/c#1", None], ["f1", "f2"])],
                                   "b int, urls array<string>, forms array<string>")
-    got = indexed_batch(asked, request_batch(F.col("urls")), pages).select("b", "index", "method", "response_page")
-    assert rows(got, "index") == [(9, 0, "GET", 3), (9, 2, "GET", 1), (9, 3, "GET", 3)]
-    posts = indexed_batch(asked, request_batch(F.col("urls"), F.col("forms")), pages)
-    assert rows(posts.select("index", "method", "form_data", "response_page"), "index") == [
-        (0, "POST", "f1", 3), (1, "POST", "f2", 3)]
+    got = indexed_batch(asked, request_batch(F.col("urls")), pages).select("b", "index", "method", "response_page", "status")
+    assert rows(got, "index") == [(9, 0, "GET", 3, 200), (9, 1, "GET", None, -1), (9, 2, "GET", 1, 200), (9, 3, "GET", 3, 200), (9, 4, "GET", None, -1)]
+    posts = indexed_batch(asked, request_batch(F.col("urls"), F.col("forms")), pages.withColumn("status", F.lit(404)))
+    assert rows(posts.select("index", "method", "form_data", "response_page", "status"), "index") == [
+        (0, "POST", "f1", 3, 404), (1, "POST", "f2", 3, 404)]
+
+
+def test_all_kinds_of_references(spark):
+    def attrs(tag, **values):
+        m = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+        m = F.transform_keys(m, lambda k, v: F.replace(k, F.lit("_"), F.lit("-")))
+        return spark.range(1).select(absolute_attrs(F.lit("http://h/d/e"), m, F.lit(tag)).alias("m")).first().m
+    assert attrs("object", data="x", classid="y", codebase="/z", archive="p  q") == {
+        "data": "http://h/d/x", "classid": "http://h/d/y", "codebase": "http://h/z", "archive": "http://h/d/p http://h/d/q"}
+    assert attrs("meta", http_equiv="Refresh", content="3; URL='n'")["content"] == "3; URL=http://h/d/n"
+    assert attrs("meta", name="x", content="3; URL=n")["content"] == "3; URL=n"
+    assert attrs("button", formaction="?a")["formaction"] == "http://h/d/e?a"
+    assert attrs("p", style="a:url( 'b.png' ) c")["style"] == "a:url( 'http://h/d/b.png' ) c"
+    css = spark.range(1).select(absolute_style(F.lit("http://h/d/"), F.lit('@import "x.css"; b{c:url(y)}')).alias("c")).first().c
+    assert css == '@import "http://h/d/x.css"; b{c:url(http://h/d/y)}'
+    nodes = parse_nodes(spark.createDataFrame([("http://h/a/b", "<head><base href='../x/'><base href=/n></head>"), ("http://h/a", "<p>")], "url string, html string"))
+    assert rows(nodes.select(base_url(F.col("url"), F.col("nodes")).alias("b")), "b") == [("http://h/a",), ("http://h/x/",)]
 
 
 def test_absolute_attributes(spark):
@@ -194,14 +278,30 @@ def test_runs_take_new_files_only(spark):
 
 def test_replayed_batch_changes_nothing(spark):
     out = ingest.shared_dir(spark, "replay")
-    put = ingest.absent_writer(out, "k", "o", SCHEMA)
+    put = ingest.absent_writer(out, "k", "o", SCHEMA, "s")
     first = spark.createDataFrame([("a", 1), ("b", 2)], SCHEMA)
     second = spark.createDataFrame([("b", 9), ("c", 3)], SCHEMA)
     put(first, 0)
     put(second, 1)
     before = rows(ingest.stored_rows(spark, out, SCHEMA))
     put(second, 1)
-    assert rows(ingest.stored_rows(spark, out, SCHEMA)) == before == [("a", 1, 0), ("b", 2, 0), ("c", 3, 1)]
+    assert rows(ingest.stored_rows(spark, out, SCHEMA)) == before == [("a", 1, "s", 0), ("b", 2, "s", 0), ("c", 3, "s", 1)]
+
+
+def test_a_new_checkpoint_loses_nothing(spark):
+    base = ingest.shared_dir(spark, "test")
+    write(spark, f"{base}/in", [("a", 1), ("b", 2)])
+    write(spark, f"{base}/more", [("c", 3), ("a", 0)])
+    for source, check in (("in", "one"), ("more", "two"), ("in", "three")):
+        ingest.insert_stream(ingest.read_new(spark, f"{base}/{source}", SCHEMA), f"{base}/out", f"{base}/{check}", "k", "o").awaitTermination()
+    assert rows(ingest.stored_rows(spark, f"{base}/out", SCHEMA).select("k", "o")) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_first_seen_keeps_whole_rows(spark):
+    base = ingest.shared_dir(spark, "seen")
+    write(spark, f"{base}/in", [("a", 1), ("a", 1), ("b", 2)])
+    ingest.run(ingest.first_seen(ingest.read_new(spark, f"{base}/in", SCHEMA), "k"), f"{base}/out", f"{base}/check").awaitTermination()
+    assert rows(spark.read.parquet(f"{base}/out")) == [("a", 1), ("b", 2)]
 
 
 def test_repeated_runs(spark):
@@ -232,6 +332,17 @@ def test_main_content_has_no_shuffle_on_large_input(spark, monkeypatch):
     assert "ReadSchema: struct<page_id:bigint,html:string>" in text
 
 
+def test_hot_link_target_of_a_stored_site_is_split(spark):
+    """The same through save_site: hops join ids by keys, so the buckets of the texts don't bind them."""
+    name = "site_" + uuid.uuid4().hex
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.lit("x").alias("html"))
+    stored = save_site(pages, name, ingest.shared_dir(spark, "site"), buckets=8)
+    try:
+        hot_target(spark, stored)
+    finally:
+        spark.sql(f"drop table {name}")
+
+
 @pytest.mark.parametrize("name", ["page_links", "clean_url", "url_resolve", "headline_filter", "date_extract", "clean_title",
                                   "regex_single", "regex_many", "json_path", "json_items", "percent_encode", "cookie_map"])
 def test_column_functions_stay_in_the_jvm_and_do_not_shuffle(spark, name):
@@ -251,25 +362,30 @@ def test_inserts_combine_before_the_shuffle(spark):
 def test_stored_site_is_not_shuffled_again(spark):
     pages = site(spark)
     name = "site_" + uuid.uuid4().hex
-    stored = save_site(pages, name, ingest.shared_dir(spark, "site"), buckets=4)
-    links = page_links(pages).withColumnRenamed("page_id", "src")
+    stored = save_site(pages, name, ingest.shared_dir(spark, "site"), buckets=8)
+    seeds = spark.createDataFrame([("s", "http://h/a")], "seed string, link string")
+    plans = []
+
+    def stage(reached):
+        plans.append(plan(reached))
+        return page_links(reached)
+
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        hop = follow_links(links, stored)
-        assert plan(hop).count("Exchange hashpartitioning") <= 1 and "SortMergeJoin" in plan(hop)
-        assert rows(hop.select("src", "page_id")) == rows(follow_links(links, pages).select("src", "page_id"))
+        hop = rows(staged_crawl(seeds, stored, [stage], ["seed"]))
+        # ids are dealt out, texts stay in their buckets
+        assert "SortMergeJoin" in plans[0] and not any("html" in x for x in re.findall(r"Exchange\n.*?\n\n", plans[0], re.S))
+        assert hop == rows(staged_crawl(seeds, pages, [page_links], ["seed"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql(f"drop table {name}")
 
 
-def test_hot_link_target_is_split(spark):
-    """A third of the links lead to one page: AQE splits that partition, the result stays whole."""
+def hot_target(spark, pages):
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
                 "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
                 "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     n = 60_000
-    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"))
     to = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 2000)
     links = spark.range(0, n, 1, 8).select(F.col("id").alias("src"), F.concat(F.lit("http://h/"), to, F.lit("#f")).alias("link"))
     for key, value in settings.items():
@@ -284,6 +400,11 @@ def test_hot_link_target_is_split(spark):
             spark.conf.unset(key)
 
 
+def test_hot_link_target_is_split(spark):
+    """A third of the links lead to one page: AQE splits that partition, the result stays whole."""
+    hot_target(spark, spark.range(2000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url")))
+
+
 def test_small_rule_sets_are_broadcast(spark):
     from pagemill.sources.rules import Rule, rule_table
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
@@ -292,6 +413,16 @@ def test_small_rule_sets_are_broadcast(spark):
     assert "BroadcastHashJoin" in plan(joined) and joined.count() == pages.count()
 
 
+def test_several_rules_on_one_url_and_patterns_on_hosts(spark):
+    from pagemill.sources.rules import Rule, rule_table
+    pages = spark.createDataFrame([(1, "http://h/a?x=1"), (2, "http://h/b"), (3, "http://i/a")], "page_id long, url string")
+    rules = rule_table(spark, [Rule("h", "one", "s", "http://h/a?x=1#top"), Rule("h", "two", "s", "http://h/a?x=1"), Rule("h", "three", "s", "http://h/")])
+    assert rows(rule_page_join(pages, rules, by="url").select("page_id", "category")) == [(1, "one"), (1, "two")]
+    assert rule_page_join(pages, rules).count() == 6
+    some = rules.withColumn("pattern", F.when(F.col("category") == "one", "[?]x="))
+    assert rows(rule_page_join(pages, some).select("page_id", "category").where("category = 'one'")) == [(1, "one")]
+
+
 def test_tables_beyond_the_limit_are_not_broadcast(spark):
     rules = spark.range(100).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 100).alias("v"))
     left = spark.range(1000).select((F.col("id") % 100).alias("k"))
@@ -314,6 +445,31 @@ def test_small_input_is_spread_large_input_is_not(spark):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_unclosed_anchors_take_no_more_time(spark):
+    html = "<a href='/x'>" + "y" * 70 + "</a>" + "".join(f"<a href=/p{i}>" + "z" * 70 for i in range(4000))
+    pages = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    page_links(pages.limit(0)).collect()
+    begin = time.perf_counter()
+    assert rows(page_links(pages).select("link")) == [("http://h/x",)]
+    assert time.perf_counter() - begin < 5
+
+
+def test_links_are_those_of_the_pattern_on_the_whole_page(spark):
+    rnd = random.Random(8)
+    parts = ["<a href=x", "<a ", "href='/y'", 'href="z"', ">", "</a>", "</A>", "t", "<A HREF=q>", "\n", "</a", "<b>"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(1, 14))) for _ in range(3000)]
+    pages = spark.createDataFrame([(i, "http://h/d/", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    found = {}
+    for r in page_links(pages).collect():
+        found.setdefault(r.page_id, set()).add(r.link)
+    whole = {}
+    refs = F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)))
+    resolved = pages.select("page_id", "url", refs.alias("r")).select("page_id", urls.url_resolve(F.col("url"), F.trim("r")).alias("l"))
+    for r in with_canonical(resolved, "l", "link").collect():
+        whole.setdefault(r.page_id, set()).add(r.link)
+    assert found == whole
+
+
 def test_queries_need_no_session_to_be_listed():
     assert len(all_queries()) > 70 and os.path.exists(SF)
 

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import let
-from pagemill.sources.nodes import MAX_DEPTH, node_table, parse_nodes, parse_page
+from pagemill.functions.common import let, running
+from pagemill.operators.content import main_content
+from pagemill.sources.nodes import node_table, parse_nodes, parse_page
 
 
 def outline(html: str) -> str:
@@ -16,6 +20,8 @@ def outline(html: str) -> str:
             return repr(t.text[i])
         if t.tag[i] == "#comment":
             return "!" + t.text[i]
+        if t.tag[i] == "#instruction":
+            return "?" + t.text[i]
         inner = [show(j) for j in range(i + 1, t.last[i] + 1) if t.parent[j] == i]
         return t.tag[i] + (f"({' '.join(inner)})" if inner else "")
 
@@ -43,7 +49,15 @@ def outline(html: str) -> str:
     ("a < b <c", "html(body(p('a < b <c')))"),
     ("<p>one</p><body class=k>two", "html(body(p('one') 'two'))"),
     ("<select><option>a<option>b</select>", "html(body(select(option('a') option('b'))))"),
+    ("<p>a<?php x?>b</p>", "html(body(p('a' ?php x? 'b')))"),
     ("", ""),
+    # a quote opens a value right after "=" only
+    ("<a href=\"/x\"\">one</a> mid <a href=\"/y\">two</a>", "html(body(a('one') ' mid ' a('two')))"),
+    ("<p title=it's>Hello text</p> and don't stop", "html(body(p('Hello text') \" and don't stop\"))"),
+    ("<p title=\"a>hello</p>", "html(body(p('hello')))"),
+    ("<p \" x='>' y=\">\">z", "html(body(p('z')))"),
+    ("<p a=b\"c>d\">e", "html(body(p('d\">e')))"),
+    ("<p a = \"x > y\" b>z</p a='>'>w", "html(body(p('z') 'w'))"),
 ])
 def test_tree(html, want):
     assert outline(html) == want
@@ -61,28 +75,69 @@ def test_positions():
     assert [t.prev[i] for i in children] == [-1] + children[:-1]
     assert [t.nth[i] for i in children if t.tag[i] == "p"] == [1, 2]
     assert t.last[div] == len(t.pre) - 1
-    for i in range(1, len(t.pre)):
-        assert t.anc[i] == t.anc[t.parent[i]] + (t.parent[i],) and t.depth[i] == len(t.anc[i])
+    for i in range(len(t.pre)):
+        kids = [j for j in range(len(t.pre)) if t.parent[j] == i]
+        assert t.kids[i] == len(kids) and t.child[i] == (kids[-1] if kids else -1)
+
+
+def test_stray_quotes_and_attributes():
+    t = parse_page("<a href=\"/x\"\" title=it's alt=\"un>b</a>")
+    assert dict(t.attrs[t.tag.index("a")]) == {"href": "/x", "title": "it's", "alt": '"un'}
+
+
+def test_deep_nesting_keeps_its_structure():
+    t = parse_page("<div>" * 1000 + "<p>in</p>")
+    p = t.tag.index("p")
+    assert t.depth[p] == 1002 and t.depth[t.parent[p]] == 1001
+    assert all(t.depth[i] == t.depth[t.parent[i]] + 1 and t.pre[i] <= t.last[t.parent[i]] for i in range(1, len(t.pre)))
+
 
+def test_unclosed_tags_take_linear_time(spark):
+    page = "<body>" + "".join(f"<i>{n}" for n in range(80_000))
+    begin = time.perf_counter()
+    t = parse_page(page)
+    assert max(t.depth) == 80_002 and sum(len(x or "") for x in t.text) == len(page) - 6 - 3 * 80_000
+    parse_page("<b><div>" + "<i>" * 40_000 + "</b>" * 40_000)
+    parse_page("<i>" * 40_000 + "</u>" * 40_000 + "<meta>" * 40_000)
+    parse_page("<!" * 100_000)
+    assert time.perf_counter() - begin < 10
 
-def test_deep_nesting_keeps_all_text():
-    t = parse_page("<div>" * 1000 + "".join(f"<i>{n}</i>" for n in range(50)))
-    assert max(t.depth) <= MAX_DEPTH + 1
-    assert [x for x in t.text if x] == [str(n) for n in range(50)]
 
+def test_deep_pages_through_main_content(spark):
+    deep = "<html><body><div>" + "<div>" * 1000 + "<p>" + "some words of text " * 20 + "</p>"
+    wide = "<html><body>" + "".join(f"<i>{n} " for n in range(20_000))
+    pages = spark.createDataFrame([(1, deep), (2, wide)], "page_id long, html string")
+    begin = time.perf_counter()
+    found = {r.page_id: r.content for r in main_content(pages).collect()}
+    assert found[1].startswith("some words of text") and time.perf_counter() - begin < 60
 
-def test_unclosed_tags_stay_within_the_budget(monkeypatch):
-    monkeypatch.setattr("pagemill.sources.nodes.ANCESTOR_BUDGET", 10_000)
-    t = parse_page("".join(f"<div>{n}" for n in range(2000)))
-    assert sum(len(a) for a in t.anc) < 10_000 + 255 + 33 * 4000
-    assert [x for x in t.text if x] == [str(n) for n in range(2000)]
-    assert all(t.anc[i] == t.anc[t.parent[i]] + (t.parent[i],) for i in range(1, len(t.pre)))
+
+def test_running(spark):
+    rnd = random.Random(1)
+    for n in (0, 1, 63, 64, 65, 500):
+        values = [rnd.randint(-5, 9) for _ in range(n)]
+        table = spark.createDataFrame([(values,)], "v array<int>")
+        sums, tops = table.select(running(F.col("v"), F.lit(0), lambda a, b: a + b),
+                                  running(F.col("v"), F.lit(-9), lambda a, b: F.greatest(a, b))).first()
+        assert sums == [sum(values[:i + 1]) for i in range(n)] and tops == [max(values[:i + 1]) for i in range(n)]
 
 
 def test_odd_input_terminates():
     for html in ("<", "<<<a", "<a href='", "<!--", "<script>", "</", "<a b=\"c>d", "<?x", "\x00<p>\x01z"):
         parse_page(html)
-    assert outline("\x00<p>\x01z") == "html(body(p('z')))"
+    assert outline("\x00<p>\x01z") == "html(body(p('\\x01z')))"
+
+
+def test_marks_of_rendering_are_ordinary_characters_of_pages(spark):
+    body = "<html><body><div>" + "".join(f"<p>text {i} with \x01 \x02 \x03 \x04 \x040 marks</p>" for i in range(5)) + "</div>"
+    pages = spark.createDataFrame([(1, body)], "page_id long, html string")
+    assert main_content(pages).first().content == "\n".join(f"text {i} with \x01 \x02 \x03 \x04 \x040 marks" for i in range(5))
+
+
+def test_some_columns_only(spark):
+    pages = spark.createDataFrame([(1, "<p>a<b>c")], "page_id long, html string")
+    assert [tuple(r) for r in node_table(pages, ["tag", "kids"]).collect()] == [
+        (1, "html", 1), (1, "body", 1), (1, "p", 2), (1, "#text", 0), (1, "b", 1), (1, "#text", 0)]
 
 
 def test_table_and_empty_pages(spark):
