@@ -101,18 +101,19 @@ def linked(passages: DataFrame, sources: DataFrame) -> DataFrame:
 def threads(replies: DataFrame, folder: str) -> DataFrame:
     """conv, pos, root (conv, pos), depth of every message. ``replies``: conv, pos, parent, always an earlier message."""
     me = F.struct(F.col("conv").alias("conv"), F.col("pos").alias("pos"))
-    now = replies.groupBy("conv", "pos").agg(F.min("parent").alias("parent")).select(
-        "conv", "pos", F.coalesce("parent", me).alias("root"), F.col("parent").isNotNull().cast("long").alias("depth"))
-    now, step = written(now, f"{folder}/threads-0"), 0
-    while True:
+    first = written(replies.groupBy("conv", "pos").agg(F.min("parent").alias("parent")).select(
+        "conv", "pos", F.coalesce("parent", me).alias("root"), F.col("parent").isNotNull().cast("long").alias("depth")), f"{folder}/threads-0")
+    settled, moving, step = first.where("depth = 0"), first.where("depth > 0"), 0
+    while not moving.isEmpty():
         step += 1
-        up = now.where("depth > 0").select(F.struct("conv", "pos").alias("at"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        now = written(now.join(up, F.col("root") == F.col("at"), "left").select(
+        up = settled.unionByName(moving).where("depth > 0").select(
+            F.struct("conv", "pos").alias("at"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        now = written(moving.join(up, F.col("root") == F.col("at"), "left").select(
             "conv", "pos", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
             F.col("next").isNotNull().alias("moved")), f"{folder}/threads-{step}")
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
-        now = now.drop("moved")
+        # a message whose root replies to none is done, so each round has only the longer threads
+        settled, moving = settled.unionByName(now.where("not moved").drop("moved")), now.where("moved").drop("moved")
+    return settled
 
 
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", pos_col: str = "turn", text_col: str = "text",
