@@ -14,8 +14,9 @@ few are listed with their hashes. The rank of the bit is the slot, so the
 hash is minimal and a look-up takes a few steps whatever the number of keys.
 A fingerprint from other hash bits rejects nearly all foreign keys.
 
-A key is (id, k): k numbers rows that repeat an id, in order of their text.
-A null id is a value of its own, before all others. A null text is empty and
+A key is (id, k): k numbers rows that repeat an id, in order of a hash of
+their text; such rows may fill several shards. A null id is a value of its
+own, before all others. A null text is empty and
 has the end id only. Only the id and text columns are read.
 """
 
@@ -42,6 +43,8 @@ PART_KEYS = 1 << 17
 END_ID = 1
 #: Pieces whose ids a task remembers.
 REMEMBERED = 400_000
+#: Pieces that are encoded as one text.
+JOINED = 256
 _MAGIC = 0x3148504D
 _LEVELS = 6
 _LEFT = np.uint64(_LEVELS)
@@ -72,18 +75,22 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarr
         lead = lead[lead + 1 < len(data)]
         latin = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
         kind[latin] = kind[latin + 1] = _LETTER
-    border = np.zeros(len(data) + 1, bool)
-    border[offsets] = True
-    edge = border[:-1].copy()
-    edge[1:] |= (kind[1:] == _SPACE) != (kind[:-1] == _SPACE)
-    starts = np.flatnonzero(edge)
-    word = np.cumsum(edge, dtype=np.int32) - 1  # of each byte: the run of white space or other bytes that it is in
-    odd = np.zeros(len(starts), bool)
-    odd[word[kind == _ODD]] = True
-    whole = odd[word]
-    cut = edge.copy()
-    cut[1:] |= (kind[1:] != kind[:-1]) & ~whole[1:]
-    lowered = np.where(whole, data, _LOWER[data])
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = kind[1:] != kind[:-1]
+    lowered = _LOWER[data]
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):  # no cut inside the words that hold them
+        space = np.zeros(len(data) + 1, bool)
+        space[1:-1] = (kind[1:] == _SPACE) != (kind[:-1] == _SPACE)
+        space[offsets] = True
+        starts = np.flatnonzero(space)
+        word = np.unique(np.searchsorted(starts, odd, side="right") - 1)
+        whole = ragged(starts[word], starts[word + 1] - starts[word])
+        cut[whole] = False
+        cut[starts[word]] = True
+        lowered[whole] = data[whole]
+    cut[offsets] = True
+    cut = cut[:-1]
     inside = kind != _SPACE
     begin = np.flatnonzero(cut)
     length = np.diff(np.append(begin, len(data)))
@@ -109,6 +116,20 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.ids, self.places = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
 
+    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece; pieces that blanks divide don't touch each other, so many are one text."""
+        out = []
+        for i in range(0, len(pieces), JOINED):
+            part = pieces[i:i + JOINED]
+            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            begins = np.fromiter((a for a, _ in whole.offsets), np.int64)
+            stops = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, part), np.int64) + 1))
+            ids, at = whole.ids, 0
+            for stop in stops.tolist():
+                out.append(ids[at:stop])
+                at = stop
+        return out
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = text_bytes(column)
         pieces, counts = pieces_of(data, offsets)
@@ -119,7 +140,7 @@ class Encoder:
             self.forget()
         fresh = [t for t in terms if t not in self.known]
         if fresh:
-            ids = [e.ids for e in self.tokenizer.encode_batch([t.decode() for t in fresh], add_special_tokens=False)]
+            ids = self._pieces([t.decode() for t in fresh])
             base = len(self.known)
             self.known.update((t, base + i) for i, t in enumerate(fresh))
             self.ids.append(np.fromiter((x for e in ids for x in e), self.dtype))
@@ -148,8 +169,8 @@ def encode_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
     """Write the shards; the rows tell where each document's ids are: shard, id, k, offset (in ids), n."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = (rows.repartitionByRange(max(1, -(-size // shard_bytes)), F.col("id").asc_nulls_first())
-               .sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()))
+    order = (F.col("id").asc_nulls_first(), F.xxhash64("text").asc())
+    ordered = rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encoder = TaskContext.get().partitionId(), Encoder(tokenizer, dtype)
@@ -176,7 +197,21 @@ def encode_shards(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "d
         put_file(folder, f"shard-{shard:06d}.ids", parts())
         yield from entries
 
-    return written(ordered.mapInArrow(write, _ENTRY), f"{folder}/entries")
+    return _numbered(written(ordered.mapInArrow(write, _ENTRY), f"{folder}/entries"))
+
+
+def _numbered(entries: DataFrame) -> DataFrame:
+    """``entries`` with k counted on where an id goes over from one shard to the next; such ids are at most as many as shards."""
+    me = F.struct(F.col("id").isNotNull().alias("there"), "id")
+    ends = entries.groupBy("shard").agg(F.min(me).alias("low"), F.max(me).alias("high"))
+    lows = ends.select("low", F.col("shard").alias("later"))
+    highs = ends.select(F.col("high").alias("end"), "shard")
+    split = highs.join(lows, (F.col("end") == F.col("low")) & (F.col("later") > F.col("shard"))).select("end").distinct()
+    here = entries.select(me.alias("me"), "shard").join(split, F.col("me") == F.col("end"), "left_semi").groupBy("me", "shard").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("me").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = here.select("me", F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("more"))
+    return (entries.join(offsets, (me == F.col("me")) & (F.col("shard") == F.col("s")), "left")
+            .select("shard", "id", (F.col("k") + F.coalesce("more", F.lit(0))).alias("k"), "offset", "n"))
 
 
 # -- index ----------------------------------------------------------------------------------------
@@ -308,12 +343,6 @@ def build_index(entries: DataFrame, folder: str, part_keys: int = PART_KEYS) ->
 
 # -- reading --------------------------------------------------------------------------------------
 
-def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The keys of all rows: id and k."""
-    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("rows"))
-    return ids.select("id", F.explode(F.sequence(F.lit(0), (F.col("rows") - 1).cast("int"))).alias("k"))
-
-
 def read_ids(keys: DataFrame, folder: str, parts: int, dtype: str = "<u2", with_ids: bool = True) -> DataFrame:
     """For each key that is stored: id, k, shard, offset, n_tokens, crc32 of the ids as uint32, and the ids.
 
@@ -375,6 +404,6 @@ def write_corpus(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
 def round_trip(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the corpus and read every document back by key: id, k, start, n_tokens, crc32."""
     entries, parts = write_corpus(docs.sparkSession, docs, folder, tokenizer, id_col, text_col)
-    found = read_ids(numbered(docs, id_col), folder, parts, with_ids=False)
+    found = read_ids(entries.select("id", "k"), folder, parts, with_ids=False)
     return (found.join(starts(entries), "shard")
             .select("id", "k", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "crc32"))

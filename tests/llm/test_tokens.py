@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from pagemill.llm import tokens
@@ -34,7 +35,10 @@ def test_pieces_give_the_ids_of_the_whole_text():
 
 def brute(rows):
     """doc_id → of its rows in order of (doc_id, text): start, n, crc."""
-    rows = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), (r[1] is not None, r[1] or "")))
+    def text_hash(text):
+        h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+    rows = sorted(rows, key=lambda r: ((r[0] is not None, r[0] or 0), text_hash(r[1])))
     out, start = [], 0
     for (i, _), ids in zip(rows, plain([r[1] for r in rows])):
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -60,7 +64,7 @@ def test_many_shards_and_parts(spark, docs):
     entries = tokens.encode_shards(docs(rows), folder, tokenizer_path(), shard_bytes=2000)
     parts = tokens.build_index(entries, folder, part_keys=100)
     assert parts == 11 and entries.select("shard").distinct().count() > 5
-    found = tokens.read_ids(tokens.numbered(docs(rows)), folder, parts)
+    found = tokens.read_ids(entries.select("id", "k"), folder, parts)
     got = {r["id"]: list(r["ids"]) for r in found.collect()}
     assert got == dict(zip([r[0] for r in rows], plain([r[1] for r in rows])))
 
@@ -68,8 +72,20 @@ def test_many_shards_and_parts(spark, docs):
 def test_foreign_keys_are_not_found(spark, docs):
     folder = shared_dir(spark, "t")
     parts = tokens.build_index(tokens.encode_shards(docs([(i, "x") for i in range(500)]), folder, tokenizer_path()), folder)
-    keys = docs([(i, "") for i in range(500, 3000)])
-    assert tokens.read_ids(tokens.numbered(keys), folder, parts).count() == 0
+    keys = docs([(i, "") for i in range(500, 3000)]).selectExpr("doc_id as id", "0 as k")
+    assert tokens.read_ids(keys, folder, parts).count() == 0
+
+
+def test_an_id_that_fills_several_shards(spark, docs):
+    rows = [(i, "one") for i in range(40)] + [(20, f"text {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)]
+    folder = shared_dir(spark, "t")
+    entries = tokens.encode_shards(docs(rows), folder, tokenizer_path(), shard_bytes=500).cache()
+    assert entries.where("id = 20").select("shard").distinct().count() > 2 and entries.where("id is null").select("shard").distinct().count() > 1
+    for key, n in (("id = 20", 301), ("id is null", 200)):
+        assert sorted(r["k"] for r in entries.where(key).collect()) == list(range(n))
+    found = tokens.read_ids(entries.select("id", "k"), folder, tokens.build_index(entries, folder))
+    got = sorted((str(r["id"]), list(r["ids"])) for r in found.collect())
+    assert got == sorted((str(i), ids) for (i, _), ids in zip(rows, plain([t for _, t in rows])))
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
