@@ -13,8 +13,8 @@ id among the rows that the caller gives; counting features and scoring run on
 all executors, and the driver gets the vocabulary and the sample's features in
 it. A text is scored whole. A null or empty text has no feature and gets the
 score of the bias; a label that is null, or whose id is null, teaches nothing;
-of an id with several labels the largest counts, and of an id with several
-texts all. Without a label of either class the score is the share of the one
+of an id with several labels the largest counts, and an id that several
+texts have teaches nothing either. Without a label of either class the score is the share of the one
 that there is, or 0. Only the named columns are read.
 """
 
@@ -35,8 +35,10 @@ from pagemill.llm.store import in_blocks, shared_dir, written
 
 #: Labelled rows that the classifier is fitted on at most, and features that it has at most.
 SAMPLE_ROWS = 20_000
-VOCABULARY = 8192
+VOCABULARY = 4096
 LEAST_ROWS = 5
+#: Standard deviations by which a feature's shares in the two classes must differ; millions are looked at.
+LEAST_SPREAD = 4.5
 #: Weights of the penalties on weights and on score changes.
 RIDGE, CHANGE = 1e-4, 4.0
 STEPS = 400
@@ -116,7 +118,7 @@ def vocabulary(counts: DataFrame, zeros: int, ones: int, size: int = VOCABULARY,
     every = (F.col("n0") + F.col("n1")) / max(zeros + ones, 1)
     spread = F.sqrt(every * (1.0 - every) * (1.0 / max(zeros, 1) + 1.0 / max(ones, 1)) + 1e-12)
     best = (counts.where(F.col("n0") + F.col("n1") >= LEAST_ROWS).select("feature", F.abs((p1 - p0) / spread).alias("z"))
-            .where("z > 3").orderBy(F.desc("z"), "feature").limit(size).collect())
+            .where(F.col("z") > LEAST_SPREAD).orderBy(F.desc("z"), "feature").limit(size).collect())
     named = ["=" + w for w in sorted(swaps(groups))]
     return list(dict.fromkeys([r["feature"] for r in best] + named))
 
@@ -162,26 +164,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(names: list[str], labels: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], swapped: tuple[np.ndarray, np.ndarray],
         ridge: float = RIDGE, change: float = CHANGE, steps: int = STEPS) -> Model:
-    """Logistic regression with balanced classes; ``swapped`` has the features of the rewritten texts by the same rows."""
+    """Logistic regression with balanced classes; ``swapped`` has the features of the rewritten texts, of texts that change."""
     n, m = len(labels), len(names)
     ones = float(labels.sum())
     if n == 0 or ones in (0.0, float(n)):
         return Model(names, np.zeros(m), 0.0 if n == 0 else (40.0 if ones else -40.0))
     share = np.where(labels == 1, 0.5 / ones, 0.5 / (n - ones))
     (row, feature), (row2, feature2) = pairs, swapped
-    touched = np.zeros(n)
-    touched[np.setxor1d(row * m + feature, row2 * m + feature2) // m] = 1.0
-    touched /= max(touched.sum(), 1.0)
+    changed, row2 = np.unique(row2, return_inverse=True)  # rows with a rewritten text, and their places among these
     w, b = np.zeros(m), 0.0
     mean, square = np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, steps + 1):
         s = _sigmoid(_sums(row, feature, w, n) + b)
-        s2 = _sigmoid(_sums(row2, feature2, w, n) + b)
         d = share * (s - labels)
-        both = 2 * change * touched * (s - s2)
-        d1, d2 = d + both * s * (1 - s), -both * s2 * (1 - s2)
-        grad = np.append(np.bincount(feature, d1[row], minlength=m) + np.bincount(feature2, d2[row2], minlength=m) + ridge * w,
-                         d1.sum() + d2.sum())
+        grad = ridge * w
+        bias = 0.0
+        if len(changed):
+            s1, s2 = s[changed], _sigmoid(_sums(row2, feature2, w, len(changed)) + b)
+            both = 2 * change * (s1 - s2) / len(changed)
+            d[changed] += both * s1 * (1 - s1)
+            d2 = -both * s2 * (1 - s2)
+            grad = grad + np.bincount(feature2, d2[row2], minlength=m)
+            bias = d2.sum()
+        grad = np.append(grad + np.bincount(feature, d[row], minlength=m), d.sum() + bias)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
         move = 0.05 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-9)
@@ -193,9 +198,11 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     """text and label of the sample, written once. Its ids are at most ``rows``, so they are broadcast."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    drawn = known.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(rows)
-    texts = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("i")).select(
-        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col("label").cast("long").alias("label"))
+    drawn = F.broadcast(known.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(rows))
+    single = (docs.select(F.col(id_col).alias("d")).join(drawn, F.col("d") == F.col("i")).groupBy("i")
+              .agg(F.first("label").alias("label"), F.count("*").alias("n")).where("n = 1").drop("n"))
+    texts = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(
+        F.broadcast(single), F.col("d") == F.col("i")).select("text", F.col("label").cast("long").alias("label"))
     return written(texts, shared_dir(docs.sparkSession, "toxicity"))
 
 
@@ -210,20 +217,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(names)
         for batch in in_blocks(batches, "text"):
-            n = batch.num_rows
+            n, text = batch.num_rows, batch.column("text")
+            plain, other = features.pairs(text), features.pairs(text, swap)
+            m = len(names)
+            moved = np.unique(np.setxor1d(plain[0] * m + plain[1], other[0] * m + other[1]) // m)
+            kept = np.isin(other[0], moved)
             lists = []
-            for pairs in (features.pairs(batch.column("text")), features.pairs(batch.column("text"), swap)):
-                ends = np.searchsorted(pairs[0], np.arange(n + 1))
-                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs[1], pa.int32())))
+            for row, feature in (plain, (other[0][kept], other[1][kept])):
+                ends = np.searchsorted(row, np.arange(n + 1))
+                lists.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32())))
             yield pa.RecordBatch.from_arrays([batch.column("label"), *lists], names=["label", "plain", "swapped"])
 
-    table = sample.mapInArrow(work, "label long, plain array<int>, swapped array<int>").toArrow().combine_chunks()
+    table = sample.mapInArrow(work, "label long, plain array<int>, swapped array<int>").toArrow()
     pairs = []
     for name in ("plain", "swapped"):
-        lists = table.column(name).combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
-        pairs.append((pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)))
+        rows_, features_, at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+        for chunk in table.column(name).chunks:
+            rows_.append((pc.list_parent_indices(chunk).to_numpy(zero_copy_only=False) + at).astype(np.int32))
+            features_.append(chunk.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+            at += len(chunk)
+        pairs.append((np.concatenate(rows_), np.concatenate(features_)))
     return fit(names, table.column("label").to_numpy().astype(float), pairs[0], pairs[1], change=change)
 
 
