@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.store import file_system, in_blocks, put_file, written
+from pagemill.llm.store import file_system, in_blocks, put_file, shared_dir, written
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 16 << 10
@@ -130,9 +130,10 @@ def with_digests(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("url"),
                         payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    # only payloads that occur again are joined, so others meet a small table
+    # only payloads that occur again are joined; stored, so that Spark knows their size and needn't shuffle payloads for a few
     again = (rows.where(F.octet_length("payload") >= least).groupBy("digest")
              .agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "least"))
+    again = written(again, shared_dir(pages.sparkSession, "warc-again"))
     first = F.when(~F.col("least").eqNullSafe(F.col("id")), F.col("least"))
     return rows.join(again, F.col("digest") == F.col("d"), "left").select("id", "url", "payload", "digest", first.alias("first"))
 
@@ -281,7 +282,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield rows_out(rows)
 
-    names = files.select("file").repartition(max(1, files.count()), "file")
+    names = files.select("file").repartition(min(max(1, files.count()), 10_000), "file")
     parsed = written(names.mapInArrow(read, _PARSED), f"{folder}/parsed")
     columns = ["name", "kind", "refers", "payload_bytes", "payload_digest", "status"]
     whole = parsed.where("number is null and kind = 'response'").select(columns)
