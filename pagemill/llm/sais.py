@@ -19,15 +19,13 @@ def ragged_steps(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(counts.sum()), dtype=np.int64) - np.repeat(ends - counts, counts)
 
 
-def _smaller(text: np.ndarray) -> np.ndarray:
-    """For each suffix, whether it is smaller than the next one (the last, the end mark, is)."""
-    n = len(text)
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    nearest = np.searchsorted(differs, np.arange(n - 1))
-    out = np.ones(n, bool)
-    at = differs[nearest]  # the end mark is unique, so there always is one
-    out[:-1] = text[at] < text[at + 1]
-    return out
+def _smaller(text: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each suffix, whether it is smaller than the next one (the last, the end mark, is). begins: of runs of a sign."""
+    first = np.flatnonzero(begins)
+    ends = np.append(first[1:], len(text))
+    smaller = np.ones(len(first), bool)
+    smaller[:-1] = text[first[:-1]] < text[first[1:]]
+    return np.repeat(smaller, ends - first)
 
 
 class _Buckets:
@@ -119,26 +117,35 @@ def ranked(names: np.ndarray, depth: int | None = None) -> np.ndarray:
     runs are called, among those only that are still called the same.
     """
     m = len(names)
-    order = np.argsort(names, kind="stable")
-    new = np.concatenate([[True], names[order][1:] != names[order][:-1]])
-    rank = np.zeros(m, np.int64)
+    order = np.argsort(names)
+    ordered = names[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    rank = np.empty(m, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
     tied = order[~(new & np.append(new[1:], True))]
     span = 1
     while len(tied) and (depth is None or span < depth):
         after = tied + span
         second = np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
-        tied = tied[np.argsort(rank[tied] * (m + 1) + second, kind="stable")]
-        after = tied + span
-        second = np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0)
-        group = np.concatenate([[True], rank[tied][1:] != rank[tied][:-1]])
-        new = group | np.concatenate([[True], second[1:] != second[:-1]])
+        key = rank[tied] * (m + 1) + second
+        by = np.argsort(key)
+        tied, key = tied[by], key[by]
+        old = rank[tied]
+        group = np.concatenate([[True], old[1:] != old[:-1]])
+        new = np.concatenate([[True], key[1:] != key[:-1]])
         place = np.arange(len(tied))
         start = np.maximum.accumulate(np.where(group, place, 0))
-        rank[tied] = rank[tied] + np.maximum.accumulate(np.where(new, place, 0)) - start
+        rank[tied] = old + np.maximum.accumulate(np.where(new, place, 0)) - start
         tied = tied[~(new & np.append(new[1:], True))]
         span *= 2
-    return np.argsort(rank, kind="stable")
+    if len(tied):  # equal as far as asked for: next to each other in any order
+        tied = tied[np.argsort(rank[tied])]
+        group = np.concatenate([[True], rank[tied][1:] != rank[tied][:-1]])
+        place = np.arange(len(tied))
+        rank[tied] += place - np.maximum.accumulate(np.where(group, place, 0))
+    out = np.empty(m, np.int64)
+    out[rank] = np.arange(m)
+    return out
 
 
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -149,7 +156,7 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         return np.zeros(0, np.int32)
     begins = np.concatenate([[True], text[1:] != text[:-1]])
     run = (np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))).astype(np.int32)
-    smaller = _smaller(text)
+    smaller = _smaller(text, begins)
     leftmost = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     is_leftmost = np.zeros(n, bool)
     is_leftmost[leftmost] = True
@@ -162,9 +169,11 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     return _induced(text, signs, run, ordered)[1:]
 
 
-def common_prefixes(text: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+def common_prefixes(text: np.ndarray, suffixes: np.ndarray, enough: int | None = None) -> np.ndarray:
     """For each position of the text, the signs it shares with the suffix before it in the array.
 
+    Lengths of ``enough`` and more are told as such, not exactly.
+
     Where the suffix before is the one after that of the position before, and
     that shares a sign at least, the prefix is one shorter; only the other positions are compared, eight signs
     at a time.
@@ -175,22 +184,22 @@ def common_prefixes(text: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
     fresh = np.ones(n, bool)
     fresh[1:] = (before[1:] != before[:-1] + 1) | (before[:-1] < 0) | (text[:-1] != text[before[:-1]])
     fresh &= before >= 0
-    raw = np.concatenate([text, np.zeros(16, np.uint8)])
+    if enough is not None:  # look again now and then, so that no comparison has to go on beyond twice of it
+        fresh |= (before >= 0) & ((np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))) % enough == 0)
+    raw = np.concatenate([text, np.zeros(16, np.uint8)])  # behind its end a text differs from all others
     words = np.ndarray((len(raw) - 7,), "<u8", raw.tobytes(), strides=(1,))
     at = np.flatnonzero(fresh)
     shared = np.zeros(len(at), np.int64)
-    active = np.arange(len(at))
+    active, a, b, step = np.arange(len(at)), at, before[at], 0
     while len(active):
-        a, b = at[active] + shared[active], before[at[active]] + shared[active]
-        inside = (a <= n) & (b <= n)
-        x = np.where(inside, words[np.minimum(a, n)] ^ words[np.minimum(b, n)], np.uint64(1))
+        x = words[a] ^ words[b]
         equal = x == 0
-        last = active[~equal]
         low = x[~equal]
-        shared[last] += (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8).astype(np.int64)
-        active = active[equal]
-        shared[active] += 8
-    shared = np.minimum(shared, n - np.maximum(at, before[at]))
+        shared[active[~equal]] = step + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8).astype(np.int64)
+        active, a, b, step = active[equal], a[equal] + 8, b[equal] + 8, step + 8
+        if enough is not None and step >= 2 * enough:
+            shared[active] = step
+            break
     found = np.zeros(n, np.int64)
     found[at] = shared
     source = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))

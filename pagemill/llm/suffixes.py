@@ -4,7 +4,7 @@ A byte goes if some string of ``LENGTH`` bytes that covers it also starts
 earlier: in a document with a smaller id, or earlier in the same one. Matches
 don't cross documents and are judged on the input.
 
-1. Documents are stored in blocks, bucketed by block, and stay where they are.
+1. Documents are stored in blocks, bucketed by groups of blocks that one task wrote, and stay where they are.
 2. Every window of ``LENGTH`` bytes has an anchor, its least hash of ``ANCHOR``
    bytes. Runs of windows with one anchor become rows (anchor, hash of the
    run's bytes, place), first per block, and meet by anchor. Equal windows have
@@ -16,7 +16,7 @@ don't cross documents and are judged on the input.
    windows, and all but the first of a group repeat it.
 4. An anchor with more bytes than a shard holds is split over several; their
    first windows meet once more by a 128-bit hash, counted before the shuffle.
-5. What repeats goes back to the blocks as ranges, one row per block.
+5. What repeats goes back to the blocks as ranges, one row per group of blocks.
 
 Runs count as equal when anchor, run hash (64 bits each) and length agree.
 Null ids come after all others; rows that repeat an id stand in the order in
@@ -54,30 +54,41 @@ _U = np.uint64
 
 # -- blocks ---------------------------------------------------------------------------------------
 
-_BLOCK = "block long, ids array<long>, sizes array<int>, data binary"
+_BLOCK = "home long, block long, ids array<long>, sizes array<int>, data binary"
+#: Blocks of one group have all but the last bits of their numbers in common; a task writes a file for each of its groups.
+_HOME_BITS = 4
 
 
 def stored_blocks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text",
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents in blocks, each in order of its ids; a bucketed table, so that joins by block move no text."""
+    """The documents in blocks, each in order of its ids; a bucketed table, so that joins by group move no text."""
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         for number, batch in enumerate(in_blocks(batches, "text", block_bytes)):
             batch = batch.take(pc.sort_indices(batch.column("id"), null_placement="at_end"))
             data, offsets = text_bytes(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([base + number]), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id")),
+                [pa.array([(base + number) >> _HOME_BITS]), pa.array([base + number]), pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("id")),
                  pa.array([np.diff(offsets).astype(np.int32)], pa.list_(pa.int32())), pa.array([data.tobytes()], pa.binary())],
-                names=["block", "ids", "sizes", "data"])
+                names=["home", "block", "ids", "sizes", "data"])
 
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     name = f"pagemill_blocks_{uuid.uuid4().hex}"
     (rows.mapInArrow(store, _BLOCK).write.format("parquet").option("compression", "zstd").option("parquet.block.size", 8 << 20)
-     .option("path", f"{folder}/blocks").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").saveAsTable(name))
+     .option("path", f"{folder}/blocks").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "home").saveAsTable(name))
     return spark.table(name)
 
 
+def _with_rows(blocks: DataFrame, rows: DataFrame, name: str, how: str) -> DataFrame:
+    """Blocks with an array of their rows (block, and what the array holds): only the rows are shuffled, by group of blocks."""
+    values = [c for c in rows.columns if c != "block"]
+    homed = rows.withColumn("h", F.shiftright("block", _HOME_BITS)).repartition("h")
+    lists = homed.groupBy("h", "block").agg(F.collect_list(F.struct(*values)).alias("rows"))
+    groups = lists.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("block", "rows"))).alias("of"))
+    return blocks.join(groups.hint("shuffle_hash"), F.col("home") == F.col("h"), how).withColumn(name, F.col("of")[F.col("block")])
+
+
 # -- runs -----------------------------------------------------------------------------------------
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -273,8 +284,8 @@ def _cut_out(blocks: DataFrame, found: DataFrame, parts: int, hot: np.ndarray, s
                      pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(joined)]).cast(pa.binary())],
                     names=["part", "split", "doc", "block", "start", "n", "data"])
 
-    runs = found.where("need").groupBy("block").agg(F.collect_list(F.struct("start", "n", "anchor", "doc")).alias("runs"))
-    return (blocks.select("block", "data").join(runs.withColumnRenamed("block", "b").hint("shuffle_hash"), F.col("block") == F.col("b"))
+    runs = found.where("need").select("block", "start", "n", "anchor", "doc")
+    return (_with_rows(blocks.select("home", "block", "data"), runs, "runs", "inner").where("runs is not null")
             .select("block", "data", "runs").mapInArrow(work, _CUT))
 
 
@@ -287,7 +298,7 @@ def repeats(segments: list[tuple[int, int]], text: np.ndarray, length: int = LEN
     for begin, n in segments:
         start[begin:begin + n] = True
     order = suffix_array(text, length)
-    shared = common_prefixes(text, order)
+    shared = common_prefixes(text, order, length)
     order = order[start[order]]  # equal windows stand together, and only windows can equal one
     if not len(order):
         return start
@@ -383,8 +394,7 @@ def _finished(blocks: DataFrame, ranges: DataFrame, with_kept: bool) -> DataFram
                            pa.array(digests, pa.string())] + [pa.array(kept, pa.binary())] * with_kept
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "spans", "kept_sha256"] + ["kept"] * with_kept)
 
-    grouped = ranges.groupBy("block").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))
-    both = blocks.join(grouped.withColumnRenamed("block", "b").hint("shuffle_hash"), F.col("block") == F.col("b"), "left")
+    both = _with_rows(blocks, ranges, "ranges", "left")
     kind = ("id long, n_bytes long, n_removed long, spans array<struct<start: bigint, end: bigint>>, kept_sha256 string"
             + ", kept binary" * with_kept)
     return both.select("ids", "sizes", "data", "ranges").mapInArrow(work, kind)

@@ -38,6 +38,9 @@ def test_against_sorting():
         got = sais.suffix_array(array)
         assert got.tolist() == order, text
         assert sais.common_prefixes(array, got).tolist() == prefix, text
+        for enough in (1, 7, 100):
+            told = sais.common_prefixes(array, got, enough)
+            assert all(p == q or min(p, q) >= enough for p, q in zip(told.tolist(), prefix)), text
 
 
 @pytest.mark.parametrize("depth", [1, 10, 50])
