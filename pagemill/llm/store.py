@@ -19,12 +19,12 @@ BLOCK_BYTES = 4 << 20
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, the one that all executors and the driver reach.
 
+    Without that setting it is below the warehouse, the other shared place.
+
     The folder holds what a lazy result still reads, so it is left to the
     owner of the checkpoint folder to expire it, as with checkpoints.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex}"
 
 
