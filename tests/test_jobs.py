@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions import urls
-from pagemill.functions.common import broadcast_if_small, squeeze_ws
+from pagemill.functions.common import broadcast_if_small, squeeze_ws, strip
 from pagemill.operators import attempts, sinks
 from pagemill.operators.content import main_content
 from pagemill.operators.links import (ANCHOR, absolute_attrs, absolute_style, base_url, follow_links, indexed_batch, page_links,
@@ -464,7 +464,7 @@ def test_links_are_those_of_the_pattern_on_the_whole_page(spark):
         found.setdefault(r.page_id, set()).add(r.link)
     whole = {}
     refs = F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)))
-    resolved = pages.select("page_id", "url", refs.alias("r")).select("page_id", urls.url_resolve(F.col("url"), F.trim("r")).alias("l"))
+    resolved = pages.select("page_id", "url", refs.alias("r")).select("page_id", urls.url_resolve(F.col("url"), strip(F.col("r"))).alias("l"))
     for r in with_canonical(resolved, "l", "link").collect():
         whole.setdefault(r.page_id, set()).add(r.link)
     assert found == whole
