@@ -140,7 +140,8 @@ def rule_join(spark, sf_dir):
 def rules_per_url(spark, sf_dir):
     """Two rules for each URL, and one for the mobile pages of each host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    exact = pages.select(F.concat("url", F.lit("#rule")).alias("url"), F.explode(F.array(F.lit("all"), F.lit("other"))).alias("kind"))
+    asked = pages.select(request_url(F.col("url")).alias("url")).distinct()
+    exact = asked.select(F.concat("url", F.lit("#rule")).alias("url"), F.explode(F.array(F.lit("all"), F.lit("other"))).alias("kind"))
     mobile = pages.select(url_host(F.col("url")).alias("site")).distinct().select(
         "site", F.lit("http://any/").alias("url"), F.lit("mobile").alias("kind"), F.lit("//m[.]").alias("pattern"))
     both = rule_page_join(pages, exact, by="url").select("page_id", "kind", F.lit(True).alias("fits")).unionByName(
