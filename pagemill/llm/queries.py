@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontam, mixing, quality, quotes, secrets, simhash, suffixes, tokens, toxicity, warc
+from pagemill.llm import (decontam, gramjoin, mixing, negatives, quality, quotes, secrets, simhash, suffixes, tokens, toxicity,
+                          variants, warc)
 from pagemill.llm.store import shared_dir
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -281,3 +282,77 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without long repeated strings."""
     found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+# -- 11 -------------------------------------------------------------------------------------------
+
+@query("op11_ngram_jaccard", f"""
+with recursive d as (select doc_id, {_WS_WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), {_AZ})")} as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[p + 1:p + least(3, len(ws))], ' ') as g
+      from (select doc_id, ws, unnest(range(greatest(len(ws) - 2, least(len(ws), 1)))) as p from d)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (g) where a.doc_id < b.doc_id group by all),
+links as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+reach as (select doc_id, doc_id as r from documents
+          union select reach.doc_id, other from reach join (select a as this, b as other from links union all select b, a from links) on this = r),
+least_ as (select doc_id, min(r) as component_id from reach group by doc_id)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, component_id
+from d left join n using (doc_id) left join least_ using (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of every document."""
+    return gramjoin.similar_sets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+# -- 12 -------------------------------------------------------------------------------------------
+
+@query("op12_hard_negatives", """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+           from embeddings where label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+           from v a join v b on a.vec_id % 100 = 0 and b.vec_id <> a.vec_id),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id,
+       cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from p join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and score <= positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) <= 5""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives that score nearly as high as an anchor's positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+# -- 13 -------------------------------------------------------------------------------------------
+
+# The checksum is computed byte by byte from its table of 256 remainders.
+@query("op13_spelling_variants", f"""
+with recursive rem as (select i as b, 0 as step, cast(i as ubigint) as v from range(256) t(i)
+                       union all select b, step + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384::ubigint) else v >> 1 end from rem where step < 8),
+tab as (select list(v order by b) as tab from rem where step = 8),
+r as (select doc_id, translate(run, {_AZ}) as run, count(*) as times
+      from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')) as run from documents) group by all),
+x as (select run, times, hex(encode(coalesce(cast(doc_id as varchar), 'null') || ':' || run)) as h from r),
+c as (select run, times, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, length(h), 2),
+             lambda i: cast('0x' || substr(h, cast(i as bigint), 2) as ubigint))),
+             lambda s, b: xor(s >> 8, tab[cast(xor(s, b) & 255 as bigint) + 1])), 4294967295::ubigint) as crc from x, tab),
+w as (select case when crc % 31 = 0 then substr(run, 1, cast(crc % length(run) as bigint)) || substr(run, cast(crc % length(run) as bigint) + 2)
+             else run end as word, times from c),
+words as (select word, cast(sum(times) as bigint) as n from w where length(word) >= 7 group by word having sum(times) >= 2),
+cuts as (select word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) as cut
+         from (select word, n, unnest(range(1, length(word) + 1)) as p from words)),
+near as (select a.word, b.word as other, b.n as m from cuts a join cuts b on a.cut = b.cut and a.p = b.p and a.word <> b.word
+         union select a.cut, a.word, a.n from cuts a join words b on b.word = a.cut
+         union select a.word, b.word, b.n from cuts a join words b on b.word = a.cut),
+best as (select word, count(*) as n_near, arg_min(other, (-m, encode(other))) as other, max(m) as m from near group by word),
+forms as (select words.word, n, coalesce(n_near, 0) as n_near, case when m >= 10 * n then other end as form, case when m >= 10 * n then m end as form_n
+          from words left join best using (word)),
+ways as (select word, word as root from forms union all select ways.word, forms.form from ways join forms on forms.word = ways.root where form is not null),
+ends as (select ways.word, ways.root from ways join forms on forms.word = ways.root where form is null)
+select word, n, n_near, form, form_n, root from forms join ends using (word)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents, with some letters left out, and the words that they are variants of."""
+    return variants.variant_groups(table(spark, sf_dir, "documents"), every=31)
