@@ -89,8 +89,8 @@ def letter_counts(codes: np.ndarray) -> np.ndarray:
 
 def reached(asks: np.ndarray, low: np.ndarray, high: np.ndarray, reach: tuple[int, int]) -> np.ndarray:
     """Which words may have a point within reach in the box."""
-    rise = np.maximum(low - asks, 0).sum(axis=1)
-    fall = np.maximum(asks - high, 0).sum(axis=1)
+    rise = np.maximum(low - asks, 0).sum(axis=1, dtype=np.int32)
+    fall = np.maximum(asks - high, 0).sum(axis=1, dtype=np.int32)
     return (rise <= reach[0]) & (fall <= reach[1])
 
 
@@ -100,7 +100,7 @@ def cut_of(points: np.ndarray) -> tuple[int, int] | None:
     if not len(spread):
         return None
     best = None
-    for d in spread[np.argsort(-points[:, spread].var(axis=0), kind="stable")[:8]].tolist():
+    for d in spread[np.argsort(-points[:, spread].var(axis=0), kind="stable")[:4]].tolist():
         at = int(np.median(points[:, d]))
         at = at if at < points[:, d].max() else at - 1
         below = int((points[:, d] <= at).sum())
@@ -150,29 +150,48 @@ class Cells:
             todo += [(left, which, low, below), (right, which, above, high)]
 
 
-def pairs_in_reach(asks: np.ndarray, points: np.ndarray, reach: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words and points within reach of each other by letter counts: a k-d tree over the points, searched by all words at once."""
-    todo = [(np.arange(len(points)), np.arange(len(asks)))]
-    while todo:
-        here, which = todo.pop()
-        box = points[here]
-        which = which[reached(asks[which], box.min(axis=0), box.max(axis=0), reach)]
-        if not len(which):
-            continue
-        cut = cut_of(box) if len(here) > LEAF_WORDS else None
-        if cut is not None:
-            lower = box[:, cut[0]] <= cut[1]
-            todo += [(here[lower], which), (here[~lower], which)]
-            continue
-        for i in range(0, len(here), 256):  # equal counts can't be cut, so a leaf may be larger
-            some = box[i:i + 256]
-            step = max(1, _PAIRS // (len(some) * 32))
-            for j in range(0, len(which), step):
-                gap = some[None] - asks[which[j:j + step], None]
-                near = (np.maximum(gap, 0).sum(axis=2) <= reach[0]) & (np.maximum(-gap, 0).sum(axis=2) <= reach[1])
-                a, b = np.nonzero(near)
-                if len(a):
-                    yield which[j + a], here[i + b]
+class Tree:
+    """A k-d tree over points: of each node its box, its points and its halves (none in a leaf)."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points = points.astype(np.int8) if points.max(initial=0) < 64 else points
+        self.nodes: list[tuple] = []
+        todo = [(np.arange(len(points)), -1)]
+        halves: dict[int, list[int]] = {}
+        while todo:
+            here, parent = todo.pop()
+            number, box = len(self.nodes), self.points[here]
+            halves.setdefault(parent, []).append(number)
+            self.nodes.append((here, box.min(axis=0), box.max(axis=0)))
+            cut = cut_of(box) if len(here) > LEAF_WORDS else None
+            if cut is not None:
+                lower = box[:, cut[0]] <= cut[1]
+                todo += [(here[lower], number), (here[~lower], number)]
+        self.halves = halves
+
+    def pairs_in_reach(self, asks: np.ndarray, reach: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words and points within reach of each other by letter counts; all words go down the tree at once."""
+        asks = asks.astype(self.points.dtype) if asks.max(initial=0) < 64 else asks
+        todo = [(0, np.arange(len(asks)))]
+        while todo:
+            node, which = todo.pop()
+            here, low, high = self.nodes[node]
+            which = which[reached(asks[which], low, high, reach)]
+            if not len(which):
+                continue
+            if node in self.halves:
+                todo += [(half, which) for half in self.halves[node]]
+                continue
+            for i in range(0, len(here), 256):  # equal counts can't be cut, so a leaf may be larger
+                some = self.points[here[i:i + 256]]
+                step = max(1, _PAIRS // (len(some) * 32))
+                for j in range(0, len(which), step):
+                    gap = some[None] - asks[which[j:j + step], None]
+                    rise = np.maximum(gap, 0).sum(axis=2, dtype=np.int16)
+                    near = (rise <= reach[0]) & (rise - gap.sum(axis=2, dtype=np.int16) <= reach[1])
+                    a, b = np.nonzero(near)
+                    if len(a):
+                        yield which[j + a], here[i + b]
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -237,14 +256,14 @@ def _searched(table: pa.Table) -> pa.Table:
         points = points[np.lexsort((words[points], -n[points]))]  # most frequent first, then by code points
         length = len(words[points[0]])
         codes = spelled(words[points].tolist())
-        counts = letter_counts(codes)
+        tree = Tree(letter_counts(codes))
         for gap, reach in REACH.items():
             who = np.array([i for i in np.flatnonzero(asks == 1).tolist() if len(words[i]) == length - gap], np.int64)
             if not len(who):
                 continue
             own = spelled(words[who].tolist())
             near, best = np.zeros(len(who), np.int64), np.full(len(who), len(points))
-            for a, b in pairs_in_reach(letter_counts(own), counts, reach):
+            for a, b in tree.pairs_in_reach(letter_counts(own), reach):
                 for i in range(0, len(a), _PAIRS // max(1, length)):
                     some, others = a[i:i + _PAIRS // max(1, length)], b[i:i + _PAIRS // max(1, length)]
                     hit = one_edit(own[some], codes[others]) if gap >= 0 else one_edit(codes[others], own[some])

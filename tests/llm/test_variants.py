@@ -110,7 +110,7 @@ def test_a_tree_finds_all_points_in_reach():
         rise = np.maximum(points[None] - asks[:, None], 0).sum(axis=2)
         fall = np.maximum(asks[:, None] - points[None], 0).sum(axis=2)
         want = set(zip(*(x.tolist() for x in np.nonzero((rise <= reach[0]) & (fall <= reach[1])))))
-        got = [(int(a), int(b)) for i, j in variants.pairs_in_reach(asks, points, reach) for a, b in zip(i, j)]
+        got = [(int(a), int(b)) for i, j in variants.Tree(points).pairs_in_reach(asks, reach) for a, b in zip(i, j)]
         assert len(got) == len(set(got)) and set(got) == want
         routed = {(int(a), cell) for cell, which in cells.find(asks, reach) for a in which}
         assert all((a, own[b]) in routed for a, b in want)
