@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.common import let, running, squeeze_ws, strip
 from pagemill.functions.text import clean_title
-from pagemill.operators.fields import in_order, piece, subtree, text_content
+from pagemill.operators.fields import in_order, piece, subtree, text_content, texts_of
 from pagemill.sources.nodes import COMMENT, INSTRUCTION, TEXT, is_element, parse_nodes
 
 # Keywords in class, id and style that speak for or against a block, in matching order.
@@ -91,7 +91,7 @@ def page_title(nodes: Column) -> Column:
 
     def fold(title: Column) -> Column:
         spots = let(named("title"), lambda t: F.when(F.size(t) > 0, t).otherwise(named("font01")))
-        found = F.transform(spots, lambda x: strip(text_content(nodes, x)))
+        found = let(spots, lambda t: F.transform(texts_of(nodes, t, lambda x: text_content(nodes, x), lambda t: t), strip))
 
         def step(state: Column, t: Column) -> Column:
             now = state["title"]

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import let, not_empty, squeeze_ws, strip
+from pagemill.functions.common import let, not_empty, running, squeeze_ws, strip
 from pagemill.operators.select import Selector, select
 from pagemill.sources.nodes import COMMENT, INSTRUCTION, TEXT, VOID, is_element
 
@@ -46,6 +46,52 @@ def text_strip(nodes: Column, node: Column) -> Column:
     return not_empty(F.array_join(_stripped(nodes, node), ""))
 
 
+def nested(found: Column) -> Column:
+    """Whether one of the nodes, in document order, lies in another: then one lies in the node before it."""
+    return F.size(F.filter(found, lambda x, i: (i > 0) & (x["pre"] <= F.get(found, i - 1)["last"]))) > 0
+
+
+def _bytes(text: Column) -> Column:
+    return F.encode(text, "UTF-8")
+
+
+def _cut(whole: Column, start: Column, length: Column) -> Column:
+    """A part of encoded text by its place in bytes, which costs what it returns."""
+    return F.decode(F.substring(whole, start + 1, length), "UTF-8")
+
+
+def _sum_before(sums: Column, place: Column) -> Column:
+    return F.coalesce(F.get(sums, place - 1), F.lit(0))
+
+
+def texts_of(nodes: Column, found: Column, one: Callable[[Column], Column], piece: Callable[[Column], Column],
+             separator: str | Column = "") -> Column:
+    """The text of each node found: the pieces of its texts that aren't empty, joined.
+
+    Nodes beside each other are joined one by one (``one``). Where some lie in
+    others, the page's pieces are joined once, with running offsets, and each
+    node's text is a part of that.
+    """
+    gap = F.lit(separator) if isinstance(separator, str) else separator
+
+    def joined(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda t: F.octet_length(t)), F.lit(0), lambda a, b: a + b)
+        return let(F.struct(_bytes(F.array_join(pieces, "")).alias("whole"), ends.alias("ends")), parts)
+
+    def parts(page: Column) -> Column:
+        def part(x: Column) -> Column:
+            start = _sum_before(page["ends"], x["pre"])
+            length = F.get(page["ends"], x["last"]) - start
+            return F.when(length == 0, "").otherwise(_cut(page["whole"], start, length - F.octet_length(gap)))
+
+        return F.transform(found, part)
+
+    def with_gap(x: Column) -> Column:
+        return let(F.when(x["tag"] == TEXT, piece(x["text"])).otherwise(""), lambda t: F.when(t == "", "").otherwise(F.concat(t, gap)))
+
+    return F.when(nested(found), let(F.transform(nodes, with_gap), joined)).otherwise(F.transform(found, one))
+
+
 def _escape(col: Column, quote: bool = False) -> Column:
     for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")) + ((('"', "&quot;"),) if quote else ()):
         col = F.replace(col, F.lit(char), F.lit(name))
@@ -83,24 +129,60 @@ def ascii_markup(col: Column) -> Column:
         F.transform(F.regexp_extract_all(col, F.lit(r"(?s)[\x00-\x7F]+|."), F.lit(0)), reference), "")).otherwise(col)
 
 
-def markup(nodes: Column, node: Column, tail: bool = True) -> Column:
-    """The subtree as markup, followed by the text after it."""
-    def opening(x: Column) -> Column:
-        return F.when(x["tag"] == TEXT, _escape(x["text"])).otherwise(F.coalesce(
-            _aside(x), _start_tag(x, F.when(x["last"] == x["pre"], "/>").otherwise(">"))))
+def _opening(x: Column) -> Column:
+    return F.when(x["tag"] == TEXT, _escape(x["text"])).otherwise(F.coalesce(
+        _aside(x), _start_tag(x, F.when(x["last"] == x["pre"], "/>").otherwise(">"))))
 
-    def body(below: Column) -> Column:
-        return in_order(
-            F.transform(below, lambda x: piece(x["pre"], x, opening(x))),
-            F.transform(F.filter(below, lambda x: x["last"] > x["pre"]), lambda x: piece(
-                x["last"], x, F.concat(F.lit("</"), x["tag"], F.lit(">")), end=True)))
 
-    whole = let(subtree(nodes, node), body)
-    if not tail:
-        return whole
+def _closing(x: Column) -> Column:
+    return F.concat(F.lit("</"), x["tag"], F.lit(">"))
+
+
+def _pieces(below: Column) -> tuple[Column, Column]:
+    return (F.transform(below, lambda x: piece(x["pre"], x, _opening(x))),
+            F.transform(F.filter(below, lambda x: x["last"] > x["pre"]), lambda x: piece(x["last"], x, _closing(x), end=True)))
+
+
+def _tail(nodes: Column, node: Column) -> Column:
     after = let(F.get(nodes, node["last"] + 1), lambda n: F.when(
         (n["tag"] == TEXT) & (n["prev"] == node["pre"]), _escape(n["text"])).otherwise(""))
-    return F.concat(whole, F.coalesce(after, F.lit("")))
+    return F.coalesce(after, F.lit(""))
+
+
+def markup(nodes: Column, node: Column, tail: bool = True) -> Column:
+    """The subtree as markup, followed by the text after it."""
+    whole = let(subtree(nodes, node), lambda below: in_order(*_pieces(below)))
+    return F.concat(whole, _tail(nodes, node)) if tail else whole
+
+
+def markups_of(nodes: Column, found: Column, tail: bool | Column) -> Column:
+    """The markup of each node found; where some lie in others, the page is written out once and each node's part cut from that."""
+    more = F.lit(tail) if isinstance(tail, bool) else tail
+
+    def end(x: Column) -> Column:
+        return F.when(more, _tail(nodes, x)).otherwise("")
+
+    def written(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda p: F.octet_length(p["text"])), F.lit(0), lambda a, b: a + b)
+        return let(ends, lambda e: F.struct(
+            _bytes(F.array_join(F.transform(pieces, lambda p: p["text"]), "")).alias("whole"),
+            # in order of the pieces: the opening ones, one per node, tell where a node starts, the closing ones where it ends
+            F.filter(F.transform(pieces, lambda p, i: F.when(p["end"] == 0, _sum_before(e, i))), lambda at: at.isNotNull()).alias("starts"),
+            F.transform(F.sort_array(F.filter(F.transform(pieces, lambda p, i: F.struct(
+                F.when(p["end"] == 1, -p["inner"]).alias("pre"), F.get(e, i).alias("at"))), lambda c: c["pre"].isNotNull())),
+                lambda c: c["at"]).alias("stops"),
+            F.transform(running(F.transform(nodes, lambda x: (x["last"] > x["pre"]).cast("int")), F.lit(0), lambda a, b: a + b),
+                        lambda n: n - 1).alias("closed")))
+
+    def part(page: Column, x: Column) -> Column:
+        start = F.get(page["starts"], x["pre"])
+        stop = F.when(x["last"] > x["pre"], F.get(page["stops"], F.get(page["closed"], x["pre"]))).otherwise(
+            start + F.octet_length(_opening(x)))
+        return F.concat(_cut(page["whole"], start, stop - start), end(x))
+
+    at_once = let(let(F.sort_array(F.concat(*_pieces(nodes))), written), lambda page: F.transform(found, lambda x: part(page, x)))
+    return F.when(nested(found), at_once).otherwise(
+        F.transform(found, lambda x: F.concat(markup(nodes, x, tail=False), end(x))))
 
 
 def pretty_markup(nodes: Column, node: Column) -> Column:
@@ -125,36 +207,40 @@ def pretty_markup(nodes: Column, node: Column) -> Column:
 
 
 Extractor = Callable[["Field", Column, Column], Column]
+Values = Callable[["Field", Column, Column], Column]
 
 
-def _value_attr(field: Field, nodes: Column, x: Column) -> Column:
-    return F.coalesce(x["attrs"][field.target], F.lit(field.default).cast("string"))
+def _attrs(field: Field, nodes: Column, found: Column) -> Column:
+    return F.transform(found, lambda x: F.coalesce(x["attrs"][field.target], F.lit(field.default).cast("string")))
 
 
-def _value_text(field: Field, nodes: Column, x: Column) -> Column:
-    text = text_compact(nodes, x, field.separator) if field.family == "soup" else text_strip(nodes, x)
-    return F.coalesce(text, F.lit(field.default).cast("string"))
+def compact_texts(nodes: Column, found: Column, separator: str | None = None) -> Column:
+    """``text_compact`` of each node found, '' for nothing: white space can go piece by piece."""
+    return texts_of(nodes, found, lambda x: F.coalesce(text_compact(nodes, x, separator), F.lit("")), squeeze_ws,
+                    "".join((separator or "").split()))
 
 
-def _value_pair(field: Field, nodes: Column, x: Column) -> Column:
-    return F.struct(_value_text(field, nodes, x).alias("text"), _value_attr(field, nodes, x).alias("attr"))
+def stripped_texts(nodes: Column, found: Column) -> Column:
+    """``text_strip`` of each node found, '' for nothing."""
+    return texts_of(nodes, found, lambda x: F.coalesce(text_strip(nodes, x), F.lit("")), strip)
 
 
-def _value_markup(field: Field, nodes: Column, x: Column) -> Column:
-    return markup(nodes, x, tail=field.family == "tree")
+def _texts(field: Field, nodes: Column, found: Column) -> Column:
+    made = compact_texts(nodes, found, field.separator) if field.family == "soup" else stripped_texts(nodes, found)
+    return F.transform(made, lambda t: F.when(t != "", t).otherwise(F.lit(field.default).cast("string")))
 
 
-def _value_string(field: Field, nodes: Column, x: Column) -> Column:
-    return x["text"]
+def _text_attrs(field: Field, nodes: Column, found: Column) -> Column:
+    return F.zip_with(_texts(field, nodes, found), _attrs(field, nodes, found), lambda t, a: F.struct(t.alias("text"), a.alias("attr")))
 
 
-# kind -> how a selected node becomes a value
-KINDS: dict[str, Extractor] = {
-    "attr": _value_attr,
-    "text": _value_text,
-    "attr_text": _value_pair,
-    "html": _value_markup,
-    "string": _value_string,
+# kind -> how the selected nodes become values
+KINDS: dict[str, Values] = {
+    "attr": _attrs,
+    "text": _texts,
+    "attr_text": _text_attrs,
+    "html": lambda field, nodes, found: markups_of(nodes, found, tail=field.family == "tree"),
+    "string": lambda field, nodes, found: F.transform(found, lambda x: x["text"]),
 }
 
 
@@ -182,11 +268,13 @@ class Field:
         """struct(value, error): ``error`` is set where a required field found nothing."""
         has_default = bool(self.default) if self.family == "soup" else self.default is not None
         pair = self.kind == "attr_text"
-        take = KINDS[self.kind] if isinstance(self.kind, str) else self.kind
         name = self.kind if isinstance(self.kind, str) else self.kind.__name__.strip("_")
 
         def build(found: Column) -> Column:
-            values = F.transform(found, lambda x: take(self, nodes, x))
+            if isinstance(self.kind, str):
+                values = KINDS[self.kind](self, nodes, found)
+            else:
+                values = F.transform(found, lambda x: self.kind(self, nodes, x))
             fallback = F.lit(None)
             if has_default:
                 one = F.lit(self.default)

@@ -3,6 +3,11 @@
 A step is a list of tests; a selector is an array of steps.  One expression
 evaluates any selector on a page's nodes, so a plan doesn't grow with the
 number of rules.
+
+All selectors of a page's rules form a trie (``PROGRAM_TYPE``), whose nodes are
+runs of steps: what several selectors begin with is looked for once, below
+what the runs before it have found, and fields that several rules have are
+taken once.
 """
 
 from __future__ import annotations
@@ -13,9 +18,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.common import java_pattern, let, not_empty, squeeze_ws, strip
-from pagemill.operators.fields import Field, markup, text_strip, texts
-from pagemill.operators.select import Match, Step, class_tokens, own_string
+from pagemill.functions.common import java_pattern, let, squeeze_ws, strip
+from pagemill.operators.fields import Field, markups_of, texts, texts_of
+from pagemill.operators.select import Match, Step, below, class_tokens, outermost, own_string
 from pagemill.sources.nodes import TEXT, is_element
 
 TEST_TYPE = T.StructType([
@@ -87,7 +92,8 @@ def _meets(value: Column, test: Column) -> Column:
     return F.coalesce(
         F.when(test["op"] == "any", value.isNotNull())
         .when(test["op"] == "in", F.array_contains(test["values"], value))
-        .when(test["op"] == "like", F.rlike(value, first))
+        # this function keeps the last pattern compiled; a step's tests see the same one for all nodes
+        .when(test["op"] == "like", F.regexp_instr(value, first) > 0)
         .when(test["op"] == "prefix", F.startswith(value, first))
         .otherwise(F.contains(value, first)), F.lit(False))
 
@@ -106,58 +112,118 @@ def _passes(nodes: Column, x: Column, step: Column) -> Column:
     return kind & (step["nth"].isNull() | (step["nth"] == x["nth"])) & F.forall(step["tests"], one)
 
 
-def chosen(nodes: Column, steps: Column) -> Column:
-    """The nodes that end a selector, in document order.
+RUN_TYPE = T.ArrayType(STEP_TYPE)
+PROGRAM_TYPE = T.StructType([
+    T.StructField("trie", T.ArrayType(T.StructType([
+        T.StructField("parent", T.IntegerType()),  # place in the trie, which it comes before; -1 for a selector's first run
+        T.StructField("run", RUN_TYPE)]))),
+    T.StructField("fields", T.ArrayType(T.StructType([
+        T.StructField("end", T.IntegerType()),     # place of its selector's last run
+        T.StructField("field", FIELD_TYPE)]))),
+])
+_AREA = "array<struct<pre:int,last:int,depth:int>>"
 
-    From a node upwards, ``exact`` tells which later parts of the selector
-    hold with their first step just there, ``some`` those that hold with it
-    there or further down.
-    """
-    last = F.size(steps) - 1
 
-    def up(state: Column, _: Column) -> Column:
-        x = F.get(nodes, state["at"])
+def runs_of(steps: Column) -> Column:
+    """The steps cut before every descendant axis."""
+    def cut(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | ~F.get(s, i)["child"])
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i)))
 
-        def here(step: Column, j: Column) -> Column:
-            rest = F.when(F.get(steps, j + 1)["child"], F.get(state["exact"], j + 1)).otherwise(F.get(state["some"], j + 1))
-            place = (j > 0) | ~step["child"] | (x["depth"] == 0)
-            return (j < last) & F.coalesce(rest, F.lit(False)) & place & _passes(nodes, x, step)
+    return let(steps, cut)
 
-        return let(F.transform(steps, here), lambda exact: F.struct(
-            x["parent"].alias("at"), exact.alias("exact"), F.zip_with(state["some"], exact, lambda a, b: a | b).alias("some")))
 
-    def ends(x: Column) -> Column:
-        alone = (last == 0) & (~F.get(steps, F.lit(0))["child"] | (x["depth"] == 0))
-        only = F.transform(steps, lambda s, j: j == last)
-        begin = F.struct(x["parent"].alias("at"), only.alias("exact"), only.alias("some"))
-        climb = F.aggregate(F.sequence(F.lit(1), x["depth"]), begin, up, lambda s: F.get(s["some"], F.lit(0)))
-        return _passes(nodes, x, F.get(steps, last)) & (alone | ((x["depth"] > 0) & (last > 0) & climb))
+def _ends(nodes: Column, x: Column, run: Column) -> Column:
+    """Whether the node and its parents match a run, the last step at the node."""
+    def up(state: Column, step: Column) -> Column:
+        y = F.get(nodes, state["at"])
+        return F.struct(F.coalesce(y["parent"], F.lit(-1)).alias("at"), (state["fits"] & F.coalesce(_passes(nodes, y, step), F.lit(False))).alias("fits"))
 
-    return F.filter(nodes, ends)
+    last = _passes(nodes, x, F.element_at(run, -1))
+    rest = F.aggregate(F.reverse(F.slice(run, F.lit(1), F.size(run) - 1)), F.struct(x["parent"].alias("at"), F.lit(True).alias("fits")),
+                       up, lambda s: s["fits"])
+    return last & ((F.size(run) == 1) | rest)
 
 
-def field_values(nodes: Column, field: Column) -> Column:
-    """array<struct(text, attr)> of a field that is data; NULL where it finds nothing and has no fallback."""
-    def text(x: Column) -> Column:
-        pieces = F.filter(F.transform(texts(nodes, x), strip), lambda t: t != "")
-        joined = F.call_function("array_join", pieces, F.coalesce(field["separator"], F.lit("")))
-        return F.when(field["family"] == "soup", not_empty(squeeze_ws(joined))).otherwise(text_strip(nodes, x))
+def run_found(nodes: Column, areas: Column, run: Column) -> Column:
+    """The nodes below the areas that end a run which begins there; a run that begins with a child axis does so at the root."""
+    def test(x: Column, u: Column) -> Column:
+        begin = x["depth"] - (F.size(run) - 1)
+        return (begin > u["depth"]) & (~F.get(run, F.lit(0))["child"] | (begin == 0)) & _ends(nodes, x, run)
 
-    def source(x: Column) -> Column:
-        return F.when(field["family"] == "tree", markup(nodes, x)).otherwise(markup(nodes, x, tail=False))
+    return below(nodes, areas, test)
 
-    def value(x: Column) -> Column:
-        words = F.when(field["kind"].isin("text", "attr_text"), F.coalesce(text(x), field["fallback"])).when(
-            field["kind"] == "html", source(x)).when(field["kind"] == "string", x["text"])
-        attr = F.when(field["kind"].isin("attr", "attr_text"), F.coalesce(x["attrs"][field["target"]], field["fallback"]))
-        return F.struct(words.alias("text"), attr.alias("attr"))
 
+def _page(nodes: Column) -> Column:
+    """All of the page as an area."""
+    return F.array(F.struct(F.lit(-1).alias("pre"), (F.size(nodes) - 1).alias("last"), F.lit(-1).alias("depth"))).cast(_AREA)
+
+
+def chosen(nodes: Column, steps: Column) -> Column:
+    """The nodes that end a selector, in document order."""
+    def through(runs: Column) -> Column:
+        def step(areas: Column, run: Column) -> Column:
+            return outermost(run_found(nodes, areas, run)).cast(_AREA)
+
+        before = F.aggregate(F.slice(runs, F.lit(1), F.size(runs) - 1), _page(nodes), step)
+        return let(before, lambda areas: run_found(nodes, areas, F.element_at(runs, -1)))
+
+    return let(runs_of(steps), through)
+
+
+def trie_found(nodes: Column, trie: Column) -> Column:
+    """For each place of the trie the nodes that end its run, each run looked for once."""
+    kind = "array<struct<found:array<int>,areas:" + _AREA + ">>"
+
+    def grow(done: Column, spot: Column) -> Column:
+        areas = F.when(spot["parent"] < 0, _page(nodes)).otherwise(F.get(done, spot["parent"])["areas"])
+        found = let(areas, lambda a: run_found(nodes, a, spot["run"]))
+        return F.concat(done, let(found, lambda m: F.array(F.struct(
+            F.transform(m, lambda x: x["pre"]).alias("found"), outermost(m).alias("areas")))).cast(kind))
+
+    return F.transform(F.aggregate(trie, F.array().cast(kind), grow), lambda s: s["found"])
+
+
+def program_values(nodes: Column, program: Column) -> Column:
+    """For each field of the program its values, as ``field_values`` gives them."""
     def values(found: Column) -> Column:
-        is_attr = field["kind"] == "attr"
-        fallback = F.array(F.struct(F.when(~is_attr, field["fallback"]).alias("text"), F.when(is_attr, field["fallback"]).alias("attr")))
-        return F.when(F.size(found) > 0, F.transform(found, value)).when(field["fallback"].isNotNull(), fallback)
+        def one(f: Column) -> Column:
+            spots = F.get(found, f["end"])
+            limited = F.when(f["field"]["many"], spots).otherwise(F.slice(spots, 1, 1))
+            return let(F.transform(limited, lambda at: F.get(nodes, at)), lambda m: values_of(nodes, f["field"], m))
+
+        return F.transform(program["fields"], one)
 
+    return let(trie_found(nodes, program["trie"]), values)
+
+
+def field_values(nodes: Column, field: Column) -> Column:
+    """array<struct(text, attr)> of a field that is data; NULL where it finds nothing and has no fallback."""
     def limited(found: Column) -> Column:
         return F.when(field["many"], found).otherwise(F.slice(found, 1, 1))
 
-    return let(field["steps"], lambda steps: let(let(chosen(nodes, steps), limited), values))
+    return let(field["steps"], lambda steps: let(let(chosen(nodes, steps), limited), lambda found: values_of(nodes, field, found)))
+
+
+def values_of(nodes: Column, field: Column, found: Column) -> Column:
+    """What the field takes from the nodes that its selector found."""
+    soup = field["family"] == "soup"
+    gap = F.when(soup, squeeze_ws(F.coalesce(field["separator"], F.lit("")))).otherwise("")
+    piece = lambda t: F.when(soup, squeeze_ws(t)).otherwise(strip(t))
+
+    def one(x: Column) -> Column:
+        pieces = F.filter(F.transform(texts(nodes, x), piece), lambda t: t != "")
+        return F.call_function("array_join", pieces, gap)
+
+    def value(words: Column, x: Column) -> Column:
+        attr = F.when(field["kind"].isin("attr", "attr_text"), F.coalesce(x["attrs"][field["target"]], field["fallback"]))
+        return F.struct(words.alias("text"), attr.alias("attr"))
+
+    made = F.when(field["kind"].isin("text", "attr_text"), F.transform(
+        texts_of(nodes, found, one, piece, gap), lambda t: F.when(t != "", t).otherwise(field["fallback"]))).when(
+        field["kind"] == "html", markups_of(nodes, found, field["family"] == "tree")).when(
+        field["kind"] == "string", F.transform(found, lambda x: x["text"])).otherwise(
+        F.transform(found, lambda _: F.lit(None).cast("string")))
+    is_attr = field["kind"] == "attr"
+    fallback = F.array(F.struct(F.when(~is_attr, field["fallback"]).alias("text"), F.when(is_attr, field["fallback"]).alias("attr")))
+    return F.when(F.size(found) > 0, F.zip_with(made, found, value)).when(field["fallback"].isNotNull(), fallback)

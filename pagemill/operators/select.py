@@ -1,20 +1,21 @@
 """Element selection on the node array.
 
-A selector is data: a tuple of steps.  The last step is tested first, so an
-element that fails it costs one comparison.  Ancestors are found by following
-parents; no self-join and no shuffle is involved.
+A selector is data: a tuple of steps, cut into runs before every descendant
+axis.  A run looks at a node and the fixed number of parents that its child axes
+name; the runs follow each other set at a time.  No self-join and no shuffle is
+involved.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.common import java_pattern
+from pagemill.functions.common import java_pattern, let, running
 from pagemill.sources.nodes import COMMENT, INSTRUCTION, TEXT, is_element
 
 Match = str | re.Pattern | bool | list
@@ -150,45 +151,81 @@ def _runs(steps: Sequence[Step]) -> list[list[Step]]:
     return runs
 
 
-def _chain(nodes: Column, node: Column, runs: Sequence[Sequence[Step]], top: Column, anchored: bool) -> Column:
-    """Whether ``node`` ends the last run and its ancestors hold the earlier runs in order.
+def outermost(found: Column) -> Column:
+    """Of nodes in document order those that lie in no other of them, as (pre, last, depth)."""
+    def keep(m: Column) -> Column:
+        return let(running(F.transform(m, lambda x: x["last"]), F.lit(-1), F.greatest), lambda ends: F.filter(
+            m, lambda x, i: (i == 0) | (F.get(ends, i - 1) < x["pre"])))
 
-    Runs are placed as near the node as they fit, one look at each ancestor on
-    the way up.  ``top`` is the least depth a run may start at; an anchored
-    selector starts exactly there.
-    """
-    start = node["depth"] - (len(runs[-1]) - 1)
-    here = _run(nodes, node, runs[-1])
-    if len(runs) == 1:
-        return here & ((start == top) if anchored else (start >= top))
+    short = lambda x: F.struct(x["pre"].alias("pre"), x["last"].alias("last"), x["depth"].alias("depth"))
+    return F.transform(let(found, lambda m: F.when(F.size(m) < 2, m).otherwise(keep(m))), short)
+
+
+def below(nodes: Column, areas: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """The nodes below the areas that pass ``test`` (node, area), in document order; areas hold no other."""
+    return F.flatten(F.transform(areas, lambda u: F.filter(
+        F.slice(nodes, u["pre"] + 2, u["last"] - u["pre"]), lambda x: test(x, u))))
+
+
+def _next(nodes: Column, steps: Sequence[Step]) -> Callable[[Column], Column]:
+    """From nodes found to those that end a run whose first step lies below one of them."""
+    return lambda found: below(nodes, outermost(found), lambda x, u: (
+        x["depth"] - (len(steps) - 1) > u["depth"]) & _run(nodes, x, steps))
 
-    def place(state: Column, _: Column) -> Column:
-        x = F.get(nodes, state["at"])
+
+def _satisfied(nodes: Column, scope: Column, runs: Sequence[Sequence[Step]]) -> Column:
+    """How many of the runs the scope and its ancestors hold, each placed as far up as it fits, and the depths where they end."""
+    def place(state: Column, x: Column) -> Column:
         fits = F.lit(False)
-        for i, steps in enumerate(runs[:-1]):
-            begin = x["depth"] - (len(steps) - 1)
-            room = (begin == top) if anchored and i == 0 else (begin >= top)
-            fits = F.when(state["left"] == i + 1, (x["depth"] < state["under"]) & room & _run(nodes, x, steps)).otherwise(fits)
-        span = F.element_at(F.array(*(F.lit(len(steps)) for steps in runs[:-1])), F.greatest(state["left"], F.lit(1)))
-        return F.struct(
-            x["parent"].alias("at"), (state["left"] - fits.cast("int")).alias("left"),
-            F.when(fits, x["depth"] - span + 1).otherwise(state["under"]).alias("under"))
+        for i, steps in enumerate(runs):
+            under = F.coalesce(F.try_element_at(state, F.lit(-1)), F.lit(-1))
+            fits = F.when(F.size(state) == i, (x["depth"] - (len(steps) - 1) > under) & _run(nodes, x, steps)).otherwise(fits)
+        return F.when(fits, F.concat(state, F.array(x["depth"]))).otherwise(state)
 
-    begin = F.struct(node["parent"].alias("at"), F.lit(len(runs) - 1).alias("left"), start.alias("under"))
-    climb = F.aggregate(F.sequence(F.lit(1), node["depth"]), begin, place, lambda s: s["left"] == 0)
-    return here & (node["depth"] > 0) & climb
+    up = running(F.sequence(F.lit(0), scope["depth"]), scope["pre"] + 0, lambda at, d: F.when(d == 0, at).otherwise(F.get(nodes, at)["parent"]))
+    path = F.transform(F.reverse(up), lambda at: F.get(nodes, at))
+    return F.aggregate(path, F.slice(F.array(F.lit(0)), 1, 0), place)
 
 
 def select(nodes: Column, selector: Selector, scope: Column | None = None) -> Column:
-    """Array of the matching nodes in document order."""
+    """Array of the matching nodes in document order.
+
+    Steps are taken set at a time from the first: what ends a run of steps is
+    reduced to its outermost nodes, and only what lies below them is looked at
+    for the next run.  So a selector costs a page's nodes per step, however deep
+    they lie and however many of them match.
+    """
     runs, pool = _runs(selector.steps), nodes
     anchored, top = selector.steps[0].child, F.lit(0)
+    inside = scope is not None and selector.reach == "inside"
     if scope is not None and selector.reach != "page":
+        first = 1 if selector.reach == "self" else 2
+        pool = F.slice(nodes, scope["pre"] + first, scope["last"] - scope["pre"] + (2 - first))
         if selector.reach == "self":
-            pool = F.slice(nodes, scope["pre"] + 1, scope["last"] - scope["pre"] + 1)
             top = scope["depth"]
-        else:
-            pool = F.slice(nodes, scope["pre"] + 2, scope["last"] - scope["pre"])
         if anchored:
             top = scope["depth"] + 1
-    return F.filter(pool, lambda x: _chain(nodes, x, runs, top, anchored))
+
+    def starts(under: Column, steps: Sequence[Step], exact: bool = False) -> Column:
+        def test(x: Column) -> Column:
+            start = x["depth"] - (len(steps) - 1)
+            return ((start == under) if exact else (start >= under)) & _run(nodes, x, steps)
+
+        return F.filter(pool, test)
+
+    if not inside or anchored or len(runs) == 1:
+        found = starts(top, runs[0], anchored)
+        for steps in runs[1:]:
+            found = let(found, _next(nodes, steps))
+        return found
+
+    def from_scope(held: Column) -> Column:
+        """Runs that the scope and its ancestors hold are done with; the one after them begins anywhere in the scope."""
+        found = starts(F.lit(0), runs[0])
+        for i, steps in enumerate(runs[1:], 1):
+            fresh = starts(F.get(held, F.lit(i - 1)) + 1, steps)
+            found = F.when(F.size(held) > i, F.slice(pool, 1, 0)).when(F.size(held) == i, fresh).otherwise(
+                let(found, _next(nodes, steps)))
+        return found
+
+    return let(_satisfied(nodes, scope, runs[:-1]), from_scope)

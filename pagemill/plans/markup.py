@@ -18,7 +18,7 @@ from pagemill.plans.catalog import SQL_NAV, SQL_ROOT, query, sql_ascii, sql_deco
 from pagemill.plans.scans import SQL_RULES, site_rules
 from pagemill.sources.nodes import contained, is_element, node_table, parse_nodes, register_sql
 from pagemill.sources.pages import table
-from pagemill.sources.rules import extract_by_rule, rule_page_join
+from pagemill.sources.rules import extract_rules
 from pagemill.streaming import ingest
 
 
@@ -513,8 +513,7 @@ def stage_outputs(spark, sf_dir):
     from pages join ruled using (page_id) where category = 'notice'""")
 def rule_extract(spark, sf_dir):
     """Each category of sites has its own selectors, which are data of the registry."""
-    ruled = rule_page_join(table(spark, sf_dir, "pages"), site_rules(spark, sf_dir))
-    return extract_by_rule(parse_nodes(ruled.select("page_id", "category", "fields", "html")), stage=0)
+    return extract_rules(table(spark, sf_dir, "pages"), site_rules(spark, sf_dir), stage=0).select("page_id", "category", "text", "attr")
 
 
 @query("stream_main_content", SQL_MAIN)

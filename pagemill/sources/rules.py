@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,8 @@ from pagemill.functions.common import let
 from pagemill.functions.urls import dated_url, url_host
 from pagemill.operators.fields import Field
 from pagemill.operators.links import request_url
-from pagemill.operators.rule_fields import FIELD_TYPE, field_row, field_values
+from pagemill.operators.rule_fields import FIELD_TYPE, PROGRAM_TYPE, field_row, field_values, program_values, runs_of
+from pagemill.sources.nodes import parse_nodes
 
 RULE_TYPE = T.StructType([
     T.StructField("rule_id", T.LongType()),
@@ -107,3 +108,56 @@ def extract_by_rule(ruled: DataFrame, stage: int) -> DataFrame:
     values = let(field, lambda f: F.when(f.isNotNull(), field_values(F.col("nodes"), f)))
     keep = [c for c in ruled.columns if c not in ("nodes", "fields")]
     return ruled.select(*keep, F.inline(values))
+
+
+def _program(fields: Column) -> Column:
+    """Different fields as one program: the beginnings of all their selectors, each before what goes on from it."""
+    def beginnings(f: Column) -> Column:
+        return let(runs_of(f["steps"]), lambda runs: F.transform(runs, lambda _, k: F.slice(runs, F.lit(1), k + 1)))
+
+    def build(paths: Column) -> Column:
+        trie = F.transform(paths, lambda p: F.struct(
+            (F.array_position(paths, F.slice(p, F.lit(1), F.size(p) - 1)) - 1).cast("int").alias("parent"), F.element_at(p, -1).alias("run")))
+        ends = F.transform(fields, lambda f: F.struct(
+            (F.array_position(paths, runs_of(f["steps"])) - 1).cast("int").alias("end"), f.alias("field")))
+        return F.struct(trie.alias("trie"), ends.alias("fields")).cast(PROGRAM_TYPE)
+
+    return let(F.array_distinct(F.flatten(F.transform(fields, beginnings))), build)
+
+
+def site_programs(rules: DataFrame, stage: int) -> DataFrame:
+    """One row per site: ``rules`` (columns of each rule and the place of its field) and the ``program`` of all their fields."""
+    field = F.get("fields", F.lit(stage))
+    names = [c for c in rules.columns if c not in ("fields", "site")]
+    sites = rules.where(field.isNotNull()).groupBy("site").agg(F.collect_list(F.struct(*names, field.alias("_field"))).alias("given"))
+    sites = sites.withColumn("different", F.array_distinct(F.transform("given", lambda r: r["_field"])))
+    ruled = F.transform("given", lambda r: F.struct(
+        *(r[n].alias(n) for n in names), (F.array_position("different", r["_field"]) - 1).cast("int").alias("_place")))
+    return sites.select("site", ruled.alias("rules"), _program(F.col("different")).alias("program"))
+
+
+def extract_rules(pages: DataFrame, rules: DataFrame, stage: int) -> DataFrame:
+    """The stage's field of every rule of a page's host, one row per value (text, attr), with the rule's and the page's columns.
+
+    A page is parsed once whatever its rules; what selectors have in common is
+    looked for once, and a field that several rules have is taken once. A rule
+    with a ``pattern`` is for the URLs it is found in. A rule without the stage,
+    or whose field finds nothing and has no fallback, gives no rows.
+    """
+    programs = site_programs(rules, stage)
+    keep = [c for c in pages.columns if c != "html"]
+    names = [c for c in rules.columns if c not in ("fields", "site", "url", *keep)]
+    keyed = pages.withColumn("_site", url_host(F.col("url")))
+    # the rules meet the nodes: they needn't go through the parser
+    wanted = keyed.join(rules.where(F.get("fields", F.lit(stage)).isNotNull()).select("site"), F.col("_site") == F.col("site"), "left_semi")
+    parsed = parse_nodes(wanted).join(programs, F.col("_site") == F.col("site"))
+
+    def rows(values: Column) -> Column:
+        ruled = F.col("rules")
+        if "pattern" in rules.columns:
+            ruled = F.filter(ruled, lambda r: r["pattern"].isNull() | (F.regexp_instr(F.col("url"), r["pattern"]) > 0))
+        return F.flatten(F.transform(ruled, lambda r: F.transform(
+            F.coalesce(F.get(values, r["_place"]), F.array()), lambda v: F.struct(
+                *(r[n].alias(n) for n in names), v["text"].alias("text"), v["attr"].alias("attr")))))
+
+    return parsed.select(*keep, "site", F.inline(let(program_values(F.col("nodes"), F.col("program")), rows)))

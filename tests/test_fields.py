@@ -12,8 +12,8 @@ from pagemill.functions.common import java_pattern, let
 from pagemill.functions.text import (char_counts, clean_title, date_text, date_value, is_headline, regex_error, regex_many,
                                      regex_single)
 from pagemill.operators import json_items
-from pagemill.operators.fields import (Field, ascii_markup, attr_field, attr_text_field, html_field, markup, pretty_markup,
-                                       text_field)
+from pagemill.operators.fields import (Field, ascii_markup, attr_field, attr_text_field, compact_texts, html_field, markup,
+                                       markups_of, pretty_markup, stripped_texts, text_compact, text_field, text_strip)
 from pagemill.operators.items import ItemSpec, page_items, scope_errors, scope_items, scope_outcomes
 from pagemill.operators.rule_fields import chosen
 from pagemill.operators.select import Selector, Step, descend, find_all, select
@@ -358,3 +358,31 @@ def test_json_records(spark):
     assert [(r.i, r.pos, r.n, r.error) for r in targeted] == [(2, 0, "1", None), (2, 1, None, "n: no key n")]
     errors = json_items.record_errors(rows, "doc", {"n": json_items.JsonField("n")}, target="t").orderBy("i").collect()
     assert [r.i for r in errors] == [0, 1, 2, 3, 4]
+
+
+NESTED = ["<div title=q>a &amp; <div class=title> b  c<p>é<b></b></p><div id=title></div> d</div><br>e<!--n--></div>tail<div>f</div>", "<div>x</div><div>y</div>", "<p>none</p>"]
+
+
+def test_nodes_in_each_other_have_their_parts_of_the_page(spark):
+    """Text and markup by offsets against one node at a time."""
+    parsed, nodes = pages(spark, *NESTED), F.col("nodes")
+    found = select(nodes, find_all(True))
+    for tail in (True, False):
+        each = F.transform(found, lambda x: markup(nodes, x, tail=tail))  # noqa: B023
+        for r in parsed.select(let(found, lambda m: markups_of(nodes, m, tail)).alias("a"), each.alias("b")).collect():  # noqa: B023
+            assert r.a == r.b
+    made = [(let(found, lambda m: compact_texts(nodes, m, s)), F.transform(found, lambda x: text_compact(nodes, x, s)))  # noqa: B023
+            for s in (None, "-", " | ")]
+    made += [(let(found, lambda m: stripped_texts(nodes, m)), F.transform(found, lambda x: text_strip(nodes, x)))]
+    for at_once, each in made:
+        for r in parsed.select(at_once.alias("a"), each.alias("b")).collect():
+            assert r.a == [t or "" for t in r.b] and (len(r.a) > 5 or "b" not in "".join(r.a))
+
+
+def test_text_of_nested_elements_costs_its_output(spark):
+    n = 3000
+    parsed = pages(spark, "<i>x" * n)
+    row = parsed.select(text_field(find_all("i")).extract(F.col("nodes"))["value"].alias("t"),
+                        html_field(find_all("i")).extract(F.col("nodes"))["value"].alias("m")).first()
+    assert [len(t) for t in row.t] == list(range(n, 0, -1))
+    assert [len(m) for m in row.m] == [8 * k for k in range(n, 0, -1)]
