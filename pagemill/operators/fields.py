@@ -167,7 +167,8 @@ def markups_of(nodes: Column, found: Column, tail: bool | Column) -> Column:
         return let(ends, lambda e: F.struct(
             _bytes(F.array_join(F.transform(pieces, lambda p: p["text"]), "")).alias("whole"),
             # in order of the pieces: the opening ones, one per node, tell where a node starts, the closing ones where it ends
-            F.filter(F.transform(pieces, lambda p, i: F.when(p["end"] == 0, _sum_before(e, i))), lambda at: at.isNotNull()).alias("starts"),
+            F.filter(F.transform(pieces, lambda p, i: F.when(p["end"] == 0, F.struct(
+                _sum_before(e, i).alias("start"), F.get(e, i).alias("stop")))), lambda at: at.isNotNull()).alias("opened"),
             F.transform(F.sort_array(F.filter(F.transform(pieces, lambda p, i: F.struct(
                 F.when(p["end"] == 1, -p["inner"]).alias("pre"), F.get(e, i).alias("at"))), lambda c: c["pre"].isNotNull())),
                 lambda c: c["at"]).alias("stops"),
@@ -175,10 +176,9 @@ def markups_of(nodes: Column, found: Column, tail: bool | Column) -> Column:
                         lambda n: n - 1).alias("closed")))
 
     def part(page: Column, x: Column) -> Column:
-        start = F.get(page["starts"], x["pre"])
-        stop = F.when(x["last"] > x["pre"], F.get(page["stops"], F.get(page["closed"], x["pre"]))).otherwise(
-            start + F.octet_length(_opening(x)))
-        return F.concat(_cut(page["whole"], start, stop - start), end(x))
+        opened = F.get(page["opened"], x["pre"])
+        stop = F.when(x["last"] > x["pre"], F.get(page["stops"], F.get(page["closed"], x["pre"]))).otherwise(opened["stop"])
+        return F.concat(_cut(page["whole"], opened["start"], stop - opened["start"]), end(x))
 
     at_once = let(let(F.sort_array(F.concat(*_pieces(nodes))), written), lambda page: F.transform(found, lambda x: part(page, x)))
     return F.when(nested(found), at_once).otherwise(

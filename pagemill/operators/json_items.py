@@ -5,13 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagemill.functions.common import let
+from pagemill.functions.common import WHITESPACE, let
 from pagemill.functions.jsonpath import at_path, json_error, json_path
 
 
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON documents from files, one per file or one per line: file, doc, error, and for lines the ``block`` of the file (A4).
+
+    ``doc`` is a variant; a broken document has none and says so in ``error``
+    with its beginning, and a line of white space is no document.
+    """
+    keep = ["file", "block"] if lines else ["file"]
+    places = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start")}
+    rows = spark.read.text(path, wholetext=not lines).select(*(places[k].alias(k) for k in keep), "value")
+    if lines:
+        rows = rows.where(F.btrim(F.col("value"), F.lit(WHITESPACE)) != "")
+    parsed = rows.select(*keep, "value", F.try_parse_json("value").alias("doc"))
+    return parsed.select(*keep, "doc", F.when(F.col("doc").isNull(), F.concat(F.lit("no JSON: "), F.substring("value", 1, 40))).alias("error"))
+
+
+def write_documents(rows: DataFrame, doc: str, path: str) -> None:
+    """One document per line."""
+    rows.select(F.replace(F.replace(F.col(doc), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" ")).alias("value")).write.text(path)
+
+
 @dataclass(frozen=True)
 class JsonField:
     """Value below successive keys; without keys the default."""
@@ -37,7 +58,8 @@ def _elements(doc: Column, target: str | None) -> Column:
 def _parsed(rows: DataFrame, doc: str, target: str | None, outer: bool) -> DataFrame:
     explode = F.posexplode_outer if outer else F.posexplode
     keep = [c for c in rows.columns if c != doc]
-    parsed = rows.select(*keep, F.try_parse_json(doc).alias("_doc"))
+    given = F.col(doc) if isinstance(rows.schema[doc].dataType, T.VariantType) else F.try_parse_json(doc)
+    parsed = rows.select(*keep, given.alias("_doc"))
     return parsed.select(*keep, explode(_elements(F.col("_doc"), target)).alias("pos", "_record"))
 
 

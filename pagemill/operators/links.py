@@ -133,7 +133,8 @@ Stage = Callable[[DataFrame], DataFrame]
 
 
 def staged_crawl(seeds: DataFrame, pages: DataFrame, stages: list[Stage], carry: list[str],
-                 visited: DataFrame | None = None, canonical: bool = False, folder: str | None = None) -> DataFrame:
+                 visited: DataFrame | None = None, canonical: bool = False, folder: str | None = None,
+                 dedupe_frontier: bool = False) -> DataFrame:
     """Fixed-depth crawl over stored pages (H3).
 
     Each stage turns pages (page_id, url, html) into rows with their page_id
@@ -142,15 +143,25 @@ def staged_crawl(seeds: DataFrame, pages: DataFrame, stages: list[Stage], carry:
     links lead to it, and what it gives is joined back to all of them.  Each
     hop's rows are written below ``folder`` (the shared one by default), so
     later hops don't compute them again.
-    Links in ``visited`` (canonical URLs) are left out when it is given.
+    Links in ``visited`` (canonical URLs) are left out when it is given.  With
+    ``dedupe_frontier`` a page is reached once in the whole crawl, at the first
+    hop that leads to it and with the least values of ``carry`` among that hop's
+    links: the ids of each hop are stored, and the next ones leave them out.
     """
     folder = folder or shared_dir(seeds.sparkSession, "crawl")
-    frontier = seeds
+    frontier, reached_before = seeds, []
     for number, stage in enumerate(stages):
         if visited is not None:
             seen = visited.select(F.col("canonical").alias("_to"))
             frontier = frontier.withColumn("_to", clean_url(F.col("link"))).join(seen, "_to", "left_anti").drop("_to")
-        hops = written(follow_links(frontier, pages, canonical=canonical).select(*carry, "page_id"), f"{folder}/hop-{number}")
+        found = follow_links(frontier, pages, canonical=canonical).select(*carry, "page_id")
+        if dedupe_frontier:
+            found = found.groupBy("page_id").agg(F.min(F.struct(*carry, F.lit(0).alias("_any"))).alias("_first")).select(
+                *(F.col(f"_first.{c}").alias(c) for c in carry), "page_id")
+            for ids in reached_before:
+                found = found.join(ids, "page_id", "left_anti")
+        hops = written(found, f"{folder}/hop-{number}")
+        reached_before.append(hops.select("page_id"))
         reached = pages.select("page_id", "url", "html").join(hops.select("page_id").distinct(), "page_id", "left_semi")
         frontier = hops.join(stage(reached), "page_id").drop("page_id")
     return frontier

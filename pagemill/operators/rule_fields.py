@@ -100,13 +100,10 @@ def _meets(value: Column, test: Column) -> Column:
 
 def _passes(nodes: Column, x: Column, step: Column) -> Column:
     def one(test: Column) -> Column:
-        attr = x["attrs"][test["name"]]
-        tokens = F.exists(class_tokens(x), lambda t: _meets(t, test))
-        return (F.when(test["on"] == "tag", _meets(x["tag"], test))
-                .when(test["on"] == "attr", _meets(attr, test))
-                .when(test["on"] == "token", F.coalesce(tokens, F.lit(False)))
-                .when(test["on"] == "class", _meets(attr, test) | F.coalesce(tokens, F.lit(False)))
-                .otherwise(_meets(F.when(step["element"], own_string(nodes, x)).otherwise(x["text"]), test)))
+        text = F.when(step["element"], own_string(nodes, x)).otherwise(x["text"])
+        value = F.when(test["on"] == "tag", x["tag"]).when(test["on"] == "string", text).otherwise(x["attrs"][test["name"]])
+        tokens = test["on"].isin("token", "class") & F.coalesce(F.exists(class_tokens(x), lambda t: _meets(t, test)), F.lit(False))
+        return tokens | ((test["on"] != "token") & _meets(value, test))
 
     kind = F.when(step["element"], is_element(x)).otherwise(x["tag"] == TEXT)
     return kind & (step["nth"].isNull() | (step["nth"] == x["nth"])) & F.forall(step["tests"], one)
@@ -133,25 +130,25 @@ def runs_of(steps: Column) -> Column:
     return let(steps, cut)
 
 
-def _ends(nodes: Column, x: Column, run: Column) -> Column:
-    """Whether the node and its parents match a run, the last step at the node."""
+def _ends(nodes: Column, x: Column, upwards: Column) -> Column:
+    """Whether the node and its parents match a run, given from its last step."""
     def up(state: Column, step: Column) -> Column:
         y = F.get(nodes, state["at"])
         return F.struct(F.coalesce(y["parent"], F.lit(-1)).alias("at"), (state["fits"] & F.coalesce(_passes(nodes, y, step), F.lit(False))).alias("fits"))
 
-    last = _passes(nodes, x, F.element_at(run, -1))
-    rest = F.aggregate(F.reverse(F.slice(run, F.lit(1), F.size(run) - 1)), F.struct(x["parent"].alias("at"), F.lit(True).alias("fits")),
-                       up, lambda s: s["fits"])
-    return last & ((F.size(run) == 1) | rest)
+    return F.aggregate(upwards, F.struct(x["pre"].alias("at"), F.lit(True).alias("fits")), up, lambda s: s["fits"])
 
 
 def run_found(nodes: Column, areas: Column, run: Column) -> Column:
     """The nodes below the areas that end a run which begins there; a run that begins with a child axis does so at the root."""
-    def test(x: Column, u: Column) -> Column:
-        begin = x["depth"] - (F.size(run) - 1)
-        return (begin > u["depth"]) & (~F.get(run, F.lit(0))["child"] | (begin == 0)) & _ends(nodes, x, run)
+    def search(upwards: Column) -> Column:
+        def test(x: Column, u: Column) -> Column:
+            begin = x["depth"] - (F.size(upwards) - 1)
+            return (begin > u["depth"]) & (~F.element_at(upwards, -1)["child"] | (begin == 0)) & _ends(nodes, x, upwards)
 
-    return below(nodes, areas, test)
+        return below(nodes, areas, test)
+
+    return let(F.reverse(run), search)
 
 
 def _page(nodes: Column) -> Column:

@@ -74,66 +74,91 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> Data
 class KeyedStore:
     """A stored table with one row per key, in versions of its buckets.
 
-    Keys are dealt to a fixed number of buckets by hash.  A write reads the
-    buckets of the incoming keys only and writes each of them as a new
-    version, ``data/bucket=B/version=V``; then it adds a row per rewritten
-    bucket to ``switches/version=V``, which is one file moved into place as a
-    whole.  Readers take, of each bucket, the last version that was switched
-    to, so a write that breaks off leaves the table as it was, and its folders
-    are not read by anyone.  One writer at a time; the same write again
-    changes nothing but the version.
+    Keys are dealt to a fixed number of buckets by hash.  A write first stores
+    what comes in, so that it is computed once, reads the buckets of its keys
+    only and writes ``data/bucket=B/version=V``: an insert the new rows alone, an
+    upsert the whole bucket.  Then it adds a row per bucket to
+    ``switches/version=V``, which is one file moved into place as a whole.
+    Readers take, of each bucket, the last whole version that was switched to and
+    the ones after it, so a write that breaks off leaves the table as it was,
+    and its folders are not read by anyone.  A bucket of many versions becomes
+    whole again with its next write.  One writer at a time; the same write
+    again changes nothing but the version.
+
+    ``buckets`` and ``files`` (tasks that write a bucket) are for the caller to
+    choose from the size of the data; a file has ``rows_per_file`` rows at most.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 64, files: int = 8,
+                 rows_per_file: int = 4_000_000, most_versions: int = 16) -> None:
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        self.files, self.rows_per_file, self.most_versions = files, rows_per_file, most_versions
         self.full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(F.col(self.key)), F.lit(self.buckets)).cast("int")
 
-    def _current(self) -> DataFrame:
-        """bucket, version: what is to be read."""
-        kind = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+    def _current(self) -> dict[int, list[int]]:
+        """The versions of each bucket that are to be read; a row per bucket and write reaches the driver, no more than those kept."""
+        kind = "bucket int, version long, whole boolean"
         try:
             switches = self.spark.read.schema(kind).parquet(f"{self.path}/switches")
         except AnalysisException:  # nothing is stored yet
-            return self.spark.createDataFrame([], kind)
-        return switches.groupBy("bucket").agg(F.max("version").alias("version"))
+            return {}
+        whole = F.coalesce("whole", F.lit(True))
+        last = switches.where(whole).groupBy("bucket").agg(F.max("version").alias("base"))
+        kept = switches.join(last, "bucket", "left").where(F.col("base").isNull() | (F.col("version") >= F.col("base")))
+        found: dict[int, list[int]] = {}
+        for r in kept.select("bucket", "version").distinct().collect():
+            found.setdefault(r.bucket, []).append(r.version)
+        return found
 
     def rows(self, buckets: list[int] | None = None) -> DataFrame:
         """The stored rows, of all buckets or of some; only the folders of their versions are read."""
-        # one row per bucket, whose number is fixed
-        parts = [(r.bucket, r.version) for r in self._current().collect() if buckets is None or r.bucket in buckets]
+        parts = {b: v for b, v in self._current().items() if buckets is None or b in buckets}
         if not parts:
             return self.spark.createDataFrame([], self.schema)
         chosen = F.lit(False)
-        for bucket, version in parts:
-            chosen = chosen | ((F.col("bucket") == bucket) & (F.col("version") == version))
+        for bucket, versions in parts.items():
+            chosen = chosen | ((F.col("bucket") == bucket) & F.col("version").isin(versions))
         return self.spark.read.schema(self.full).parquet(f"{self.path}/data").where(chosen).select(*self.schema.names)
 
-    def _write(self, changed: Callable[[DataFrame, DataFrame], DataFrame], incoming: DataFrame) -> list[int]:
+    def _write(self, new_rows: Callable[[DataFrame, DataFrame], DataFrame] | None,
+               changed: Callable[[DataFrame, DataFrame], DataFrame], incoming: DataFrame) -> list[int]:
+        """``new_rows`` gives what to add to buckets of few versions, ``changed`` the whole buckets otherwise."""
+        current = self._current()
+        version = 1 + max((v for versions in current.values() for v in versions), default=-1)
+        given = f"{self.path}/incoming/version={version}"
+        incoming.write.mode("overwrite").parquet(given)
+        incoming = self.spark.read.schema(incoming.schema).parquet(given)
         touched = sorted(r.bucket for r in incoming.select(self._bucket().alias("bucket")).distinct().collect())
         if not touched:
             return []
-        version = 1 + max((r.version for r in self._current().collect()), default=-1)
-        new = changed(self.rows(touched), incoming).select(*self.schema.names)
-        (new.withColumn("bucket", self._bucket()).withColumn("version", F.lit(version).cast("long"))
-         .repartition("bucket", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(8))).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")  # of this version, should an earlier attempt have left some
-         .partitionBy("bucket", "version").parquet(f"{self.path}/data"))
-        (self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite")
+        whole = {b for b in touched if new_rows is None or len(current.get(b, [])) >= self.most_versions}
+        for add, some in ((True, [b for b in touched if b not in whole]), (False, sorted(whole))):
+            if not some:
+                continue
+            stored, rows = self.rows(some), incoming.where(self._bucket().isin(some))
+            made = (new_rows if add else changed)(stored, rows).select(*self.schema.names)
+            (made.withColumn("bucket", self._bucket()).withColumn("version", F.lit(version).cast("long"))
+             .repartition("bucket", F.pmod(F.xxhash64(self.key, F.lit(1)), F.lit(self.files))).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic")  # of this version, should an earlier attempt have left some
+             .option("maxRecordsPerFile", self.rows_per_file).partitionBy("bucket", "version").parquet(f"{self.path}/data"))
+        (self.spark.createDataFrame([(b, b in whole) for b in touched], "bucket int, whole boolean").coalesce(1).write.mode("overwrite")
          .parquet(f"{self.path}/switches/version={version}"))
         return touched
 
     def insert(self, incoming: DataFrame, order: str) -> list[int]:
-        """Add the first row of each key that isn't stored (B1); the buckets that were rewritten."""
-        def changed(stored: DataFrame, rows: DataFrame) -> DataFrame:
-            return stored.unionByName(insert_if_absent(stored, rows, self.key, order), allowMissingColumns=True)
-        return self._write(changed, incoming)
+        """Add the first row of each key that isn't stored (B1); the buckets that were looked at."""
+        def new(stored: DataFrame, rows: DataFrame) -> DataFrame:
+            none = self.spark.createDataFrame([], self.schema)
+            added = none.unionByName(insert_if_absent(stored, rows, self.key, order), allowMissingColumns=True)
+            return added.select(*self.schema.names)
+        return self._write(new, lambda stored, rows: stored.unionByName(new(stored, rows)), incoming)
 
     def upsert(self, incoming: DataFrame, order: str) -> list[int]:
         """Write the last row of each key over the stored fields (B2); the buckets that were rewritten."""
-        return self._write(lambda stored, rows: upsert(stored, rows, self.key, order), incoming)
+        return self._write(None, lambda stored, rows: upsert(stored, rows, self.key, order), incoming)
 
 
 def vocabulary_documents(words: DataFrame) -> DataFrame:

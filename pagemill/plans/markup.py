@@ -16,9 +16,10 @@ from pagemill.operators.links import absolute_attrs, base_url
 from pagemill.operators.select import Step, descend, find_all, select
 from pagemill.plans.catalog import SQL_NAV, SQL_ROOT, query, sql_ascii, sql_decode, sql_part, sql_squeeze, sql_strip
 from pagemill.plans.scans import SQL_RULES, site_rules
-from pagemill.sources.nodes import contained, is_element, node_table, parse_nodes, register_sql
+from pagemill.sources.nodes import contained, is_element, node_table, parse_nodes, register_sql, structural_pairs
 from pagemill.sources.pages import table
 from pagemill.sources.rules import extract_rules
+from pagemill.sources.shared import shared_dir, written
 from pagemill.streaming import ingest
 
 
@@ -47,8 +48,8 @@ def nodes_tag_counts(spark, sf_dir):
 def nodes_in_sql(spark, sf_dir):
     register_sql(spark)
     return spark.sql("""
-        SELECT tag, count(*) AS n FROM (SELECT inline(n.nodes) FROM {pages} p, LATERAL page_nodes(p.html) n)
-        WHERE tag NOT IN ('#text', '#comment') GROUP BY tag""", pages=table(spark, sf_dir, "pages").select("html"))
+        SELECT tag, count(*) AS n FROM (SELECT inline(nodes) FROM page_nodes(TABLE(SELECT page_id, html FROM {pages})))
+        WHERE tag NOT IN ('#text', '#comment') GROUP BY tag""", pages=table(spark, sf_dir, "pages"))
 
 
 @query("find_all", f"select page_id, href, txt from ({SQL_NAV}) where regexp_matches(href, '[aeiou]n$')")
@@ -288,11 +289,22 @@ def custom_field(spark, sf_dir):
   union all select page_id, 'article', 'p', len(regexp_extract_all(html, '<p>')) from pages
   union all select page_id, 'p', 'b', len(regexp_extract_all(html, '<b>')) from pages where contains(html, '<b>')""")
 def containment(spark, sf_dir):
-    rows = node_table(table(spark, sf_dir, "pages").select("page_id", "html"), ["pre", "last", "tag"])
-    outer = rows.where(F.col("tag").isin("ul", "nav", "article", "p")).select("page_id", "pre", "last", "tag")
-    pairs = contained(rows.where(F.col("tag").isin("li", "a", "p", "b")).select("page_id", "pre", F.col("tag").alias("inner_tag")), outer)
+    pages = parse_nodes(table(spark, sf_dir, "pages").select("page_id", "html"), ["pre", "last", "tag"])
+    outer = F.filter(nodes(), lambda x: x["tag"].isin("ul", "nav", "article", "p") & (x["last"] > x["pre"]))
+    inner = F.filter(nodes(), lambda x: x["tag"].isin("li", "a", "p", "b"))
+    pairs = F.transform(structural_pairs(outer, inner), lambda p: F.struct(p["outer"]["tag"].alias("outer_tag"), p["inner"]["tag"].alias("inner_tag")))
     wanted = F.concat_ws(" ", "outer_tag", "inner_tag").isin("ul li", "nav a", "article p", "p b")
-    return pairs.where(wanted).groupBy("page_id", "outer_tag", "inner_tag").agg(F.count("*").alias("n"))
+    return pages.select("page_id", F.inline(pairs)).where(wanted).groupBy("page_id", "outer_tag", "inner_tag").agg(F.count("*").alias("n"))
+
+
+@query("containment_rows", f"""
+  select page_id, pos as item, href from ({SQL_NAV})""")
+def containment_rows(spark, sf_dir):
+    """Stored node rows joined to those that enclose them: the links of each list item, the items numbered."""
+    rows = written(node_table(table(spark, sf_dir, "pages").select("page_id", "html")), f"{shared_dir(spark, 'node-rows')}/rows")
+    items = rows.where("tag = 'li'").select("page_id", "pre", "last", F.col("nth").cast("long").alias("item"))
+    links = rows.where("tag = 'a'").select("page_id", "pre", F.col("attrs")["href"].alias("href"))
+    return contained(links, items).select("page_id", F.col("outer_item").alias("item"), "href")
 
 
 @query("first_match", f"select page_id, href from ({SQL_NAV}) where pos = 1")

@@ -16,7 +16,7 @@ from pagemill.operators.links import extract_links, page_links
 from pagemill.operators.select import Step, descend, find_all
 from pagemill.plans.catalog import (SQL_PAGE_LINKS, query, sql_binary, sql_clean_url, sql_part, sql_squeeze)
 from pagemill.sources.pages import cookie_map, page_records, table
-from pagemill.sources.rules import Rule, host_rules, rule_table, seed_frontier
+from pagemill.sources.rules import Rule, host_rules, pages_by_pattern, pattern_table, rule_table, seed_frontier
 from pagemill.sources.shared import shared_dir, written
 
 SQL_RULES = f"""
@@ -83,6 +83,25 @@ def json_records(spark, sf_dir):
     return records.select("event_id", F.col("k").cast("bigint").alias("k"))
 
 
+@query("json_files", f"""
+  select event_id, {_K} as k, null as error from events where event_type not in ('view', 'click')
+  union all select event_id, {_K}, 'user: no key user' from events where event_type = 'click'
+  union all select null, null, 'no JSON' from events where event_type = 'view'""")
+def json_files(spark, sf_dir):
+    """Documents written to files, one per line, and read back: broken ones are kept with what is wrong (A4)."""
+    body = F.concat(F.lit('{"id": '), "event_id", F.lit(', "p": '), "props")
+    doc = F.when(F.col("event_type") == "view", body).when(F.col("event_type") == "click", F.concat(body, F.lit("}"))).otherwise(
+        F.concat(body, F.lit(',\n "user": '), "user_id", F.lit("}")))
+    path = f"{shared_dir(spark, 'json')}/documents"
+    json_items.write_documents(table(spark, sf_dir, "events").select(doc.alias("doc")), "doc", path)
+    read = json_items.read_documents(spark, path, lines=True)
+    fields = {"id": json_items.JsonField("id"), "k": json_items.JsonField("p>k"), "user": json_items.JsonField("user")}
+    good = json_items.records(read.where("error is null").drop("error"), "doc", fields)
+    broken = read.where("error is not null")
+    return good.select(F.col("id").cast("bigint").alias("event_id"), F.col("k").cast("bigint").alias("k"), "error").unionByName(
+        broken.select(F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("k"), F.lit("no JSON").alias("error")))
+
+
 @query("json_path", f"""
   select event_id, {_K} as k, case when event_type in ('view', 'click') then null else user_id end as user_id,
          case when event_type = 'view' then 'no key a>user' end as error from events""")
@@ -164,6 +183,20 @@ def article_url_filter(spark, sf_dir):
         F.col("url").rlike(r"https://blog.+/.+[0-9]+.(shtml|shtm|html|htm)"))
 
 
+# Patterns as a registry has them: some name a word that a URL must have, some don't.
+URL_PATTERNS = [(0, r"https://blog.+/.+[0-9]+.(shtml|shtm|html|htm)"), (1, r"^https?://www\."), (2, r"/en/[0-9]+"), (3, r"/de/.*[02468]$"),
+                (4, r"[?&]utm_source=feed"), (5, r"#top$"), (6, r"/(en|fr)/[0-9]*7"), (7, r"[?]page=[0-9]&ref="), (8, r"/nowhere/[0-9]+")]
+
+
+@query("url_patterns", f"""
+  select page_id, rule_id from pages, (values {', '.join(f"({k}::bigint, '{p}')" for k, p in URL_PATTERNS)}) t(rule_id, pattern)
+  where regexp_matches(url, pattern)""")
+def url_patterns(spark, sf_dir):
+    """Which rules are for which pages, by the patterns of a stored table."""
+    patterns = written(pattern_table(spark, URL_PATTERNS), f"{shared_dir(spark, 'patterns')}/table")
+    return pages_by_pattern(table(spark, sf_dir, "pages").select("page_id", "url"), patterns).select("page_id", "rule_id")
+
+
 _DATED = """'posted ' || case event_type when 'view' then strftime(ts, '%Y-%m-%d') when 'click' then strftime(ts, '%Y/%-m/%-d')
   when 'purchase' then strftime(ts, '%Y年%-m月%-d日') when 'signup' then '19' || strftime(ts, '%y-%m-%d') else '2024-99-31' end || ' by ' || user_id"""
 

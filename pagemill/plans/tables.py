@@ -213,6 +213,32 @@ def follow_canonical(spark, sf_dir):
     return hops.select("src_page", "link", F.col("page_id").alias("dst_page"))
 
 
+@query("follow_stream", """
+  select a.page_id as src_page, b.url as link, b.page_id as dst_page from pages a join pages b
+  on b.page_id in (a.page_id // 2, (5 * a.page_id + 3) % (select count(*) from pages))""")
+def follow_stream(spark, sf_dir):
+    """Pages that arrive in three drops, their links followed as they come: links of old pages to new ones too."""
+    base = shared_dir(spark, "follow-stream")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    counted = pages.withColumn("n", F.expr("count(*) over ()"))
+    spread = counted.select("page_id", "url", F.explode(F.array_distinct(F.array(F.expr("page_id div 2"), (5 * F.col("page_id") + 3) % F.col("n")))).alias("to"))
+    to = pages.select(F.col("page_id").alias("to"), F.col("url").alias("to_url"))
+    anchors = F.array_join(F.transform(F.sort_array(F.collect_set("to_url")), lambda u: F.concat(
+        F.lit('<a href="'), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit('">x</a>'))), "")
+    made = written(spread.join(to, "to").groupBy("page_id", "url").agg(anchors.alias("html")), f"{base}/pages")
+    for number in range(3):
+        made.where(F.col("page_id") % 3 == number).coalesce(1).write.mode("append").parquet(f"{base}/drops")
+
+    def links_of(batch):
+        refs = attr_field("href", find_all("a")).extract(F.col("nodes"))["value"]
+        return parse_nodes(batch).select(F.col("page_id").alias("src_page"), F.explode(refs).alias("link"))
+
+    stream = ingest.read_new(spark, f"{base}/drops", ingest.PAGE_TYPE, files_per_batch=1)
+    ingest.follow_stream(stream, links_of, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    hops = spark.read.schema("src_page long, link string, page_id long, page_url string").parquet(f"{base}/out/hops")
+    return hops.select("src_page", "link", F.col("page_id").alias("dst_page"))
+
+
 def word_site(spark, sf_dir):
     """A three-level site derived from the pages: start page, chapter list, one word list per chapter."""
     pages = table(spark, sf_dir, "pages")
@@ -229,6 +255,34 @@ def word_site(spark, sf_dir):
     return start, start.unionByName(chapters).unionByName(lists)
 
 
+# Links of a site with circles: page p of n leads to 3p + 1, 7p + 2, p / 2 (modulo n) and itself, each twice.
+_RING = "select page_id as p, unnest([(3 * page_id + 1) % n, (7 * page_id + 2) % n, page_id // 2, page_id]) as q from pages, (select count(*) as n from pages)"
+
+
+@query("crawl_once", f"""
+  with e as ({_RING}), l0 as (select page_id as p, page_id as seed from pages where page_id % 25 = 0),
+  l1 as (select q as p, min(seed) as seed from l0 join e using (p) where q not in (select p from l0) group by q),
+  l2 as (select q as p, min(seed) as seed from l1 join e using (p) where q not in (select p from l0 union all select p from l1) group by q),
+  l3 as (select q as p, min(seed) as seed from l2 join e using (p)
+         where q not in (select p from l0 union all select p from l1 union all select p from l2) group by q)
+  select p as page_id, seed from l3""")
+def crawl_once(spark, sf_dir):
+    """The pages first reached at the third hop of a crawl that takes no page twice, with the least seed that leads there."""
+    ids = table(spark, sf_dir, "pages").select("page_id").withColumn("n", F.expr("count(*) over ()"))
+    to = F.array((3 * F.col("page_id") + 1) % F.col("n"), (7 * F.col("page_id") + 2) % F.col("n"), F.expr("page_id div 2"), F.col("page_id"))
+    anchors = F.array_join(F.transform(F.concat(to, to), lambda q: F.concat(F.lit('<a href="/p/'), q.cast("string"), F.lit('">x</a>'))), "")
+    pages = written(ids.select("page_id", F.concat(F.lit("http://ring/p/"), "page_id").alias("url"), anchors.alias("html")), f"{shared_dir(spark, 'ring')}/pages")
+
+    def links(reached):
+        refs = attr_field("href", find_all("a")).extract(F.col("nodes"))["value"]
+        return parse_nodes(reached).select("page_id", F.explode(F.transform(refs, lambda r: url_resolve(F.col("url"), r))).alias("link"))
+
+    seeds = pages.where("page_id % 25 = 0").select(F.col("page_id").alias("seed"), F.col("url").alias("link"))
+    last = lambda reached: reached.select("page_id", F.col("page_id").alias("found"))
+    hops = staged_crawl(seeds, pages, [links, links, links, last], ["seed"], dedupe_frontier=True)
+    return hops.select(F.col("found").alias("page_id"), "seed")
+
+
 @query("three_stage", f"select page_id as seed, pos::varchar as course, {sql_squeeze('txt')} as word from ({SQL_NAV})")
 def three_stage(spark, sf_dir):
     start, site = word_site(spark, sf_dir)

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagemill.functions.common import let, running
+
 # Executors need not have this package installed: the parser travels with the task.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -357,34 +359,69 @@ def node_table(pages: DataFrame, fields: Sequence[str] | None = None) -> DataFra
     return parsed.select(*keep, F.inline("nodes"))
 
 
+def structural_pairs(outer: Column, inner: Column) -> Column:
+    """The pairs of two node arrays of a page in which one node lies inside the other: array<struct(outer, inner)> (H5).
+
+    Both arrays are in document order. One pass over the places where outer
+    nodes begin and end and where inner ones lie counts, for each outer node, the
+    inner ones up to its begin and its end; what is between them is a slice.
+    """
+    def events(o: Column, i: Column) -> Column:
+        mark = lambda at, kind, who, end: F.struct(at.alias("at"), F.lit(kind).alias("kind"), who.alias("who"), F.lit(end).alias("end"))
+        return F.sort_array(F.concat(F.transform(i, lambda x: mark(x["pre"], 0, F.lit(-1), 0)),
+                                     F.transform(o, lambda x, k: mark(x["pre"], 1, k, 0)), F.transform(o, lambda x, k: mark(x["last"], 1, k, 1))))
+
+    def counted(marks: Column) -> Column:
+        counts = running(F.transform(marks, lambda m: 1 - m["kind"]), F.lit(0), lambda x, y: x + y)
+        found = let(counts, lambda c: F.transform(marks, lambda m, k: F.when(m["kind"] == 1, F.struct(m["who"], m["end"], F.get(c, k).alias("n")))))
+        return F.transform(F.sort_array(F.filter(found, lambda f: f.isNotNull())), lambda f: f["n"])
+
+    def pairs(both: Column) -> Column:
+        o, i = both["outer"], both["inner"]
+        return let(let(events(o, i), counted), lambda n: F.flatten(F.transform(o, lambda x, k: F.transform(
+            F.slice(i, F.get(n, 2 * k) + 1, F.get(n, 2 * k + 1) - F.get(n, 2 * k)), lambda y: F.struct(x.alias("outer"), y.alias("inner"))))))
+
+    return let(F.struct(outer.alias("outer"), inner.alias("inner")), pairs)
+
+
 def contained(nodes: DataFrame, outer: DataFrame) -> DataFrame:
     """Nodes with each node of ``outer`` (page_id, pre, last, ...) that encloses them (H5).
 
-    An outer node names the places inside it, so this is an equi-join on page
-    and place that makes no row beyond the result.
+    The rows of a page meet as two arrays, so nothing is made beyond the result
+    however few nodes are asked for. Where both come from one table of parsed
+    pages, ``structural_pairs`` on its arrays does without the shuffle.
     """
-    keyed = outer.select("page_id", *(F.col(c).alias(f"outer_{c}") for c in outer.columns if c != "page_id"))
-    inside = keyed.where("outer_last > outer_pre").withColumn(
-        "pre", F.explode(F.sequence(F.col("outer_pre") + 1, F.col("outer_last"))))
-    return nodes.join(inside, ["page_id", "pre"])
+    def gathered(rows: DataFrame, name: str) -> DataFrame:
+        rest = F.struct(*(c for c in rows.columns if c != "page_id"))
+        in_order = lambda a, b: F.when(a["pre"] < b["pre"], -1).when(a["pre"] > b["pre"], 1).otherwise(0)
+        return rows.groupBy("page_id").agg(F.array_sort(F.collect_list(rest), in_order).alias(name))
+
+    both = gathered(nodes, "_inner").join(gathered(outer.where("last > pre"), "_outer"), "page_id")
+    found = both.select("page_id", F.explode(structural_pairs(F.col("_outer"), F.col("_inner"))).alias("p"))
+    return found.select("page_id", "p.inner.*", *(F.col(f"p.outer.{c}").alias(f"outer_{c}") for c in outer.columns if c != "page_id"))
 
 
 class _PageNodes:
-    """Row source for SQL: all nodes of one page, handed over as one array."""
+    """Row source for SQL: the nodes of whole columns of pages, one array per page, built flat."""
 
-    def eval(self, html: str):
-        t = parse_page(html or "")
-        columns = [getattr(t, n) for n in NODE_TYPE.names if n != "attrs"]
-        yield ([(*row, dict(a)) for *row, a in zip(*columns, t.attrs)],)
+    def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
+        ids = pages.column("page_id").cast(pa.int64())
+        start, trees, chars = 0, [], 0
+        for i, source in enumerate(pages.column("html").to_pylist()):
+            trees.append(parse_page(source or ""))
+            chars += len(source or "")
+            if len(trees) == _ROWS_PER_BATCH or chars > _CHARS_PER_BATCH or i + 1 == pages.num_rows:
+                yield pa.table({"page_id": ids.slice(start, len(trees)), "nodes": _node_arrays(trees, NODE_TYPE.names)})
+                start, trees, chars = i + 1, [], 0
 
 
 def register_sql(spark: SparkSession, name: str = "page_nodes") -> None:
-    """Table function for SQL: ``SELECT inline(n.nodes) FROM pages, LATERAL page_nodes(html) n`` (M6u).
+    """Table function for SQL (M6u): ``SELECT page_id, inline(nodes) FROM page_nodes(TABLE(SELECT page_id, html FROM pages))``.
 
-    Jobs over whole corpora use ``parse_nodes``, which hands over whole columns.
+    Arrow batches go in and out, each task over its own rows.
     """
-    kind = T.StructType([T.StructField("nodes", T.ArrayType(NODE_TYPE))])
-    spark.udtf.register(name, F.udtf(_PageNodes, returnType=kind, useArrow=True))
+    kind = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("nodes", T.ArrayType(NODE_TYPE))])
+    spark.udtf.register(name, F.arrow_udtf(_PageNodes, returnType=kind))
 
 
 def is_element(node: Column) -> Column:

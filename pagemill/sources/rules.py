@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.common import let
+from pagemill.functions.common import java_pattern, let
 from pagemill.functions.urls import dated_url, url_host
 from pagemill.operators.fields import Field
 from pagemill.operators.links import request_url
@@ -93,10 +95,58 @@ def rule_page_join(pages: DataFrame, rules: DataFrame, by: str = "host") -> Data
         keyed, key = pages.withColumn("_key", url_host(F.col("url"))), F.col("site")
     on = F.col("_key") == key
     if by == "host" and "pattern" in rules.columns:
-        on = on & (F.col("pattern").isNull() | F.rlike(F.col("url"), F.col("pattern")))
+        on = on & (F.col("pattern").isNull() | (F.regexp_instr(F.col("url"), F.col("pattern")) > 0))
     return keyed.join(of_rule, on).drop("_key")
 
 
+def required_word(pattern: str | re.Pattern) -> str | None:
+    """The longest whole word, in lower case, that every URL with a match of the pattern has; None if it names none.
+
+    Words are runs of ASCII letters and digits. What a pattern says outside
+    brackets and choices is looked at; a word counts if what stands on both its
+    sides there is a character of no word, or the URL's end.
+    """
+    compiled = re.compile(pattern) if isinstance(pattern, str) else pattern
+    pieces, here = [], ""
+    for op, value in parser.parse(compiled.pattern, compiled.flags & ~re.U):
+        name = str(op)
+        if name == "LITERAL":
+            here += chr(value)
+        elif name == "AT" and str(value) in ("AT_BEGINNING_STRING", "AT_END_STRING") or (name == "AT" and str(value) == "AT_BEGINNING" and not compiled.flags & re.M):
+            here += "\0"
+        else:
+            pieces, here = [*pieces, here], ""
+    words = [w for p in [*pieces, here] for w in re.findall(r"(?<=[^A-Za-z0-9])[A-Za-z0-9]+(?=[^A-Za-z0-9])", p) 
+             # without regard to case these two letters also stand for others than a-z
+             if not (compiled.flags & re.I and set("ksKS") & set(w))]
+    return max(words, key=len, default=None) and max(words, key=len).lower()
+
+
+def pattern_table(spark: SparkSession, patterns: Iterable[tuple[int, str]]) -> DataFrame:
+    """rule_id, pattern (in the JVM's notation) and required word of each rule's URL pattern."""
+    rows = [(k, java_pattern(p), required_word(p)) for k, p in patterns]
+    return spark.createDataFrame(rows, "rule_id long, pattern string, word string")
+
+
+def pages_by_pattern(pages: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
+    """Each page with the rules whose pattern is found in its URL (C3, H1), the page's columns and rule_id.
+
+    A page meets the patterns of the words of its URL by an equi-join, and only
+    those run. Patterns without such a word are run on every URL; they travel as
+    one array that each page looks through.
+    """
+    words = F.array_distinct(F.regexp_extract_all(
+        F.translate(url, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z0-9]+"), F.lit(0)))
+    hit = lambda pattern: F.regexp_instr(F.col(url), pattern) > 0
+    keyed = pages.withColumn("_word", F.explode(words))
+    named = patterns.where("word is not null").select("rule_id", F.col("pattern").alias("_pattern"), F.col("word").alias("_of"))
+    found = keyed.join(named, F.col("_word") == F.col("_of")).where(hit(F.col("_pattern"))).select(*pages.columns, "rule_id")
+    free = patterns.where("word is null").agg(F.collect_list(F.struct("rule_id", F.col("pattern").alias("_pattern")))).scalar()
+    anywhere = pages.withColumn("_free", free).select(*pages.columns, F.explode(F.transform(
+        F.filter("_free", lambda r: hit(r["_pattern"])), lambda r: r["rule_id"])).alias("rule_id"))
+    return found.unionByName(anywhere)
+
+
 def extract_by_rule(ruled: DataFrame, stage: int) -> DataFrame:
     """The stage's field of each row's own rule, one row per value (text, attr).
 

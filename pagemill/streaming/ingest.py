@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from pagemill.operators.links import follow_links
 from pagemill.operators.sinks import insert_if_absent
 from pagemill.sources.shared import shared_dir
 
@@ -46,31 +47,83 @@ def run(stream: DataFrame, out: str, checkpoint: str, every: str | None = None)
                   .outputMode("append"), every).start()
 
 
-def absent_writer(out: str, key: str, order: str, schema: T.StructType,
-                  stream_id: str) -> Callable[[DataFrame, int], None]:
+#: Parts of a sink by hash of the key; a batch reads those of its keys.
+BUCKETS = 64
+
+
+def absent_writer(out: str, key: str, order: str, schema: T.StructType, stream_id: str,
+                  buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that inserts unseen keys (K2).
 
     Every batch of every stream owns a folder and overwrites it, and compares
     itself with all other folders: replaying a batch gives the same table, and
     a second stream, or one with a new checkpoint, adds to what is stored.
+    Folders are parted by hash of the key, and a batch reads the keys of its own
+    parts only, so with ``buckets`` chosen by the size of the table a batch's
+    reading follows its keys.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # read for its parts and for its rows
+        part = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
         mine = (F.col("stream") == stream_id) & (F.col("batch") == batch_id)
-        stored = stored_rows(spark, out, schema).where(~mine)
-        (insert_if_absent(stored, batch, key, order).write.mode("overwrite")
-         .parquet(f"{out}/stream={stream_id}/batch={batch_id}"))
+        touched = [r.part for r in batch.select(part.alias("part")).distinct().collect()]
+        stored = stored_rows(spark, out, schema, touched if len(touched) < buckets else None).where(~mine)
+        (insert_if_absent(stored.select(key), batch, key, order).withColumn("part", part).write.mode("overwrite")
+         .partitionBy("part").parquet(f"{out}/stream={stream_id}/batch={batch_id}"))
+        batch.unpersist()
 
     return write
 
 
-def stored_rows(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
-    """What the sink holds so far, with the stream and batch it came in."""
-    full = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])
+def stored_rows(spark: SparkSession, out: str, schema: T.StructType, parts: list[int] | None = None) -> DataFrame:
+    """What the sink holds so far, with the stream and batch it came in; of all parts or of some."""
+    full = T.StructType([*schema.fields, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType()),
+                         T.StructField("part", T.IntegerType())])
     try:
-        return spark.read.schema(full).parquet(out)
+        rows = spark.read.schema(full).parquet(out)
     except AnalysisException:  # nothing is stored yet
-        return spark.createDataFrame([], full)
+        rows = spark.createDataFrame([], full)
+    return (rows if parts is None else rows.where(F.col("part").isin(parts))).drop("part")
+
+
+def hop_writer(out: str, links_of: Callable[[DataFrame], DataFrame], stream_id: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink that keeps the links of pages and where they lead, as pages arrive (K1, H2).
+
+    A batch of pages adds its pages' keys, its links, and the hops that became
+    known with it: its links to all pages, and the links before it to its
+    pages. Each lies in the batch's own folder, which a replay overwrites, and
+    a batch reads the folders of the others only; together the hops are those of
+    ``follow_links`` over all pages, where no two pages have one URL.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        name = f"stream={stream_id}/batch={batch_id}"
+        mine = (F.col("stream") == stream_id) & (F.col("batch") == batch_id)
+
+        def others(kind: str, schema: T.StructType) -> DataFrame:
+            return stored_rows(spark, f"{out}/{kind}", schema).where(~mine).select(*schema.names)
+
+        pages = written_over(batch.select("page_id", "url"), f"{out}/pages/{name}")
+        links = written_over(links_of(batch), f"{out}/links/{name}")
+        here = follow_links(links, others("pages", pages.schema).unionByName(pages))
+        back = follow_links(others("links", links.schema), pages)
+        written_over(here.unionByName(back), f"{out}/hops/{name}")
+
+    return write
+
+
+def written_over(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def follow_stream(pages: DataFrame, links_of: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
+                  every: str | None = None, stream_id: str | None = None) -> StreamingQuery:
+    """Follow the links of arriving pages; the hops are stored below ``out/hops``."""
+    stream_id = stream_id or stream_id_of(pages.sparkSession, checkpoint)
+    return _paced(pages.writeStream.foreachBatch(hop_writer(out, links_of, stream_id))
+                  .option("checkpointLocation", checkpoint), every).start()
 
 
 def stream_id_of(spark: SparkSession, checkpoint: str) -> str:
