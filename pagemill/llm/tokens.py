@@ -35,130 +35,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pagemill.llm.store import file_system, in_blocks, put_file, ragged, text_bytes, written
+from pagemill.llm.store import file_system, in_blocks, put_file, written
 
 #: Text bytes meant for one shard, keys meant for one index part.
 SHARD_BYTES = 32 << 20
 PART_KEYS = 1 << 17
 END_ID = 1
-#: Pieces whose ids a task remembers.
-REMEMBERED = 400_000
-#: Pieces that are encoded as one text.
-JOINED = 256
+#: Texts encoded at a time.
+_AT_ONCE = 64
 _MAGIC = 0x3148504D
 _LEVELS = 6
 _LEFT = np.uint64(_LEVELS)
 
 # -- encoding -------------------------------------------------------------------------------------
 
-_SPACE, _OTHER, _LETTER, _ODD = 0, 1, 2, 3
-_CLASS = np.full(256, _ODD, np.uint8)
-_CLASS[0x21:0x7F] = _OTHER
-_CLASS[[0x20, 0x09, 0x0A, 0x0D]] = _SPACE
-_CLASS[0x30:0x3A] = _CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = _LETTER
-_CLASS[[0x27, 0x3C]] = _ODD  # contractions, special tokens
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
-
-
-def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Pieces that a lower-casing tokenizer which first splits letters, digits and other signs encodes one by one.
-
-    Texts are cut at white space, and inside a word between ASCII or Latin-1
-    letters and ASCII signs. A word with any other byte, an apostrophe or "<"
-    (contractions, special tokens, combining marks) stays whole and as it is.
-    Also gives the number of pieces of each text.
-    """
-    kind = _CLASS[data]
-    if len(data) > 1:  # é and its like: the lead byte C3 and a continuation byte, without × and ÷
-        lead = np.flatnonzero(data == 0xC3)
-        lead = lead[lead + 1 < len(data)]
-        latin = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
-        kind[latin] = kind[latin + 1] = _LETTER
-    cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = kind[1:] != kind[:-1]
-    lowered = _LOWER[data]
-    odd = np.flatnonzero(kind == _ODD)
-    if len(odd):  # no cut inside the words that hold them
-        space = np.zeros(len(data) + 1, bool)
-        space[1:-1] = (kind[1:] == _SPACE) != (kind[:-1] == _SPACE)
-        space[offsets] = True
-        starts = np.flatnonzero(space)
-        word = np.unique(np.searchsorted(starts, odd, side="right") - 1)
-        whole = ragged(starts[word], starts[word + 1] - starts[word])
-        cut[whole] = False
-        cut[starts[word]] = True
-        lowered[whole] = data[whole]
-    cut[offsets] = True
-    cut = cut[:-1]
-    inside = kind != _SPACE
-    begin = np.flatnonzero(cut)
-    length = np.diff(np.append(begin, len(data)))
-    used = inside[begin]
-    begin, length = begin[used], length[used]
-    places = np.concatenate([[0], np.cumsum(length)])
-    counts = np.diff(np.searchsorted(begin, offsets))
-    pieces = pa.Array.from_buffers(pa.large_binary(), len(begin),
-                                   [None, pa.py_buffer(places), pa.py_buffer(lowered[inside])])
-    return pieces, counts
-
-
 class Encoder:
-    """Ids of whole texts, each followed by the end id; each different piece is encoded once while it is remembered."""
+    """Ids of whole texts by a tokenizer file of the tokenizers library, each text followed by the end id."""
 
     def __init__(self, path: str, dtype: str, end_id: int = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
         self.tokenizer, self.dtype, self.end_id = Tokenizer.from_file(path), dtype, end_id
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.places = [np.zeros(0, self.dtype)], [np.zeros(1, np.int64)]
-
-    def _pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece; pieces that blanks divide don't touch each other, so many are one text."""
-        out = []
-        for i in range(0, len(pieces), JOINED):
-            part = pieces[i:i + JOINED]
-            whole = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            begins = np.fromiter((a for a, _ in whole.offsets), np.int64)
-            stops = np.searchsorted(begins, np.cumsum(np.fromiter(map(len, part), np.int64) + 1))
-            ids, at = whole.ids, 0
-            for stop in stops.tolist():
-                out.append(ids[at:stop])
-                at = stop
-        return out
+        most = max([end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values()])
+        if most > np.iinfo(dtype).max:
+            raise ValueError(f"ids up to {most} don't fit {dtype}")
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = text_bytes(column)
-        pieces, counts = pieces_of(data, offsets)
-        coded = pieces.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        terms = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        fresh = [t for t in terms if t not in self.known]
-        if fresh:
-            ids = self._pieces([t.decode() for t in fresh])
-            base = len(self.known)
-            self.known.update((t, base + i) for i, t in enumerate(fresh))
-            self.ids.append(np.fromiter((x for e in ids for x in e), self.dtype))
-            self.places.append(self.places[-1][-1] + np.cumsum([len(e) for e in ids]))
-            self.ids, self.places = [np.concatenate(self.ids)], [np.concatenate(self.places)]
-        known, place = self.ids[0], self.places[0]
-        at = np.fromiter((self.known[t] for t in terms), np.int64, len(terms))[codes]
-        lengths = place[at + 1] - place[at]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        sums = np.concatenate([[0], np.cumsum(lengths)])
-        n = np.diff(sums[ends])  # ids of each text
-        total = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n + 1, out=total[1:])
-        out = np.full(int(total[-1]), self.end_id, self.dtype)
-        mask = np.ones(len(out), bool)
-        mask[total[1:] - 1] = False
-        out[mask] = known[ragged(place[at], lengths)]
-        return out, n + 1
+        """The ids of all texts one after another, and how many each has; equal texts of the column are encoded once."""
+        coded = pc.fill_null(column.cast(pa.large_string()), "").dictionary_encode()
+        texts = []
+        for i in range(0, len(coded.dictionary), _AT_ONCE):  # an encoding takes far more memory than its ids
+            found = self.tokenizer.encode_batch(coded.dictionary.slice(i, _AT_ONCE).to_pylist(), add_special_tokens=False)
+            texts += [np.array([*e.ids, self.end_id], self.dtype) for e in found]
+        order = coded.indices.to_numpy(zero_copy_only=False).tolist()
+        out = np.concatenate([np.zeros(0, self.dtype), *(texts[i] for i in order)])
+        return out, np.fromiter((len(texts[i]) for i in order), np.int64, len(order))
 
 
 _ENTRY = "shard int, id long, k int, offset long, n int"

@@ -18,21 +18,40 @@ ALPHABET = ["a", "B", "s", "'", "'s", "t", " ", "\n", "\t", "\x0b", " ", "　",
             "<|endoftext|>", "<|ENDOFTEXT|>", "<", "|", ">", "1", "23", "“", "日本", "İ", "\x00", "\x1c", "\x7f", "-", "_", "🙂", "​"]
 
 
-def plain(texts):
-    t = Tokenizer.from_file(tokenizer_path())
+def other_path():
+    """A tokenizer that keeps case and white space."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def plain(texts, path=None):
+    t = Tokenizer.from_file(path or tokenizer_path())
     return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
 
 
-def test_pieces_give_the_ids_of_the_whole_text():
+@pytest.mark.parametrize("path", [tokenizer_path(), other_path()])
+def test_whole_texts_by_any_tokenizer(path):
     rnd = random.Random(1)
-    texts = [None, "", " ", "don't STOP. it's <|endoftext|>x"] + ["".join(rnd.choices(ALPHABET, k=rnd.randint(1, 40))) for _ in range(4000)]
-    ids, n = tokens.Encoder(tokenizer_path(), "<u2").encode(pa.array(texts, pa.string()))
-    want = plain(texts)
+    texts = [None, "", " ", "don't STOP. it's <|endoftext|>x"] + ["".join(rnd.choices(ALPHABET, k=rnd.randint(1, 40))) for _ in range(1000)]
+    ids, n = tokens.Encoder(path, "<u2").encode(pa.array(texts + texts[:9], pa.string()))
     ends = np.cumsum(n)
-    for text, a, b, w in zip(texts, ends - n, ends, want):
+    for text, a, b, w in zip(texts + texts[:9], ends - n, ends, plain(texts + texts[:9], path)):
         assert ids[a:b].tolist() == w, repr(text)
 
 
+def test_ids_must_fit_their_type():
+    with pytest.raises(ValueError, match="don't fit"):
+        tokens.Encoder(tokenizer_path(), "<u1")
+
+
+def test_shards_by_another_tokenizer(spark, docs):
+    rows = [(i, f"Word{i}  AND more\n{i % 7}") for i in range(60)]
+    got = tokens.round_trip(docs(rows), shared_dir(spark, "t"), other_path())
+    want = {i: ids for (i, _), ids in zip(rows, plain([t for _, t in rows], other_path()))}
+    assert {r["id"]: (r["n_tokens"], r["crc32"]) for r in got.collect()} == {
+        i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in want.items()}
+
+
 def brute(rows):
     """doc_id → of its rows in order of (doc_id, text): start, n, crc."""
     def text_hash(text):
