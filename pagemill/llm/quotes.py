@@ -14,23 +14,33 @@ Originals are one row per hash before anything is joined to them, so a passage
 that a third of all messages quote, and a conversation of any length, meet one
 row. Threads are followed by doubling: a chain of n replies takes log n joins.
 
-A null text is empty. Null conversations or positions are values of their own,
-first in order, and never equal to others: such a message can't be an
-original. Repeated rows stay apart and get the same answer.
+A message is parsed inside its row, by array expressions whose work is linear
+in its lines, and stored once: its own words, and of what it quotes the hashes
+only. Nothing but those hashes and places is joined; the own words come back
+by one join at the end.
+
+A null text is empty, and an empty table gives an empty result. Null
+conversations or positions are values of their own, first in order, and never
+equal to others: such a message can't be an original. Repeated rows stay apart
+and get the same answer; of originals that tie in all of level, characters and
+position the one of the largest conversation is taken. A text may be as long as
+a row can be. Only the named columns are read; ``keep`` may name columns called
+like any that are made here, but for those of the result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from pagemill.functions.common import let
 from pagemill.llm.store import shared_dir, written
 
 _BLANK = r"[ \t\r\n\x0b\x0c]+"
 _MARKS = r"^(?:[ \t]*>)+[ \t]?"
 _QUOTES = r"(?m)^[ \t]*>"
 _WROTE = r"^On .* wrote:[ \t\r]*$"
+_PASSAGES = "array<struct<level:int,hash:binary,chars:bigint,runs:bigint>>"
 
 
 def normalised(text: Column) -> Column:
@@ -38,36 +48,59 @@ def normalised(text: Column) -> Column:
 
 
 def passage_hash(norm: Column) -> Column:
-    return F.sha2(norm.cast("binary"), 256)
+    return F.unhex(F.sha2(norm.cast("binary"), 256))
 
 
-def parsed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(mid, own text) of all messages, and (mid, level, run, norm) of their quoted passages and, with a null run, lines.
+def _lines(text: Column) -> Column:
+    """line, level and normalised text without marks of every line; level -1: the line that says who wrote what follows."""
+    def read(line: Column) -> Column:
+        return let(F.regexp_extract(line, _MARKS, 0), lambda marks: F.struct(
+            line.alias("line"), (F.length(marks) - F.length(F.replace(marks, F.lit(">")))).alias("level"),
+            normalised(F.substring(line, F.length(marks) + 1, F.length(line))).alias("norm")))
 
-    ``messages``: mid (unique), text.
+    def told(lines: Column) -> Column:
+        def level(x: Column, i: Column) -> Column:
+            wrote = (x["level"] == 0) & x["line"].rlike(_WROTE) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)
+            return F.struct(x["line"].alias("line"), F.when(wrote, -1).otherwise(x["level"]).alias("level"), x["norm"].alias("norm"))
+        return F.transform(lines, level)
+
+    return let(F.transform(F.split(text, "\n", -1), read), told)
+
+
+def _passages(lines: Column) -> Column:
+    """level, hash, weighted characters and number of whole passages (0 or 1) of each passage and of each of its lines.
+
+    A whole passage counts twice, its lines once; the only line of a passage is both.
     """
-    quoting = messages.where(F.col("text").rlike(_QUOTES))
-    lines = quoting.select("mid", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    marks = F.regexp_extract("line", _MARKS, 0)
-    lines = lines.withColumn("marks", marks).select(
-        "mid", "i", "line", (F.length("marks") - F.length(F.replace("marks", F.lit(">")))).alias("level"),
-        normalised(F.expr("substring(line, length(marks) + 1)")).alias("norm"))
-    order = Window.partitionBy("mid").orderBy("i")
-    wrote = (F.col("level") == 0) & F.col("line").rlike(_WROTE) & (F.lead("level", 1, 0).over(order) > 0)
-    lines = lines.withColumn("level", F.when(wrote, -1).otherwise(F.col("level")))
-    change = F.coalesce((F.lag("level").over(order) != F.col("level")).cast("int"), F.lit(0))
-    lines = lines.withColumn("change", change).withColumn("run", F.sum("change").over(order))
-
-    def joined(column: str, by: str) -> Column:
-        return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", column))), lambda x: x[column]), by)
-
-    own = lines.where("level = 0").groupBy("mid").agg(joined("line", "\n").alias("own"))
-    plain = messages.where(~F.col("text").rlike(_QUOTES)).select("mid", F.col("text").alias("own"))
-    owns = plain.unionByName(quoting.select("mid").join(own, "mid", "left").select("mid", F.coalesce("own", F.lit("")).alias("own")))
-    quoted = lines.where("level > 0 and norm <> ''")
-    runs = quoted.groupBy("mid", "level", "run").agg(joined("norm", " ").alias("norm"))
-    single = quoted.select("mid", "level", F.lit(None).cast("bigint").alias("run"), "norm")
-    return owns, runs.unionByName(single)
+    def entry(level: Column, norm: Column, weight: int, runs: int) -> Column:
+        return F.struct(level.cast("int").alias("level"), passage_hash(norm).alias("hash"),
+                        (F.length(norm) * weight).cast("bigint").alias("chars"), F.lit(runs).cast("bigint").alias("runs"))
+
+    def of_run(level: Column, norms: Column) -> Column:
+        return F.when(F.size(norms) == 0, F.array().cast(_PASSAGES)).when(
+            F.size(norms) == 1, F.array(entry(level, norms[0], 3, 1))).otherwise(
+            F.concat(F.array(entry(level, F.array_join(norms, " "), 2, 1)), F.transform(norms, lambda x: entry(level, x, 1, 0))))
+
+    def runs(begins: Column) -> Column:
+        def one(begin: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(begins, k + 1), F.size(lines))
+            norms = F.transform(F.filter(F.slice(lines, begin + 1, end - begin), lambda x: x["norm"] != ""), lambda x: x["norm"])
+            level = F.get(lines, begin)["level"]
+            return F.when(level > 0, let(norms, lambda n: of_run(level, n))).otherwise(F.array().cast(_PASSAGES))
+        return F.flatten(F.transform(begins, one))
+
+    changes = F.transform(lines, lambda x, i: F.when((i == 0) | (x["level"] != F.get(lines, i - 1)["level"]), i))
+    return let(F.filter(changes, lambda i: i.isNotNull()), runs)
+
+
+def parsed(text: Column) -> Column:
+    """Struct of own, the text without quotes, and passages, what it quotes."""
+    def read(lines: Column) -> Column:
+        own = F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["line"])
+        return F.struct(F.array_join(own, "\n").alias("own"), _passages(lines).cast(_PASSAGES).alias("passages"))
+
+    plain = F.struct(text.alias("own"), F.array().cast(_PASSAGES).alias("passages"))
+    return F.when(text.rlike(_QUOTES), let(_lines(text), read)).otherwise(plain)
 
 
 def originals(messages: DataFrame) -> DataFrame:
@@ -81,21 +114,19 @@ def originals(messages: DataFrame) -> DataFrame:
 def linked(passages: DataFrame, sources: DataFrame) -> DataFrame:
     """mid, parent (conv, pos) and the number of whole passages that have an original.
 
-    ``passages``: mid, conv, pos, level, run, norm.
+    ``passages``: mid, conv, pos, level, hash, chars, runs.
     """
     here = sources.groupBy("hash", "conv").agg(F.min("pos").alias("first"))
     first = here.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv"), F.col("first").alias("pos"))).alias("any"))
-    rows = passages.select("*", passage_hash(F.col("norm")).alias("hash"))
+    rows = passages.join(first.withColumnRenamed("hash", "h2"), F.col("hash") == F.col("h2")).drop("h2")
     rows = rows.join(here.withColumnsRenamed({"hash": "h1", "conv": "c1"}), (F.col("hash") == F.col("h1")) & (F.col("conv") == F.col("c1")), "left")
-    rows = rows.join(first.withColumnRenamed("hash", "h2"), F.col("hash") == F.col("h2"), "left")
     own = F.struct(F.col("conv").alias("conv"), F.col("pos").alias("pos"))
     to = F.when(F.col("first") < F.col("pos"), F.struct(F.col("conv").alias("conv"), F.col("first").alias("pos"))).when(
         F.col("any") < own, F.col("any"))
-    chars = F.length("norm") * F.when(F.col("run").isNull(), 1).otherwise(2)
-    votes = (rows.select("mid", "level", "run", to.alias("to"), chars.alias("chars")).where("to is not null")
-             .groupBy("mid", "level", "to").agg(F.sum("chars").alias("chars"), F.count("run").alias("runs")))
-    return votes.groupBy("mid").agg(F.max_by("to", F.struct(-F.col("level"), F.col("chars"), -F.col("to.pos"))).alias("parent"),
-                                    F.sum("runs").alias("n_linked"))
+    votes = (rows.select("mid", "level", "runs", to.alias("to"), "chars").where("to is not null")
+             .groupBy("mid", "level", "to").agg(F.sum("chars").alias("chars"), F.sum("runs").alias("runs")))
+    best = F.struct(-F.col("level"), F.col("chars"), -F.col("to.pos"), F.col("to.conv"))
+    return votes.groupBy("mid").agg(F.max_by("to", best).alias("parent"), F.sum("runs").alias("n_linked"))
 
 
 def threads(replies: DataFrame, folder: str) -> DataFrame:
@@ -124,21 +155,18 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", pos_col: str = "
     message comes after the one that it replies to.
     """
     folder = shared_dir(messages.sparkSession, "quotes")
-    rows = written(messages.select(F.monotonically_increasing_id().alias("mid"), F.col(conv_col).cast("long").alias("conv"),
-                                   F.col(pos_col).cast("long").alias("pos"),
-                                   F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                                   F.struct(*keep) .alias("kept") if keep else F.lit(None).alias("kept").cast("int")), f"{folder}/messages")
-    owns, quoted = parsed(rows.select("mid", "text"))
-    places = rows.select("mid", "conv", "pos")
-    owns = written(owns, f"{folder}/own")
-    passages = quoted.join(places, "mid")
-    parents = linked(passages, originals(owns.join(places, "mid")))
-    counts = quoted.groupBy("mid").agg(F.count("run").alias("n_quoted"))
-    replies = written(places.join(parents, "mid", "left"), f"{folder}/replies")
-    tree = threads(replies.where("conv is not null and pos is not null"), folder).withColumnsRenamed({"conv": "c", "pos": "p"})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = messages.select(F.monotonically_increasing_id().alias("mid"), F.col(conv_col).cast("long").alias("conv"),
+                           F.col(pos_col).cast("long").alias("pos"), parsed(text).alias("parsed"),
+                           (F.struct(*keep) if keep else F.lit(None).cast("int")).alias("kept"))
+    rows = written(rows.select("mid", "conv", "pos", "parsed.own", "parsed.passages", "kept"), f"{folder}/messages")
+    passages = rows.select("mid", "conv", "pos", F.explode("passages").alias("p")).select("mid", "conv", "pos", "p.*")
+    parents = linked(passages, originals(rows.select("conv", "pos", "own")))
     zero = F.lit(0).cast("long")
-    out = (rows.select("mid", "kept").join(owns, "mid").join(replies, "mid").join(counts, "mid", "left")
-           .join(tree, (F.col("conv") == F.col("c")) & (F.col("pos") == F.col("p")), "left"))
-    return out.select("conv", "pos", "own", "parent", "root", F.coalesce("depth", zero).alias("depth"),
-                      F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"),
-                      *(["kept.*"] if keep else []))
+    n_quoted = F.aggregate("passages", zero, lambda n, p: n + p["runs"]).alias("n_quoted")
+    replies = written(rows.select("mid", "conv", "pos", n_quoted).join(parents, "mid", "left"), f"{folder}/replies")
+    tree = threads(replies.where("conv is not null and pos is not null"), folder).withColumnsRenamed({"conv": "c", "pos": "p"})
+    places = replies.join(tree, (F.col("conv") == F.col("c")) & (F.col("pos") == F.col("p")), "left")
+    out = rows.select("mid", "own", "kept").join(places, "mid")
+    return out.select("conv", "pos", "own", "parent", "root", F.coalesce("depth", zero).alias("depth"), "n_quoted",
+                      F.coalesce("n_linked", zero).alias("n_linked"), *(["kept.*"] if keep else []))

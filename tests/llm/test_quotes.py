@@ -1,5 +1,12 @@
 from __future__ import annotations
 
+import hashlib
+import itertools
+import random
+import re
+
+from pyspark.sql import functions as F
+
 from pagemill.llm import quotes
 
 KIND = "conv_id long, turn long, role string, text string"
@@ -56,3 +63,47 @@ def test_odd_rows(spark):
 def test_kept_columns(spark):
     table = spark.createDataFrame([(1, 0, "r", "a")], KIND).withColumnRenamed("role", "own")
     assert quotes.reply_order(table.withColumnRenamed("own", "mid"), keep=("mid",)).first()["mid"] == "r"
+
+
+def plain_parse(text):
+    """(own text, quoted passages): lines told apart one by one."""
+    blank = r"[ \t\r\n\x0b\x0c]+"
+    rows = []
+    for line in text.split("\n"):
+        marks = re.match(r"(?:[ \t]*>)+[ \t]?", line)
+        marks = marks.group() if marks else ""
+        rows.append([marks.count(">"), line, re.sub(blank, " ", line[len(marks):]).strip(" ").lower()])
+    for row, after in zip(rows, rows[1:]):
+        if row[0] == 0 and after[0] > 0 and re.fullmatch(r"On .* wrote:[ \t\r]*", row[1]):
+            row[0] = -1
+    found = []
+    for level, run in itertools.groupby(rows, key=lambda r: r[0]):
+        norms = [r[2] for r in run if r[2]]
+        if level > 0 and norms:
+            whole = (level, " ".join(norms))
+            if len(norms) == 1:
+                found.append((*whole, 3, 1))
+            else:
+                found += [(*whole, 2, 1)] + [(level, n, 1, 0) for n in norms]
+    own = "\n".join(r[1] for r in rows if r[0] == 0) if any(r[0] > 0 for r in rows) else text
+    return own, [(level, hashlib.sha256(n.encode()).digest(), len(n) * weight, runs) for level, n, weight, runs in found]
+
+
+def test_parsing_against_plain_python(spark):
+    rnd = random.Random(4)
+    line = lambda: "".join(rnd.choice(["", "", "> ", ">", " >", ">> "]) for _ in range(2)) + rnd.choice(
+        ["", " ", "a", "A  b", "日本 é", "On x wrote:", "On y wrote: \t", "tail\r", "c > d"])
+    texts = ["\n".join(line() for _ in range(rnd.randint(0, 9))) for _ in range(400)]
+    texts += ["", "\n", ">", "> ", "\n".join(f"{'>' * (i % 3)} line {i}" for i in range(20_000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", quotes.parsed(F.col("text")).alias("p"))
+    for r in rows.collect():
+        got = (r["p"]["own"], [(x["level"], bytes(x["hash"]), x["chars"], x["runs"]) for x in r["p"]["passages"]])
+        assert got == plain_parse(texts[r["i"]]), texts[r["i"]][:200]
+
+
+def test_clashing_columns(spark):
+    names = ("hash", "level", "mid", "passages", "kept", "text2")
+    table = spark.createDataFrame([(1, 0, "a", *names), (1, 1, "> a\nb", *names)], "conv_id long, turn long, text string, " + ", ".join(
+        f"{n} string" for n in names))
+    rows = sorted(quotes.reply_order(table, keep=names).collect(), key=lambda r: r["pos"])
+    assert [tuple(r[n] for n in names) for r in rows] == [names] * 2 and rows[1]["parent"]["pos"] == 0
