@@ -1,8 +1,9 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
 Features of a text are its words, their beginnings and their endings, each
-present or not; those that tell the classes apart best on the training rows
-make the vocabulary. Weights come from logistic regression with a second
+present or not; all that tell the classes apart on the training rows, by a test
+that is the same for every feature (``LEAST_ROWS``, ``LEAST_SPREAD``), make the
+vocabulary, however many they are. Weights come from logistic regression with a second
 penalty: every training text that names a group is written again with another
 group of the same kind in its place, and the squared difference of the two
 scores is added to the loss, so that naming a group can't make a text toxic
@@ -13,9 +14,14 @@ id among the rows that the caller gives; counting features and scoring run on
 all executors, and the driver gets the vocabulary and the sample's features in
 it. A text is scored whole. A null or empty text has no feature and gets the
 score of the bias; a label that is null, or whose id is null, teaches nothing;
-of an id with several labels the largest counts, and an id that several
-texts have teaches nothing either. Without a label of either class the score is the share of the one
-that there is, or 0. Only the named columns are read.
+of an id with several labels the largest counts, and of an id with several
+texts all: ids are taken in the order of their hashes, each with all of its
+texts, as long as these are at most ``SAMPLE_ROWS`` together; an id with more
+texts than that is passed over. Without a label of either class the score is
+the share of the one that there is, or 0, and an empty table gives an empty
+result. Texts may be as long as a row can be: one beyond the size of a block is
+a block of its own. Only the named columns are read, so others may be called
+anything.
 """
 
 from __future__ import annotations
@@ -29,19 +35,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pagemill.llm.decontam import words_of
 from pagemill.llm.store import in_blocks, shared_dir, written
 
-#: Labelled rows that the classifier is fitted on at most, and features that it has at most.
+#: Labelled rows that the classifier is fitted on at most.
 SAMPLE_ROWS = 20_000
-VOCABULARY = 4096
+#: Texts that a feature must be in, and standard deviations by which its shares in the two classes must differ.
 LEAST_ROWS = 5
-#: Standard deviations by which a feature's shares in the two classes must differ; millions are looked at.
-LEAST_SPREAD = 4.5
+LEAST_SPREAD = 3.0
 #: Weights of the penalties on weights and on score changes.
 RIDGE, CHANGE = 1e-4, 4.0
 STEPS = 400
+_PART = 1 << 20
 #: Words that name groups of one kind; each may stand for the next one of its kind.
 GROUPS = (
     ("men", "women"), ("man", "woman"), ("boys", "girls"), ("male", "female"), ("gay", "straight"), ("transgender", "cisgender"),
@@ -112,13 +119,13 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return parts.groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def vocabulary(counts: DataFrame, zeros: int, ones: int, size: int = VOCABULARY, groups=GROUPS) -> list[str]:
-    """The features whose shares in the two classes differ most for their number of rows; group words always."""
+def vocabulary(counts: DataFrame, zeros: int, ones: int, groups=GROUPS) -> list[str]:
+    """All features whose shares in the two classes differ for their number of rows; group words always."""
     p0, p1 = F.col("n0") / max(zeros, 1), F.col("n1") / max(ones, 1)
     every = (F.col("n0") + F.col("n1")) / max(zeros + ones, 1)
     spread = F.sqrt(every * (1.0 - every) * (1.0 / max(zeros, 1) + 1.0 / max(ones, 1)) + 1e-12)
     best = (counts.where(F.col("n0") + F.col("n1") >= LEAST_ROWS).select("feature", F.abs((p1 - p0) / spread).alias("z"))
-            .where(F.col("z") > LEAST_SPREAD).orderBy(F.desc("z"), "feature").limit(size).collect())
+            .where(F.col("z") > LEAST_SPREAD).orderBy(F.desc("z"), "feature").collect())
     named = ["=" + w for w in sorted(swaps(groups))]
     return list(dict.fromkeys([r["feature"] for r in best] + named))
 
@@ -154,8 +161,12 @@ class Model:
     bias: float
 
 
-def _sums(rows: np.ndarray, features: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(rows, weights[features], minlength=n)
+def _sums(to: np.ndarray, of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values[of]`` by ``to``, a part at a time, so that no copy of all pairs is made."""
+    total = np.zeros(n)
+    for i in range(0, len(to), _PART):
+        total += np.bincount(to[i:i + _PART], values[of[i:i + _PART]], minlength=n)
+    return total
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -172,6 +183,7 @@ def fit(names: list[str], labels: np.ndarray, pairs: tuple[np.ndarray, np.ndarra
     share = np.where(labels == 1, 0.5 / ones, 0.5 / (n - ones))
     (row, feature), (row2, feature2) = pairs, swapped
     changed, row2 = np.unique(row2, return_inverse=True)  # rows with a rewritten text, and their places among these
+    row2 = row2.astype(np.int32)
     w, b = np.zeros(m), 0.0
     mean, square = np.zeros(m + 1), np.zeros(m + 1)
     for step in range(1, steps + 1):
@@ -184,9 +196,9 @@ def fit(names: list[str], labels: np.ndarray, pairs: tuple[np.ndarray, np.ndarra
             both = 2 * change * (s1 - s2) / len(changed)
             d[changed] += both * s1 * (1 - s1)
             d2 = -both * s2 * (1 - s2)
-            grad = grad + np.bincount(feature2, d2[row2], minlength=m)
+            grad = grad + _sums(feature2, row2, d2, m)
             bias = d2.sum()
-        grad = np.append(grad + np.bincount(feature, d[row], minlength=m), d.sum() + bias)
+        grad = np.append(grad + _sums(feature, row, d, m), d.sum() + bias)
         mean = 0.9 * mean + 0.1 * grad
         square = 0.999 * square + 0.001 * grad * grad
         move = 0.05 * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.999 ** step)) + 1e-9)
@@ -195,14 +207,16 @@ def fit(names: list[str], labels: np.ndarray, pairs: tuple[np.ndarray, np.ndarra
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, seed: int) -> DataFrame:
-    """text and label of the sample, written once. Its ids are at most ``rows``, so they are broadcast."""
+    """text and label of the sample, written once. Its ids and texts are at most ``rows`` each, so ids are broadcast."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     drawn = F.broadcast(known.orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(rows))
-    single = (docs.select(F.col(id_col).alias("d")).join(drawn, F.col("d") == F.col("i")).groupBy("i")
-              .agg(F.first("label").alias("label"), F.count("*").alias("n")).where("n = 1").drop("n"))
+    fitting = (docs.select(F.col(id_col).alias("d")).join(drawn, F.col("d") == F.col("i")).groupBy("i")
+               .agg(F.first("label").alias("label"), F.count("*").alias("n")).where(F.col("n") <= rows))
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("i", F.lit(seed)), "i"))  # over ``rows`` ids at most
+    taken = F.broadcast(fitting.select("i", "label", so_far.alias("so_far")).where(F.col("so_far") <= rows))
     texts = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(
-        F.broadcast(single), F.col("d") == F.col("i")).select("text", F.col("label").cast("long").alias("label"))
+        taken, F.col("d") == F.col("i")).select("text", F.col("label").cast("long").alias("label"))
     return written(texts, shared_dir(docs.sparkSession, "toxicity"))
 
 
@@ -241,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and score (0 to 1) of every row; the weights are at most ``VOCABULARY`` and the group words."""
+    """id and score (0 to 1) of every row; the weights are those of the vocabulary, which is made from the sample."""
     used = np.flatnonzero(model.weights)
     names, weights, bias = [model.names[i] for i in used], model.weights[used], model.bias
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +84,63 @@ def test_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), *[(3, "hot")] * 50, (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
+    taken = toxicity.sampled(docs, labels, "doc_id", "text", "toxic", 10, 1).collect()
+    assert sorted(tuple(r) for r in taken) == [("a", 1), ("b", 1), ("c", 0), ("d", 0)]
+    assert toxicity.sampled(docs, labels, "doc_id", "text", "toxic", 60, 1).count() == 54
+
+
+def plain_features(text):
+    out = set()
+    for word in re.findall("[a-z0-9\u0080-\U0010ffff]+", (text or "").lower()):
+        out |= {"=" + word} | {"<" + word[:n] for n in (3, 4, 5, 6) if len(word) > n} | {">" + word[-n:] for n in (4, 5) if len(word) > n}
+    return out
+
+
+def test_counts_and_vocabulary_against_plain_python(spark):
+    rows = [(t, y) for _, t, y in labelled(300)] + [("Été FOO-bar  foo", 1), ("", 0), ("x\n日本語日本語 x", 1)]
+    counts = toxicity.feature_counts(spark.createDataFrame(rows, "text string, label long").repartition(3)).persist()
+    want = [Counter(f for t, y in rows if y == label for f in plain_features(t)) for label in (0, 1)]
+    assert {r["feature"]: (r["n0"], r["n1"]) for r in counts.collect()} == {f: (want[0][f], want[1][f]) for f in want[0] | want[1]}
+    n = [sum(y == label for _, y in rows) for label in (0, 1)]
+    told = {}
+    for f in want[0] | want[1]:
+        share = (want[0][f] + want[1][f]) / sum(n)
+        spread = math.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
+        told[f] = abs(want[1][f] / n[1] - want[0][f] / n[0]) / spread if want[0][f] + want[1][f] >= toxicity.LEAST_ROWS else 0
+    names = toxicity.vocabulary(counts, *n, groups=())
+    assert set(names) == {f for f, z in told.items() if z > toxicity.LEAST_SPREAD} and len(names) > 5
+
+
+def plain_loss(w, b, texts, swapped, labels, ridge, change):
+    sigmoid = lambda on: 1 / (1 + math.exp(-sum(w[f] for f in on) - b))
+    ones = sum(labels)
+    loss = ridge / 2 * sum(x * x for x in w)
+    for on, y in zip(texts, labels):
+        loss -= (0.5 / ones if y else 0.5 / (len(labels) - ones)) * math.log(sigmoid(on) if y else 1 - sigmoid(on))
+    return loss + change * sum((sigmoid(texts[i]) - sigmoid(on)) ** 2 for i, on in swapped.items()) / max(len(swapped), 1)
+
+
+def test_fit_against_plain_descent():
+    rnd = random.Random(8)
+    labels = [int(rnd.random() < 0.4) for _ in range(60)]
+    texts = [{f for f, (a, b) in enumerate([(0.2, 0.8), (0.1, 0.6), (0.4, 0.2), (0.5, 0.5)]) if rnd.random() < (b if y else a)} for y in labels]
+    swapped = {i: (on - {1}) | {2} for i, on in enumerate(texts) if 1 in on}
+    for change in (0.0, 4.0):
+        def flat(rows):
+            pairs = [(i, f) for i, on in rows for f in sorted(on)]
+            return np.array([p[0] for p in pairs], np.int32), np.array([p[1] for p in pairs], np.int32)
+        model = toxicity.fit(list("abcd"), np.array(labels, float), flat(enumerate(texts)), flat(swapped.items()), ridge=0.01, change=change)
+        loss = lambda v: plain_loss(v[:4], v[4], texts, swapped, labels, 0.01, change)  # noqa: E731, B023
+        at = [0.0] * 5
+        for _ in range(1500):  # steps along differences of the loss itself
+            slope = [(loss(at[:k] + [at[k] + 1e-5] + at[k + 1:]) - loss(at[:k] + [at[k] - 1e-5] + at[k + 1:])) / 2e-5 for k in range(5)]
+            at = [x - 0.8 * g for x, g in zip(at, slope)]
+        assert abs(loss([*model.weights, model.bias]) - loss(at)) < 1e-3
+
+
 def test_features():
     f = toxicity.Features(["=bad", "<unk", "=men", "=women", ">ness"])
     rows, found = f.pairs(pa.array(["Bad bad unkind", None, "", "MEN, badness", "other"]))
