@@ -297,8 +297,8 @@ def repeats(segments: list[tuple[int, int]], text: np.ndarray, length: int = LEN
     start = np.zeros(len(text), bool)
     for begin, n in segments:
         start[begin:begin + n] = True
-    order = suffix_array(text, length)
-    shared = common_prefixes(text, order, length)
+    order = suffix_array(text)
+    shared = common_prefixes(text, order)
     order = order[start[order]]  # equal windows stand together, and only windows can equal one
     if not len(order):
         return start
