@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.common import let
 from pagemill.llm.store import shared_dir, written
 
-_BLANK = r"[ \t\r\n\x0b\x0c]+"
+_BLANK = r"[ \t\r\n\x0b\x0c]{2,}|[\t\r\n\x0b\x0c]"  # what isn't one blank yet
 _MARKS = r"^(?:[ \t]*>)+[ \t]?"
 _QUOTES = r"(?m)^[ \t]*>"
 _WROTE = r"^On .* wrote:[ \t\r]*$"
@@ -52,11 +52,13 @@ def passage_hash(norm: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """line, level and normalised text without marks of every line; level -1: the line that says who wrote what follows."""
+    """line, level and, if quoted, text without marks of every line; level -1: the line that says who wrote what follows."""
     def read(line: Column) -> Column:
-        return let(F.regexp_extract(line, _MARKS, 0), lambda marks: F.struct(
+        quoted = let(F.regexp_extract(line, _MARKS, 0), lambda marks: F.struct(
             line.alias("line"), (F.length(marks) - F.length(F.replace(marks, F.lit(">")))).alias("level"),
             normalised(F.substring(line, F.length(marks) + 1, F.length(line))).alias("norm")))
+        return F.when(F.ltrim(line, F.lit(" \t")).startswith(">"), quoted).otherwise(
+            F.struct(line.alias("line"), F.lit(0).alias("level"), F.lit("").alias("norm")))
 
     def told(lines: Column) -> Column:
         def level(x: Column, i: Column) -> Column:
