@@ -35,7 +35,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("pagemill-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
-             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+             .config("pagemill.parse.partitions", cpus).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     jobs = all_queries()
     # start the JVM's code paths and the Python workers before timing

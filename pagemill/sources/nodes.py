@@ -320,36 +320,37 @@ def _parser(names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return parse
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of the parse when the input is too small to split that far.
+#: Session setting: number of partitions that pages are parsed in; unset, they are parsed where they are read.
+PARSE_PARTITIONS = "pagemill.parse.partitions"
 
-    Judged by the planned size alone, nothing runs.  A large table has more
-    splits than cores anyway and is left as it is: no shuffle.
+
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Pages in ``parts`` partitions, or as many as the session's ``PARSE_PARTITIONS`` says; as they are without either.
+
+    Worth its shuffle where a table has fewer files than the cluster has cores,
+    which the caller knows. Batches of a stream stay as they come.
     """
-    if not hasattr(df, "_jdf"):  # planned sizes aren't told to Connect clients
-        return df
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if df.isStreaming or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > cores * split:
+    parts = parts or int(df.sparkSession.conf.get(PARSE_PARTITIONS, "0"))
+    if not parts or df.isStreaming:
         return df
     keys = [c for c in df.columns if c != "html"]
-    return df.repartition(cores, *(keys or ["html"]))
+    return df.repartition(parts, *(keys or ["html"]))
 
 
 def _node_type(fields: Sequence[str] | None) -> T.StructType:
     return NODE_TYPE if fields is None else T.StructType([NODE_TYPE[f] for f in fields])
 
 
-def parse_nodes(pages: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+def parse_nodes(pages: DataFrame, fields: Sequence[str] | None = None, parts: int | None = None) -> DataFrame:
     """Replace ``html`` by ``nodes``; project and filter pages before calling this.
 
-    ``fields`` names the node columns to hand over, where not all are wanted.
+    ``fields`` names the node columns to hand over, where not all are wanted;
+    ``parts`` redistributes the pages first (see ``spread``).
     """
     kept = [f for f in pages.schema.fields if f.name != "html"]
     kind = _node_type(fields)
     schema = T.StructType(kept + [T.StructField("nodes", T.ArrayType(kind))])
-    return spread(pages).mapInArrow(_parser(kind.names), schema)
+    return spread(pages, parts).mapInArrow(_parser(kind.names), schema)
 
 
 def node_table(pages: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:

@@ -14,7 +14,8 @@ if ROOT not in sys.path:
 def session() -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("pagemill-tests")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-             .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
+             .config("pagemill.parse.partitions", "8").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

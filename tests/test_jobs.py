@@ -21,7 +21,7 @@ from pagemill.operators.content import main_content
 from pagemill.operators.links import (ANCHOR, absolute_attrs, absolute_style, base_url, follow_links, indexed_batch, page_links,
                                       request_batch, save_site, staged_crawl, with_canonical)
 from pagemill.plans import all_queries
-from pagemill.sources.nodes import contained, node_table, parse_nodes
+from pagemill.sources.nodes import PARSE_PARTITIONS, contained, node_table, parse_nodes
 from pagemill.sources.rules import host_rules, rule_page_join
 from pagemill.sources.shared import shared_dir
 from pagemill.streaming import ingest
@@ -326,7 +326,7 @@ def test_bounded_state(spark):
 # -- plans ------------------------------------------------------------------------------------------------
 
 def test_main_content_has_no_shuffle_on_large_input(spark, monkeypatch):
-    monkeypatch.setattr("pagemill.sources.nodes.spread", lambda df: df)
+    monkeypatch.setattr("pagemill.sources.nodes.spread", lambda df, parts: df)
     text = plan(main_content(spark.read.parquet(f"{SF}/pages.parquet")))
     assert "Exchange" not in text and text.count("MapInArrow") == 2  # once in the tree, once in the details
     assert "ReadSchema: struct<page_id:bigint,html:string>" in text
@@ -435,14 +435,20 @@ def test_tables_beyond_the_limit_are_not_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_small_input_is_spread_large_input_is_not(spark):
+def test_pages_are_spread_as_the_caller_says(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html")
-    assert parse_nodes(pages).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    setting = spark.conf.get(PARSE_PARTITIONS)
+    assert parse_nodes(pages).rdd.getNumPartitions() == int(setting)
+    assert parse_nodes(pages, parts=3).rdd.getNumPartitions() == 3
+    spark.conf.unset(PARSE_PARTITIONS)
     try:
-        assert "Exchange" not in plan(parse_nodes(pages))
+        for size in ("1000", "128m"):  # whatever the size of the table
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert "Exchange" not in plan(parse_nodes(pages))
+        assert parse_nodes(pages).count() == parse_nodes(pages, parts=3).count() == pages.count()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set(PARSE_PARTITIONS, setting)
 
 
 def test_unclosed_anchors_take_no_more_time(spark):
