@@ -1,21 +1,26 @@
 """Quality rules as a short-circuit cascade.
 
-A rule rejects a document by a Column expression over ``signals`` of its text.
-``measure`` times each rule and counts its rejections on a sample of bounded
-size, ``ordered`` sorts the rules by rejections per cost, and ``verdict`` says
-the cascade as one CASE: a document leaves at the first rule that rejects it,
-and dearer rules aren't evaluated for it. The order changes the cost alone,
-never the verdict.
-
-Words are runs of anything but ASCII white space. A null text has no words;
-documents of under ``MIN_WORDS`` words are rejected. Rows are judged one by
-one, so repeated ids, ties and other columns make no difference.
+A rule rejects a document by a Column expression over ``Facts`` of its text:
+the words, split once per row for all rules, and what follows from them.
+``measure`` times each rule behind that split, as it runs, and counts its
+rejections on a sample of bounded size, ``ordered`` sorts the rules by
+rejections per cost, and ``verdict`` says the cascade as one CASE: a document
+leaves at the first rule that rejects it, and dearer rules aren't evaluated
+for it. The order changes the cost alone, never the verdict.
+
+Words are runs of anything but ASCII white space. A null or empty text has no
+words; documents of under ``MIN_WORDS`` words are rejected. Rows are judged
+one by one, so ties, repeated rows and null ids make no difference, an empty
+table gives an empty one, and a text of any length is read whole inside its
+row. ``with_signals`` sets the column ``signals`` and ``cascade`` the column
+``rejected_by``, also where the input has one of that name; ``kept`` returns
+the input's columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -81,50 +86,56 @@ def n_repeat_words(words: Column) -> Column:
         F.size(F.array_distinct(w)) < F.size(w), covered(starts(w))).otherwise(F.lit(0).cast("long")))
 
 
-def with_signals(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``signals``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_shouts."""
-    text = F.col(text_col)
-    made = let(words(text), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        n_repeat_words(w).alias("n_repeat_words")))
-    return docs.withColumn("_made", made).withColumn("signals", F.struct(
-        F.col("_made.n_words").alias("n_words"), F.col("_made.word_chars").alias("word_chars"),
-        n_symbols(text).alias("n_symbols"), n_dup_lines(text).alias("n_dup_lines"),
-        F.col("_made.n_repeat_words").alias("n_repeat_words"), F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).alias("n_lines"),
-        F.coalesce(F.regexp_count(text, F.lit(_SHOUT)), F.lit(0)).alias("n_shouts"))).drop("_made")
+def _n_lines(text: Column) -> Column:
+    return F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1))
 
 
-@dataclass(frozen=True)
-class Rule:
-    """``rejects`` gives a boolean Column for a text; ``reads`` one for signals, for rows that have them already."""
-    name: str
-    rejects: Callable[[Column], Column]
-    reads: Callable[[Column], Column] | None = None
+#: Every signal as an expression over a text and its words.
+SIGNALS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w).cast("long"),
+    "word_chars": lambda t, w: F.length(F.array_join(w, "")).cast("long"),
+    "n_symbols": lambda t, w: n_symbols(t),
+    "n_dup_lines": lambda t, w: n_dup_lines(t),
+    "n_repeat_words": lambda t, w: n_repeat_words(w),
+    "n_lines": lambda t, w: _n_lines(t),
+    "n_shouts": lambda t, w: F.coalesce(F.regexp_count(t, F.lit(_SHOUT)), F.lit(0)),
+}
+
+
+class Facts:
+    """The signals of a text for rules to read: those in ``known`` as they are, others as expressions."""
 
-    def on(self, text: Column, signals: Column | None) -> Column:
-        return self.rejects(text) if signals is None or self.reads is None else self.reads(signals)
+    def __init__(self, text: Column, words: Column, known: Mapping[str, Column] | None = None) -> None:
+        self.text, self.words, self.known = text, words, known or {}
 
+    def __getitem__(self, name: str) -> Column:
+        return self.known[name] if name in self.known else SIGNALS[name](self.text, self.words)
 
-def _count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
 
+def with_signals(docs: DataFrame, text_col: str = "text", names: tuple[str, ...] = tuple(SIGNALS)) -> DataFrame:
+    """``docs`` with a struct ``signals`` of the signals named."""
+    def made(w: Column) -> Column:
+        facts = Facts(F.col(text_col), w)
+        return F.struct(*(facts[n].alias(n) for n in names))
 
-def _repeated(text: Column) -> Column:
-    return let(words(text), lambda w: 100 * n_repeat_words(w) > MAX_REPEAT_PERCENT * F.size(w))
+    return docs.withColumn("signals", let(words(F.col(text_col)), made))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``rejects`` gives a boolean Column for the facts of a text; null counts as false."""
+    name: str
+    rejects: Callable[[Facts], Column]
 
 
 #: Texts that fail one of the first two are rejected in any case; the others are this cascade's own.
 RULES = (
-    Rule("few_words", lambda t: F.coalesce(_count(t), F.lit(0)) < MIN_WORDS, lambda s: s["n_words"] < MIN_WORDS),
-    Rule("repeated_words", _repeated, lambda s: 100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"]),
-    Rule("symbols", lambda t: 5 * n_symbols(t) > _count(t), lambda s: 5 * s["n_symbols"] > s["n_words"]),
-    Rule("shouting", lambda t: 2 * F.regexp_count(t, F.lit(_SHOUT)) > _count(t),
-         lambda s: 2 * s["n_shouts"] > s["n_words"]),
-    Rule("repeated_lines", lambda t: 2 * n_dup_lines(t) > F.size(F.split(t, "\n", -1)),
-         lambda s: 2 * s["n_dup_lines"] > s["n_lines"]),
-    Rule("long_words", lambda t: F.length(F.regexp_replace(t, _BLANK, "")) > 60 * _count(t),
-         lambda s: s["word_chars"] > 60 * s["n_words"]),
+    Rule("few_words", lambda f: f["n_words"] < MIN_WORDS),
+    Rule("repeated_words", lambda f: 100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"]),
+    Rule("symbols", lambda f: 5 * f["n_symbols"] > f["n_words"]),
+    Rule("shouting", lambda f: 2 * f["n_shouts"] > f["n_words"]),
+    Rule("repeated_lines", lambda f: 2 * f["n_dup_lines"] > f["n_lines"]),
+    Rule("long_words", lambda f: f["word_chars"] > 60 * f["n_words"]),
 )
 
 
@@ -140,22 +151,34 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-9)
 
 
-def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
-    """About ``rows`` rows drawn from the whole table, written once."""
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7, **made: Column) -> DataFrame:
+    """At most ``rows`` rows drawn from the whole table, with the columns ``made`` of them, written once."""
     total = docs.count()
-    part = docs if total <= rows else docs.sample(fraction=min(1.0, 1.2 * rows / total), seed=seed).limit(rows)
-    return written(part, shared_dir(docs.sparkSession, "quality-sample"))
-
-
-def measure(sample: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> list[Estimate]:
-    """Cost in seconds and share of rejections of each rule over the sample; a first pass warms up."""
-    rows = sample.count()
-    estimates = []
+    part = docs
+    if total > rows:  # a few more than asked for, of which chance decides, not the place in the table
+        part = docs.sample(fraction=min(1.0, 1.2 * rows / total), seed=seed).orderBy(F.rand(seed)).limit(rows)
+    return written(part.withColumns(made), shared_dir(docs.sparkSession, "quality-sample"))
+
+
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
+            signals: str | None = None) -> list[Estimate]:
+    """Cost in seconds and share of rejections of each rule over a sample of ``docs``; a first pass warms up.
+
+    The sample holds what the cascade has at hand, the words or the signals,
+    so a rule's cost is what it adds.
+    """
+    if signals:
+        sample = sampled(docs.select(F.col(text_col).alias("text"), F.col(signals).alias("signals")), sample_rows)
+        facts = Facts(F.col("text"), words(F.col("text")), _known(sample, "signals"))
+    else:
+        sample = sampled(docs.select(F.col(text_col).alias("text")), sample_rows, words=words(F.col("text")))
+        facts = Facts(F.col("text"), F.col("words"))
+    rows, estimates = sample.count(), []
     for rule in rules:
-        query = sample.agg(F.sum(F.coalesce(rule.rejects(F.col(text_col)), F.lit(False)).cast("long")))
+        query = sample.agg(F.count_if(rule.rejects(facts)))
         query.first()
         begin = time.perf_counter()
-        rejected = query.first()[0] or 0
+        rejected = query.first()[0]
         estimates.append(Estimate(rule, time.perf_counter() - begin, rejected / max(rows, 1)))
     return estimates
 
@@ -164,20 +187,33 @@ def ordered(estimates: list[Estimate]) -> list[Rule]:
     return [e.rule for e in sorted(estimates, key=lambda e: (-e.gain, e.seconds, e.rule.name))]
 
 
-def verdict(rules: list[Rule], text: Column, signals: Column | None = None) -> Column:
-    """Name of the first rule that rejects the text; null for a text that passes all."""
-    case = None
-    for rule in rules:
-        rejects = F.coalesce(rule.on(text, signals), F.lit(False))
-        case = F.when(rejects, rule.name) if case is None else case.when(rejects, rule.name)
-    return case if case is not None else F.lit(None).cast("string")
+def _known(docs: DataFrame, signals: str) -> dict[str, Column]:
+    return {n: F.col(signals)[n] for n in docs.schema[signals].dataType.fieldNames()}
+
+
+def verdict(rules: list[Rule], text: Column, known: Mapping[str, Column] | None = None) -> Column:
+    """Name of the first rule that rejects the text; null for a text that passes all.
+
+    The words are split once for all rules, and not at all where signals are known.
+    """
+    def case(facts: Facts) -> Column:
+        out = F  # each rule is one more branch of a single CASE
+        for rule in rules:
+            out = out.when(rule.rejects(facts), F.lit(rule.name))
+        return F.lit(None).cast("string") if out is F else out
+
+    return let(words(text), lambda w: case(Facts(text, w))) if known is None else case(Facts(text, words(text), known))
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
             signals: str | None = None) -> DataFrame:
-    """``docs`` with ``rejected_by``, null where the document is kept; ``signals``: the column, if it is there."""
-    order = ordered(measure(sampled(docs.select(text_col), sample_rows), rules, text_col))
-    return docs.withColumn("rejected_by", verdict(order, F.col(text_col), F.col(signals) if signals else None))
+    """``docs`` with ``rejected_by``, null where the document is kept.
+
+    ``signals``: a struct column of signals that are there already; rules read
+    these and make only the others.
+    """
+    order = ordered(measure(docs, rules, text_col, sample_rows, signals))
+    return docs.withColumn("rejected_by", verdict(order, F.col(text_col), _known(docs, signals) if signals else None))
 
 
 def kept(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:

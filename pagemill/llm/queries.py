@@ -91,8 +91,9 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             or word_chars > 60 * n_words) as kept
 from b""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signals of every document and the verdict of the cascade."""
-    docs = quality.with_signals(table(spark, sf_dir, "documents"))
+    """Signals of every document and the verdict of the cascade; what the result doesn't show is made by the rules that need it."""
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    docs = quality.with_signals(table(spark, sf_dir, "documents"), names=shown)
     s = F.col("signals")
     failed = (s["n_words"] < quality.MIN_WORDS) | (100 * s["n_repeat_words"] > quality.MAX_REPEAT_PERCENT * s["n_words"])
     return quality.cascade(docs, signals="signals").select(

@@ -70,3 +70,34 @@ def test_kept_rows_keep_their_columns(spark):
 def test_sample_is_bounded(spark, rows):
     docs = spark.range(500).selectExpr("id as doc_id", "cast(id as string) as text")
     assert quality.sampled(docs, rows).count() <= rows
+
+
+def test_known_signals_are_read_and_others_made(spark):
+    docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    some = quality.with_signals(docs, names=("n_words", "n_repeat_words"))
+    assert some.schema["signals"].dataType.fieldNames() == ["n_words", "n_repeat_words"]
+    rows = quality.cascade(some, signals="signals").where("rejected_by is null").collect()
+    assert sorted(r["doc_id"] for r in rows) == [i for i, t in enumerate(texts()) if kept(t)]
+
+
+def test_words_are_split_once_for_all_rules(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    plan = docs.select(quality.verdict(list(quality.RULES), docs["text"]).alias("by"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[^\x20\x09-\x0D]+") == 1
+
+
+def test_query_on_odd_rows(spark, docs, tmp_path):
+    from pagemill.llm.queries import QUERIES
+    for name, some in (("odd", texts()), ("none", [])):
+        rows = [(i if i % 7 else None, t) for i, t in enumerate(some)]
+        (docs(rows * 2).withColumnRenamed("lang", "signals").withColumnRenamed("source", "rejected_by")
+         .write.parquet(f"{tmp_path}/{name}/documents.parquet"))
+        out = QUERIES["op3_quality_rules"](spark, f"{tmp_path}/{name}").collect()
+        plain = [(i, *signals(t)[:5], signals(t)[0] < 20 or 100 * signals(t)[4] > 30 * signals(t)[0], kept(t)) for i, t in rows * 2]
+        assert sorted(map(tuple, out), key=repr) == sorted(plain, key=repr)
+
+
+def test_sample_comes_from_the_whole_table(spark):
+    docs = spark.range(0, 4000, 1, 40).selectExpr("cast(id as string) as text")
+    got = [int(r["text"]) for r in quality.sampled(docs, 400).collect()]
+    assert len(got) <= 400 and max(got) >= 3800 and min(got) < 200
