@@ -9,7 +9,12 @@ are continuation records in files of their own.
 ``read_archives`` streams the files, puts segments together by the identifier
 of their origin, in order of their number, verifies that none is missing and
 that the total length is as stated, takes the framing off, and verifies the
-payload digest. What can't be verified is kept as a row with its ``status``.
+payload digest. What can't be verified is kept as a row with its ``status``:
+"segments missing", "length differs", "digest differs", "broken framing" or
+"response missing"; "cut off" for a record that its file or gzip member ends
+within, which ends the file; "length unreadable" and "number unreadable" for a
+record whose header doesn't say these as decimal digits, after which the next
+record is looked for.
 
 Record names are unique: behind "#" they tell the task and the number of the
 record in it, and a reference names all before "#", as it is about the page.
@@ -17,6 +22,8 @@ record in it, and a reference names all before "#", as it is about the page.
 A null payload is empty. Rows that repeat the smallest id of an equal payload
 are all responses; a null id never is the smallest, and rows with null ids
 only are all responses. Segments that are repeated byte for byte count once.
+An empty table gives no files and no rows, a payload of any length is cut into
+segments, and other columns of the table, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -61,28 +69,46 @@ def unchunked(body: bytes) -> bytes | None:
         end = body.find(_END, at)
         if end < 0:
             return None
-        size = body[at:end].split(b";", 1)[0].strip()
-        try:
-            n = int(size, 16)
-        except ValueError:
+        size = body[at:end].split(b";", 1)[0].strip(b" \t")
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
             return None
-        at = end + 2
+        n, at = int(size, 16), end + 2
         if n == 0:
             return b"".join(parts)
-        if n < 0 or body[at + n:at + n + 2] != _END:
+        if body[at + n:at + n + 2] != _END:
             return None
         parts.append(body[at:at + n])
         at += n + 2
 
 
+def _uncompressed(body: bytes, coding: str) -> bytes | None:
+    try:
+        return gzip.decompress(body) if coding.endswith("gzip") else zlib.decompress(body)
+    except (OSError, EOFError, zlib.error):
+        return None
+
+
 def payload_of(block: bytes) -> bytes | None:
-    """The payload of an HTTP response block; None if it can't be decoded."""
+    """The payload of an HTTP response block, its transfer codings undone from the last to the first; None if it can't be decoded."""
     head, mark, body = block.partition(b"\r\n\r\n")
     if not mark:
         return None
-    if b"\r\ntransfer-encoding: chunked" in head.lower():
-        return unchunked(body)
-    return body
+    codings: list[str] = []
+    for line in head.split(_END)[1:]:
+        name, _, value = line.decode("latin-1").partition(":")
+        if name.strip().lower() == "transfer-encoding":
+            codings += [c.split(";")[0].strip().lower() for c in value.split(",")]
+    out: bytes | None = body
+    for coding in reversed([c for c in codings if c not in ("", "identity")]):
+        if out is None:
+            return None
+        if coding == "chunked":
+            out = unchunked(out)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            out = _uncompressed(out, coding)
+        else:
+            return None
+    return out
 
 
 # -- writing --------------------------------------------------------------------------------------
@@ -173,26 +199,53 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", paylo
 
 # -- reading --------------------------------------------------------------------------------------
 
-def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record; a cut-off record ends the file."""
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
+def _number(text: str | None, digits: int = 18) -> int | None:
+    """A header value of decimal digits; None for anything else."""
+    return int(text) if text is not None and re.fullmatch(rf"[0-9]{{1,{digits}}}", text) else None
+
+
+def _read(stream: io.BufferedIOBase, size: int) -> bytes:
+    """``size`` bytes, or what is left; a stated size beyond the file takes no memory of its own."""
+    parts = []
+    while size > 0 and (part := stream.read(min(size, 1 << 20))):
+        parts.append(part)
+        size -= len(part)
+    return b"".join(parts)
+
+
+def records_in(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """Header fields (names in lower case) and block of each record; without a block, what is wrong with the record."""
+    while True:
         fields: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        size = int(fields.get("content-length", "0"))
-        block = stream.read(size)
-        if len(block) < size:
+        try:
+            if not (line := stream.readline()):
+                return
+            if not line.startswith(b"WARC/"):
+                continue
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                fields[name.strip().lower()] = value.strip()
+            size = _number(fields.get("content-length"))
+            block = _read(stream, size or 0)
+        except (EOFError, gzip.BadGzipFile, zlib.error):  # other errors are the store's: the task is run again
+            yield fields, None, "cut off"
             return
-        yield fields, block
+        if size is not None and len(block) < size or not line:
+            yield fields, None, "cut off"
+            return
+        yield (fields, None, "length unreadable") if size is None else (fields, block, None)
+
+
+def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each whole record."""
+    return ((fields, block) for fields, block, _ in records_in(stream) if block is not None)
 
 
 def _open(folder: str, name: str) -> io.BufferedIOBase:
     fs, base = file_system(folder)
     stream = fs.open_input_stream(f"{base}/{name}", compression=None)
-    return io.BufferedReader(gzip.GzipFile(fileobj=stream) if name.endswith(".gz") else stream, 1 << 20)
+    # no further buffer around the gzip file: where a member breaks off, that would lose the records before it
+    return gzip.GzipFile(fileobj=stream) if name.endswith(".gz") else io.BufferedReader(stream, 1 << 20)
 
 
 _PARSED = ("name string, kind string, refers string, stated string, origin string, number int, total long, "
@@ -208,14 +261,17 @@ def _judged(block: bytes, stated: str | None) -> tuple[int | None, str | None, s
     return len(payload), digest, "ok" if stated in (None, digest) else "digest differs"
 
 
-def _row(fields: dict[str, str], block: bytes) -> tuple:
+def _row(fields: dict[str, str], block: bytes | None, wrong: str | None) -> tuple:
     bare = lambda key: fields[key].strip("<>") if key in fields else None
     kind, stated = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha256:") or None
-    number = int(fields["warc-segment-number"]) if "warc-segment-number" in fields else None
-    total = int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None
+    number, total = _number(fields.get("warc-segment-number"), 9), _number(fields.get("warc-segment-total-length"))
+    if (number is None and "warc-segment-number" in fields) or (total is None and "warc-segment-total-length" in fields):
+        wrong = wrong or "number unreadable"
     origin = bare("warc-segment-origin-id") or (bare("warc-record-id") if number is not None else None)
     rest = (None, None, None, None)
-    if number is not None:
+    if wrong is not None:
+        number, total, rest = None, None, (None, None, None, wrong)
+    elif number is not None:
         rest = (block, None, None, None)
     elif kind == "response":
         rest = (None, *_judged(block, stated))
@@ -258,7 +314,7 @@ def page_of(name: Column) -> Column:
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
-    """name, kind, refers, payload_bytes, payload_digest, status of every whole record of the files.
+    """name, kind, refers, payload_bytes, payload_digest, status of every record of the files.
 
     ``files``: a table of file names (file). A revisit has the payload of the
     record that it refers to.
@@ -273,8 +329,8 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
             for name in batch.column("file").to_pylist():
                 rows, size = [], 0
                 with _open(folder, name) as stream:
-                    for fields, block in parse(stream):
-                        rows.append(_row(fields, block))
+                    for record in records_in(stream):
+                        rows.append(_row(*record))
                         size += len(rows[-1][7] or b"") + 400
                         if size > 4 << 20:
                             yield rows_out(rows)
@@ -285,12 +341,13 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
     names = files.select("file").repartition(min(max(1, files.count()), 10_000), "file")
     parsed = written(names.mapInArrow(read, _PARSED), f"{folder}/parsed")
     columns = ["name", "kind", "refers", "payload_bytes", "payload_digest", "status"]
-    whole = parsed.where("number is null and kind = 'response'").select(columns)
+    # a record that couldn't be read has its status from the start; of the others, responses only
+    whole = parsed.where("number is null and (status is not null or kind = 'response')").select(columns)
     responses = whole.unionByName(reassembled(parsed.where("number is not null")).select(columns))
     responses = written(responses, f"{folder}/responses")
-    revisits = parsed.where("kind = 'revisit'").select("name", "kind", "refers", "stated")
+    revisits = parsed.where("kind = 'revisit' and status is null").select("name", "kind", "refers", "stated")
     about = lambda name: F.substring_index(name, "#", 1)
-    there = responses.groupBy(about("name").alias("n")).agg(F.min(F.struct("payload_bytes", "payload_digest", "status")).alias("r"))
+    there = responses.where("kind = 'response'").groupBy(about("name").alias("n")).agg(F.min(F.struct("payload_bytes", "payload_digest", "status")).alias("r"))
     found = revisits.join(there, about("refers") == F.col("n"), "left")
     status = F.when(F.col("n").isNull(), "response missing").when(
         (F.col("r.status") == "ok") & ~F.col("stated").eqNullSafe(F.col("r.payload_digest")), "digest differs").otherwise(F.col("r.status"))

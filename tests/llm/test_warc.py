@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import zlib
 
 import pytest
 
@@ -84,7 +85,46 @@ def test_broken_records_are_told(spark):
     put_file(folder, "b.warc", [warc.records_of(6, "u", body, digest, None)[0], b"WARC/1.1\r\nContent-Length: 50\r\n\r\ncut off"])
     found = {r[0]: (r[1], r[5]) for r in got(warc.read_archives(spark.createDataFrame([("a.warc.gz",), ("b.warc",)], "file string"), folder))}
     assert found == {1: (len(body), "ok"), 2: (None, "segments missing"), 3: (None, "segments missing"), 4: (None, "segments missing"),
-                     5: (len(body), "ok"), 6: (len(body), "ok"), 8: (None, "response missing"), 9: (len(body), "digest differs")}
+                     5: (len(body), "ok"), 6: (len(body), "ok"), 8: (None, "response missing"), 9: (len(body), "digest differs"),
+                     None: (None, "cut off")}
+
+
+def test_malformed_headers_and_members(spark):
+    folder = shared_dir(spark, "t")
+    body = b"some payload " * 100
+    digest = hashlib.sha256(body).hexdigest()
+    good = {n: warc.records_of(n, None, body, digest, None)[0] for n in range(1, 8)}
+    size = b"Content-Length: %d" % len(warc._OK + warc.chunked(body))
+    assert all(size in r for r in good.values())
+    long = warc.records_of(8, None, body, digest, None, 600)
+    files = {"a.warc": [good[1].replace(size, b"Content-Length: many"), good[2], long[0],
+                        *(r.replace(b"WARC-Segment-Number: 2", b"WARC-Segment-Number: two") for r in long[1:])],
+             "b.warc.gz": [gzip.compress(good[3]), gzip.compress(good[4])[:-40]],
+             "c.warc.gz": [gzip.compress(good[5]), b"no gzip member"], "d.warc.gz": [b""], "e.warc": [b"WARC/1.1\r\nWARC-Type: resp"],
+             "f.warc": [good[6].replace(size, b"Content-Length: 999999999999999999")], "g.warc": [good[7].replace(size, b"X: -1")]}
+    for name, parts in files.items():
+        put_file(folder, name, parts)
+    rows = got(warc.read_archives(spark.createDataFrame([(n,) for n in files], "file string"), folder))
+    fine = (len(body), digest, "response", None, "ok")
+    assert [r for r in rows if r[5] == "ok"] == [(n, *fine) for n in (2, 3, 5)]
+    assert sorted(((r[0], r[5]) for r in rows if r[5] != "ok"), key=repr) == sorted(
+        [(1, "length unreadable"), (7, "length unreadable"), (6, "cut off"), (8, "number unreadable"), (8, "segments missing"),
+         (None, "cut off"), (None, "cut off"), (4, "cut off")], key=repr)
+
+
+def test_transfer_codings():
+    body = b"text " * 50
+    block = lambda codings, data: b"HTTP/1.1 200 OK\r\n" + codings + b"\r\n\r\n" + data
+    packed = gzip.compress(body)
+    assert warc.payload_of(block(b"transfer-encoding:chunked", warc.chunked(body))) == body
+    assert warc.payload_of(block(b"Transfer-Encoding:  gzip ,\tChunked", warc.chunked(packed, 7))) == body
+    assert warc.payload_of(block(b"Transfer-Encoding: deflate\r\nTransfer-Encoding: chunked", warc.chunked(zlib.compress(body)))) == body
+    assert warc.payload_of(block(b"Transfer-Encoding: identity", body)) == body
+    assert warc.payload_of(block(b"Transfer-Encoding: gzip", packed[:-9])) is None
+    assert warc.payload_of(block(b"Transfer-Encoding: gzip, chunked", warc.chunked(body))) is None
+    assert warc.payload_of(block(b"Transfer-Encoding: other", body)) is None
+    assert warc.payload_of(block(b"X-Transfer-Encoding: chunked", body)) == body
+    assert all(warc.unchunked(n + b"\r\na\r\n0\r\n\r\n") is None for n in (b"0x1", b"+1", b"-1", b"1_0", b"", b"\xc2\xb2"))
 
 
 def test_parse_reads_fields():
