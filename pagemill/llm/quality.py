@@ -20,7 +20,7 @@ the input's columns, whatever their names.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -112,13 +112,14 @@ class Facts:
         return self.known[name] if name in self.known else SIGNALS[name](self.text, self.words)
 
 
-def with_signals(docs: DataFrame, text_col: str = "text", names: tuple[str, ...] = tuple(SIGNALS)) -> DataFrame:
-    """``docs`` with a struct ``signals`` of the signals named."""
-    def made(w: Column) -> Column:
-        facts = Facts(F.col(text_col), w)
-        return F.struct(*(facts[n].alias(n) for n in names))
+def signals_of(text: Column, names: Iterable[str] = SIGNALS) -> Column:
+    """A struct of the signals named; the words are split once."""
+    return let(words(text), lambda w: F.struct(*(SIGNALS[n](text, w).alias(n) for n in names)))
+
 
-    return docs.withColumn("signals", let(words(F.col(text_col)), made))
+def with_signals(docs: DataFrame, text_col: str = "text", names: Iterable[str] = SIGNALS) -> DataFrame:
+    """``docs`` with a struct ``signals`` of the signals named."""
+    return docs.withColumn("signals", signals_of(F.col(text_col), names))
 
 
 @dataclass(frozen=True)
@@ -167,12 +168,14 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     The sample holds what the cascade has at hand, the words or the signals,
     so a rule's cost is what it adds.
     """
-    if signals:
-        sample = sampled(docs.select(F.col(text_col).alias("text"), F.col(signals).alias("signals")), sample_rows)
-        facts = Facts(F.col("text"), words(F.col("text")), _known(sample, "signals"))
+    text = F.col("text")
+    drawn = docs.select(F.col(text_col).alias("text"))
+    if signals:  # made again for the rows drawn: taken from ``docs`` they would be made for all rows before the draw
+        sample = sampled(drawn, sample_rows, signals=signals_of(text, docs.schema[signals].dataType.fieldNames()))
+        facts = Facts(text, words(text), _known(sample, "signals"))
     else:
-        sample = sampled(docs.select(F.col(text_col).alias("text")), sample_rows, words=words(F.col("text")))
-        facts = Facts(F.col("text"), F.col("words"))
+        sample = sampled(drawn, sample_rows, words=words(text))
+        facts = Facts(text, F.col("words"))
     rows, estimates = sample.count(), []
     for rule in rules:
         query = sample.agg(F.count_if(rule.rejects(facts)))
@@ -209,8 +212,8 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
             signals: str | None = None) -> DataFrame:
     """``docs`` with ``rejected_by``, null where the document is kept.
 
-    ``signals``: a struct column of signals that are there already; rules read
-    these and make only the others.
+    ``signals``: a struct column of some of ``SIGNALS`` that is there already;
+    rules read these and make only the others.
     """
     order = ordered(measure(docs, rules, text_col, sample_rows, signals))
     return docs.withColumn("rejected_by", verdict(order, F.col(text_col), _known(docs, signals) if signals else None))
