@@ -65,7 +65,8 @@ class Encoder:
         coded = pc.fill_null(column.cast(pa.large_string()), "").dictionary_encode()
         texts = []
         for i in range(0, len(coded.dictionary), _AT_ONCE):  # an encoding takes far more memory than its ids
-            found = self.tokenizer.encode_batch(coded.dictionary.slice(i, _AT_ONCE).to_pylist(), add_special_tokens=False)
+            part = coded.dictionary.slice(i, _AT_ONCE).to_pylist()
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)  # the same ids, without offsets
             texts += [np.array([*e.ids, self.end_id], self.dtype) for e in found]
         order = coded.indices.to_numpy(zero_copy_only=False).tolist()
         out = np.concatenate([np.zeros(0, self.dtype), *(texts[i] for i in order)])

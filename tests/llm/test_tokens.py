@@ -39,6 +39,21 @@ def test_whole_texts_by_any_tokenizer(path):
         assert ids[a:b].tolist() == w, repr(text)
 
 
+def test_whole_texts_are_encoded_without_offsets():
+    encoder, asked = tokens.Encoder(tokenizer_path(), "<u2"), []
+
+    class WithoutOffsets:
+        def encode_batch_fast(self, texts, add_special_tokens, real=encoder.tokenizer):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = WithoutOffsets()
+    texts = ["one  two\n\nit's É", "", "".join(ALPHABET) * 3, "one  two\n\nit's É"]
+    ids, n = encoder.encode(pa.array([*texts, None]))
+    assert asked == texts[:3]
+    assert ids.tolist() == sum(plain([*texts, None]), []) and n.sum() == len(ids)
+
+
 def test_ids_must_fit_their_type():
     with pytest.raises(ValueError, match="don't fit"):
         tokens.Encoder(tokenizer_path(), "<u1")
