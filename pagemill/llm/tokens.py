@@ -22,6 +22,7 @@ has the end id only. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -49,13 +50,35 @@ _LEFT = np.uint64(_LEVELS)
 
 # -- encoding -------------------------------------------------------------------------------------
 
+#: A normaliser's step from white space to one blank, and a splitter whose words hold no white space and don't look past their ends.
+_BLANKS = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+_WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+          "behavior": "Removed", "invert": True}
+
+
+def without_blanks(spec: dict) -> dict:
+    """A tokenizer file without the step ``_BLANKS``, where its ids can't depend on it; any other file as it is.
+
+    That is so if only lower-casing, which goes letter by letter, stands
+    between the step and ``_WORDS``, and added tokens are found before it.
+    """
+    normalizer, splitter = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = normalizer.get("normalizers", [])
+    idle = (_BLANKS in steps and all(s == {"type": "Lowercase"} for s in steps[steps.index(_BLANKS) + 1:])
+            and splitter.get("pretokenizers", [splitter])[:1] == [_WORDS]
+            and not any(t["normalized"] for t in spec["added_tokens"]))
+    return spec | {"normalizer": normalizer | {"normalizers": [s for s in steps if s != _BLANKS]}} if idle else spec
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer file of the tokenizers library, each text followed by the end id."""
 
     def __init__(self, path: str, dtype: str, end_id: int = END_ID) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         from tokenizers import Tokenizer
-        self.tokenizer, self.dtype, self.end_id = Tokenizer.from_file(path), dtype, end_id
+        with open(path, encoding="utf-8") as file:
+            spec = without_blanks(json.load(file))
+        self.tokenizer, self.dtype, self.end_id = Tokenizer.from_str(json.dumps(spec)), dtype, end_id
         most = max([end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values()])
         if most > np.iinfo(dtype).max:
             raise ValueError(f"ids up to {most} don't fit {dtype}")

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import copy
+import json
 import random
 import zlib
 
@@ -54,6 +56,39 @@ def test_whole_texts_are_encoded_without_offsets():
     assert ids.tolist() == sum(plain([*texts, None]), []) and n.sum() == len(ids)
 
 
+def test_white_space_is_not_rewritten_where_the_splitter_drops_it():
+    """The file's step \\s+ -> blank is left out: the same ids for every sort of white space, alone, in runs and beside marks and special tokens."""
+    encoder = tokens.Encoder(tokenizer_path(), "<u2")
+    assert "Replace" not in str(encoder.tokenizer.normalizer) and "Lowercase" in str(encoder.tokenizer.normalizer)
+    blanks = [c for c in map(chr, range(0x3001)) if c.isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    texts = [f"{c}aB{c}'s{c}{c}\t{c}\u0301 {c}<|endoftext|>{c}{d}İ!{c}'ll" for c in blanks for d in blanks]
+    ids, n = encoder.encode(pa.array(texts))
+    ends = np.cumsum(n)
+    assert [ids[a:b].tolist() for a, b in zip(ends - n, ends)] == plain(texts)
+
+
+def changed(spec, change):
+    change(spec := copy.deepcopy(spec))
+    return spec
+
+
+@pytest.mark.parametrize("change", [
+    lambda s: s["normalizer"]["normalizers"].append({"type": "NFC"}),
+    lambda s: s["normalizer"]["normalizers"][1].update(content=""),
+    lambda s: s["normalizer"]["normalizers"][1].update(pattern={"String": " "}),
+    lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"),
+    lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(pattern={"Regex": r"\S+ ?"}),
+    lambda s: s["pre_tokenizer"]["pretokenizers"].reverse(),
+    lambda s: s["added_tokens"][0].update(normalized=True),
+    lambda s: s.update(normalizer=None), lambda s: s.update(pre_tokenizer=None)])
+def test_other_files_keep_all_their_steps(change):
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        spec = json.load(file) | {"model": None}
+    assert tokens.without_blanks(spec) == changed(spec, lambda s: s["normalizer"]["normalizers"].pop(1))
+    spec = changed(spec, change)
+    assert tokens.without_blanks(copy.deepcopy(spec)) == spec
+
+
 def test_ids_must_fit_their_type():
     with pytest.raises(ValueError, match="don't fit"):
         tokens.Encoder(tokenizer_path(), "<u1")
