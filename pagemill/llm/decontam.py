@@ -97,7 +97,7 @@ def build_index(docs: DataFrame, id_col: str, path: str, text_col: str = "text")
         return map(_block, in_blocks(batches, "text"))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(blocks, _index_type(rows.schema["id"].dataType)), path)
+    return written(rows.mapInArrow(blocks, _index_type(rows.schema["id"].dataType)), path, group_rows=1)
 
 
 # -- queries --------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import (decontam, gramjoin, mixing, negatives, quality, quotes, secrets, simhash, suffixes, tokens, toxicity,
                           variants, warc)
-from pagemill.llm.store import shared_dir
+from pagemill.llm.store import PLAIN_READ, shared_dir
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -31,8 +31,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, **options: str) -> DataFrame:
+    return spark.read.options(**options).parquet(f"{sf_dir}/{name}.parquet")
 
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -62,7 +62,7 @@ select d.doc_id, cast(len(d.ws) as bigint) as n_words, cast(coalesce(hits.n, 0)
 from d left join hits using (doc_id) left join items using (doc_id)""")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark windows in every document."""
-    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.decontaminate(table(spark, sf_dir, "documents", **PLAIN_READ), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 # Bytes of text that one step inside a task handles at a time.
 BLOCK_BYTES = 4 << 20
+#: Reader options for large row groups: a vectored read takes a second buffer, outside the heap and kept by its thread, for all of a group.
+PLAIN_READ = {"parquet.hadoop.vectored.io.enabled": "false"}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -28,10 +30,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The rows written as Parquet and read again: they are computed once and outlive lost executors."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, path: str, group_rows: int | None = None) -> DataFrame:
+    """The rows written as Parquet and read again: they are computed once and outlive lost executors.
+
+    Rows of megabytes need ``group_rows``, the most rows of a row group: a task holds
+    a group whole to write or read it, and a writer first looks at its size after 100
+    rows. They go without statistics, which hold a group's extreme values until the file ends.
+    """
+    out, back = df.write.option("compression", "zstd"), df.sparkSession.read.schema(df.schema)
+    if group_rows is not None:
+        out = out.option("parquet.block.row.count.limit", group_rows).option("parquet.column.statistics.enabled", "false")
+        back = back.options(**PLAIN_READ)
+    out.parquet(path)
+    return back.parquet(path)
 
 
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+from functools import partial
 
+import pyarrow.parquet as pq
 import pytest
 
 from pagemill.llm import decontam
-from pagemill.llm.store import shared_dir
+from pagemill.llm.store import in_blocks, shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,6 +65,20 @@ def test_passes_and_small_blocks(spark, monkeypatch):
     assert got(found) == brute(docs, items)
 
 
+def test_tasks_write_and_read_one_block_at_a_time(spark, monkeypatch, tmp_path):
+    docs, items = rows()
+    monkeypatch.setattr(decontam, "in_blocks", partial(in_blocks, block_bytes=200))
+    d, i = tables(spark, docs, items)
+    index = decontam.build_index(d.coalesce(1), "doc_id", f"{tmp_path}/index")
+    [file] = tmp_path.glob("index/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.num_row_groups == meta.num_rows == index.count() > 20
+    assert not any(meta.row_group(g).column(c).is_stats_set for g in range(meta.num_row_groups) for c in range(meta.num_columns))
+    found = decontam.find(index, decontam.item_words(i))
+    found = found.select("id", "n_words", decontam.covered(found["spans"]).alias("n_hit"), "items")
+    assert got(found) == brute(docs, items)
+
+
 @pytest.mark.parametrize("slop", [1, 2])
 def test_proximity(spark, slop):
     docs, items = rows()
